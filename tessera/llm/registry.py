@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import sharding, url_filter
+from tessera.llm import quality, sharding, url_filter
 
 
 def queries() -> dict:
-    return {"op7_url_filter": url_filter.op7, "op8_sharding": sharding.op8}
+    return {"op4_quality": quality.op4, "op7_url_filter": url_filter.op7, "op8_sharding": sharding.op8}
 
 
 def oracle_sql() -> dict:
