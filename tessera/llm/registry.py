@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, sharding, url_filter
+from tessera.llm import decontamination, quality, sharding, url_filter
 
 
 def queries() -> dict:
-    return {"op4_quality": quality.op4, "op7_url_filter": url_filter.op7, "op8_sharding": sharding.op8}
+    return {
+        "op4_quality": quality.op4,
+        "op7_url_filter": url_filter.op7,
+        "op8_sharding": sharding.op8,
+        "op9_decontamination": decontamination.op9,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_url_filter": url_filter.OP7_SQL}
+    return {
+        "op7_url_filter": url_filter.OP7_SQL,
+        "op9_decontamination": decontamination.OP9_SQL,
+    }
