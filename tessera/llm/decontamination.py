@@ -38,6 +38,10 @@ def shingles(words: Column, size: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(none))
 
 
+def counted_shingles(size: int) -> Column:
+    return let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), shingles(w, size).alias("keys")))
+
+
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it was counted and is small, as it is beyond."""
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
@@ -81,7 +85,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = small(necessary.select("size", "key").distinct())
     found = None
     for s in sizes:
-        cut = keyed.select("doc_id", "_text", let(words_of(F.col("text")), lambda w, s=s: F.struct(F.size(w).alias("n"), shingles(w, s).alias("keys"))).alias("_cut"))
+        cut = keyed.select("doc_id", "_text", counted_shingles(s).alias("_cut"))
         one = cut.select("doc_id", "_text", F.col("_cut.n").alias("n"), F.posexplode("_cut.keys").alias("pos", "key")).withColumn("size", F.lit(s))
         found = one if found is None else found.unionByName(one)
     found = materialize(found.join(wanted, ["size", "key"]))
