@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, quality, sharding, simhash, substrings, url_filter
+from tessera.llm import decontamination, packing, quality, sharding, simhash, substrings, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1,
         "op2_substrings": substrings.op2,
+        "op3_packing": packing.op3,
         "op4_quality": quality.op4,
         "op7_url_filter": url_filter.op7,
         "op8_sharding": sharding.op8,
