@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, packing, pii, quality, sharding, simhash, substrings, url_filter
+from tessera.llm import decontamination, html_text, packing, pii, quality, sharding, simhash, substrings, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.op3,
         "op4_quality": quality.op4,
         "op5_pii": pii.op5,
+        "op6_html": html_text.op6,
         "op7_url_filter": url_filter.op7,
         "op8_sharding": sharding.op8,
         "op9_decontamination": decontamination.op9,
