@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, html_text, packing, pii, quality, sharding, simhash, substrings, url_filter
+from tessera.llm import decontamination, html_text, licenses, packing, pii, quality, sharding, simhash, substrings, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_url_filter": url_filter.op7,
         "op8_sharding": sharding.op8,
         "op9_decontamination": decontamination.op9,
+        "op10_licenses": licenses.op10,
     }
 
 

@@ -56,15 +56,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row."""
+def fingerprints(docs: DataFrame, text_key: str | None = None) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, of each row, and text_key, which tells texts apart, if named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            keys = [n for n in b.schema.names if n not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps), *map(b.column, keys)], ["doc_id", "fp", *keys])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    keys = [F.xxhash64("text", F.length("text")).alias(text_key)] if text_key else []
+    return docs.select("doc_id", "text", *keys).mapInArrow(run, "doc_id long, fp long" + (f", {text_key} long" if text_key else ""))
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -262,22 +264,42 @@ def links(distinct: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_join, "a long, b long")
 
 
+def _labelled(prints: DataFrame, max_node: int) -> DataFrame:
+    """(_fp, least, component_id) of each distinct fp of prints, least being its own smallest doc_id."""
+    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    label = components(links(least.select("fp"), max_node))
+    rooted = least.join(label, least.fp == label.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select(F.col("fp").alias("_fp"), "least", "component_id")
+
+
 def grouped(docs: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, for every row.
 
     A null or empty text has fingerprint zero, linked like any other. Rows of an equal doc_id keep a row each; a null
-    doc_id is never the smallest unless its component has no other. Other columns are ignored.
+    doc_id is never the smallest unless its component has no other. Other columns are ignored. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs))
-    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(least.select("fp"), max_node))
-    rooted = least.join(label, least.fp == label.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # most components are one fingerprint; only those with links are looked up
-    linked = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(linked, "root").select(F.col("fp").alias("_fp"), "component_id")
+    named = _labelled(prints, max_node).drop("least")
     out = prints.join(named, F.col("fp") == F.col("_fp"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
+    """docs, all columns, with one row of each component: one of the smallest doc_id. Of several such rows, that of the
+    smallest fingerprint and text stays; a component with null ids only keeps one row likewise."""
+    prints = materialize(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "own"))
+    named = _labelled(prints, max_node)
+    # a component's row is looked for only among the rows of its smallest doc_id
+    chosen = named.where(F.col("least").eqNullSafe(F.col("component_id")))
+    first = prints.join(chosen, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = materialize(first.groupBy("component_id").agg(F.min(F.struct("fp", "own")).alias("f")).select(F.col("component_id").alias("_id"), F.col("f.own").alias("_own")))
+    kept = docs.withColumn("_key", F.xxhash64("text", F.length("text"))).join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")), "left_semi").drop("_key")
+    # rows that are equal in id and text are one document; they are looked for only if there are any
+    if kept.select("doc_id").count() > one.count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"))
