@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Unicode has it, with the four separators x1c to x1f.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -16,11 +17,22 @@ DESCRIPTION_LIMIT = 1200
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_list(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: [None if t is None else unicodedata.normalize("NFKC", t) for t in x], na_action="ignore")
+
+
+def nfkc_list(texts: Column) -> Column:
+    """The same for each text of a list: no Python can run inside a lambda."""
+    whole = F.array_join(texts, "")
+    return F.when(F.length(whole) == F.octet_length(whole), texts).otherwise(_nfkc_list(texts))
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility composition. ASCII stays in the JVM: it is its own normal form."""
     return F.when(F.length(text) == F.octet_length(text), text).otherwise(_nfkc(text))
@@ -37,8 +49,11 @@ def normalize(text: Column) -> Column:
 
 def filter_text(text: Column) -> Column:
     """For term filters: lower-case words with single spaces, dashes and other marks being spaces."""
-    low = F.lower(nfkc(F.coalesce(text, F.lit(""))))
-    return collapse(F.regexp_replace(F.regexp_replace(low, f"[{DASHES}]+", " "), r"(?U)[^\w\s]+", " "))
+    return filter_words(nfkc(F.coalesce(text, F.lit(""))))
+
+
+def filter_words(composed: Column) -> Column:
+    return collapse(F.regexp_replace(F.regexp_replace(F.lower(composed), f"[{DASHES}]+", " "), r"(?U)[^\w\s]+", " "))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -55,7 +70,7 @@ def tokens(text: Column) -> Column:
 
 def semantic_document(title: Column, subtitle: Column, tags: Column, description: Column) -> Column:
     """What is embedded: a labelled line for each part that is not empty."""
-    listed = F.array_join(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), normalize), lambda t: t != ""), ", ")
+    listed = F.array_join(F.filter(F.transform(nfkc_list(F.coalesce(tags, F.array().cast("array<string>"))), lambda t: collapse(F.coalesce(t, F.lit("")))), lambda t: t != ""), ", ")
     parts = {"title": normalize(title), "subtitle": normalize(subtitle), "tags": listed, "description": F.substring(normalize(description), 1, DESCRIPTION_LIMIT)}
     return F.concat_ws("\n", *[F.when(value != "", F.concat(F.lit(f"{name}: "), value)) for name, value in parts.items()])
 

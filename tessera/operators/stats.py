@@ -38,8 +38,8 @@ def method_stats(samples: DataFrame, total_fields: int = len(FIELDS)) -> DataFra
         F.count(F.lit(1)).alias("requested"),
         done.alias("succeeded"),
         F.count_if(~ok).alias("failed"),
-        nearest_rank("latency_ms", 0.5).alias("latency_p50"),
-        nearest_rank("latency_ms", 0.95).alias("latency_p95"),
+        nearest_rank("latency_ms", 0.5).cast("long").alias("latency_p50"),
+        nearest_rank("latency_ms", 0.95).cast("long").alias("latency_p95"),
         F.round(F.when(seconds > 0, done / seconds).otherwise(0.0), 3).alias("throughput"),
         F.round(F.when(done > 0, F.sum(F.when(ok, F.col("populated"))) / (done * total_fields)).otherwise(0.0), 4).alias("completeness"),
     )

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import filter_text
+from tessera.functions.text import filter_text, filter_words, nfkc_list
 
 #: Terms of titles that suppress a hit of one source, in the order in which they are told.
 NEGATIVE_TERMS = (
@@ -85,19 +85,13 @@ def valid_record() -> Column:
 def negative_term(title: Column, subtitle: Column) -> Column:
     """The first of the terms that the title and subtitle have as whole words; null if none."""
     padded = F.concat(F.lit(" "), filter_text(F.concat_ws(" ", title, subtitle)), F.lit(" "))
-    terms = F.array(*[F.lit(t) for t in NEGATIVE_TERMS])
-    return F.try_element_at(F.filter(terms, lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" ")))), F.lit(1))
+    return F.coalesce(*[F.when(F.contains(padded, F.lit(f" {t} ")), t) for t in NEGATIVE_TERMS])
 
 
 def has_tag(tags: Column, expected: Column) -> Column:
-    wanted = filter_text(expected)
-    return F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda t: filter_text_ascii(t) == wanted)
-
-
-def filter_text_ascii(text: Column) -> Column:
-    """filter_text inside a lambda, where no Python can run: without composition of compatibility characters."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?U)[-‐‑‒–—]+|[^\w\s]+", " "), r"(?U)\s+", " "))
+    """expected is one of the followed tags, which are ASCII."""
+    wanted = filter_words(expected)
+    return F.exists(nfkc_list(F.coalesce(tags, F.array().cast("array<string>"))), lambda t: filter_words(F.coalesce(t, F.lit(""))) == wanted)
 
 
 def tag_pages(rows: DataFrame) -> DataFrame:

@@ -1,11 +1,532 @@
-"""Queries over the driver's tables, one per operator family."""
+"""Queries over the driver's tables, one or more for each operator, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import evaluation, fusion, inspection, keyword, profile, stats, sync, vectors
+from tessera.plans import adapters as A
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# -- keyword search -------------------------------------------------------------------------------------------------
+
+_KW = f"WITH {A.RESOURCES_SQL}, {A.POSTS_SQL}, {A.QUERIES_SQL}"
+_ONE = "SELECT query_id, id, sum(weight) AS s FROM q JOIN posts ON lexeme = w[1] WHERE status = 'active' GROUP BY query_id, id"
+_RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id)"
+
+
+def _hits(spark, sf_dir, form, resource_type=None) -> DataFrame:
+    wanted = [(i, form(w)) for i, w in A.query_words(spark, sf_dir) if len(w) > 1]
+    terms = keyword.query_terms(spark, wanted)
+    found = keyword.matches(keyword.active(A.resources(spark, sf_dir), resource_type), terms)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"{_KW}, h AS ({_ONE}) SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT *, {_RANKED} AS rank FROM h) WHERE rank <= 10")
+def kw_search(spark, sf_dir):
+    """The ten best resources for each one-word query."""
+    return keyword.top_k(_hits(spark, sf_dir, lambda w: w[0]), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""{_KW}, h AS (SELECT query_id, id, lexeme, weight FROM (SELECT query_id, unnest(list_distinct(w[1:2])) AS lexeme, len(list_distinct(w[1:2])) AS n, w FROM q) JOIN posts USING (lexeme) WHERE status = 'active')
+SELECT query_id, id, round(sum(h.weight * k), 6) AS score FROM h JOIN (SELECT query_id AS qid, w[1] = w[2] AS same, len(list_distinct(w[1:2])) AS n FROM q) x ON qid = query_id CROSS JOIN (SELECT 1) o(one), LATERAL (SELECT CASE WHEN same THEN 2 ELSE 1 END AS k) GROUP BY query_id, id, n HAVING count(DISTINCT lexeme) = n""")
+def kw_search_and(spark, sf_dir):
+    """Every resource that has both words of a query."""
+    return _hits(spark, sf_dir, " ".join).select("query_id", "id", "score")
+
+
+@query(f"""{_KW}, h AS (SELECT query_id, k, word, id, sum(weight) AS s FROM (SELECT query_id, unnest(w[1:2]) AS word, unnest([1, 2]) AS k FROM q) JOIN posts ON lexeme = word WHERE status = 'active' GROUP BY query_id, k, word, id)
+SELECT query_id, id, round(max(s), 6) AS score, string_agg(word, '|' ORDER BY k) AS matched_queries FROM h GROUP BY query_id, id""")
+def kw_multi_query(spark, sf_dir):
+    """Two queries each: the better score, and which of them matched in the order given."""
+    words = [(i, w) for i, w in A.query_words(spark, sf_dir) if len(w) > 1]
+    pairs = [(2 * i + k, w[k], i, k) for i, w in words for k in (0, 1)]
+    terms = keyword.query_terms(spark, [(p[0], p[1]) for p in pairs])
+    names = spark.createDataFrame(pairs, "sub long, query string, owner long, k int")
+    found = keyword.matches(keyword.active(A.resources(spark, sf_dir)), terms).join(F.broadcast(names), F.col("query_id") == F.col("sub"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "query"))), lambda x: x["query"]), "|")
+    return found.groupBy(F.col("owner").alias("query_id"), "id").agg(F.round(F.max("score"), 6).alias("score"), listed.alias("matched_queries"))
+
+
+@query(f"""{_KW} SELECT query_id, a.id, CAST(count(*) AS BIGINT) AS n, round(sum(a.weight + b.weight), 6) AS score FROM q JOIN posts a ON a.lexeme = w[1] JOIN posts b ON b.lexeme = w[2] AND b.id = a.id AND b.pos = a.pos + 1
+WHERE a.status = 'active' GROUP BY query_id, a.id""")
+def kw_phrase(spark, sf_dir):
+    """Where both words stand next to one another."""
+    wanted = [(i, f'"{w[0]} {w[1]}"') for i, w in A.query_words(spark, sf_dir) if len(w) > 1]
+    posts = keyword.postings(keyword.active(A.resources(spark, sf_dir)))
+    found = keyword.occurrences(posts, keyword.query_terms(spark, wanted))
+    return found.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score"))
+
+
+@query(f"{_KW}, h AS ({_ONE}) SELECT query_id, id, round(s, 6) AS score FROM h JOIN q USING (query_id) WHERE w[1] <> w[2] AND NOT EXISTS (SELECT 1 FROM posts p WHERE p.id = h.id AND p.lexeme = w[2])")
+def kw_negation(spark, sf_dir):
+    """With the first word and without the second."""
+    return _hits(spark, sf_dir, lambda w: f"{w[0]} -{w[1]}").select("query_id", "id", "score")
+
+
+@query(f"""{_KW}, h AS (SELECT query_id, id, sum(weight) AS s FROM q JOIN posts ON lexeme = w[1] WHERE status = 'active' AND resource_type = 'dataset' GROUP BY query_id, id)
+SELECT query_id, id, round(s, 6) AS score, place FROM (SELECT *, {_RANKED} AS place FROM h) WHERE place > 5 AND place <= 15""")
+def kw_type_filter_page(spark, sf_dir):
+    """The second page of datasets for each query."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    placed = _hits(spark, sf_dir, lambda w: w[0], "dataset").withColumn("place", F.row_number().over(order).cast("long"))
+    return placed.where("place > 5 AND place <= 15").select("query_id", "id", "score", "place")
+
+
+@query(f"""WITH {A.RESOURCES_SQL}, {A.POSTS_SQL}, {A.QUERIES_SQL}, tf AS (SELECT id, lexeme, count(*) AS tf FROM posts GROUP BY ALL), n AS (SELECT count(*) AS n FROM resources),
+idf AS (SELECT lexeme, ln((1.0 + n) / (1.0 + count(*))) + 1.0 AS idf FROM tf, n GROUP BY lexeme, n), norms AS (SELECT id, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY id),
+t AS (SELECT query_id, lexeme, count(*) AS n FROM (SELECT query_id, unnest(w[1:2]) AS lexeme FROM q) GROUP BY ALL),
+s AS (SELECT query_id, id, round(sum(tf * t.n * idf * idf) / any_value(norm), 6) AS score FROM tf JOIN idf USING (lexeme) JOIN t USING (lexeme) JOIN norms USING (id) GROUP BY query_id, id)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def tfidf_top5(spark, sf_dir):
+    """The five nearest resources by TF-IDF."""
+    words = [(i, x) for i, w in A.query_words(spark, sf_dir) for x in w]
+    terms = spark.createDataFrame(words, "query_id long, lexeme string").groupBy("query_id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
+    return keyword.tf_idf(A.resources(spark, sf_dir), terms).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+# -- vectors and fusion ---------------------------------------------------------------------------------------------
+
+_SIM = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))"
+
+
+def _near(spark, sf_dir, k, keep="true"):
+    v = A.vectors(spark, sf_dir)
+    wanted = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.semantic_top_k(v.where(keep), wanted, k).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT x.vec_id AS query_id, v.vec_id AS id, {_SIM} AS s FROM embeddings v, embeddings x WHERE x.vec_id % 100 = 0)) WHERE rank <= 20")
+def sem_topk(spark, sf_dir):
+    """The twenty nearest vectors to every hundredth one, among all."""
+    return _near(spark, sf_dir, 20)
+
+
+@query(f"SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT x.vec_id AS query_id, v.vec_id AS id, {_SIM} AS s FROM embeddings v, embeddings x WHERE x.vec_id % 100 = 0 AND v.label = 1)) WHERE rank <= 10")
+def sem_topk_filtered(spark, sf_dir):
+    """The same among vectors of one label."""
+    return _near(spark, sf_dir, 10, "label = 1")
+
+
+@query()
+def ann_lsh(spark, sf_dir):
+    """The ten nearest by the opt-in index: every vector is indexed, every hundredth asks."""
+    v = A.vectors(spark, sf_dir)
+    wanted = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.approximate_top_k(v.select("id", "embedding"), wanted, 10, 64).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_HYBRID = f"""{_KW}, k AS (SELECT query_id, id, rank AS keyword_rank FROM (SELECT *, {_RANKED} AS rank FROM ({_ONE})) WHERE rank <= 20),
+v AS (SELECT vec_id, embedding FROM embeddings JOIN resources ON id = vec_id WHERE status = 'active'),
+s AS (SELECT query_id, id, rank AS semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT item_id AS query_id, v.vec_id AS id, {_SIM} AS s FROM v, benchmark JOIN embeddings x ON x.vec_id = item_id)) WHERE rank <= 20),
+f AS (SELECT query_id, id, keyword_rank, semantic_rank, coalesce(1.0::DOUBLE / (60.0::DOUBLE + keyword_rank), 0.0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + semantic_rank), 0.0) AS h FROM k FULL JOIN s USING (query_id, id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, least(keyword_rank, semantic_rank), CAST(id AS VARCHAR)) AS place FROM f)"""
+
+
+def _fused(spark, sf_dir):
+    kw = keyword.top_k(_hits(spark, sf_dir, lambda w: w[0]), 20).withColumnRenamed("score", "keyword_score")
+    v = A.vectors(spark, sf_dir)
+    asked = A.table(spark, sf_dir, "benchmark").select("item_id").join(v, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    live = v.join(keyword.active(A.resources(spark, sf_dir)).select("id"), "id")
+    sem = vectors.semantic_top_k(live, asked, 20).withColumnRenamed("score", "semantic_score")
+    return fusion.reciprocal_rank_fusion(kw.select("query_id", "id", "rank", "keyword_score"), sem.select("query_id", "id", "rank", "semantic_score"))
+
+
+def _page(df):
+    return df.select("query_id", "id", F.round("hybrid_score", 6).alias("hybrid_score"), F.col("keyword_rank").cast("long").alias("keyword_rank"), F.col("semantic_rank").cast("long").alias("semantic_rank"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"{_HYBRID} SELECT query_id, id, round(h, 6) AS hybrid_score, keyword_rank, semantic_rank, place FROM p WHERE place <= 20")
+def hybrid_rrf(spark, sf_dir):
+    """Keyword and vector search of every query, fused by rank."""
+    return _page(fusion.fused_page(_fused(spark, sf_dir), 20))
+
+
+@query(f"{_HYBRID} SELECT query_id, id, round(h, 6) AS hybrid_score, keyword_rank, semantic_rank, place FROM p WHERE place > 10 AND place <= 15")
+def hybrid_rrf_page(spark, sf_dir):
+    """A later page, cut after fusion."""
+    return _page(fusion.fused_page(_fused(spark, sf_dir), 5, 10))
+
+
+@query(f"{_KW}, k AS (SELECT query_id // 2 AS query_id, id, rank, s FROM (SELECT *, {_RANKED} AS rank FROM ({_ONE})) WHERE rank <= 20) SELECT query_id, id, min(rank) AS rank, round(arg_min(s, rank), 6) AS score FROM (SELECT query_id, id, rank, max(s) AS s FROM k GROUP BY ALL) GROUP BY query_id, id")
+def rrf_dedupe(spark, sf_dir):
+    """Lists in which ids repeat: the first rank stands. Of two lists of a query that agree in rank, the better score."""
+    kw = keyword.top_k(_hits(spark, sf_dir, lambda w: w[0]), 20).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    best = kw.groupBy("query_id", "id", "rank").agg(F.max("score").alias("score"))
+    return fusion.first_ranks(best, "score").select("query_id", "id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+_DOC = r"""(CASE WHEN trim(regexp_replace(title, '\s+', ' ', 'g')) <> '' THEN 'title: ' || trim(regexp_replace(title, '\s+', ' ', 'g')) || chr(10) ELSE '' END || 'tags: ' || lang || ', ' || source ||
+ CASE WHEN trim(regexp_replace(description, '\s+', ' ', 'g')) <> '' THEN chr(10) || 'description: ' || substr(trim(regexp_replace(description, '\s+', ' ', 'g')), 1, 1200) ELSE '' END)"""
+
+
+@query(f"WITH {A.RESOURCES_SQL} SELECT id, sha256({_DOC}) AS content_hash, length({_DOC}) AS n FROM resources")
+def sem_documents(spark, sf_dir):
+    """The document that is embedded of each resource, by its hash."""
+    doc = T.semantic_document(F.col("title"), F.col("subtitle"), F.col("tags"), F.col("description"))
+    return A.resources(spark, sf_dir).select("id", doc.alias("d")).select("id", T.content_hash(F.col("d")).alias("content_hash"), F.length("d").cast("long").alias("n"))
+
+
+@query(f"WITH {A.RESOURCES_SQL} SELECT id, sha256({_DOC}) AS content_hash FROM resources WHERE status = 'active' AND resource_type = 'dataset' AND (id % 3 = 0 OR id % 2 = 1)")
+def sem_backfill_pending(spark, sf_dir):
+    """What has to be embedded: a third was never, half of the rest has changed."""
+    r = A.resources(spark, sf_dir)
+    doc = T.semantic_document(F.col("title"), F.col("subtitle"), F.col("tags"), F.col("description"))
+    stored = r.where("id % 3 > 0").select(F.col("id").alias("resource_id"), F.when(F.col("id") % 2 == 0, T.content_hash(doc)).otherwise("stale").alias("content_hash"))
+    return vectors.pending(r, stored).select("id", "content_hash")
+
+
+@query()
+def sem_backfill(spark, sf_dir):
+    """The table of embeddings after a backfill of active datasets."""
+    r = A.resources(spark, sf_dir)
+    empty = spark.createDataFrame([], "resource_id long, content_hash string, embedding array<float>, model_name string, model_revision string, embedding_dimension int")
+    out = vectors.backfill(r, empty, vectors.HashingBackend(64))
+    return out.select("resource_id", "content_hash", F.size("embedding").alias("dimension"), "model_name")
+
+
+@query("SELECT DISTINCT 'm' || CAST(label % 3 AS VARCHAR) AS model_name, '1' AS model_revision, 64 AS embedding_dimension FROM embeddings WHERE label % 3 <> 0")
+def model_guard(spark, sf_dir):
+    """Stored models other than the expected one."""
+    stored = A.vectors(spark, sf_dir).select(F.concat(F.lit("m"), F.col("label") % 3).alias("model_name"), F.lit("1").alias("model_revision"), F.size("embedding").alias("embedding_dimension"))
+    return vectors.other_models(stored, ("m0", "1", 64))
+
+
+# -- catalog sync ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {A.ROWS_SQL} SELECT event_id, ref FROM valid")
+def valid_records(spark, sf_dir):
+    """Rows that may become resources."""
+    return A.catalog_rows(spark, sf_dir).where(sync.valid_record()).select(F.col("seq.event_id").alias("event_id"), "ref")
+
+
+_TERMS = "[" + ", ".join(f"'{t}'" for t in sync.NEGATIVE_TERMS) + "]"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'DATA-SCIENCE: Cheat—Sheets' WHEN 1 THEN 'Jobless! courses/roadmap' WHEN 2 THEN split_part(text, chr(10), 1) || ' Interview  Question?' ELSE split_part(text, chr(10), 1) END AS title FROM documents),
+n AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), '\s+', ' ', 'g')) || ' ' AS p FROM t)
+SELECT doc_id, list_filter({_TERMS}, lambda x: contains(p, ' ' || x || ' '))[1] AS term FROM n WHERE len(list_filter({_TERMS}, lambda x: contains(p, ' ' || x || ' '))) > 0""")
+def negative_terms(spark, sf_dir):
+    """The first term that suppresses a title."""
+    d = A.table(spark, sf_dir, "documents")
+    first, k = F.substring_index("text", "\n", 1), F.col("doc_id") % 6
+    title = F.when(k == 0, "DATA-SCIENCE: Cheat—Sheets").when(k == 1, "Jobless! courses/roadmap").when(k == 2, F.concat(first, F.lit(" Interview  Question?"))).otherwise(first)
+    return d.select("doc_id", sync.negative_term(title, F.lit(None).cast("string")).alias("term")).where("term IS NOT NULL")
+
+
+@query(f"""WITH {A.ROWS_SQL} SELECT source, page, coalesce(bool_or(CASE WHEN starts_with(source, 'tag:') AND title <> '' AND NOT is_private THEN len(tags) > 0 AND (event_id % 3 = 0) END), true) AS page_valid FROM rows GROUP BY source, page""")
+def tag_page_valid(spark, sf_dir):
+    """Whether each page has its source's tag."""
+    return sync.tag_pages(A.catalog_rows(spark, sf_dir)).select("source", "page", "page_valid")
+
+
+_FIELDS = [("title", "string"), ("subtitle", "string"), ("author", "string"), ("last_updated", "timestamp_ntz"), ("current_version_number", "bigint")]
+_MERGED = "coalesce(nullif({o}.title, ''), {b}.title), coalesce(nullif({o}.subtitle, ''), {b}.subtitle), coalesce(nullif({o}.author, ''), {b}.author), coalesce({o}.last_updated, {b}.last_updated), coalesce({o}.current_version_number, {b}.current_version_number)"
+_FLAT = "record.title AS title, record.subtitle AS subtitle, record.author AS author, CAST(record.last_updated AS STRING) AS last_updated, record.current_version_number AS current_version_number"
+
+
+def _sql_fold() -> str:
+    names = ["title", "subtitle", "author", "last_updated", "current_version_number"]
+    older = "coalesce(o.last_updated < f.last_updated, false)"
+    pick = []
+    for n in names:
+        left, right = (f"nullif(f.{n}, '')", f"nullif(o.{n}, '')") if n in names[:3] else (f"f.{n}", f"o.{n}")
+        pick.append(f"CASE WHEN {older} THEN coalesce({left}, o.{n}) ELSE coalesce({right}, f.{n}) END AS {n}")
+    return f"""WITH RECURSIVE {A.ROWS_SQL},
+o AS (SELECT ref, {', '.join(names)}, row_number() OVER (PARTITION BY ref ORDER BY value, event_id) AS i FROM valid),
+f AS (SELECT ref, {', '.join(names)}, i FROM o WHERE i = 1 UNION ALL SELECT o.ref, {', '.join(pick)}, o.i FROM f JOIN o ON o.ref = f.ref AND o.i = f.i + 1)
+SELECT ref, title, subtitle, author, CAST(last_updated AS VARCHAR) AS last_updated, current_version_number FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY i DESC) AS r FROM f) WHERE r = 1"""
+
+
+@query(_sql_fold())
+def prefer_fresher(spark, sf_dir):
+    """All arrivals of each ref merged in order."""
+    rows = A.catalog_rows(spark, sf_dir).where(sync.valid_record())
+    return sync.fold(rows, "ref", "seq", _FIELDS).selectExpr("ref", *_FLAT.split(", "))
+
+
+@query(f"""WITH {A.ROWS_SQL}, a AS (SELECT ref, title, subtitle, author, last_updated, current_version_number, event_id FROM rows), p AS (SELECT b.event_id, b.ref, coalesce(nullif(o.title, ''), b.title) AS title, coalesce(nullif(o.subtitle, ''), b.subtitle) AS subtitle, coalesce(nullif(o.author, ''), b.author) AS author, coalesce(o.current_version_number, b.current_version_number) AS version
+FROM a b JOIN a o ON o.event_id = b.event_id + 1) SELECT * FROM p""")
+def merge_non_empty(spark, sf_dir):
+    """Each row with the next one's fields that are not empty."""
+    rows = A.catalog_rows(spark, sf_dir).withColumn("event_id", F.col("seq.event_id"))
+    fields = [f for f in _FIELDS if f[0] != "last_updated"]
+    s = F.struct(*[F.col(n) for n, _ in fields])
+    base, over = rows.select("event_id", "ref", s.alias("b")), rows.select((F.col("event_id") - 1).alias("event_id"), s.alias("o"))
+    m = base.join(over, "event_id").select("event_id", "ref", sync.merge_fields(F.col("b"), F.col("o"), fields).alias("m"))
+    return m.select("event_id", "ref", "m.title", "m.subtitle", "m.author", F.col("m.current_version_number").alias("version"))
+
+
+_STATES = "states AS (SELECT 'u' || user_id AS ref, max(ts) AS last_updated, CAST(max(json_extract_string(props, '$.k')::BIGINT) AS BIGINT) AS version, user_id % 7 = 0 AS pending FROM events WHERE user_id % 5 > 0 AND event_id % 13 > 0 GROUP BY user_id)"
+
+
+def _states(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").where("user_id % 5 > 0 AND event_id % 13 > 0")
+    return e.groupBy("user_id").agg(F.max("ts").alias("last_updated"), F.max(F.get_json_object("props", "$.k").cast("long")).alias("current_version_number")).select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("ref"), "last_updated", "current_version_number", (F.col("user_id") % 7 == 0).alias("detail_pending")
+    )
+
+
+@query(f"""WITH {A.ROWS_SQL}, {_STATES} SELECT event_id, s.ref IS NULL OR pending OR r.last_updated IS DISTINCT FROM s.last_updated OR current_version_number IS DISTINCT FROM version AS requested,
+s.ref IS NULL OR r.last_updated IS DISTINCT FROM s.last_updated OR current_version_number IS DISTINCT FROM version AS changed FROM valid r LEFT JOIN states s ON s.ref = r.ref""")
+def version_diff(spark, sf_dir):
+    """Which rows need their detail, and which count as changed."""
+    rows = A.catalog_rows(spark, sf_dir).where(sync.valid_record())
+    joined = rows.alias("r").join(_states(spark, sf_dir).alias("s"), F.col("r.ref") == F.col("s.ref"), "left")
+    return joined.select(F.col("r.seq.event_id").alias("event_id"), sync.changed().alias("requested"), sync.changed(mind_pending=False).alias("changed"))
+
+
+@query(f"WITH {A.ROWS_SQL} SELECT ref, string_agg(DISTINCT source, '|' ORDER BY source) AS hit_sources FROM valid WHERE NOT (source = 'query:data science' AND contains(title, 'Cheat')) GROUP BY ref")
+def hit_sources(spark, sf_dir):
+    """Where each ref was found; a suppressed hit counts for its source only."""
+    rows = A.catalog_rows(spark, sf_dir).where(sync.valid_record())
+    kept = rows.where(~((F.col("source") == sync.FILTERED_SOURCE) & sync.negative_term(F.col("title"), F.col("subtitle")).isNotNull()))
+    return kept.groupBy("ref").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("hit_sources"))
+
+
+def _facts(spark, sf_dir):
+    rows = A.catalog_rows(spark, sf_dir)
+    rows = rows.withColumns({"valid": sync.valid_record(), "suppressed": (F.col("source") == sync.FILTERED_SOURCE) & sync.negative_term(F.col("title"), F.col("subtitle")).isNotNull()})
+    # the last pages first, so that a pass meets what it knows
+    marks = rows.groupBy("source", "sort").agg(F.max("last_updated").alias("watermark"))
+    known = A.table(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.concat(F.lit("u"), F.col("user_id")).alias("ref")).distinct()
+    states = known.select("ref", F.lit(None).cast("timestamp_ntz").alias("last_updated"), F.lit(None).cast("long").alias("current_version_number"), F.lit(False).alias("detail_pending"))
+    return sync.page_facts(rows, states, marks)
+
+
+@query(f"""WITH {A.ROWS_SQL}, r AS (SELECT *, title <> '' AND NOT is_private AS v, source = 'query:data science' AND contains(title, 'Cheat') AS x FROM rows)
+SELECT source, page, count(*) AS raw_count, CAST(count_if(v) AS BIGINT) AS valid_count, CAST(count_if(v AND NOT x) AS BIGINT) AS accepted_count, CAST(count_if(v AND x) AS BIGINT) AS filtered_count, CAST(max(CASE WHEN v THEN last_updated END) AS VARCHAR) AS newest FROM r GROUP BY source, page""")
+def page_counters(spark, sf_dir):
+    """What each page brought."""
+    return _facts(spark, sf_dir).select("source", "page", "raw_count", "valid_count", "accepted_count", "filtered_count", F.col("newest").cast("string").alias("newest"))
+
+
+_PAGES = "pages_ AS (SELECT CAST(user_id % 10 AS BIGINT) AS pass, CAST(event_id // 10 + 1 AS BIGINT) AS page, count(*) AS raw_count, max(ts) AS newest, avg(value) < 60 AS stale FROM events GROUP BY ALL)"
+
+
+@query(f"""WITH {_PAGES}, s AS (SELECT *, stale AND coalesce(lag(stale) OVER w, false) AS twice, max(newest) OVER (PARTITION BY pass ORDER BY page ROWS UNBOUNDED PRECEDING) AS observed FROM pages_ WINDOW w AS (PARTITION BY pass ORDER BY page)),
+f AS (SELECT *, CASE WHEN raw_count < 1 THEN 'short_page' WHEN twice THEN 'two_stale_pages' END AS stop_reason FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY pass ORDER BY page) AS k FROM f WHERE stop_reason IS NOT NULL)
+SELECT CAST(pass AS VARCHAR) AS source, page AS last_page, stop_reason, 'complete' AS status, CAST(observed AS VARCHAR) AS watermark FROM r WHERE k = 1""")
+def stale_stop(spark, sf_dir):
+    """The page at which each pass stops."""
+    e = A.table(spark, sf_dir, "events")
+    facts = e.groupBy((F.col("user_id") % 10).alias("source"), (F.floor(F.col("event_id") / 10) + 1).alias("page")).agg(F.count(F.lit(1)).alias("raw_count"), F.max("ts").alias("newest"), (F.avg("value") < 60).alias("stale"))
+    facts = facts.select(F.col("source").cast("string").alias("source"), F.lit("updated").alias("sort"), "page", "raw_count", "newest", "stale", F.lit(None).cast("timestamp_ntz").alias("prior"))
+    out = sync.stop_pages(facts, "incremental", page_size=1)
+    return out.select("source", "last_page", "stop_reason", "status", F.col("watermark").cast("string").alias("watermark"))
+
+
+@query(f"""WITH {_PAGES} SELECT CAST(pass AS VARCHAR) AS source, 20 AS last_page, 'configured_page_limit' AS stop_reason, 'partial' AS status FROM pages_ GROUP BY pass HAVING count(*) FILTER (WHERE page = 20) > 0""")
+def bootstrap_limit(spark, sf_dir):
+    """A first run stops at the page limit, and its watermark counts for no later run."""
+    e = A.table(spark, sf_dir, "events")
+    facts = e.groupBy((F.col("user_id") % 10).alias("source"), (F.floor(F.col("event_id") / 10) + 1).alias("page")).agg(F.count(F.lit(1)).alias("raw_count"), F.max("ts").alias("newest"))
+    facts = facts.select(F.col("source").cast("string").alias("source"), F.lit("votes").alias("sort"), "page", "raw_count", "newest", F.lit(False).alias("stale"), F.lit(None).cast("timestamp_ntz").alias("prior"))
+    out = sync.stop_pages(facts, "bootstrap", page_limit=20, page_size=1).where("last_page = 20")
+    return out.select("source", F.col("last_page").cast("int").alias("last_page"), "stop_reason", "status")
+
+
+_CHECKPOINTS = "c AS (SELECT event_type AS source, CASE WHEN event_id % 2 = 0 THEN 'votes' ELSE 'updated' END AS sort, CASE event_id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' ELSE 'running' END AS status, ts AS watermark, event_id FROM events)"
+
+
+def _checkpoints(spark, sf_dir):
+    i = F.col("event_id")
+    status = F.when(i % 3 == 0, "complete").when(i % 3 == 1, "partial").otherwise("running")
+    return A.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.when(i % 2 == 0, "votes").otherwise("updated").alias("sort"), status.alias("status"), F.col("ts").alias("watermark"), "event_id")
+
+
+@query(f"WITH {_CHECKPOINTS} SELECT source, sort, CAST(max(watermark) AS VARCHAR) AS watermark FROM c WHERE status = 'complete' GROUP BY source, sort")
+def pass_watermark(spark, sf_dir):
+    """The watermark of each pass, from complete runs only."""
+    return sync.latest_watermarks(_checkpoints(spark, sf_dir)).select("source", "sort", F.col("watermark").cast("string").alias("watermark"))
+
+
+@query(f"""WITH {_CHECKPOINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY source, sort ORDER BY event_id DESC) AS k FROM c), t AS (SELECT event_type AS source, 'old' AS sort, 'complete' AS status, max(ts) AS watermark FROM events GROUP BY event_type)
+SELECT source, sort, status, CAST(watermark AS VARCHAR) AS watermark FROM r WHERE k = 1 UNION ALL SELECT source, sort, status, CAST(watermark AS VARCHAR) FROM t""")
+def checkpoint_upsert(spark, sf_dir):
+    """The table of checkpoints after all updates: the last of each key, and keys without an update as they were."""
+    e = _checkpoints(spark, sf_dir)
+    target = e.groupBy("source").agg(F.max("watermark").alias("watermark")).select("source", F.lit("old").alias("sort"), F.lit("complete").alias("status"), "watermark")
+    return sync.upsert_last(target, e, ["source", "sort"], "event_id").select("source", "sort", "status", F.col("watermark").cast("string").alias("watermark"))
+
+
+@query("""WITH t AS (SELECT doc_id, 'cat' AS source, CAST(doc_id AS VARCHAR) AS source_id, source AS title, 'deleted' AS status FROM documents WHERE doc_id % 2 = 0), u AS (SELECT doc_id, 'cat' AS source, CAST(doc_id AS VARCHAR) AS source_id, lang AS title FROM documents WHERE doc_id % 3 = 0)
+SELECT coalesce(t.source_id, u.source_id) AS source_id, CASE WHEN u.doc_id IS NULL THEN t.title ELSE u.title END AS title, CASE WHEN u.doc_id IS NULL THEN 'deleted' ELSE 'active' END AS status, t.doc_id IS NOT NULL AS kept_id, 'dataset' AS resource_type,
+CASE WHEN t.doc_id IS NULL THEN 'now' ELSE 'then' END AS indexed_at, CASE WHEN u.doc_id IS NULL THEN 'then' ELSE 'now' END AS last_synced_at FROM t FULL JOIN u ON t.source_id = u.source_id""")
+def resource_upsert(spark, sf_dir):
+    """Resources after an update: overwritten, added, or left alone."""
+    d = A.table(spark, sf_dir, "documents")
+    key = F.col("doc_id").cast("string").alias("source_id")
+    then, now = F.lit("then"), F.lit("now")
+    target = d.where("doc_id % 2 = 0").select(F.concat(F.lit("id"), F.col("doc_id")).alias("id"), F.lit("cat").alias("source"), key, F.lit("dataset").alias("resource_type"), F.col("source").alias("title"), F.lit("deleted").alias("status"), then.alias("indexed_at"), then.alias("last_synced_at"))
+    updates = d.where("doc_id % 3 = 0").select(F.lit("cat").alias("source"), key, F.col("lang").alias("title"))
+    out = sync.upsert_resources(target, updates, now)
+    return out.select("source_id", "title", "status", F.col("id").startswith("id").alias("kept_id"), "resource_type", "indexed_at", "last_synced_at")
+
+
+@query(f"WITH {A.ROWS_SQL}, f AS (SELECT ref, min(event_id) AS first FROM valid WHERE source = 'tag:nlp' GROUP BY ref) SELECT ref, first FROM f ORDER BY first LIMIT 40")
+def discover_refs(spark, sf_dir):
+    """A sample of one source: the first distinct refs."""
+    rows = A.catalog_rows(spark, sf_dir).where(sync.valid_record() & (F.col("source") == "tag:nlp"))
+    return rows.groupBy("ref").agg(F.min("seq.event_id").alias("first")).orderBy("first").limit(40)
+
+
+@query()
+def plan_sync_candidates(spark, sf_dir):
+    """What a whole incremental run would write: the merged record of each candidate, and where it was found."""
+    rows = A.catalog_rows(spark, sf_dir)
+    none = spark.createDataFrame([], "source string, sort string, status string, watermark timestamp_ntz")
+    found, _ = sync.plan_sync(rows, _states(spark, sf_dir), none, "incremental", _FIELDS)
+    return found.selectExpr("ref", "record.title AS title", "record.current_version_number AS version", "array_join(hit_sources, '|') AS hit_sources")
+
+
+# -- statistics and evaluation --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {A.SAMPLES_SQL} SELECT method, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM samples GROUP BY method")
+def latency_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles."""
+    return A.samples(spark, sf_dir).groupBy("method").agg(stats.nearest_rank("latency_ms", 0.5).cast("long").alias("p50"), stats.nearest_rank("latency_ms", 0.95).cast("long").alias("p95"))
+
+
+_STATS = f"""WITH {A.SAMPLES_SQL}, st AS (SELECT method, count(*) AS requested, CAST(count_if(status = 'ok') AS BIGINT) AS succeeded, CAST(count_if(status <> 'ok') AS BIGINT) AS failed, quantile_disc(latency_ms, 0.5) AS latency_p50, quantile_disc(latency_ms, 0.95) AS latency_p95,
+round(count_if(status = 'ok') / 60.0::DOUBLE, 3) AS throughput, round(CAST(sum(CASE WHEN status = 'ok' THEN 13 - event_id % 4 END) AS DOUBLE) / (count_if(status = 'ok') * 13), 4) AS completeness FROM samples GROUP BY method)"""
+
+
+@query(f"{_STATS} SELECT * FROM st")
+def method_stats(spark, sf_dir):
+    """Counts, latency, throughput and completeness of each method."""
+    return stats.method_stats(A.samples(spark, sf_dir))
+
+
+@query(f"{_STATS} SELECT method, throughput, completeness FROM st WHERE failed = 0 AND completeness >= 0.8 ORDER BY throughput DESC, completeness DESC, method LIMIT 1")
+def recommend_method(spark, sf_dir):
+    """The fastest method without failures that is complete enough."""
+    return stats.recommended(stats.method_stats(A.samples(spark, sf_dir))).select("method", "throughput", "completeness")
+
+
+@query(f"""WITH {A.JUDGED_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY rank, resource_id) AS place FROM judged WHERE relevance_label IS NOT NULL),
+m AS (SELECT method, count(DISTINCT query_id) AS labelled_queries, CAST(count_if(place = 1 AND relevance_label = 'Relevant') AS BIGINT) AS top_1_relevant, CAST(count_if(relevance_label = 'Relevant') AS BIGINT) AS top_5_relevant, CAST(count_if(relevance_label <> 'Irrelevant') AS BIGINT) AS top_5_relevant_or_partial, CAST(count_if(relevance_label = 'Irrelevant') AS BIGINT) AS top_5_irrelevant FROM t WHERE place <= 5 GROUP BY method)
+SELECT *, round(top_1_relevant / labelled_queries, 6) AS top_1_relevant_rate FROM m""")
+def eval_metrics(spark, sf_dir):
+    """Relevance of each method's five best judged results."""
+    return evaluation.method_metrics(A.judged(spark, sf_dir))
+
+
+@query(f"""WITH {A.JUDGED_SQL}, p AS (SELECT query_id, resource_id, bool_or(method = 'keyword') AS k, bool_or(method = 'semantic') AS s, bool_or(method = 'hybrid') AS h, any_value(relevance_label) AS l FROM judged WHERE relevance_label IS NOT NULL GROUP BY query_id, resource_id)
+SELECT CAST(count_if(k AND s) AS BIGINT) AS keyword_semantic, CAST(count_if(k AND h) AS BIGINT) AS keyword_hybrid, CAST(count_if(s AND h) AS BIGINT) AS semantic_hybrid, CAST(count_if(s AND NOT k AND h AND l = 'Relevant') AS BIGINT) AS semantic_only_relevant, CAST(count_if(k AND NOT s AND h AND l = 'Relevant') AS BIGINT) AS keyword_only_relevant FROM p""")
+def eval_overlap(spark, sf_dir):
+    """How far the methods' results overlap."""
+    return evaluation.overlaps(A.judged(spark, sf_dir))
+
+
+@query(f"""WITH {A.JUDGED_SQL} SELECT n.query_id, n.method, n.resource_id, CASE WHEN n.resource_id % 2 = 0 THEN j.relevance_label END AS relevance_label, '' AS notes FROM judged n JOIN judged j USING (query_id, method, resource_id)""")
+def eval_label_carry(spark, sf_dir):
+    """New rows with the labels of old ones."""
+    rows = A.judged(spark, sf_dir)
+    old = rows.where("resource_id % 2 = 0").withColumn("notes", F.lit(None).cast("string"))
+    return evaluation.carry_labels(rows.select("query_id", "method", "resource_id"), old).select("query_id", "method", "resource_id", "relevance_label", "notes")
+
+
+@query(f"WITH {A.JUDGED_SQL} SELECT query_id, method, resource_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY rank, resource_id) AS place FROM judged) WHERE place <= 5")
+def eval_top5(spark, sf_dir):
+    """The five best of each query and method."""
+    order = Window.partitionBy("query_id", "method").orderBy("rank", "resource_id")
+    return A.judged(spark, sf_dir).withColumn("place", F.row_number().over(order).cast("long")).where("place <= 5").select("query_id", "method", "resource_id", "place")
+
+
+@query("SELECT lang AS category, count(*) AS n, count(DISTINCT doc_id) AS distinct_ids FROM documents GROUP BY lang")
+def fixture_histogram(spark, sf_dir):
+    """Queries by category."""
+    return A.table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("distinct_ids"))
+
+
+# -- files and profiles ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {A.FILES_SQL} SELECT ref, count(*) AS n, string_agg(DISTINCT format, '|' ORDER BY format) AS formats, bool_or(contains(path, '/')) AS has_directory, CAST(count_if(format = 'unknown') AS BIGINT) AS unknown FROM files GROUP BY ref")
+def file_formats(spark, sf_dir):
+    """A summary of each ref's files."""
+    f = A.file_list(spark, sf_dir).withColumn("format", T.file_format(F.col("path")))
+    return f.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("format")), "|").alias("formats"), F.bool_or(F.contains("path", F.lit("/"))).alias("has_directory"), F.count_if(F.col("format") == "unknown").alias("unknown"))
+
+
+@query(f"""WITH {A.FILES_SQL}, b AS (SELECT *, format IN ('csv', 'tsv', 'arff', 'xlsx', 'sqlite', 'parquet') AS ok FROM files),
+w AS (SELECT *, coalesce(sum(CAST(ok AS INTEGER)) OVER o, 0) AS n, coalesce(sum(CASE WHEN ok THEN least(size, 1500000) END) OVER o, 0) AS bytes FROM b WINDOW o AS (PARTITION BY ref ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT ref, position, CASE WHEN format = 'archive' THEN 'archive' WHEN NOT ok THEN 'unsupported_format' WHEN n >= 10 OR bytes >= 5000000 THEN 'budget_exceeded' END AS reason FROM w""")
+def attempt_budget(spark, sf_dir):
+    """Which files are attempted, and why others are not."""
+    return inspection.planned(A.file_list(spark, sf_dir)).select("ref", "position", "reason")
+
+
+@query(f"""WITH s AS (SELECT page_id // 5 AS file, CASE page_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'completed' END AS status, CASE page_id % 4 WHEN 0 THEN 'inspection_error' WHEN 1 THEN CASE WHEN page_id % 3 = 0 THEN 'timeout' ELSE 'no_schema' END END AS reason FROM pages WHERE page_id % 7 > 1),
+g AS (SELECT file, bool_and(status = 'completed') AS every_, bool_or(status = 'completed') AS some_, bool_or(status = 'failed') AS bad, arg_min(reason, CASE reason WHEN 'timeout' THEN 0 WHEN 'budget_exceeded' THEN 1 WHEN 'inspection_error' THEN 2 ELSE 3 END) AS reason FROM s GROUP BY file)
+SELECT file, CASE WHEN every_ THEN 'completed' WHEN some_ THEN 'partial' WHEN bad THEN 'failed' ELSE 'skipped' END AS status, CASE WHEN NOT every_ THEN reason END AS reason FROM g""")
+def status_fold(spark, sf_dir):
+    """A file's status from those of its parts."""
+    i = F.col("page_id")
+    status = F.when(i % 4 == 0, "failed").when(i % 4 == 1, "skipped").otherwise("completed")
+    reason = F.when(i % 4 == 0, "inspection_error").when(i % 4 == 1, F.when(i % 3 == 0, "timeout").otherwise("no_schema"))
+    s = A.table(spark, sf_dir, "pages").where("page_id % 7 > 1").select(F.floor(i / 5).alias("file"), status.alias("status"), reason.alias("reason"))
+    order = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in inspection.REASONS]), F.col("reason")), F.lit(9))
+    every, some, bad = F.bool_and(F.col("status") == "completed"), F.bool_or(F.col("status") == "completed"), F.bool_or(F.col("status") == "failed")
+    g = s.groupBy("file").agg(every.alias("e"), some.alias("s"), bad.alias("b"), F.min_by("reason", F.when(F.col("reason").isNotNull(), order)).alias("r"))
+    return g.select("file", F.when(F.col("e"), "completed").when(F.col("s"), "partial").when(F.col("b"), "failed").otherwise("skipped").alias("status"), F.when(~F.col("e"), F.col("r")).alias("reason"))
+
+
+@query()
+def schema_inspect(spark, sf_dir):
+    """The schema of each ref's files, as far as their bytes tell it."""
+    out = inspection.inspected(A.file_list(spark, sf_dir))
+    return out.select("ref", "position", "path", "format", "status", "reason", F.size("fields").alias("n_fields"), F.array_join(F.transform("fields", lambda f: f["name"]), "|").alias("names"))
+
+
+@query()
+def render_profile(spark, sf_dir):
+    """A Markdown profile of each ref."""
+    files = A.file_list(spark, sf_dir)
+    refs = files.groupBy("ref").agg(F.count(F.lit(1)).alias("downloads")).select(F.col("ref").alias("source_id"), F.concat(F.lit("Set "), F.col("ref")).alias("title"), F.concat(F.lit("https://catalog.example/"), F.col("ref")).alias("url"), F.lit("# A\n\nB\n---\n").alias("description"), "downloads")
+    return profile.profiles(refs, inspection.inspected(files), "Catalog")
+
+
+def _demoted(texts: pd.Series) -> pd.Series:
+    return texts.map(profile.demoted)
+
+
+@query()
+def heading_demote(spark, sf_dir):
+    """Documents with their headings moved down."""
+    demote = F.pandas_udf(_demoted, "string")
+    d = A.table(spark, sf_dir, "documents")
+    return d.select("doc_id", demote(F.concat(F.lit("# Title\n"), F.col("text"))).alias("markdown"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(r"SELECT doc_id, replace(replace(replace(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END, '\', '\\'), '|', '\|'), chr(10), '↵') AS cell FROM documents")
+def display_cell(spark, sf_dir):
+    """Texts as cells of a table."""
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.display(F.col("text"), 200).alias("cell"))
