@@ -66,7 +66,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     own = [c for c in docs.columns if c not in added]
-    keyed = docs.select(*own).withColumn("_text", F.xxhash64("text", F.length("text")))
+    keyed = docs.select(*own).withColumn("__text", F.xxhash64("text", F.length("text")))
 
     windows = materialize(windows_of(items))
     sizes = [r[0] for r in windows.select(F.least("length", F.lit(SHINGLE)).alias("s")).distinct().collect()]  # of 1, 2, 3
@@ -85,8 +85,8 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = small(necessary.select("size", "key").distinct())
     found = None
     for s in sizes:
-        cut = keyed.select("doc_id", "_text", counted_shingles(s).alias("_cut"))
-        one = cut.select("doc_id", "_text", F.col("_cut.n").alias("n"), F.posexplode("_cut.keys").alias("pos", "key")).withColumn("size", F.lit(s))
+        cut = keyed.select("doc_id", "__text", counted_shingles(s).alias("__cut"))
+        one = cut.select("doc_id", "__text", F.col("__cut.n").alias("n"), F.posexplode("__cut.keys").alias("pos", "key")).withColumn("size", F.lit(s))
         found = one if found is None else found.unionByName(one)
     found = materialize(found.join(wanted, ["size", "key"]))
 
@@ -99,36 +99,36 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     # positional and length bounds, then the candidates of each document together
     start = F.col("pos") - F.col("place")
     candidates = found.join(small(prefix), ["size", "key"]).where((start >= 0) & (start + F.col("length") <= F.col("n")))
-    per_doc = candidates.groupBy("doc_id", "_text").agg(F.collect_set(F.struct(start.alias("start"), "length", "window", "items")).alias("_candidates"))
+    per_doc = candidates.groupBy("doc_id", "__text").agg(F.collect_set(F.struct(start.alias("start"), "length", "window", "items")).alias("__candidates"))
 
     # verification against the words themselves
     # struct order: by start, then length
-    same_doc = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d._text").eqNullSafe(F.col("c._text"))
-    joined = keyed.alias("d").join(per_doc.alias("c"), same_doc, "left").select("d.*", "c._candidates")
+    same_doc = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.__text").eqNullSafe(F.col("c.__text"))
+    joined = keyed.alias("d").join(per_doc.alias("c"), same_doc, "left").select("d.*", "c.__candidates")
     exact = let(
         words_of(F.col("text")),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.when(F.col("_candidates").isNotNull(), F.array_sort(F.filter("_candidates", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ") == c["window"]))).alias("hits"),
+            F.when(F.col("__candidates").isNotNull(), F.array_sort(F.filter("__candidates", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ") == c["window"]))).alias("hits"),
         ),
     )
-    checked = joined.withColumn("_exact", exact).withColumns({"n_words": F.col("_exact.n_words"), "_hits": F.col("_exact.hits")}).drop("_exact", "_candidates")
+    checked = joined.withColumn("__exact", exact).withColumns({"n_words": F.col("__exact.n_words"), "__hits": F.col("__exact.hits")}).drop("__exact", "__candidates")
     state = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
 
     def cover(held: Column, hit: Column) -> Column:
         end = hit["start"] + hit["length"]
         return F.struct(F.greatest(held["end"], end).alias("end"), (held["n"] + F.greatest(F.lit(0), end - F.greatest(held["end"], hit["start"]))).alias("n"))
 
-    covered = F.coalesce(F.aggregate("_hits", state, cover)["n"], F.lit(0)).cast("long")
-    ids = F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"])))
+    covered = F.coalesce(F.aggregate("__hits", state, cover)["n"], F.lit(0)).cast("long")
+    ids = F.array_distinct(F.flatten(F.transform("__hits", lambda h: h["items"])))
     ids = F.array_sort(F.transform(F.coalesce(ids, F.array().cast("array<bigint>")), lambda x: x.cast("string")))
-    out = checked.withColumns({"n_hit": covered, "_ids": ids})
+    out = checked.withColumns({"n_hit": covered, "__ids": ids})
     return out.select(
         *own,
         "n_words",
         "n_hit",
-        F.size("_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_ids", ","), 256).alias("items_sha256"),
+        F.size("__ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (HIT_FACTOR * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 

@@ -46,7 +46,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with the base counts and what the rules look at, under names that start with q_."""
+    """docs with the base counts and what the rules look at, under names that start with __q_."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     words = words_of(F.col("text"))
@@ -54,11 +54,11 @@ def features(docs: DataFrame) -> DataFrame:
     listed = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     return docs.withColumns(
         {
-            "q_words": counted,
-            "q_lines": listed,
-            "q_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-            "q_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
-            "q_shouts": F.regexp_count(text, F.lit("!")).cast("long"),
+            "__q_words": counted,
+            "__q_lines": listed,
+            "__q_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+            "__q_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
+            "__q_shouts": F.regexp_count(text, F.lit("!")).cast("long"),
         }
     )
 
@@ -78,13 +78,13 @@ def _share(part: str, whole: str) -> Callable[[], Column]:
 
 
 RULES = (
-    Rule("symbols", _share("q_symbols", "q_words.n_words"), 0.05, 0.2),
-    Rule("symbol_share", _share("q_symbols", "q_words.word_chars"), 0.01, 0.03),
-    Rule("upper_case", _share("q_upper", "q_words.word_chars"), 0.1, 0.3),
-    Rule("shouting", _share("q_shouts", "q_words.n_words"), 0.05, 0.2),
-    Rule("repeated_words", _share("q_words.n_repeat_words", "q_words.n_words"), 0.05, 0.2),
-    Rule("repeated_lines", _share("q_lines.n_dup_lines", "q_lines.n_lines"), 0.1, 0.4),
-    Rule("word_length", lambda: F.abs(F.col("q_words.word_chars") / F.greatest(F.col("q_words.n_words"), F.lit(1)) - 5.5), 2.5, 5.0),
+    Rule("symbols", _share("__q_symbols", "__q_words.n_words"), 0.05, 0.2),
+    Rule("symbol_share", _share("__q_symbols", "__q_words.word_chars"), 0.01, 0.03),
+    Rule("upper_case", _share("__q_upper", "__q_words.word_chars"), 0.1, 0.3),
+    Rule("shouting", _share("__q_shouts", "__q_words.n_words"), 0.05, 0.2),
+    Rule("repeated_words", _share("__q_words.n_repeat_words", "__q_words.n_words"), 0.05, 0.2),
+    Rule("repeated_lines", _share("__q_lines.n_dup_lines", "__q_lines.n_lines"), 0.1, 0.4),
+    Rule("word_length", lambda: F.abs(F.col("__q_words.word_chars") / F.greatest(F.col("__q_words.n_words"), F.lit(1)) - 5.5), 2.5, 5.0),
 )
 
 
@@ -108,8 +108,8 @@ class Model:
 
 
 def fit(patterns: DataFrame, n_rules: int, rounds: int = 25, tolerance: float = 1e-5) -> Model:
-    """patterns: v0, v1, ... and n, the documents with these votes. Starts from: any bad vote makes a document suspect."""
-    votes = [F.col(f"v{i}") for i in range(n_rules)]
+    """patterns: __v0, __v1, ... and n, the documents with these votes. Starts from: any bad vote makes a document suspect."""
+    votes = [F.col(f"__v{i}") for i in range(n_rules)]
     anyone = votes[0] < 0
     for v in votes[1:]:
         anyone = anyone | (v < 0)
@@ -141,16 +141,16 @@ def judged(docs: DataFrame, threshold: float = 0.5, keep_text: bool = True) -> D
     table gives no rows. The counts are written once to the shared folder: they feed both the estimate and the verdicts.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
-    own = [c for c in docs.columns if c not in added and not c.startswith("q_")]
+    own = [c for c in docs.columns if c not in added and not c.startswith("__")]
     kept = [c for c in own if keep_text or c != "text"]
     base = features(docs.select(*own))
-    voted = base.withColumns({f"v{i}": vote(r).cast("tinyint") for i, r in enumerate(RULES)})
+    voted = base.withColumns({f"__v{i}": vote(r).cast("tinyint") for i, r in enumerate(RULES)})
     stored = materialize(
-        voted.select(*kept, "q_words.*", "q_lines.n_dup_lines", F.col("q_symbols").alias("n_symbols"), *[f"v{i}" for i in range(len(RULES))])
+        voted.select(*kept, "__q_words.*", "__q_lines.n_dup_lines", F.col("__q_symbols").alias("n_symbols"), *[f"__v{i}" for i in range(len(RULES))])
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # what fails the base is decided; the model is of the rest
-    names = [f"v{i}" for i in range(len(RULES))]
+    names = [f"__v{i}" for i in range(len(RULES))]
     patterns = materialize(stored.where(~failed).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")))
     model = fit(patterns, len(RULES))
     posterior = F.round(model.posterior([F.col(c) for c in names]), 6)

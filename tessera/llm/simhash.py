@@ -293,8 +293,8 @@ def representatives(docs: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
     # a component's row is looked for only among the rows of its smallest doc_id
     chosen = named.where(F.col("least").eqNullSafe(F.col("component_id")))
     first = prints.join(chosen, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = materialize(first.groupBy("component_id").agg(F.min(F.struct("fp", "own")).alias("f")).select(F.col("component_id").alias("_id"), F.col("f.own").alias("_own")))
-    kept = docs.withColumn("_key", F.xxhash64("text", F.length("text"))).join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")), "left_semi").drop("_key")
+    one = materialize(first.groupBy("component_id").agg(F.min(F.struct("fp", "own")).alias("f")).select(F.col("component_id").alias("__id"), F.col("f.own").alias("__own")))
+    kept = docs.withColumn("__key", F.xxhash64("text", F.length("text"))).join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__own")), "left_semi").drop("__key")
     # rows that are equal in id and text are one document; they are looked for only if there are any
     if kept.select("doc_id").count() > one.count():
         kept = kept.dropDuplicates(["doc_id", "text"])
