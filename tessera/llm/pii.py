@@ -301,7 +301,8 @@ def entities(docs: DataFrame, key: bytes) -> DataFrame:
 def collisions(found: DataFrame) -> DataFrame:
     """Of entities(): kinds and surrogates that stand for several entities, or entities with several surrogates; none
     if distinctness and coreference hold. Entities that differ only in how they are divided or in case are one."""
-    plain = lambda c: F.lower(F.regexp_replace(c, r"[\s().-]", ""))
+    divided = F.col("kind").isin("phone", "card", "iban")
+    plain = lambda c: F.lower(F.when(divided, F.regexp_replace(c, r"[\s().-]", "")).otherwise(F.col(c)))
     pairs = found.select("kind", plain("entity").alias("entity"), plain("surrogate").alias("surrogate")).distinct()
     shared = pairs.groupBy("kind", "surrogate").count().where("count > 1").select("kind", F.col("surrogate").alias("of"), F.lit("surrogate").alias("what"))
     split = pairs.groupBy("kind", "entity").count().where("count > 1").select("kind", F.col("entity").alias("of"), F.lit("entity").alias("what"))
