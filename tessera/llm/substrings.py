@@ -44,8 +44,10 @@ def _grow(n: int) -> None:
     if len(_powers) <= n:
         size = 1 << (n + 1).bit_length()
         with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[1], np.full(size, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            _inverse = np.cumprod(np.concatenate([[1], np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            factors = np.full((2, size + 1), _BASE, np.uint64)  # whole numbers throughout: a float would lose the low bits
+            factors[1] = pow(_BASE, -1, 1 << 64)
+            factors[:, 0] = 1
+            _powers, _inverse = np.cumprod(factors, axis=1, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
