@@ -170,7 +170,7 @@ def signatures(vectors: DataFrame, dimension: int, bits: int = 10, tables: int =
     return vectors.withColumn("b", F.explode(F.array(*buckets))).select("*", "b.table", "b.bucket").drop("b")
 
 
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, bits: int = 4, tables: int = 12) -> DataFrame:
+def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, bits: int = 4, tables: int = 24) -> DataFrame:
     """Like semantic_top_k over those vectors only that share a bucket with the query; the scores are exact."""
     left = signatures(vectors, dimension, bits, tables)
     right = signatures(queries, dimension, bits, tables, column="vector").select("query_id", "vector", "table", "bucket")
