@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialize
+from tessera.llm.common import ascii_lower, let, materialize
 
 #: Fixed values of the contract.
 WINDOW, HIT_FACTOR = 13, 20
@@ -27,11 +27,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def let(value: Column, body) -> Column:
-    """body over value, which is evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def shingles(words: Column, size: int) -> Column:
     """The key of every shingle, in order: place k holds the words k to k + size - 1."""
     none = F.array().cast("array<bigint>")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, materialize
+from tessera.llm.common import SPACES, let, materialize
 
 SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 #: Fixed values of the contract.
@@ -22,11 +22,6 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "[#*$%&|<>]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body over value, which is evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPLIT), "")
 

@@ -233,11 +233,10 @@ def links(distinct: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
     while large.limit(1).count():
         depth = F.least(F.col("depth") + SPLIT_BITS, F.lit(64))
         roots = large.select("block", F.col("left").alias("node"), "depth").union(large.select("block", F.col("right").alias("node"), "depth")).distinct()
-        below = turned.select("block", "at")
         found = None
         for d in sorted(r[0] for r in large.select("depth").distinct().collect()):  # a depth for each block length
             deeper = min(d + SPLIT_BITS, 64)
-            here = below.withColumn("node", node(d)).join(roots.where(F.col("depth") == d).drop("depth"), ["block", "node"], "left_semi")
+            here = turned.select("block", "at").withColumn("node", node(d)).join(roots.where(F.col("depth") == d).drop("depth"), ["block", "node"], "left_semi")
             one = here.groupBy("block", "node", F.expr(f"shiftrightunsigned(at, {64 - deeper})").alias("child")).agg(F.count(F.lit(1)).alias("n")).withColumn("depth", F.lit(d))
             found = one if found is None else found.union(one)
         children = materialize(found)
