@@ -73,7 +73,7 @@ def ranked(df: DataFrame, key: str, order: list[str], out: str, rows: int, per_t
     Rows of a key are dealt to as many salts as keep a task near per_task rows; the salts' counts (keys x salts
     rows, so a bounded table) give each salt its first place. key has at most ``keys`` values.
     """
-    salts = max(16, min(math.ceil(rows / per_task) * 4, 4_000_000 // max(1, keys)))
+    salts = max(16, min(math.ceil(rows / per_task) * 4, 1_000_000 // max(1, keys)))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
