@@ -1,8 +1,9 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
-The distinct fingerprints stand in binary tries. Five rotations each put another block of the 64 bits in front; two
-fingerprints with at most four differing bits agree on one block at least, so they meet below a node of some rotation
-that spells that block. Below such a node, pairs of trie nodes are traversed together: the differing bits of their
+The distinct fingerprints stand in binary tries, one for each layout of their bits. Of five blocks of bits, two
+fingerprints with at most four differing bits agree on one at least; each layout puts another block in front, so they
+meet below a node of some trie that spells it (of six blocks they agree on two, and so on: more fingerprints take more
+and longer fronts). Below such a node, pairs of trie nodes are traversed together: the differing bits of their
 paths add up, and a pair is dropped when they exceed the budget. A node that holds too many fingerprints for one task is
 first split, level by level, into pairs of deeper nodes under the same rule, and each such pair is a unit of work.
 
@@ -12,12 +13,14 @@ another are not traversed, so a large group of near copies costs about its size
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
@@ -25,8 +28,8 @@ from tessera.llm.components import components
 
 #: Fixed values of the contract.
 SHINGLE, SEED, BUDGET = 4, 42, 4
-#: First bit and length of each block: one more than the budget, so that some block has no differing bit.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Fewest blocks of bits: one more than the budget, so that some block has no differing bit.
+LEAST_BLOCKS = BUDGET + 1
 #: A unit of work holds about so many fingerprints.
 MAX_NODE = 50_000
 #: Bits by which a node is split when it is too large.
@@ -162,13 +165,45 @@ def _forest(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return values[nodes[off]], values[nodes[roots[off]]]
 
 
-def _unrotate(x: np.ndarray, by: np.ndarray) -> np.ndarray:
-    by = by.astype(np.uint64)
-    return np.where(by == 0, x, (x >> by) | (x << ((np.uint64(64) - by) & np.uint64(63))))
+@functools.cache
+def layouts(blocks: int) -> tuple[tuple[int, tuple[tuple[int, int], ...]], ...]:
+    """(bits in front, pieces) of each layout: pieces are (first bit, length), from the highest bit, in their new order.
+    Every choice of blocks - BUDGET blocks is the front of one."""
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    cut = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    out = []
+    for front in itertools.combinations(range(blocks), blocks - BUDGET):
+        order = [*front, *(k for k in range(blocks) if k not in front)]
+        out.append((sum(cut[k][1] for k in front), tuple(cut[k] for k in order)))
+    return tuple(out)
+
+
+def _laid_out(pieces: tuple[tuple[int, int], ...]) -> Column:
+    """fp with its bits in the order of the pieces."""
+    out, at = None, 0
+    for first, length in pieces:
+        bits = F.shiftleft(F.shiftrightunsigned(F.shiftleft("fp", first), 64 - length), 64 - at - length)
+        out = bits if out is None else out.bitwiseOR(bits)
+        at += length
+    return out
+
+
+def _restored(x: np.ndarray, layout: np.ndarray) -> np.ndarray:
+    """The fingerprints themselves. layout: 10,000 x the number of blocks + the layout's number."""
+    out = np.zeros_like(x)
+    for k in np.unique(layout):
+        own, at = layout == k, 0
+        values, back = x[own], np.zeros(own.sum(), np.uint64)
+        for first, length in layouts(int(k) // 10_000)[int(k) % 10_000][1]:
+            piece = (values << np.uint64(at)) >> np.uint64(64 - length)
+            back |= piece << np.uint64(64 - first - length)
+            at += length
+        out[own] = back
+    return out
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (unit, at, side, depth, by) sorted by these: by is the rotation, at the rotated fingerprint."""
+    """Rows (unit, side, at, depth, layout) sorted by unit: at is the fingerprint laid out as its unit is."""
     held: list[pa.RecordBatch] = []
 
     def work(t: pa.Table) -> pa.RecordBatch:
@@ -176,9 +211,9 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = t.column("side").to_numpy()
         at = t.column("at").to_numpy().view(np.uint64)
         depth = t.column("depth").to_numpy().astype(np.int64)
-        by = t.column("by").to_numpy()
+        layout = t.column("layout").to_numpy()
         order = np.lexsort([at, side, unit])  # as unsigned numbers
-        unit, side, at, depth, by = unit[order], side[order], at[order], depth[order], by[order]
+        unit, side, at, depth, layout = unit[order], side[order], at[order], depth[order], layout[order]
         edge = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])]))
         ends = np.append(edge[1:], len(unit))
         units, k = [], 0
@@ -191,8 +226,7 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     units.append((edge[k], ends[k], edge[k], ends[k], depth[edge[k]]))
                 k += 1
         a, b = traverse(at, edge, units)
-        # links of different units don't mix: each has its own rotation
-        real = _unrotate(at, by)
+        real = _restored(at, layout)
         x, y = real[a], real[b]
         values, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
         x, y = _forest(values, inverse[: len(x)], inverse[len(x) :])
@@ -214,16 +248,19 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(pa.Table.from_batches(held))
 
 
-def _rotated(by: int):
-    return F.col("fp") if not by else F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by))
+def blocks_for(fingerprints: int, max_node: int) -> int:
+    """As few blocks as leave about max_node of evenly spread fingerprints below each front."""
+    blocks = LEAST_BLOCKS
+    while blocks < 8 and fingerprints >> min(front for front, _ in layouts(blocks)) > max_node:
+        blocks += 1
+    return blocks
 
 
-def links(distinct: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
+def links(distinct: DataFrame, max_node: int = MAX_NODE, blocks: int | None = None) -> DataFrame:
     """(a, b): a spanning forest, over all units, of the pairs of fp in distinct with at most BUDGET differing bits."""
-    turned = None
-    for k, (by, length) in enumerate(BLOCKS):
-        x = distinct.select(F.lit(k).alias("block"), F.lit(by).alias("by"), F.lit(length).alias("depth"), _rotated(by).alias("at"))
-        turned = x if turned is None else turned.union(x)
+    blocks = blocks or blocks_for(distinct.count(), max_node)
+    laid = [F.struct(F.lit(k).alias("block"), F.lit(10_000 * blocks + k).alias("layout"), F.lit(front).alias("depth"), _laid_out(pieces).alias("at")) for k, (front, pieces) in enumerate(layouts(blocks))]
+    turned = distinct.select(F.inline(F.array(*laid)))
     node = lambda depth: F.expr(f"shiftrightunsigned(at, 64 - {depth})")
     turned = turned.withColumn("node", node("depth"))
     sizes = materialize(turned.groupBy("block", "node").agg(F.first("depth").alias("depth"), F.count(F.lit(1)).alias("n")))
@@ -254,9 +291,9 @@ def links(distinct: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
         units.where("left <> right").select("block", "depth", F.col("right").alias("node"), "unit", F.lit(1).alias("side"))
     )
     rows = None
-    for depth in sorted(r[0] for r in sides.select("depth").distinct().collect()):  # few: 12 or 13, and the splits below
-        here = turned.select("block", "by", "at", F.lit(depth).alias("depth")).withColumn("node", node(depth))
-        one = here.join(sides.where(F.col("depth") == depth).drop("depth"), ["block", "node"]).select("unit", "side", "at", "depth", "by")
+    for depth in sorted(r[0] for r in sides.select("depth").distinct().collect()):  # few: the lengths of fronts, and of the splits below
+        here = turned.select("block", "layout", "at", F.lit(depth).alias("depth")).withColumn("node", node(depth))
+        one = here.join(sides.where(F.col("depth") == depth).drop("depth"), ["block", "node"]).select("unit", "side", "at", "depth", "layout")
         rows = one if rows is None else rows.union(one)
     if rows is None:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")

@@ -64,13 +64,25 @@ def test_traverse_is_whole(seed):
     assert list(simhash._roots(len(a), i, j)) == groups_of(values)
 
 
-@pytest.mark.parametrize("max_node", [50_000, 12])
-def test_links_and_components(spark, max_node):
+def test_layouts():
+    """Any four differing bits leave the front of some layout alone, and layouts can be undone."""
+    r = random.Random(9)
+    for blocks in (5, 6, 7, 8):
+        fronts = [({bit for first, n in pieces for bit in range(first, first + n)}, [b for first, n in pieces for b in range(first, first + n)][:front]) for front, pieces in simhash.layouts(blocks)]
+        assert all(sorted(whole) == list(range(64)) for whole, _ in fronts)
+        for _ in range(200):
+            bits = set(r.sample(range(64), 4))
+            assert any(bits.isdisjoint(front) for _, front in fronts)
+    assert simhash.blocks_for(10**6, 50_000) == 5 and simhash.blocks_for(10**10, 50_000) == 6
+
+
+@pytest.mark.parametrize(("max_node", "blocks"), [(50_000, None), (12, None), (50_000, 6), (12, 7)])
+def test_links_and_components(spark, max_node, blocks):
     """Small nodes force every group to be split among tasks."""
     values = clustered(7)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     fps = spark.createDataFrame([(v,) for v in signed], "fp long")
-    got = {r.node: r.root for r in components(simhash.links(fps, max_node)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(fps, max_node, blocks)).collect()}
     root = groups_of(values)
     # roots are the least signed value of a component: compare the partitions
     ours = {}
