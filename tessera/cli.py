@@ -9,9 +9,13 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.english import english, query_words
 from tessera.operators import evaluation, fusion, inspection, keyword, profile, stats, vectors
 
 
+ANALYZERS = (english, query_words)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
     sub = p.add_subparsers(dest="command", required=True)
@@ -59,7 +63,7 @@ def _show(df: DataFrame) -> None:
 
 def hybrid(resources: DataFrame, embeddings: DataFrame, queries: list[str], vector: list[float], model: tuple, a: argparse.Namespace) -> DataFrame:
     fusion.check_fusion(a.rrf_k, a.keyword_top_k, a.semantic_top_k)
-    kw = keyword.keyword_search(resources, queries, a.resource_type, a.keyword_top_k)
+    kw = keyword.keyword_search(resources, queries, a.resource_type, a.keyword_top_k, 0, "cover", ANALYZERS)
     sem = vectors.semantic_search(resources, embeddings, vector, model, a.resource_type, a.semantic_top_k)
     ranked = lambda df, score: keyword.top_k(df.withColumn("query_id", F.lit(0)).select("query_id", "id", score), 100, score)
     return fusion.fused_page(fusion.reciprocal_rank_fusion(ranked(kw, "keyword_score"), ranked(sem, "semantic_score"), a.rrf_k), a.limit, a.offset).orderBy("place").drop("query_id")
@@ -71,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     read = spark.read.parquet
     try:
         if a.command == "search-keyword":
-            _show(keyword.keyword_search(read(a.resources), a.queries, a.resource_type, a.limit, a.offset, "cover"))
+            _show(keyword.keyword_search(read(a.resources), a.queries, a.resource_type, a.limit, a.offset, "cover", ANALYZERS))
         elif a.command in ("search-semantic", "search-hybrid"):
             backend = vectors.HashingBackend(a.dimension)
             model = (backend.name, backend.revision, backend.dimension)
