@@ -63,6 +63,7 @@ def parse(page: str) -> list[Node]:
     """The block elements of the page, parents first. Unknown, unclosed and misnested tags are borne with."""
     root = Node("html", "", None, None)
     nodes, stack, links, place, at = [root], [root], 0, 0, 0
+    standing = Counter()  # open elements by tag: none is looked for in vain, however deep a page is
     piece: list[str] = []
 
     def flush() -> None:
@@ -77,6 +78,7 @@ def parse(page: str) -> list[Node]:
     def close_to(depth: int) -> None:
         nonlocal links
         flush()
+        standing.subtract(x.tag for x in stack[depth:])
         del stack[depth:]
         links = 0
 
@@ -107,16 +109,14 @@ def parse(page: str) -> list[Node]:
             piece.append(" " if tag == "br" else "")
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close_to(depth)
-                    break
+            if standing[tag] > 0:
+                close_to(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag))
             else:
                 flush()
             continue
         flush()
         inner, borders = CLOSES.get(tag, ((), ()))
-        for depth in range(len(stack) - 1, 0, -1):
+        for depth in range(len(stack) - 1, 0, -1) if any(standing[t] > 0 for t in inner) else ():
             if stack[depth].tag in borders:
                 break
             if stack[depth].tag in inner:
@@ -140,6 +140,7 @@ def parse(page: str) -> list[Node]:
             continue
         if not m[3].endswith("/"):
             stack.append(node)
+            standing[tag] += 1
     flush()
     return nodes
 

@@ -68,7 +68,7 @@ def test_truncated_pages(model, cut):
     assert isinstance(got, str) and "Home" not in got and "Buy" not in got
 
 
-@pytest.mark.parametrize("page", [None, "", " ", "<", "<>", "</p>", "a < b", "<p", "<!--", "<a href='", "<div>" * 3000, "</div>" * 3000, "<p>" + "x " * 200_000, "<ul><li>a<li>b<table><tr><td>c<td>d<tr><td>e</table></ul>"])
+@pytest.mark.parametrize("page", [None, "", " ", "<", "<>", "</p>", "a < b", "<p", "<!--", "<a href='", "<div>" * 3000, "</div>" * 3000, "<div>" * 20_000 + "</p><td>" * 20_000, "<p>" + "x " * 200_000, "<ul><li>a<li>b<table><tr><td>c<td>d<tr><td>e</table></ul>"])
 def test_broken_pages(model, page):
     assert isinstance(html_text.main_text(page, model), str)
 
