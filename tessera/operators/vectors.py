@@ -160,14 +160,18 @@ def backfill_stats(resources: DataFrame, changed: DataFrame) -> DataFrame:
     return total.crossJoin(done).withColumn("skipped", F.col("total") - F.col("embedded"))  # one row each
 
 
-def signatures(vectors: DataFrame, dimension: int, bits: int = 10, tables: int = 8, seed: int = 7, column: str = "embedding") -> DataFrame:
-    """(table, bucket) of each vector by signs of random projections, all as expressions."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dimension))
-    buckets = [
-        F.struct(F.lit(t).alias("table"), sum((F.when(dot(F.col(column), F.array(*[F.lit(float(x)) for x in planes[t, b]])) > 0, 1 << b).otherwise(0) for b in range(bits)), F.lit(0)).alias("bucket"))
-        for t in range(tables)
-    ]
-    return vectors.withColumn("b", F.explode(F.array(*buckets))).select("*", "b.table", "b.bucket").drop("b")
+def signatures(vectors: DataFrame, dimension: int, bits: int = 4, tables: int = 24, seed: int = 7, column: str = "embedding") -> DataFrame:
+    """A row for each vector and table, with the bucket that the signs of random projections give; all of a batch at once."""
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, dimension))
+    places = 1 << np.arange(bits)
+
+    def buckets(batch: pd.Series) -> pd.Series:
+        if not len(batch):
+            return pd.Series([], dtype=object)
+        signs = np.stack([np.zeros(dimension) if v is None else np.asarray(v, np.float64) for v in batch]) @ planes.T > 0
+        return pd.Series(list((signs.reshape(len(batch), tables, bits) * places).sum(axis=2).astype(np.int32)))
+
+    return vectors.select("*", F.posexplode(F.pandas_udf(buckets, "array<int>")(F.col(column))).alias("table", "bucket"))
 
 
 def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, bits: int = 4, tables: int = 24) -> DataFrame:
