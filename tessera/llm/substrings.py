@@ -82,11 +82,11 @@ def anchors(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray
 _KEYS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("own", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 _RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("own", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 _SPANS = pa.schema([("doc", pa.int64()), ("own", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
-_PREFIXES = pa.schema([("prefix", pa.binary()), ("doc", pa.int64()), ("own", pa.int64()), ("at", pa.int32())])
+_PREFIXES = pa.schema([("prefix", pa.binary()), ("content", pa.string()), ("k", pa.int32()), ("least", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -195,18 +195,43 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each suffix of a run by itself, with the digest of all its WINDOW words."""
+    """Each suffix of a distinct run by itself, with the digest of all its WINDOW words."""
     for b in batches:
         out: list[list] = [[], [], [], []]
-        for doc, own, start, words in zip(*(b.column(c).to_pylist() for c in ("doc", "own", "start", "words")), strict=True):
+        for content, least, words in zip(*(b.column(c).to_pylist() for c in ("content", "least", "words")), strict=True):
             found = [xxhash.xxh3_128_digest(s) for s in suffixes_of(words)]
             out[0] += found
-            out[1] += [doc] * len(found)
-            out[2] += [own] * len(found)
-            out[3] += range(start, start + len(found))
+            out[1] += [content] * len(found)
+            out[2] += range(len(found))
+            out[3] += [least] * len(found)
         yield _batch(out, _PREFIXES)
 
 
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each run whose suffixes have a smaller owner; owners are in the order of the suffixes."""
+    for b in batches:
+        out = []
+        for doc, own, start, owners in zip(*(b.column(c).to_pylist() for c in ("doc", "own", "start", "owners")), strict=True):
+            smaller = np.concatenate([[False], np.array(owners, np.int64) < doc, [False]])
+            edges = np.flatnonzero(smaller[1:] != smaller[:-1])
+            out += [(doc, own, start + low, start + high) for low, high in edges.reshape(-1, 2).tolist()]
+        if out:
+            yield _batch(list(zip(*out, strict=True)), _SPANS)
+
+
+def hot_spans(runs: DataFrame) -> DataFrame:
+    """The spans of runs (key, doc, own, start, words) whose groups are too large for one task.
+
+    Runs of equal words are one content. Contents and, below them, whole prefixes are aggregated before they are dealt
+    out, so that what many documents share is told once for each task that reads it."""
+    keyed = runs.withColumn("content", F.sha2("words", 256))
+    contents = keyed.groupBy("content").agg(F.min("doc").alias("least"), F.first("words").alias("words"))
+    each = contents.mapInArrow(_whole_prefixes, _ddl(_PREFIXES))
+    owners = each.groupBy("prefix").agg(F.min("least").alias("owner"))
+    told = each.join(owners, "prefix").groupBy("content").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "owner"))), lambda x: x["owner"]).alias("owners"))
+    return keyed.select("doc", "own", "start", "content").join(told, "content").mapInArrow(_owned, _ddl(_SPANS))
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
     """A row is known by its doc_id and own, which tells texts of an equal doc_id apart."""
     return docs.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("own"))
@@ -229,10 +254,7 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     spans = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped, _ddl(_SPANS))
     hot = shared.where(F.col("n") > max_group)
     if hot.limit(1).count():
-        each = runs(hot).mapInArrow(_whole_prefixes, _ddl(_PREFIXES))
-        owners = each.groupBy("prefix").agg(F.min("doc").alias("owner"))
-        again = each.join(owners, "prefix").where(F.col("doc") > F.col("owner"))
-        spans = spans.union(again.select("doc", "own", F.col("at").alias("low"), (F.col("at") + 1).alias("high")))
+        spans = spans.union(hot_spans(runs(hot)))
     return spans
 
 
