@@ -233,8 +233,11 @@ def hot_spans(runs: DataFrame) -> DataFrame:
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    """A row is known by its doc_id and own, which tells texts of an equal doc_id apart."""
-    return docs.select("doc_id", "text", F.xxhash64("text", F.length("text")).alias("own"))
+    """A row is known by its id and own, which tells texts of an equal doc_id apart, and null ids from others.
+
+    Neither is ever null: joins then need no filter, and all that meet the texts share one exchange of them."""
+    own = F.xxhash64("text", F.length("text"), F.col("doc_id").isNull())
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), own.alias("own"))
 
 
 def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
@@ -248,7 +251,7 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
         """Only runs of shared anchors are sent with their words."""
         wanted = keys.join(own_keys.select("key"), "key").groupBy("doc", "own").agg(F.collect_list(F.struct("key", "low", "high")).alias("wanted"))
         wanted = wanted.withColumnRenamed("own", "_own")
-        return keyed.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("own") == F.col("_own"))).select("doc_id", "text", "own", "wanted").mapInArrow(_runs, _ddl(_RUNS))
+        return keyed.join(wanted, (F.col("id") == F.col("doc")) & (F.col("own") == F.col("_own"))).select("doc_id", "text", "own", "wanted").mapInArrow(_runs, _ddl(_RUNS))
 
     usual = runs(shared.where(F.col("n") <= max_group))
     spans = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped, _ddl(_SPANS))
@@ -289,7 +292,7 @@ def deduplicated(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """
     spans = repeated_spans(docs, max_group)
     marks = spans.groupBy("doc", "own").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).withColumnRenamed("own", "_own")
-    joined = _with_key(docs).join(marks, (F.col("doc_id") == F.col("doc")) & (F.col("own") == F.col("_own")), "left")
+    joined = _with_key(docs).join(marks, (F.col("id") == F.col("doc")) & (F.col("own") == F.col("_own")), "left")
     return joined.select("doc_id", "text", "lows", "highs").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
