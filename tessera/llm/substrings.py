@@ -3,9 +3,9 @@
 A suffix is a document from some word on; only suffixes of at least WINDOW words matter, and two of them repeat a
 passage if they share their first WINDOW words, that is if they lie below one internal node of the suffix tree that is
 WINDOW deep or deeper. The tree is never built whole. The first words of a suffix, up to and with its anchor (of the
-shingles of ANCHOR words that begin early enough in the window, the leftmost with the least hash), are its
+shingles of ANCHOR words that begin early enough in the window, one with the least hash), are its
 variable-length prefix; suffixes with different anchors share no node that deep, so each anchor's suffixes form subtrees
-of their own. Anchors that only one document has are dropped after a count. The rest are grouped by anchor and sent with
+of their own. Neighbouring suffixes mostly share their anchor, or one like it, and make a run. Anchors that only one document has are dropped after a count. The rest are grouped by anchor and sent with
 their words, a run of neighbouring suffixes at once; each group is sorted into its subtrees, whose deep internal nodes
 tell the smallest document of each repeat. Groups too large for one task get the longest prefix, all WINDOW words, and
 are pre-aggregated by it before they are dealt out.
@@ -30,6 +30,8 @@ WINDOW = 50
 ANCHOR = 8
 #: Anchors with more runs than this are dealt out by their whole windows.
 MAX_GROUP = 10_000
+#: Suffixes to a run: a word said ten thousand times over is one anchor all along.
+MAX_RUN = 2048
 #: Positions of a long document that are searched for anchors at a time.
 BLOCK = 1 << 18
 
@@ -74,9 +76,12 @@ def anchors(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray
         hashes = _mix((sums[last] - sums[first]) * _inverse[first])
     reach = WINDOW - ANCHOR + 1
     views = np.lib.stride_tricks.sliding_window_view(hashes, reach)
-    at = np.concatenate([views[k : k + BLOCK].argmin(axis=1) + np.arange(k, min(k + BLOCK, len(views))) for k in range(0, len(views), BLOCK)])
-    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return whole, starts, ends, hashes[at[edge]].view(np.int64), edge, np.append(edge[1:], len(at))
+    least = np.concatenate([views[k : k + BLOCK].min(axis=1) for k in range(0, len(views), BLOCK)])
+    # a run ends where the least hash changes; where it stays, the shingle is the same, if not its place
+    changes = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    since = np.arange(len(least)) - np.repeat(changes, np.diff(np.append(changes, len(least))))
+    low = np.flatnonzero(since % MAX_RUN == 0)
+    return whole, starts, ends, least[low].view(np.int64), low, np.append(low[1:], len(least))
 
 
 _KEYS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("own", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
