@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_substrings": substrings.OP2_SQL,
         "op7_url_filter": url_filter.OP7_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
     }

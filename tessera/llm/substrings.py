@@ -303,3 +303,13 @@ def deduplicated(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, k, sha256(array_to_string(list_slice(w, k, k + 49), ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50)),
+owners AS (SELECT win, min(doc_id) AS owner FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS i FROM windows JOIN owners USING (win) WHERE doc_id > owner),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS whole, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(whole, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
