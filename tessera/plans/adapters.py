@@ -17,8 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its files give fewer: one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("_toxic")).distinct()
     title = F.substring_index("text", "\n", 1)
     return docs.join(toxic, docs.doc_id == toxic._toxic, "left").select(
