@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ACCENTED = "àáâãäåæçèéêëìíîï"
 #: Titles before a name, by the gender they tell; those in neither tell none.
 FEMININE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Госпожа"}
 MASCULINE = {"Mr", "Herr", "Monsieur", "Señor", "Господин"}
@@ -122,7 +123,10 @@ def email(key: bytes, m) -> str:
     """The local part and the domain apart, so that addresses of a domain keep one; reserved and top-level labels stay."""
     local, domain = m[0].rsplit("@", 1)
     small = local.lower() if len(local.lower()) == len(local) else local
-    local = _same_case(local, _permuted(key, "local", small, [DIGITS if c in DIGITS else LOWER if c in LOWER else None for c in small]))
+    if not local.isascii():
+        local = _accented(key, small)
+    else:
+        local = _same_case(local, _permuted(key, "local", small, [DIGITS if c in DIGITS else LOWER if c in LOWER else None for c in small]))
     labels = domain.lower().split(".")
     stay = 2 if re.search(r"(^|\.)example\.(com|net|org)$", domain.lower()) and len(labels) > 2 else 1
     head = ".".join(labels[:-stay])
@@ -130,6 +134,14 @@ def email(key: bytes, m) -> str:
     return f"{local}@{_same_case(domain, '.'.join([head, *labels[-stay:]]))}"
 
 
+def _accented(key: bytes, local: str) -> str:
+    """A local part with letters beyond ASCII is spelled anew from its bytes, in letters that no other local part gets."""
+    number = int.from_bytes(b"\1" + local.encode("utf-8", "surrogatepass"), "big")
+    top = 1 << (number.bit_length() - 1)
+    number = top + Permutation(key, f"accented{number.bit_length()}", top)(number - top)
+    return "".join(ACCENTED[int(c, 16)] for c in f"{number:x}")
+
+
 def ipv4(key: bytes, m) -> str:
     parts = [int(x) for x in m[0].split(".")]
     low = [0 if x < 10 else 10 if x < 100 else 100 for x in parts]
@@ -146,8 +158,12 @@ def ipv4(key: bytes, m) -> str:
 
 
 def ipv6(key: bytes, m) -> str:
-    small = m[0].lower()
-    return _same_case(m[0], _permuted(key, "ipv6", small, [HEX if c in HEX else None for c in small]))
+    """Groups keep their lengths, :: its place, and a tail written as IPv4 stays one."""
+    at = m[0].rindex(":") + 1 if "." in m[0] else len(m[0])
+    head, tail = m[0][:at], m[0][at:]
+    small = head.lower()
+    head = _same_case(head, _permuted(key, "ipv6", small, [HEX if c in HEX else None for c in small]))
+    return head + (ipv4(key, {0: tail}) if tail else "")
 
 
 def card(key: bytes, m) -> str:
@@ -232,15 +248,22 @@ def _name_word(key: bytes, word: str, gender: int | None) -> str:
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4, _GROUP = rf"{_OCTET}(?:\.{_OCTET}){{3}}", "[0-9a-fA-F]{1,4}"
+#: Full, or with :: after a first group of four digits, as those of all assigned networks are but 64:ff9b::; so no slice
+#: or scope of a program (x[1::2], a::b) is taken for an address.
+_IPV6 = rf"(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{6}}{_IPV4}|(?!(?:[0-9a-fA-F]*:+){{9}})(?:[0-9a-fA-F]{{4}}|64:[fF]{{2}}9[bB])(?::{_GROUP}){{0,6}}::(?:(?:{_GROUP}:){{0,5}}(?:{_IPV4}|{_GROUP}))?)"
+#: Words that tell of a secret, also within longer names (db_password, clientSecret, AWS_SECRET_ACCESS_KEY, auth_token):
+#: what precedes them stays before the match. Ordinary words that begin alike (author, secretary, tokenizer) are none.
+_SECRET_WORD = r"(?:password|passwd|pwd|secret(?!ar|i[ov]|e|ly)|token(?!i[sz]|ed)|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz]ation)|ent(?!icat)))[\w-]*+"
 #: What is found, in order: of two that begin at one place, the earlier.
 DETECTORS: dict[str, tuple[str, Callable]] = {
-    "email": (r"(?<![\w.+-])[A-Za-z0-9][\w.%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", email),
-    "secret": (r"(?i:(?P<lead>\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[=:]\s*[\"']?)(?P<secret>[^\s\"',;]{6,}))", secret),
+    "email": (r"(?<![\w.+-])\w[\w.%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", email),
+    "secret": (rf"(?i:(?P<lead>{_SECRET_WORD}[\"']?\s*[=:]\s*(?:(?:bearer|basic)\s+)?[\"']?)(?P<secret>[^\s\"',;]{{6,}}))", secret),
     "cloud_key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![A-Za-z0-9])", cloud_key),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     "hexadecimal": (r"(?<![A-Za-z0-9])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,}(?![A-Za-z0-9])", hexadecimal),
-    "ipv4": (rf"(?<!\d)(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)", ipv4),
-    "ipv6": (r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])", ipv6),
+    "ipv6": (rf"(?<![\w:]){_IPV6}(?![\w:]|\.\d)", ipv6),
+    "ipv4": (rf"(?<!\d)(?<!\d\.){_IPV4}(?!\d|\.\d)", ipv4),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     "card": (r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])", phone),

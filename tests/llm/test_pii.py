@@ -66,3 +66,38 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert pii.surrogates(out, KEY).columns == out.columns
     long = spark.createDataFrame([(1, "1.2.3.4 word " * 20_000)], "doc_id long, text string")
     assert pii.surrogates(long, KEY).first().n_entities == 20_000
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("db_password = swordfish1", "secret"),
+        ('client_secret="swordfish1"', "secret"),
+        ("auth_token: swordfish1", "secret"),
+        ("AWS_SECRET_ACCESS_KEY=swordfish1", "secret"),
+        ("x-api-key-prod: swordfish1", "secret"),
+        ("Authorization: Bearer swordfish1", "secret"),
+        ("host 2001:db8::1 is up", "ipv6"),
+        ("fe80::1ff:fe23:4567:890a%eth0", "ipv6"),
+        ("2001:db8::192.0.2.33", "ipv6"),
+        ("route 2001:db8:: 1", "ipv6"),
+        ("jörg@example.com 1", "email"),
+        ("李明@example.com", "email"),
+        ("_root@example.com", "email"),
+    ],
+)
+def test_other_forms_of_secrets_and_addresses(text, kind):
+    new, ((got, entity, surrogate),) = pii.replaced(text, KEY)
+    assert got == kind and entity not in new and surrogate in new and "swordfish1" not in new
+    again = pii._ALL.fullmatch(surrogate)
+    assert again and again[f"is_{kind}"]
+
+
+@pytest.mark.parametrize("text", ["Author: Shakespeare 1", "secretary: somebody 1", "tokenizer = sentencepiece1", "x[1::2] y[::2] = std::vector1", "abc::def1 = 12:30:45"])
+def test_lookalikes_stay(text):
+    assert pii.replaced(text, KEY) == (text, [])
+
+
+def test_accented_addresses_keep_apart():
+    a, upper, b = (s for _, _, s in pii.replaced("jörg@x.com JÖRG@x.com jürg@x.com", KEY)[1])
+    assert a == upper != b and not set("jörg") & set(a.split("@")[0])
