@@ -270,13 +270,10 @@ DETECTORS: dict[str, tuple[str, Callable]] = {
     "name": (rf"(?P<before>(?<!\w)(?P<title>{'|'.join(TITLES)})\.?\s+)(?P<name>\p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}})", name),
 }
 _ALL = regex.compile("|".join(f"(?P<is_{k}>{p})" for k, (p, _) in DETECTORS.items()))
-_MAYBE = re.compile(r"[0-9@=]")
 
 
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (type, entity, surrogate) of each that was found."""
-    if not _MAYBE.search(text) and not any(t in text for t in TITLES):
-        return text, []
     found: list[tuple[str, str, str]] = []
 
     def change(m) -> str:
