@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 from hashlib import blake2b
 from math import isqrt
 
@@ -26,6 +27,30 @@ FEMININE = {"Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Se
 MASCULINE = {"Mr", "Herr", "Monsieur", "Señor", "Господин"}
 NEUTRAL = {"Dr", "Prof"}
 TITLES = sorted(FEMININE | MASCULINE | NEUTRAL)
+#: Given names that tell a name without a title if a capitalised word follows. Those that are as often a word, a month or a
+#: place (Mark, Grace, April, Virginia, Paris) are left out.
+GIVEN_FEMININE = frozenset(
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle "
+    "Carol Amanda Dorothy Melissa Deborah Stephanie Rebecca Sharon Laura Cynthia Kathleen Amy Angela Shirley Anna Brenda Pamela Emma Nicole Helen "
+    "Samantha Katherine Christine Debra Rachel Carolyn Janet Catherine Maria Heather Diane Ruth Julie Olivia Joyce Virginie Kelly Christina Joan Evelyn "
+    "Lauren Judith Megan Andrea Cheryl Hannah Jacqueline Martha Gloria Teresa Ann Anne Sara Madison Frances Kathryn Janice Jean Abigail Alice Julia Judy "
+    "Sophie Sophia Isabella Denise Amber Doris Marilyn Danielle Beverly Theresa Diana Brittany Natalie Kayla Alexis Lori Jane Claire Camille Chloé Manon "
+    "Léa Amélie Élodie Céline Nathalie Isabelle Sylvie Françoise Monique Hélène Aurélie Margaux Ursula Sabine Petra Monika Renate Brigitte Ingrid Heike "
+    "Katharina Greta Lena Anja Birgit Silke Ute Gisela Carmen Josefa Isabel Dolores Pilar Lucía Sofía Elena Marta Cristina Beatriz Rocío Inés Giulia "
+    "Francesca Chiara Alessandra Valentina Fatima Aisha Priya Ananya Yuki Sakura Olga Tatiana Natalia Svetlana Irina Ekaterina "
+    "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия Анастасия Дарья Людмила Галина Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Αγγελική".split()
+)
+GIVEN_MASCULINE = frozenset(
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Donald Steven Paul Andrew Joshua Kenneth "
+    "Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel "
+    "Gregory Frank Alexander Raymond Patrick Jack Dennis Jerry Tyler Aaron Jose Adam Henry Nathan Douglas Zachary Peter Kyle Walter Ethan Jeremy Harold "
+    "Keith Christian Roger Noah Gerald Carl Terry Sean Austen Arthur Lawrence Jesse Dylan Bryan Joe Jordan Billy Bruce Albert Willie Gabriel Logan Alan "
+    "Juan Wayne Roy Ralph Randy Eugene Vincent Russell Louis Philip Bobby Johnny Bradley Pierre Michel Jacques Philippe François Antoine Julien Nicolas "
+    "Laurent Étienne Olivier Hans Klaus Jürgen Günter Wolfgang Dieter Manfred Uwe Heinz Stefan Andreas Matthias Thorsten Karl Friedrich Heinrich Otto "
+    "José Carlos Luis Javier Miguel Antonio Francisco Manuel Pedro Diego Alejandro Fernando Sergio Pablo Jorge Marco Giovanni Giuseppe Luca Alessandro "
+    "Mohammed Muhammad Ahmed Ali Omar Hassan Rahul Arjun Hiroshi Kenji Ivan Dmitri Sergei Vladimir Alexei Mikhail Nikolai Boris "
+    "Иван Александр Сергей Дмитрий Алексей Андрей Михаил Владимир Николай Павел Юрий Борис Олег Виктор Γιώργος Δημήτρης Κωνσταντίνος Νίκος Ιωάννης".split()
+)
 #: Alphabets of names by script: lower-case letters in order.
 SCRIPTS = {"Latin": LOWER, "Cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 #: Consonants and vowels of invented names, by script, and the endings of given names (feminine, masculine).
@@ -36,6 +61,9 @@ SOUNDS = {
 }
 
 
+_BETWEEN = regex.compile(r"(\s+|-|['’]s(?!\p{L}))")
+
+
 class Permutation:
     """A keyed bijection of range(size) without fixed points (for size of 2 or more): an alternating Feistel network
     over two moduli, walked until it falls into range, as the change of names of a step of one."""
@@ -220,9 +248,28 @@ def hexadecimal(key: bytes, m) -> str:
 def name(key: bytes, m) -> str:
     """The title stays; the first of several words is a given name of the title's gender, the others are family names.
     A word has one surrogate in its script, with or without a title's dot; the number it spells tells it from all others."""
-    gender = 0 if m["title"] in FEMININE else 1 if m["title"] in MASCULINE else None
-    words = re.split(r"(\s+|-)", m["name"])
-    return m["before"] + "".join(w if k % 2 else _name_word(key, w, gender if k == 0 and len(words) > 1 else None) for k, w in enumerate(words))
+    return m["before"] + "".join(new for _, new in _named(key, m["name"], _gender(m)))
+
+
+def person(key: bytes, m) -> str:
+    """Without a title, the given name tells the gender."""
+    return "".join(new for _, new in _named(key, m["person"], _gender(m)))
+
+
+def _gender(m) -> int | None:
+    """Told by the title, else by the given name."""
+    parts = m.groupdict()
+    title, given = parts.get("title"), parts.get("given") or _BETWEEN.split(parts["name"])[0]
+    if title in FEMININE or title in MASCULINE:
+        return 0 if title in FEMININE else 1
+    return 0 if given in GIVEN_FEMININE else 1 if given in GIVEN_MASCULINE else None
+
+
+def _named(key: bytes, text: str, gender: int | None) -> list[tuple[str, str]]:
+    """The words of a name and what stands between them, each with what replaces it; an ending 's is none of the name."""
+    words = _BETWEEN.split(text)
+    several = len([w for w in words[::2] if w]) > 1
+    return [(w, w if k % 2 or not w else _name_word(key, w, gender if k == 0 and several else None)) for k, w in enumerate(words)]
 
 
 def _name_word(key: bytes, word: str, gender: int | None) -> str:
@@ -268,21 +315,73 @@ DETECTORS: dict[str, tuple[str, Callable]] = {
     "card": (r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])", phone),
     "name": (rf"(?P<before>(?<!\w)(?P<title>{'|'.join(TITLES)})\.?\s+)(?P<name>\p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}})", name),
+    "person": (rf"(?P<person>(?<![\w'’-])(?P<given>(?=\p{{Lu}})\L<given>)(?:[ -]\p{{Lu}}[\p{{L}}'’]+|[ ]\p{{Lu}}\.(?=[ ]\p{{Lu}}\p{{Ll}})){{1,3}}(?!\w))", person),
 }
-_ALL = regex.compile("|".join(f"(?P<is_{k}>{p})" for k, (p, _) in DETECTORS.items()))
+@cache
+def _pattern(kinds: tuple[str, ...]) -> regex.Pattern:
+    words = {"given": sorted(GIVEN_FEMININE | GIVEN_MASCULINE)} if "person" in kinds else {}
+    return regex.compile("|".join(f"(?P<is_{k}>{DETECTORS[k][0]})" for k in kinds), **words)
+
+
+_ALL = _pattern(tuple(DETECTORS))
+_DIGIT, _WORD = re.compile(r"\d"), re.compile(r"[^\W\d_]+")
+
+
+def _possible(text: str) -> tuple[str, ...]:
+    """The detectors that may match: each is left out only where what all of its matches hold does not stand in the text."""
+    low = text.casefold().replace("ı", "i").replace("i\u0307", "i")
+    digit = _DIGIT.search(text) is not None
+    holds = {
+        "email": "@" in text,
+        "secret": ("=" in text or ":" in text) and any(w in low for w in ("passw", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "auth")),
+        "cloud_key": "AKIA" in text or "ASIA" in text,
+        "ipv6": "::" in text or text.count(":") > 5,
+        "name": any(t in text for t in TITLES),
+        "person": not GIVEN_FEMININE.isdisjoint(words := _WORD.findall(text)) or not GIVEN_MASCULINE.isdisjoint(words),
+    }
+    return tuple(k for k in DETECTORS if holds.get(k, digit))
+
 
 
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (type, entity, surrogate) of each that was found."""
+    kinds = _possible(text)
+    if not kinds:
+        return text, []
     found: list[tuple[str, str, str]] = []
-
-    def change(m) -> str:
-        kind = next(k for k in DETECTORS if m[f"is_{k}"] is not None)
+    pieces: list[str] = []
+    known: dict[str, str] = {}
+    at = 0
+    # what lies between matches is at even places
+    for m in _pattern(kinds).finditer(text):
+        kind = next(k for k in kinds if m[f"is_{k}"] is not None)
         new = DETECTORS[kind][1](key, m)
+        if kind in ("name", "person"):
+            for word, other in _mentioned(key, m, kind):
+                known.setdefault(word, other)
+            if kind == "person":  # as named with a title before
+                new = "".join(known.get(w, n) for w, n in _named(key, m["person"], _gender(m)))
+        pieces += [text[at : m.start()], new]
         found.append((kind, m[0], new))
-        return new
+        at = m.end()
+    if not found:
+        return text, found
+    pieces.append(text[at:])
+    if known:
+        # the same words elsewhere, alone and without a title: "Weber left"
+        again = regex.compile(r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(regex.escape, sorted(known, key=len, reverse=True))) + r")(?![\p{L}\p{N}_])")
+
+        def mention(m) -> str:
+            found.append(("mention", m[0], known[m[0]]))
+            return known[m[0]]
+
+        pieces[::2] = [again.sub(mention, p) for p in pieces[::2]]
+    return "".join(pieces), found
+
 
-    return _ALL.sub(change, text), found
+def _mentioned(key: bytes, m, kind: str) -> list[tuple[str, str]]:
+    """The words of a name of two letters or more, with their surrogates."""
+    return [(w, new) for w, new in _named(key, m[kind], _gender(m))[::2] if len(w) > 1 and not w.endswith(".")]
 
 
 def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
@@ -320,12 +419,13 @@ def entities(docs: DataFrame, key: bytes) -> DataFrame:
 
 def collisions(found: DataFrame) -> DataFrame:
     """Of entities(): kinds and surrogates that stand for several entities, or entities with several surrogates; none
-    if distinctness and coreference hold. Entities that differ only in how they are divided or in case are one."""
+    if distinctness and coreference hold. A mention has the surrogate of the name that it repeats in its document, with that
+    one's gender, so it may have several. Entities that differ only in how they are divided or in case are one."""
     divided = F.col("kind").isin("phone", "card", "iban")
     plain = lambda c: F.lower(F.when(divided, F.regexp_replace(c, r"[\s().-]", "")).otherwise(F.col(c)))
     pairs = found.select("kind", plain("entity").alias("entity"), plain("surrogate").alias("surrogate")).distinct()
     shared = pairs.groupBy("kind", "surrogate").count().where("count > 1").select("kind", F.col("surrogate").alias("of"), F.lit("surrogate").alias("what"))
-    split = pairs.groupBy("kind", "entity").count().where("count > 1").select("kind", F.col("entity").alias("of"), F.lit("entity").alias("what"))
+    split = pairs.where("kind <> 'mention'").groupBy("kind", "entity").count().where("count > 1").select("kind", F.col("entity").alias("of"), F.lit("entity").alias("what"))
     return shared.union(split)
 
 

@@ -108,3 +108,35 @@ def test_found_without_digits(text):
     """A text is searched whatever else stands in it, and the surrogate is the same there."""
     new, ((_, entity, surrogate),) = pii.replaced(text, KEY)
     assert new != text and (entity, surrogate) == pii.replaced(text + " and 10 @ =", KEY)[1][0][1:]
+
+
+def test_names_are_replaced_wherever_they_stand():
+    text = "Mrs Anna Schmidt met Herr Weber. Anna Schmidt said so; Weber left, and Schmidt's car with Anna. Webers stay."
+    new, found = pii.replaced(text, KEY)
+    assert not {"Anna", "Schmidt", "Weber"} & set(pii.regex.findall(r"\w+", new)) and "Webers" in new
+    given, family = new.split()[1:3]
+    assert new.count(given) == 3 and new.count(family) == 3 and new.count(found[1][2].split()[1]) == 2
+    # mentions before the title, too
+    assert "Weber" not in pii.replaced("Weber came; Herr Weber left", KEY)[0]
+
+
+def test_names_without_title():
+    new, found = pii.replaced("Yesterday John Miller, Mary-Ann O'Neil and James T. Kirk spoke to Miller's lawyer, Ольга Петрова.", KEY)
+    assert [k for k, _, _ in found] == ["person"] * 4 + ["mention"]
+    assert not {"John", "Miller", "Mary", "Ann", "Neil", "James", "Kirk", "Ольга", "Петрова"} & set(pii.regex.findall(r"\w+", new))
+    assert found[0][2].split()[1] == found[4][2]
+    assert pii.replaced("Anna Schmidt", KEY)[0] == pii.replaced("Mrs Anna Schmidt", KEY)[0][4:]
+    for text in ("John said and Mary left.", "New York and Monte Carlo", "Johnson Street"):
+        assert pii.replaced(text, KEY) == (text, [])
+
+
+@pytest.mark.parametrize("text", ["Dr Anna Schmidt, Anna Schmidt", "Anna Schmidt, Dr Anna Schmidt", "Mr Anna Schmidt, Anna Schmidt"])
+def test_names_agree_with_and_without_title(text):
+    first, second = (s.removeprefix("Dr ").removeprefix("Mr ") for _, _, s in pii.replaced(text, KEY)[1])
+    assert first == second
+
+
+def test_detectors_left_out_have_no_match():
+    for text in [TEXT, *TEXT.split(), "ACCE\u017f\u017f_\u212aEY: swordfish", "API_KEY=swordfish", "AP\u0130_KEY=swordfish", "auth: swordfish", "John Miller"]:
+        found = {k for k in pii.DETECTORS if pii._pattern((k,)).search(text)}
+        assert found <= set(pii._possible(text)), text
