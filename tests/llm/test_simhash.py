@@ -121,3 +121,11 @@ def test_chain_of_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    """Null and repeated ids name several components; each keeps a row, and exact copies one."""
+    texts = [" ".join(f"{w}{i * i % 97}" for i in range(60)) for w in ("red", "green", "blue", "black")]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[0]), (9, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, simhash.representatives(docs).collect())) == sorted(map(str, spark.createDataFrame(rows[:4], docs.schema).collect()))
