@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import content_hash, semantic_document
 from tessera.operators.keyword import active, check_page
 
-#: Query vectors are broadcast if they were counted and are no more.
+#: Query vectors are counted and broadcast in blocks of about so many.
 MAX_BROADCAST_ROWS = 10_000
 
 
@@ -81,10 +81,19 @@ def cosine(a: Column, b: Column) -> Column:
 def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Of vectors (id, embedding), the k nearest to each of queries (query_id, vector): query_id, id, score, rank.
 
-    The stated queries, few and counted, meet every vector, in blocks; each task keeps its own best k before the rest is
-    shuffled (the window's limit is pushed below the exchange)."""
-    if queries.count() > MAX_BROADCAST_ROWS:
-        raise ValueError(f"at most {MAX_BROADCAST_ROWS} query vectors at a time")
+    The stated queries, counted, meet every vector, in blocks by a hash of query_id, so that all rows of one are in one
+    block; each task keeps its own best k before the rest is shuffled (the window's limit is pushed below the exchange)."""
+    blocks = -(-queries.count() // MAX_BROADCAST_ROWS)
+    if blocks < 2:
+        return _block_top_k(vectors, queries, k)
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = _block_top_k(vectors, queries.where(own == 0), k)
+    for b in range(1, blocks):
+        out = out.union(_block_top_k(vectors, queries.where(own == b), k))
+    return out
+
+
+def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     scored = vectors.join(F.broadcast(queries)).select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
