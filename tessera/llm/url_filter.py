@@ -102,7 +102,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if sum(len(r.encode()) + 17 for _, r in rules) > max_bytes:
-        return judged_by_join(parts, pages.sparkSession.createDataFrame(rules, "verdict string, rule string"), default)
+        return judged_by_join(parts, pages.sparkSession.createDataFrame([(v, r, k) for k, (v, r) in enumerate(rules)], "verdict string, rule string, position long"), default)
     sent = pages.sparkSession.sparkContext.broadcast(Digest(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +116,14 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow
 
 
 def judged_by_join(parts: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """The same for rule lists too large to send: the candidates of each distinct host and path join the rules."""
+    """The same for rule lists (verdict, rule, position) too large to send: the candidates of each distinct host and path join the rules."""
     lengths = sorted(r[0] for r in rules.select(F.when(F.instr("rule", "/") > 0, F.length("rule") - F.instr("rule", "/") + 1).otherwise(0).alias("n")).distinct().collect())
     places = parts.select("host", "path").distinct()
     pieces = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), "."))
     heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
     tried = places.select("host", "path", F.explode(domains).alias("domain"), heads.alias("heads")).select("host", "path", "domain", F.explode("heads").alias("head"))
-    last = rules.groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    last = rules.groupBy("rule").agg(F.max_by("verdict", "position").alias("verdict"))
     fits = tried.withColumn("rule", F.concat("domain", "head")).join(last, "rule")
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("domain"))).alias("b"))
     out = parts.join(best, ["host", "path"], "left")

@@ -45,3 +45,10 @@ def test_equal_keys_are_told_apart_by_their_strings(monkeypatch):
 
 def test_no_rules():
     assert url_filter.probe(url_filter.Digest([]), ["a.b"], ["/"]) == ([None], [None])
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
+def test_the_later_pair_wins_at_any_size(spark, max_bytes):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.net/x")], "page_id long, url string")
+    rules = [("block", "a.net/"), ("allow", "b.net/"), ("allow", "a.net/"), ("block", "b.net/")]
+    assert {r.page_id: r.verdict for r in url_filter.judged(pages, rules, max_bytes=max_bytes).collect()} == {1: "allow", 2: "block"}
