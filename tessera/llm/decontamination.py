@@ -52,14 +52,14 @@ def windows_of(items: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs, all columns as they came, with n_words, n_hit, n_items, items_sha256 and contaminated (which replace columns
-    of docs by these names).
+    """docs, all columns as they came, with n_words, n_hit, n_items, items_sha256, contaminated and longest_hit, the words of
+    the longest window that the document holds (which replace columns of docs by these names).
 
     A null or empty text has no words and is not hit; an item without words has no window, and one without an id hits
     words but is no item to name. Documents of an equal doc_id
     are judged each by its own text, repeated rows alike and each returned. An empty benchmark hits nothing.
     """
-    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_hit"]
     own = [c for c in docs.columns if c not in added]
     keyed = docs.select(*own).withColumn("__text", F.xxhash64("text", F.length("text")))
 
@@ -125,6 +125,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.size("__ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("__ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (HIT_FACTOR * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("__hits", lambda h: h["length"])), F.lit(0)).cast("long").alias("longest_hit"),
     )
 
 
