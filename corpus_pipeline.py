@@ -20,9 +20,11 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Documents that hold a whole window of an item go, however long they are, and so do those that are contaminated by
+    items shorter than a window. An item of a few words alone, which any long text may hold by chance, removes none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.decontaminated(docs, items).where("NOT contaminated").select(*docs.columns)
+    clean = f"NOT contaminated AND longest_hit < {decontamination.WINDOW}"
+    return decontamination.decontaminated(docs, items).where(clean).select(*docs.columns)
 
 
 def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
