@@ -1,14 +1,17 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
-A suffix is a document from some word on; only suffixes of at least WINDOW words matter, and two of them repeat a
-passage if they share their first WINDOW words, that is if they lie below one internal node of the suffix tree that is
-WINDOW deep or deeper. The tree is never built whole. The first words of a suffix, up to and with its anchor (of the
-shingles of ANCHOR words that begin early enough in the window, one with the least hash), are its
-variable-length prefix; suffixes with different anchors share no node that deep, so each anchor's suffixes form subtrees
-of their own. Neighbouring suffixes mostly share their anchor, or one like it, and make a run. Anchors that only one document has are dropped after a count. The rest are grouped by anchor and sent with
-their words, a run of neighbouring suffixes at once; each group is sorted into its subtrees, whose deep internal nodes
-tell the smallest document of each repeat. Groups too large for one task get the longest prefix, all WINDOW words, and
-are pre-aggregated by it before they are dealt out.
+A suffix is a document from some word on; only suffixes of at least WINDOW words matter, and the trees are cut at that
+depth: what is longer than a window is a chain of nodes that deep, one for each word. The tree is never built whole. The
+suffixes are split by variable-length prefixes: a suffix's prefix runs from its first word to the end of its anchor, the
+least-hashed of the shingles of ANCHORS[0] words in its first WINDOW words. Suffixes with different anchors share no node
+WINDOW deep, so those of one anchor make a group of subtrees of their own; neighbouring suffixes mostly have one anchor
+and are sent together as a run of words. A group of more than MAX_GROUP suffixes is too large for a task, and its
+prefixes are lengthened: its suffixes are anchored anew by longer shingles, until every group fits or the prefix is all
+WINDOW words long and is itself the node. Before that, runs of equal words are made one, so that copies count once.
+
+Each group is sorted into a suffix array with the lengths of common prefixes of its neighbours. The array's ranges whose
+neighbours share WINDOW words are the deep internal nodes: the smallest document below one owns its passage, and the
+chains of marked nodes are the maximal repeats.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +28,18 @@ from tessera.llm.common import materialize
 
 #: Fixed value of the contract: words to a window.
 WINDOW = 50
-#: Words to an anchor shingle.
-ANCHOR = 8
-#: Anchors with more runs than this are dealt out by their whole windows.
-MAX_GROUP = 10_000
+#: Words to an anchor: a prefix ends with one; the longer ones are for groups that are too large.
+ANCHORS = (8, 16, 32)
+#: Most suffixes of a group that are sorted in one task.
+MAX_GROUP = 20_000
 #: Suffixes to a run: a word said ten thousand times over is one anchor all along.
 MAX_RUN = 2048
 #: Positions of a long document that are searched for anchors at a time.
 BLOCK = 1 << 18
+#: Words that a task sorts at a time, in whole groups.
+BATCH_WORDS = 400_000
+#: Rows of a content that many documents share are joined in so many parts.
+SALTS = 8
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
@@ -59,35 +65,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def anchors(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """The words joined by one space, where each begins and ends, and of each run of suffixes with one anchor its key,
-    its first suffix and the one after its last; None for a text with no window."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    n = len(words)
-    if n < WINDOW:
-        return None
-    whole = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+def _runs_of(whole: bytes, ends: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, joined by one space and ending where told, as runs of suffixes with one anchor: its key, the first
+    suffix of the run and the one after its last."""
+    n = len(ends)
     starts = np.concatenate([[0], ends[:-1] + 1])
     _grow(len(whole))
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.frombuffer(whole, np.uint8).astype(np.uint64) * _powers[: len(whole)], dtype=np.uint64)])
-        first, last = starts[: n - ANCHOR + 1], ends[ANCHOR - 1 :]
+        first, last = starts[: n - anchor + 1], ends[anchor - 1 :]
         hashes = _mix((sums[last] - sums[first]) * _inverse[first])
-    reach = WINDOW - ANCHOR + 1
+    reach = WINDOW - anchor + 1
     views = np.lib.stride_tricks.sliding_window_view(hashes, reach)
     least = np.concatenate([views[k : k + BLOCK].min(axis=1) for k in range(0, len(views), BLOCK)])
     # a run ends where the least hash changes; where it stays, the shingle is the same, if not its place
     changes = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     since = np.arange(len(least)) - np.repeat(changes, np.diff(np.append(changes, len(least))))
     low = np.flatnonzero(since % MAX_RUN == 0)
-    return whole, starts, ends, least[low].view(np.int64), low, np.append(low[1:], len(least))
+    return least[low].view(np.int64), low, np.append(low[1:], len(least))
+
+
+def _ends(whole: bytes) -> np.ndarray:
+    return np.append(np.flatnonzero(np.frombuffer(whole, np.uint8) == 32), len(whole))
+
+
+def anchors(text: str | None, anchor: int = ANCHORS[0]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The words joined by one space, where each ends, and _runs_of them; None for a text with no window."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    if len(words) < WINDOW:
+        return None
+    whole = b" ".join(words)
+    ends = _ends(whole)
+    return whole, ends, *_runs_of(whole, ends, anchor)
 
 
 _KEYS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("own", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 _RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("own", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 _SPANS = pa.schema([("doc", pa.int64()), ("own", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
-_PREFIXES = pa.schema([("prefix", pa.binary()), ("content", pa.string()), ("k", pa.int32()), ("least", pa.int64())])
+_PARTS = pa.schema([("key", pa.int64()), ("content", pa.string()), ("least", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+_OWNED = pa.schema([("content", pa.string()), ("low", pa.int32()), ("high", pa.int32())])
+_WINDOWS = pa.schema([("words", pa.binary()), ("content", pa.string()), ("least", pa.int64()), ("k", pa.int32())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -106,7 +123,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, own, text in zip(b.column("doc_id").to_pylist(), b.column("own").to_pylist(), b.column("text"), strict=True):
             found = anchors(text.as_py()) if doc is not None else None
             if found:
-                _, _, _, keys, low, high = found
+                _, _, keys, low, high = found
                 parts.append((keys, np.full(len(keys), doc), np.full(len(keys), own), low, high))
         if parts:
             yield _batch([np.concatenate(x) for x in zip(*parts, strict=True)], _KEYS)
@@ -119,7 +136,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         for doc, own, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("own").to_pylist(), b.column("text"), b.column("wanted").to_pylist(), strict=True):
             whole = b" ".join(text.as_py().encode("utf-8", "surrogatepass").split())
-            ends = [-1, *_spaces(whole), len(whole)]
+            ends = [-1, *_ends(whole).tolist()]
             for w in wanted:
                 words = whole[ends[w["low"]] + 1 : ends[w["high"] + WINDOW - 1]]
                 for column, value in zip(out, (w["key"], doc, own, w["low"], words), strict=True):
@@ -132,109 +149,186 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(out, _RUNS)
 
 
-def suffixes_of(words: bytes) -> list[bytes]:
-    """The windows of a run in order: each suffix of it, cut at the depth that matters."""
-    ends = [-1, *_spaces(words), len(words)]
-    return [words[ends[i] + 1 : ends[i + WINDOW]] for i in range(len(ends) - WINDOW)]
+# -- suffix arrays --------------------------------------------------------------------------------------------------
+
+
+def suffix_array(words: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in the order of their first WINDOW words, and of each how many of these it shares with the one
+    before it (0 for the first). words: numbers, equal for equal words; at least WINDOW follow from each suffix on.
+
+    By prefix doubling: ranks by h words give those by 2 h, and the ranks tell common lengths too."""
+    n, h = len(words), 1
+    ranks = {1: np.unique(words, return_inverse=True)[1].astype(np.int64)}
+    while 2 * h <= WINDOW:
+        held = ranks[h]
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - h] = held[h:]  # what runs past the end of the array is in no suffix
+        ranks[2 * h] = np.unique(held * (held.max() + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+        h *= 2
+    deep = ranks[h]
+    order = suffixes[np.lexsort([deep[suffixes + WINDOW - h], deep[suffixes]])]
+    shared = np.zeros(max(0, len(order) - 1), np.int64)
+    a, b = order[:-1], order[1:]
+    for h in sorted(ranks, reverse=True):
+        inside = np.minimum(np.maximum(a, b) + shared, n - 1) + h <= n
+        at_a, at_b = np.minimum(a + shared, n - 1), np.minimum(b + shared, n - 1)
+        shared += np.where(inside & (ranks[h][at_a] == ranks[h][at_b]), h, 0)
+    return order, np.concatenate([[0], np.minimum(shared, WINDOW)])[: len(order)]
+
+
+def deep_nodes(lcp: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The tree's internal nodes of this depth, as ranges (low, high) of the suffix array."""
+    low = np.flatnonzero(lcp < depth)
+    high = np.append(low[1:], len(lcp))
+    several = high - low > 1
+    return low[several], high[several]
+
+
+def owned_elsewhere(contents: list[bytes], least: np.ndarray) -> list[tuple[int, int, int]]:
+    """(content, first suffix, one after the last): the maximal repeats of each content of which a smaller document than
+    its own least one has every window too. contents are distinct and have a window each."""
+    numbers: dict[bytes, int] = {}
+    split = b" ".join(contents).split(b" ")
+    words = np.fromiter((numbers.setdefault(w, len(numbers)) for w in split), np.int64, len(split))
+    sizes = np.fromiter((c.count(b" ") + 1 for c in contents), np.int64, len(contents))
+    many = sizes - (WINDOW - 1)
+    of = np.repeat(np.arange(len(contents)), many)
+    begin = np.cumsum(sizes) - sizes
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    order, lcp = suffix_array(words, begin[of] + offset)
+    low, high = deep_nodes(lcp)
+    if not len(low):
+        return []
+    where = np.full(len(words), -1, np.int64)
+    where[begin[of] + offset] = np.arange(len(of))
+    below = where[order]  # suffixes, numbered in the order of the contents
+    lengths = high - low
+    inside = np.repeat(low, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    members = below[inside]
+    owner = np.minimum.reduceat(least[of[members]], np.cumsum(lengths) - lengths)
+    marked = np.sort(members[least[of[members]] > np.repeat(owner, lengths)])
+    if not len(marked):
+        return []
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(marked) != 1) | (np.diff(of[marked]) != 0)]))
+    first, last = marked[edge], marked[np.append(edge[1:], len(marked)) - 1]
+    return list(zip(of[first].tolist(), offset[first].tolist(), (offset[last] + 1).tolist(), strict=True))
 
 
-def _spaces(words: bytes) -> list[int]:
-    return np.flatnonzero(np.frombuffer(words, np.uint8) == 32).tolist()
+def _in_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """The rows, sorted by key, as lists of whole groups with about BATCH_WORDS words."""
+    held, size, key = [], 0, None
+    for b in batches:
+        for k, *row in zip(*(b.column(c).to_pylist() for c in ["key", *names]), strict=True):
+            if k != key:
+                if size > 6 * BATCH_WORDS:
+                    yield held
+                    held, size = [], 0
+                key = k
+            held.append(tuple(row))
+            size += len(row[-1])
+    if held:
+        yield held
+
+
+def _grouped(schema: pa.Schema, owner: str, identity: list[str], out_schema: pa.Schema):
+    """Rows of schema, sorted by key, as spans of the suffixes that a smaller document than the row's owner has; a
+    row is told by its identity. Runs of equal words are sorted as one."""
+    names = schema.names[1:]
+    doc, start, words, who = names.index(owner), names.index("start"), names.index("words"), [names.index(x) for x in identity]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _in_groups(batches, names):
+            least: dict[bytes, int] = {}
+            for r in rows:
+                least[r[words]] = min(r[doc], least.get(r[words], r[doc]))
+            contents = list(least)
+            repeats: dict[bytes, list[tuple[int, int]]] = {}
+            for c, low, high in owned_elsewhere(contents, np.fromiter(least.values(), np.int64, len(least))):
+                repeats.setdefault(contents[c], []).append((low, high))
+            out = []
+            for r in rows:
+                own = tuple(r[k] for k in who)
+                # of a run that a smaller document has too, every suffix
+                spans = [(0, r[words].count(b" ") + 2 - WINDOW)] if r[doc] > least[r[words]] else repeats.get(r[words], ())
+                out += [(*own, r[start] + low, r[start] + high) for low, high in spans]
+            if out:
+                yield _batch(list(zip(*out, strict=True)), out_schema)
 
+    return run
 
-def subtree(runs: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-    """Of the runs (doc, own, start, words) of one anchor: (doc, own, first suffix, one after the last) of
-    those suffixes that a smaller document has too.
 
-    The suffixes are sorted, so that the tree's nodes are ranges of them; a range whose neighbours share WINDOW words is
-    a deep internal node, and the smallest document below it owns the passage.
-    """
-    first = runs[0][0]
-    if all(r[0] == first for r in runs):
-        return []
-    suffixes = [(s, r, k) for r, run in enumerate(runs) for k, s in enumerate(suffixes_of(run[3]))]
-    suffixes.sort()
-    marked: dict[int, list[int]] = {}
-    at = 0
-    while at < len(suffixes):
-        end, word = at + 1, suffixes[at][0]
-        while end < len(suffixes) and suffixes[end][0] == word:
-            end += 1
-        if end - at > 1:
-            below = suffixes[at:end]
-            owner = min(runs[r][0] for _, r, _ in below)
-            for _, r, k in below:
-                if runs[r][0] > owner:
-                    marked.setdefault(r, []).append(k)
-        at = end
-    out = []
-    for r, ks in marked.items():
-        doc, own, start, _ = runs[r]
-        ks.sort()
-        low = previous = ks[0]
-        for k in [*ks[1:], -1]:
-            if k != previous + 1:
-                out.append((doc, own, start + low, start + previous + 1))
-                low = k
-            previous = k
-    return out
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of _runs, sorted by key, as spans of repeated suffixes."""
-    key, runs, out = None, [], []
-    for b in batches:
-        for k, *run in zip(*(b.column(c).to_pylist() for c in _RUNS.names), strict=True):
-            if k != key:
-                if len(runs) > 1:
-                    out += subtree(runs)
-                key, runs = k, []
-            runs.append(tuple(run))
-        if len(out) > 50_000:
-            yield _batch(list(zip(*out, strict=True)), _SPANS)
+# -- groups that are too large --------------------------------------------------------------------------------------
+
+
+def _anchored(anchor: int):
+    """Rows of content, least, start and words, as rows of _PARTS by anchors of this length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-    if len(runs) > 1:
-        out += subtree(runs)
-    if out:
-        yield _batch(list(zip(*out, strict=True)), _SPANS)
+            for content, least, start, words in zip(*(b.column(c).to_pylist() for c in ("content", "least", "start", "words")), strict=True):
+                ends = _ends(words)
+                keys, lows, highs = _runs_of(words, ends, anchor)
+                for key, low, high in zip(keys.tolist(), lows.tolist(), highs.tolist(), strict=True):
+                    begin = int(ends[low - 1]) + 1 if low else 0
+                    out.append((key, content, least, start + low, high - low, words[begin : ends[high + WINDOW - 2]]))
+            if out:
+                yield _batch(list(zip(*out, strict=True)), _PARTS)
 
+    return run
 
-def _whole_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each suffix of a distinct run by itself, with the digest of all its WINDOW words."""
-    for b in batches:
-        out: list[list] = [[], [], [], []]
-        for content, least, words in zip(*(b.column(c).to_pylist() for c in ("content", "least", "words")), strict=True):
-            found = [xxhash.xxh3_128_digest(s) for s in suffixes_of(words)]
-            out[0] += found
-            out[1] += [content] * len(found)
-            out[2] += range(len(found))
-            out[3] += [least] * len(found)
-        yield _batch(out, _PREFIXES)
-
-
-def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spans of each run whose suffixes have a smaller owner; owners are in the order of the suffixes."""
+
+def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each suffix by itself, with the longest prefix: all its WINDOW words."""
     for b in batches:
         out = []
-        for doc, own, start, owners in zip(*(b.column(c).to_pylist() for c in ("doc", "own", "start", "owners")), strict=True):
-            smaller = np.concatenate([[False], np.array(owners, np.int64) < doc, [False]])
-            edges = np.flatnonzero(smaller[1:] != smaller[:-1])
-            out += [(doc, own, start + low, start + high) for low, high in edges.reshape(-1, 2).tolist()]
+        for content, least, start, words in zip(*(b.column(c).to_pylist() for c in ("content", "least", "start", "words")), strict=True):
+            ends = [-1, *_ends(words).tolist()]
+            out += [(words[ends[k] + 1 : ends[k + WINDOW]], content, least, start + k) for k in range(len(ends) - WINDOW)]
         if out:
-            yield _batch(list(zip(*out, strict=True)), _SPANS)
-
-
-def hot_spans(runs: DataFrame) -> DataFrame:
-    """The spans of runs (key, doc, own, start, words) whose groups are too large for one task.
-
-    Runs of equal words are one content. Contents and, below them, whole prefixes are aggregated before they are dealt
-    out, so that what many documents share is told once for each task that reads it."""
-    keyed = runs.withColumn("content", F.sha2("words", 256))
-    contents = keyed.groupBy("content").agg(F.min("doc").alias("least"), F.first("words").alias("words"))
-    each = contents.mapInArrow(_whole_prefixes, _ddl(_PREFIXES))
-    owners = each.groupBy("prefix").agg(F.min("least").alias("owner"))
-    told = each.join(owners, "prefix").groupBy("content").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "owner"))), lambda x: x["owner"]).alias("owners"))
-    return keyed.select("doc", "own", "start", "content").join(told, "content").mapInArrow(_owned, _ddl(_SPANS))
+            yield _batch(list(zip(*out, strict=True)), _WINDOWS)
+
+
+def _salted(one: DataFrame, many: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """many joined with one, which has a row for each key; the rows of a key are dealt out over SALTS tasks."""
+    spread = one.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(spread, [key, "_salt"]).drop("_salt")
+
+
+def lengthened(runs: DataFrame, max_group: int) -> DataFrame:
+    """The spans of runs (key, doc, own, start, words) of groups that are too large for one task."""
+    keyed = runs.select("doc", "own", "start", "words", F.sha2("words", 256).alias("content"))
+    contents = materialize(keyed.groupBy("content").agg(F.min("doc").alias("least"), F.first("words").alias("words")))
+    rest, owned = contents.select("content", "least", F.lit(0).alias("start"), "words"), None
+    for anchor in ANCHORS[1:]:
+        parts = materialize(rest.mapInArrow(_anchored(anchor), _ddl(_PARTS)))
+        sizes = parts.groupBy("key").agg(F.sum("n").alias("size"), F.min("content").alias("_a"), F.max("content").alias("_b"))
+        shared = materialize(sizes.where("_a < _b").select("key", "size"))
+        fits = parts.join(shared.where(F.col("size") <= max_group).select("key"), "key", "left_semi")
+        found = fits.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_PARTS, "least", ["content"], _OWNED), _ddl(_OWNED))
+        owned = found if owned is None else owned.union(found)
+        large = shared.where(F.col("size") > max_group).select("key")
+        rest = parts.join(large, "key", "left_semi").select("content", "least", "start", "words")
+        if not large.limit(1).count():
+            break
+    # prefixes of WINDOW words are nodes themselves: their least documents are counted before they are dealt out
+    windows = materialize(rest.mapInArrow(_whole_windows, _ddl(_WINDOWS)))
+    if windows.limit(1).count():
+        owners = windows.groupBy("words").agg(F.min("least").alias("owner"))
+        found = _salted(owners, windows, "words", ["content", "k"]).where("owner < least")
+        owned = owned.union(found.select("content", F.col("k").alias("low"), (F.col("k") + 1).alias("high")))
+    owned = owned.groupBy("content").agg(F.collect_set(F.struct("low", "high")).alias("owned"))
+    told = contents.select("content", "least").join(owned, "content", "left")
+    text = F.col("words").cast("string")
+    many = F.length(text) - F.length(F.translate(text, " ", "")) + 2 - WINDOW
+    each = keyed.withColumn("many", many.cast("int")).drop("words")
+    whole = F.array(F.struct(F.lit(0).alias("low"), F.col("many").alias("high")))
+    spans = F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("owned"))
+    out = _salted(told, each, "content", ["doc", "own", "start"]).select("doc", "own", "start", F.explode(spans).alias("s"))
+    return out.select("doc", "own", (F.col("start") + F.col("s.low")).cast("int").alias("low"), (F.col("start") + F.col("s.high")).cast("int").alias("high"))
+
+
+# -- documents ------------------------------------------------------------------------------------------------------
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -246,36 +340,37 @@ def _with_key(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """(doc, own, low, high): the suffixes low to high - 1 of a document repeat a passage of a smaller doc_id."""
+    """(doc, own, low, high): the suffixes low to high - 1 of a document repeat a passage of a smaller doc_id. Repeated
+    rows have the spans of one, which may be told as often as the row is."""
     keyed = _with_key(docs)
     keys = materialize(keyed.mapInArrow(_keys, _ddl(_KEYS)))
-    counted = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
-    shared = materialize(counted.where("least < most").select("key", "n"))
+    counted = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.sum(F.col("high") - F.col("low")).alias("size"))
+    shared = materialize(counted.where("least < most").select("key", "size"))
 
     def runs(own_keys: DataFrame) -> DataFrame:
         """Only runs of shared anchors are sent with their words."""
-        wanted = keys.join(own_keys.select("key"), "key").groupBy("doc", "own").agg(F.collect_list(F.struct("key", "low", "high")).alias("wanted"))
+        wanted = keys.join(own_keys.select("key"), "key").groupBy("doc", "own").agg(F.collect_set(F.struct("key", "low", "high")).alias("wanted"))
         wanted = wanted.withColumnRenamed("own", "_own")
         return keyed.join(wanted, (F.col("id") == F.col("doc")) & (F.col("own") == F.col("_own"))).select("doc_id", "text", "own", "wanted").mapInArrow(_runs, _ddl(_RUNS))
 
-    usual = runs(shared.where(F.col("n") <= max_group))
-    spans = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped, _ddl(_SPANS))
-    hot = shared.where(F.col("n") > max_group)
-    if hot.limit(1).count():
-        spans = spans.union(hot_spans(runs(hot)))
+    usual = runs(shared.where(F.col("size") <= max_group))
+    spans = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_RUNS, "doc", ["doc", "own"], _SPANS), _ddl(_SPANS))
+    large = shared.where(F.col("size") > max_group)
+    if large.limit(1).count():
+        spans = spans.union(lengthened(materialize(runs(large)), max_group))
     return spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n_words, n_removed, digests, kept = [], [], [], []
-        for text, low, high in zip(b.column("text"), b.column("lows").to_pylist(), b.column("highs").to_pylist(), strict=True):
+        for text, spans in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
             n = len(words)
-            if low:
+            if spans:
                 depth = np.zeros(n + 1, np.int32)
-                np.add.at(depth, low, 1)
-                np.add.at(depth, np.array(high) + WINDOW - 1, -1)
+                np.add.at(depth, [s["low"] for s in spans], 1)
+                np.add.at(depth, [s["high"] + WINDOW - 1 for s in spans], -1)
                 stay = np.cumsum(depth[:n]) == 0
                 words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
             whole = b" ".join(words)
@@ -296,9 +391,9 @@ def deduplicated(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     columns are ignored. An empty table gives no rows.
     """
     spans = repeated_spans(docs, max_group)
-    marks = spans.groupBy("doc", "own").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")).withColumnRenamed("own", "_own")
+    marks = spans.groupBy("doc", "own").agg(F.collect_set(F.struct("low", "high")).alias("spans")).withColumnRenamed("own", "_own")
     joined = _with_key(docs).join(marks, (F.col("id") == F.col("doc")) & (F.col("own") == F.col("_own")), "left")
-    return joined.select("doc_id", "text", "lows", "highs").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
