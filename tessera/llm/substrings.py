@@ -38,6 +38,8 @@ MAX_RUN = 2048
 BLOCK = 1 << 18
 #: Words that a task sorts at a time, in whole groups.
 BATCH_WORDS = 400_000
+#: Digests of runs that a task remembers to have sent.
+MAX_SENT = 500_000
 #: Rows of a content that many documents share are joined in so many parts.
 SALTS = 8
 
@@ -100,15 +102,15 @@ def anchors(text: str | None, anchor: int = ANCHORS[0]) -> tuple[bytes, np.ndarr
 
 
 _KEYS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("own", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
-_RUNS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("own", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+_RUNS = pa.schema([("key", pa.int64()), ("large", pa.bool_()), ("doc", pa.int64()), ("own", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("content", pa.binary()), ("words", pa.binary())])
 _SPANS = pa.schema([("doc", pa.int64()), ("own", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
-_PARTS = pa.schema([("key", pa.int64()), ("content", pa.string()), ("least", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-_OWNED = pa.schema([("content", pa.string()), ("low", pa.int32()), ("high", pa.int32())])
-_WINDOWS = pa.schema([("words", pa.binary()), ("content", pa.string()), ("least", pa.int64()), ("k", pa.int32())])
+_PARTS = pa.schema([("key", pa.int64()), ("whole", pa.binary()), ("least", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("content", pa.binary()), ("words", pa.binary())])
+_OWNED = pa.schema([("whole", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
+_WINDOWS = pa.schema([("words", pa.binary()), ("whole", pa.binary()), ("least", pa.int64()), ("k", pa.int32())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.bool_(): "boolean"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -129,8 +131,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch([np.concatenate(x) for x in zip(*parts, strict=True)], _KEYS)
 
 
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted runs of each document, with the words that their windows cover."""
+    """The wanted runs of each document, with the digest of the words that their windows cover, and the words themselves
+    where a task meets them first: copies are not sent again."""
+    sent: set[bytes] = set()
     for b in batches:
         out: list[list] = [[] for _ in _RUNS]
         size = 0
@@ -138,13 +146,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = b" ".join(text.as_py().encode("utf-8", "surrogatepass").split())
             ends = [-1, *_ends(whole).tolist()]
             for w in wanted:
-                words = whole[ends[w["low"]] + 1 : ends[w["high"] + WINDOW - 1]]
-                for column, value in zip(out, (w["key"], doc, own, w["low"], words), strict=True):
+                low, high = w["low"], w["high"]
+                words = whole[ends[low] + 1 : ends[high + WINDOW - 1]]
+                content = _digest(words)
+                known = content in sent
+                sent.add(content)
+                for column, value in zip(out, (w["key"], w["large"], doc, own, low, high - low, content, None if known else words), strict=True):
                     column.append(value)
-                size += len(words)
+                size += 100 if known else len(words)
             if size > 8 << 20:
                 yield _batch(out, _RUNS)
                 out, size = [[] for _ in _RUNS], 0
+            if len(sent) > MAX_SENT:
+                sent.clear()
         if out[0]:
             yield _batch(out, _RUNS)
 
@@ -225,7 +239,7 @@ def _in_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
                     held, size = [], 0
                 key = k
             held.append(tuple(row))
-            size += len(row[-1])
+            size += len(row[-1] or b"")
     if held:
         yield held
 
@@ -234,22 +248,26 @@ def _grouped(schema: pa.Schema, owner: str, identity: list[str], out_schema: pa.
     """Rows of schema, sorted by key, as spans of the suffixes that a smaller document than the row's owner has; a
     row is told by its identity. Runs of equal words are sorted as one."""
     names = schema.names[1:]
-    doc, start, words, who = names.index(owner), names.index("start"), names.index("words"), [names.index(x) for x in identity]
+    doc, start, n, content, who = *map(names.index, (owner, "start", "n", "content")), [names.index(x) for x in identity]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _in_groups(batches, names):
             least: dict[bytes, int] = {}
+            words: dict[bytes, bytes] = {}
             for r in rows:
-                least[r[words]] = min(r[doc], least.get(r[words], r[doc]))
+                c = r[content]
+                least[c] = min(r[doc], least.get(c, r[doc]))
+                if r[-1] is not None:
+                    words[c] = r[-1]
             contents = list(least)
             repeats: dict[bytes, list[tuple[int, int]]] = {}
-            for c, low, high in owned_elsewhere(contents, np.fromiter(least.values(), np.int64, len(least))):
+            for c, low, high in owned_elsewhere([words[c] for c in contents], np.fromiter(least.values(), np.int64, len(least))):
                 repeats.setdefault(contents[c], []).append((low, high))
             out = []
             for r in rows:
                 own = tuple(r[k] for k in who)
                 # of a run that a smaller document has too, every suffix
-                spans = [(0, r[words].count(b" ") + 2 - WINDOW)] if r[doc] > least[r[words]] else repeats.get(r[words], ())
+                spans = [(0, r[n])] if r[doc] > least[r[content]] else repeats.get(r[content], ())
                 out += [(*own, r[start] + low, r[start] + high) for low, high in spans]
             if out:
                 yield _batch(list(zip(*out, strict=True)), out_schema)
@@ -261,17 +279,17 @@ def _grouped(schema: pa.Schema, owner: str, identity: list[str], out_schema: pa.
 
 
 def _anchored(anchor: int):
-    """Rows of content, least, start and words, as rows of _PARTS by anchors of this length."""
+    """Rows of whole, least, start and words, as rows of _PARTS by anchors of this length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for content, least, start, words in zip(*(b.column(c).to_pylist() for c in ("content", "least", "start", "words")), strict=True):
+            for whole, least, start, words in zip(*(b.column(c).to_pylist() for c in ("whole", "least", "start", "words")), strict=True):
                 ends = _ends(words)
                 keys, lows, highs = _runs_of(words, ends, anchor)
                 for key, low, high in zip(keys.tolist(), lows.tolist(), highs.tolist(), strict=True):
-                    begin = int(ends[low - 1]) + 1 if low else 0
-                    out.append((key, content, least, start + low, high - low, words[begin : ends[high + WINDOW - 2]]))
+                    part = words[int(ends[low - 1]) + 1 if low else 0 : ends[high + WINDOW - 2]]
+                    out.append((key, whole, least, start + low, high - low, _digest(part), part))
             if out:
                 yield _batch(list(zip(*out, strict=True)), _PARTS)
 
@@ -282,47 +300,43 @@ def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Each suffix by itself, with the longest prefix: all its WINDOW words."""
     for b in batches:
         out = []
-        for content, least, start, words in zip(*(b.column(c).to_pylist() for c in ("content", "least", "start", "words")), strict=True):
+        for whole, least, start, words in zip(*(b.column(c).to_pylist() for c in ("whole", "least", "start", "words")), strict=True):
             ends = [-1, *_ends(words).tolist()]
-            out += [(words[ends[k] + 1 : ends[k + WINDOW]], content, least, start + k) for k in range(len(ends) - WINDOW)]
+            out += [(words[ends[k] + 1 : ends[k + WINDOW]], whole, least, start + k) for k in range(len(ends) - WINDOW)]
         if out:
             yield _batch(list(zip(*out, strict=True)), _WINDOWS)
 
 
 def _salted(one: DataFrame, many: DataFrame, key: str, by: list[str]) -> DataFrame:
     """many joined with one, which has a row for each key; the rows of a key are dealt out over SALTS tasks."""
-    spread = one.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    spread = one.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))).hint("shuffle_merge")
     return many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(spread, [key, "_salt"]).drop("_salt")
 
 
 def lengthened(runs: DataFrame, max_group: int) -> DataFrame:
-    """The spans of runs (key, doc, own, start, words) of groups that are too large for one task."""
-    keyed = runs.select("doc", "own", "start", "words", F.sha2("words", 256).alias("content"))
-    contents = materialize(keyed.groupBy("content").agg(F.min("doc").alias("least"), F.first("words").alias("words")))
-    rest, owned = contents.select("content", "least", F.lit(0).alias("start"), "words"), None
+    """The spans of runs (rows of _RUNS) of groups that are too large for one task."""
+    contents = materialize(runs.groupBy(F.col("content").alias("whole")).agg(F.min("doc").alias("least"), F.first("words", ignorenulls=True).alias("words")))
+    rest, owned = contents.select("whole", "least", F.lit(0).alias("start"), "words"), None
     for anchor in ANCHORS[1:]:
         parts = materialize(rest.mapInArrow(_anchored(anchor), _ddl(_PARTS)))
-        sizes = parts.groupBy("key").agg(F.sum("n").alias("size"), F.min("content").alias("_a"), F.max("content").alias("_b"))
-        shared = materialize(sizes.where("_a < _b").select("key", "size"))
-        fits = parts.join(shared.where(F.col("size") <= max_group).select("key"), "key", "left_semi")
-        found = fits.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_PARTS, "least", ["content"], _OWNED), _ddl(_OWNED))
+        sizes = parts.groupBy("key").agg(F.sum("n").alias("size"), F.min("whole").alias("_a"), F.max("whole").alias("_b"))
+        # a prefix of one content only repeats nowhere else
+        dealt = materialize(parts.join(sizes.where("_a < _b").select("key", "size").hint("shuffle_merge"), "key"))
+        found = dealt.where(F.col("size") <= max_group).drop("size").repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_PARTS, "least", ["whole"], _OWNED), _ddl(_OWNED))
         owned = found if owned is None else owned.union(found)
-        large = shared.where(F.col("size") > max_group).select("key")
-        rest = parts.join(large, "key", "left_semi").select("content", "least", "start", "words")
-        if not large.limit(1).count():
+        rest = dealt.where(F.col("size") > max_group).select("whole", "least", "start", "words")
+        if not rest.limit(1).count():
             break
-    # prefixes of WINDOW words are nodes themselves: their least documents are counted before they are dealt out
-    windows = materialize(rest.mapInArrow(_whole_windows, _ddl(_WINDOWS)))
-    if windows.limit(1).count():
+    else:
+        # prefixes of WINDOW words are nodes themselves: their least documents are found before they are dealt out
+        windows = materialize(rest.mapInArrow(_whole_windows, _ddl(_WINDOWS)))
         owners = windows.groupBy("words").agg(F.min("least").alias("owner"))
-        found = _salted(owners, windows, "words", ["content", "k"]).where("owner < least")
-        owned = owned.union(found.select("content", F.col("k").alias("low"), (F.col("k") + 1).alias("high")))
-    owned = owned.groupBy("content").agg(F.collect_set(F.struct("low", "high")).alias("owned"))
-    told = contents.select("content", "least").join(owned, "content", "left")
-    text = F.col("words").cast("string")
-    many = F.length(text) - F.length(F.translate(text, " ", "")) + 2 - WINDOW
-    each = keyed.withColumn("many", many.cast("int")).drop("words")
-    whole = F.array(F.struct(F.lit(0).alias("low"), F.col("many").alias("high")))
+        found = _salted(owners, windows, "words", ["whole", "k"]).where("owner < least")
+        owned = owned.union(found.select("whole", F.col("k").alias("low"), (F.col("k") + 1).alias("high")))
+    owned = owned.groupBy("whole").agg(F.collect_set(F.struct("low", "high")).alias("owned"))
+    told = contents.select("whole", "least").join(owned, "whole", "left").withColumnRenamed("whole", "content")
+    each = runs.select("doc", "own", "start", "n", "content")
+    whole = F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high")))
     spans = F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("owned"))
     out = _salted(told, each, "content", ["doc", "own", "start"]).select("doc", "own", "start", F.explode(spans).alias("s"))
     return out.select("doc", "own", (F.col("start") + F.col("s.low")).cast("int").alias("low"), (F.col("start") + F.col("s.high")).cast("int").alias("high"))
@@ -345,20 +359,14 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     keyed = _with_key(docs)
     keys = materialize(keyed.mapInArrow(_keys, _ddl(_KEYS)))
     counted = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.sum(F.col("high") - F.col("low")).alias("size"))
-    shared = materialize(counted.where("least < most").select("key", "size"))
-
-    def runs(own_keys: DataFrame) -> DataFrame:
-        """Only runs of shared anchors are sent with their words."""
-        wanted = keys.join(own_keys.select("key"), "key").groupBy("doc", "own").agg(F.collect_set(F.struct("key", "low", "high")).alias("wanted"))
-        wanted = wanted.withColumnRenamed("own", "_own")
-        return keyed.join(wanted, (F.col("id") == F.col("doc")) & (F.col("own") == F.col("_own"))).select("doc_id", "text", "own", "wanted").mapInArrow(_runs, _ddl(_RUNS))
-
-    usual = runs(shared.where(F.col("size") <= max_group))
+    shared = counted.where("least < most").select("key", (F.col("size") > max_group).alias("large"))
+    # only runs of shared anchors are sent with their words
+    wanted = keys.join(shared, "key").groupBy("doc", F.col("own").alias("_own")).agg(F.collect_set(F.struct("key", "large", "low", "high")).alias("wanted"))
+    holders = keyed.join(wanted, (F.col("id") == F.col("doc")) & (F.col("own") == F.col("_own"))).select("doc_id", "text", "own", "wanted")
+    runs = materialize(holders.mapInArrow(_runs, _ddl(_RUNS)))
+    usual, large = runs.where("NOT large"), runs.where("large")
     spans = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_RUNS, "doc", ["doc", "own"], _SPANS), _ddl(_SPANS))
-    large = shared.where(F.col("size") > max_group)
-    if large.limit(1).count():
-        spans = spans.union(lengthened(materialize(runs(large)), max_group))
-    return spans
+    return spans.union(lengthened(large, max_group)) if large.limit(1).count() else spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
