@@ -3,17 +3,24 @@
 Each entity is read as a number in the space of all entities of its type and format: its template says which characters
 stay and which alphabet every other one is from. A keyed permutation of that space, conjugated with a step of one, gives
 the surrogate: the same entity always has the same surrogate (coreference), two entities never share one (distinctness),
-and none is its own; this holds across a corpus of any size without a table of what has been seen. ``collisions``
-checks it on what was in fact replaced.
+and none is its own; this holds across a corpus of any size without a table of what has been seen, and whoever has the
+key can turn it back. A given name of the lists becomes another of its gender and script; any other word of a name keeps
+its length, its pattern of vowels and consonants, and its ending, which tells gender where the title doesn't.
+
+Within each document, what was found is checked for collisions: a name's surrogate that the document has as a word of its
+own, or that stands for another name already, gives way to the next in the permutation's orbit. ``collisions`` checks a
+corpus's replacements.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 from hashlib import blake2b
 from math import isqrt
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -51,14 +58,14 @@ GIVEN_MASCULINE = frozenset(
     "Mohammed Muhammad Ahmed Ali Omar Hassan Rahul Arjun Hiroshi Kenji Ivan Dmitri Sergei Vladimir Alexei Mikhail Nikolai Boris "
     "Иван Александр Сергей Дмитрий Алексей Андрей Михаил Владимир Николай Павел Юрий Борис Олег Виктор Γιώργος Δημήτρης Κωνσταντίνος Νίκος Ιωάννης".split()
 )
-#: Alphabets of names by script: lower-case letters in order.
-SCRIPTS = {"Latin": LOWER, "Cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "Greek": "αβγδεζηθικλμνξοπρστυφχψω"}
-#: Consonants and vowels of invented names, by script, and the endings of given names (feminine, masculine).
-SOUNDS = {
-    "Latin": ("bdfgklmnprstvz", "aeiou", ("na", "rek")),
-    "Cyrillic": ("бвгдзклмнпрст", "аеиоу", ("на", "ров")),
-    "Greek": ("βγδκλμνπρστφ", "αειου", ("να", "νος")),
-}
+#: Letters of names by script: vowels and consonants, plain and accented, each in order; other letters stay.
+LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çćčłńñśšźžß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
+_LETTERS = {c: letters for letters in LETTERS for c in letters}
+#: Given names by gender and script, in order; a word's list and its place there.
+_GIVEN_LISTS = [
+    sorted(n for n in names if unicodedata.name(n[0]).startswith(script)) for names in (GIVEN_FEMININE, GIVEN_MASCULINE) for script in ("LATIN", "CYRILLIC", "GREEK")
+]
+_GIVEN = {n: (k, i) for k, names in enumerate(_GIVEN_LISTS) for i, n in enumerate(names)}
 
 
 _BETWEEN = regex.compile(r"(\s+|-|['’]s(?!\p{L}))")
@@ -105,20 +112,37 @@ class Permutation:
             x = step(x)
         return x
 
-    def __call__(self, x: int) -> int:
+    def __call__(self, x: int, step: int = 1) -> int:
+        """step -1 gives back what 1 made."""
         if self.size < 2:
             return x
-        return self._walk(self._back, (self._walk(self._forth, x) + 1) % self.size)
+        return self._walk(self._back, (self._walk(self._forth, x) + step) % self.size)
+
+
+class Key(NamedTuple):
+    value: bytes
+    step: int = 1
+
 
+_permutation = lru_cache(maxsize=4096)(Permutation)
 
-def _permuted(key: bytes, kind: str, text: str, alphabets: list[str | None]) -> str:
-    """text with each character that has an alphabet changed, all together."""
+
+def _permuted(key: Key, kind: str, text: str, alphabets: list[str | None], ok: Callable[[str], bool] | None = None) -> str:
+    """text with each character that has an alphabet changed, all together. Of texts that are ok, which text itself is,
+    each becomes another: those between are passed by."""
+    new = _changed(key, kind, text, alphabets)
+    while ok is not None and not ok(new):
+        new = _changed(key, kind, new, alphabets)
+    return new
+
+
+def _changed(key: Key, kind: str, text: str, alphabets: list[str | None]) -> str:
     size, x = 1, 0
     for c, letters in zip(text, alphabets, strict=True):
         if letters:
             size, x = size * len(letters), x * len(letters) + letters.index(c)
     template = "\0".join(letters or "=" + c for c, letters in zip(text, alphabets, strict=True))
-    y = Permutation(key, f"{kind}\1{template}", size)(x)
+    y = _permutation(key.value, f"{kind}\1{template}", size)(x, key.step)
     out = []
     for c, letters in zip(reversed(text), reversed(alphabets), strict=True):
         if letters:
@@ -128,8 +152,12 @@ def _permuted(key: bytes, kind: str, text: str, alphabets: list[str | None]) ->
     return "".join(reversed(out))
 
 
+def _is_hex(text: str) -> bool:
+    return re.fullmatch(r"[0-9a-f]*", text) is not None and re.search("[0-9]", text) is not None
+
+
 def _classes(text: str) -> list[str | None]:
-    if re.fullmatch(r"[0-9a-f]*", text) and re.search("[0-9]", text):
+    if _is_hex(text):
         return [HEX] * len(text)
     return [next((a for a in (DIGITS, LOWER, UPPER) if c in a), None) for c in text]
 
@@ -147,7 +175,7 @@ def _check_digit(payload: str) -> str:
     return str(-total % 10)
 
 
-def email(key: bytes, m) -> str:
+def email(key: Key, m) -> str:
     """The local part and the domain apart, so that addresses of a domain keep one; reserved and top-level labels stay."""
     local, domain = m[0].rsplit("@", 1)
     small = local.lower() if len(local.lower()) == len(local) else local
@@ -162,22 +190,22 @@ def email(key: bytes, m) -> str:
     return f"{local}@{_same_case(domain, '.'.join([head, *labels[-stay:]]))}"
 
 
-def _accented(key: bytes, local: str) -> str:
+def _accented(key: Key, local: str) -> str:
     """A local part with letters beyond ASCII is spelled anew from its bytes, in letters that no other local part gets."""
     number = int.from_bytes(b"\1" + local.encode("utf-8", "surrogatepass"), "big")
     top = 1 << (number.bit_length() - 1)
-    number = top + Permutation(key, f"accented{number.bit_length()}", top)(number - top)
+    number = top + _permutation(key.value, f"accented{number.bit_length()}", top)(number - top, key.step)
     return "".join(ACCENTED[int(c, 16)] for c in f"{number:x}")
 
 
-def ipv4(key: bytes, m) -> str:
+def ipv4(key: Key, m) -> str:
     parts = [int(x) for x in m[0].split(".")]
     low = [0 if x < 10 else 10 if x < 100 else 100 for x in parts]
     many = [10 if x < 10 else 90 if x < 100 else 156 for x in parts]
     size, x = 1, 0
     for p, lo, n in zip(parts, low, many, strict=True):
         size, x = size * n, x * n + p - lo
-    y = Permutation(key, f"ipv4{low}", size)(x)
+    y = _permutation(key.value, f"ipv4{low}", size)(x, key.step)
     out = []
     for lo, n in zip(reversed(low), reversed(many), strict=True):
         y, k = divmod(y, n)
@@ -185,7 +213,7 @@ def ipv4(key: bytes, m) -> str:
     return ".".join(reversed(out))
 
 
-def ipv6(key: bytes, m) -> str:
+def ipv6(key: Key, m) -> str:
     """Groups keep their lengths, :: its place, and a tail written as IPv4 stays one."""
     at = m[0].rindex(":") + 1 if "." in m[0] else len(m[0])
     head, tail = m[0][:at], m[0][at:]
@@ -194,20 +222,18 @@ def ipv6(key: bytes, m) -> str:
     return head + (ipv4(key, {0: tail}) if tail else "")
 
 
-def card(key: bytes, m) -> str:
-    """The first digit stays; the check digit is right if it was."""
+def card(key: Key, m) -> str:
+    """The first digit stays; the check digit is right if, and only if, it was."""
     digits = re.sub(r"\D", "", m[0])
     checked = luhn(digits)
-    body = digits[:-1] if checked else digits
-    new = _permuted(key, f"card{checked}", body, [None, *[DIGITS] * (len(body) - 1)])
-    new = iter(new + _check_digit(new) if checked else new)
+    new = iter(_permuted(key, "card", digits, [None, *[DIGITS] * (len(digits) - 1)], lambda x: luhn(x) == checked))
     return "".join(next(new) if c.isdigit() else c for c in m[0])
 
 
-def phone(key: bytes, m) -> str:
+def phone(key: Key, m) -> str:
     """The country code stays, and so do places of a nonzero first digit; numbers are one whatever divides them."""
     text = m[0]
-    start = re.match(r"\+\d{1,3}(?=\D)", text)
+    start = re.match(r"\+\d{1,3}(?=\D)|[A-Za-z][^\d+(]*", text)
     start = start.end() if start else 0
     digits = re.sub(r"\D", "", text[start:])
     first = DIGITS[1:] if digits[0] != "0" else None
@@ -215,83 +241,78 @@ def phone(key: bytes, m) -> str:
     return text[:start] + "".join(next(new) if c.isdigit() else c for c in text[start:])
 
 
-def ssn(key: bytes, m) -> str:
+def ssn(key: Key, m) -> str:
     return _permuted(key, "ssn", m[0], [DIGITS if c.isdigit() else None for c in m[0]])
 
 
-def iban(key: bytes, m) -> str:
-    """The country stays and the check digits are made right; spaces don't matter."""
+def iban(key: Key, m) -> str:
+    """The country stays, and the check digits are right if they were; spaces don't matter."""
     whole = m[0].replace(" ", "")
-    body = _permuted(key, f"iban{whole[:2]}", whole[4:], _plain(whole[4:]))
-    number = "".join(str(int(c, 36)) for c in body + whole[:2] + "00")
-    new = iter(f"{whole[:2]}{98 - int(number) % 97:02d}{body}")
+    country, given, old = whole[:2], int(whole[2:4]), whole[4:]
+    body = _permuted(key, f"iban{country}", old, _plain(old))
+    # how far the check digits are from right ones stays: other digits of one account number are other entities
+    new = iter(f"{country}{(given - _iban_check(country, old) + _iban_check(country, body)) % 100:02d}{body}")
     return "".join(next(new) if c != " " else c for c in m[0])
 
 
+def _iban_check(country: str, body: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+
+
 def _plain(text: str) -> list[str | None]:
     return [DIGITS if c in DIGITS else UPPER if c in UPPER else None for c in text]
 
 
-def cloud_key(key: bytes, m) -> str:
+def cloud_key(key: Key, m) -> str:
     return m[0][:4] + _permuted(key, "cloud", m[0][4:], [UPPER if c in UPPER else DIGITS for c in m[0][4:]])
 
 
-def secret(key: bytes, m) -> str:
-    return m["lead"] + _permuted(key, "secret", m["secret"], _classes(m["secret"]))
+def secret(key: Key, m) -> str:
+    return m["lead"] + _permuted(key, "secret", m["secret"], _classes(m["secret"]), _like(m["secret"]))
+
 
+def _like(text: str) -> Callable[[str], bool]:
+    kind = _is_hex(text)
+    return lambda x: _is_hex(x) == kind
 
-def hexadecimal(key: bytes, m) -> str:
+
+def hexadecimal(key: Key, m) -> str:
     small = m[0].lower()
-    return _same_case(m[0], _permuted(key, "secret", small, _classes(small)))
+    return _same_case(m[0], _permuted(key, "secret", small, _classes(small), _mixed_hex))
 
 
-def name(key: bytes, m) -> str:
-    """The title stays; the first of several words is a given name of the title's gender, the others are family names.
-    A word has one surrogate in its script, with or without a title's dot; the number it spells tells it from all others."""
-    return m["before"] + "".join(new for _, new in _named(key, m["name"], _gender(m)))
+def _mixed_hex(text: str) -> bool:
+    return _is_hex(text) and re.search("[a-f]", text) is not None
 
 
-def person(key: bytes, m) -> str:
-    """Without a title, the given name tells the gender."""
-    return "".join(new for _, new in _named(key, m["person"], _gender(m)))
+def name(key: Key, m) -> str:
+    """The title stays."""
+    return m["before"] + "".join(new for _, new in _named(key, m["name"]))
 
 
-def _gender(m) -> int | None:
-    """Told by the title, else by the given name."""
-    parts = m.groupdict()
-    title, given = parts.get("title"), parts.get("given") or _BETWEEN.split(parts["name"])[0]
-    if title in FEMININE or title in MASCULINE:
-        return 0 if title in FEMININE else 1
-    return 0 if given in GIVEN_FEMININE else 1 if given in GIVEN_MASCULINE else None
+def person(key: Key, m) -> str:
+    return "".join(new for _, new in _named(key, m["person"]))
 
 
-def _named(key: bytes, text: str, gender: int | None) -> list[tuple[str, str]]:
+def _named(key: Key, text: str) -> list[tuple[str, str]]:
     """The words of a name and what stands between them, each with what replaces it; an ending 's is none of the name."""
-    words = _BETWEEN.split(text)
-    several = len([w for w in words[::2] if w]) > 1
-    return [(w, w if k % 2 or not w else _name_word(key, w, gender if k == 0 and several else None)) for k, w in enumerate(words)]
+    return [(w, w if k % 2 or not w else name_word(key, w)) for k, w in enumerate(_BETWEEN.split(text))]
 
 
-def _name_word(key: bytes, word: str, gender: int | None) -> str:
+def name_word(key: Key, word: str) -> str:
+    """A word has one surrogate, wherever in a name it stands and whatever title is before it."""
+    given = word[:1] + word[1:].lower() if word.isupper() and len(word) > 1 else word
+    if given in _GIVEN:
+        k, i = _GIVEN[given]
+        new = _GIVEN_LISTS[k][_permutation(key.value, f"given{k}", len(_GIVEN_LISTS[k]))(i, key.step)]
+        return new.upper() if word != given else new
     small = word.lower()
-    script = next((s for s, letters in SCRIPTS.items() if any(c in letters for c in small)), None)
-    if script is None or len(small) != len(word):
-        return word
-    letters = SCRIPTS[script]
-    own = [letters if c in letters else None for c in small]
-    if not any(own):
+    if len(small) != len(word):
         return word
-    hidden = _permuted(key, "name", small, own)
-    # what cannot be changed is hidden too: the word is spelled as a number of its bytes
-    number = int.from_bytes(b"\1" + hidden.encode(), "big")
-    number = Permutation(key, f"spelled{number.bit_length()}", 1 << (number.bit_length() - 1))(number - (1 << (number.bit_length() - 1))) + (1 << (number.bit_length() - 1))
-    consonants, vowels, endings = SOUNDS[script]
-    out = ""
-    while number:
-        number, k = divmod(number, len(consonants) * len(vowels))
-        out += consonants[k % len(consonants)] + vowels[k // len(consonants)]
-    out += endings[gender] if gender is not None else ""
-    return out.upper() if word.isupper() and len(word) > 1 else out.capitalize()
+    own = [_LETTERS.get(c) for c in small]
+    if len(word) > 3:
+        own[-1] = None
+    return _same_case(word, _permuted(key, "name", small, own, lambda x: x.capitalize() not in _GIVEN and x.capitalize() not in TITLES))
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -313,7 +334,7 @@ DETECTORS: dict[str, tuple[str, Callable]] = {
     "ipv4": (rf"(?<!\d)(?<!\d\.){_IPV4}(?!\d|\.\d)", ipv4),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     "card": (r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
-    "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])", phone),
+    "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?i:phone|tel|telephone|mobile|cell|fax|call|text|whatsapp)(?:[ ](?i:no|number|me|us|at|on|is))*[.:]?[ ]?\d{7,15})(?![\w])", phone),
     "name": (rf"(?P<before>(?<!\w)(?P<title>{'|'.join(TITLES)})\.?\s+)(?P<name>\p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}})", name),
     "person": (rf"(?P<person>(?<![\w'’-])(?P<given>(?=\p{{Lu}})\L<given>)(?:[ -]\p{{Lu}}[\p{{L}}'’]+|[ ]\p{{Lu}}\.(?=[ ]\p{{Lu}}\p{{Ll}})){{1,3}}(?!\w))", person),
 }
@@ -343,45 +364,64 @@ def _possible(text: str) -> tuple[str, ...]:
 
 
 
-def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (type, entity, surrogate) of each that was found."""
+def replaced(text: str, key: bytes, step: int = 1) -> tuple[str, list[tuple[str, str, str]]]:
+    """The text with surrogates, and (type, entity, surrogate) of each that was found. A step of -1 turns surrogates back."""
     kinds = _possible(text)
     if not kinds:
         return text, []
+    keyed = Key(key, step)
+    matches = [(next(k for k in kinds if m[f"is_{k}"] is not None), m) for m in _pattern(kinds).finditer(text)]
+    if not matches:
+        return text, []
+    known = _words_of_names(keyed, text, [m for k, m in matches if k in NAMES])
     found: list[tuple[str, str, str]] = []
     pieces: list[str] = []
-    known: dict[str, str] = {}
     at = 0
     # what lies between matches is at even places
-    for m in _pattern(kinds).finditer(text):
-        kind = next(k for k in kinds if m[f"is_{k}"] is not None)
-        new = DETECTORS[kind][1](key, m)
-        if kind in ("name", "person"):
-            for word, other in _mentioned(key, m, kind):
-                known.setdefault(word, other)
-            if kind == "person":  # as named with a title before
-                new = "".join(known.get(w, n) for w, n in _named(key, m["person"], _gender(m)))
+    for kind, m in matches:
+        if kind in NAMES:
+            new = m.groupdict().get("before") or ""
+            new = (new if kind == "name" else "") + "".join(known.get(w, w) if k % 2 == 0 else w for k, w in enumerate(_BETWEEN.split(m[kind])))
+        else:
+            new = DETECTORS[kind][1](keyed, m)
         pieces += [text[at : m.start()], new]
         found.append((kind, m[0], new))
         at = m.end()
-    if not found:
-        return text, found
     pieces.append(text[at:])
-    if known:
+    again = [w for w in known if len(w) > 1 and not w.endswith(".")]
+    if again:
         # the same words elsewhere, alone and without a title: "Weber left"
-        again = regex.compile(r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(regex.escape, sorted(known, key=len, reverse=True))) + r")(?![\p{L}\p{N}_])")
+        pattern = regex.compile(r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(regex.escape, sorted(again, key=len, reverse=True))) + r")(?![\p{L}\p{N}_])")
 
         def mention(m) -> str:
             found.append(("mention", m[0], known[m[0]]))
             return known[m[0]]
 
-        pieces[::2] = [again.sub(mention, p) for p in pieces[::2]]
+        pieces[::2] = [pattern.sub(mention, p) for p in pieces[::2]]
     return "".join(pieces), found
 
 
-def _mentioned(key: bytes, m, kind: str) -> list[tuple[str, str]]:
-    """The words of a name of two letters or more, with their surrogates."""
-    return [(w, new) for w, new in _named(key, m[kind], _gender(m))[::2] if len(w) > 1 and not w.endswith(".")]
+NAMES = ("name", "person")
+
+
+def _words_of_names(key: Key, text: str, matches: list) -> dict[str, str]:
+    """The words of the document's names with their surrogates, checked for collisions: none is a word that the document
+    has besides its names, or stands for two of them. What would collide gives way to the next in its orbit."""
+    named = (parts.get("name") or parts.get("person") for parts in (m.groupdict() for m in matches))
+    words = list(dict.fromkeys(w for text_ in named for w in _BETWEEN.split(text_)[::2] if w))
+    if not words:
+        return {}
+    own = set(_WORD.findall(text)).difference(*([w, *_WORD.findall(w)] for w in words))
+    taken: dict[str, str] = {}
+    out = {}
+    for w in words:
+        new = first = name_word(key, w)
+        while len(w) > 2 and (new in own or taken.get(new, w) != w):
+            new = name_word(key, new)
+            if new == first:
+                break  # the whole orbit is in use
+        taken[new], out[w] = w, new
+    return out
 
 
 def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
@@ -429,9 +469,14 @@ def collisions(found: DataFrame) -> DataFrame:
     return shared.union(split)
 
 
-#: The query's key. A deployment passes its own, from its store of secrets.
+#: The key of tests and of sessions that have none of their own in KEY_SETTING, which a deployment fills from its store of secrets.
 QUERY_KEY = b"tessera surrogates"
+KEY_SETTING = "spark.tessera.surrogates.key"
+
+
+def key_of(spark: SparkSession) -> bytes:
+    return (spark.conf.get(KEY_SETTING, None) or "").encode() or QUERY_KEY
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), QUERY_KEY)
+    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key_of(spark))

@@ -1,3 +1,6 @@
+import itertools
+import unicodedata
+
 import pytest
 
 from tessera.llm import pii
@@ -18,12 +21,18 @@ def test_all_kinds_are_replaced_in_kind():
         again = pii._ALL.fullmatch(surrogate)
         assert again and again[f"is_{kind}"], (kind, surrogate)  # a surrogate is of the kind that it stands for
     assert all(len(e) == len(s) for k, e, s in found if k not in ("name", "ipv4"))
+    assert [len(w) for w in "Schmidt Schmidt Иванова".split()] == [len(s.split()[-1]) for k, _, s in found if k == "name"]  # family names keep their length
 
 
 def test_coreference_and_gender():
     _, found = pii.replaced("Mrs Anna Schmidt met Mr Anna Schmidt and Dr Schmidt. a@x.com A@X.com b@x.com", KEY)
     women, men, doctor = (s.split() for k, _, s in found if k == "name")
-    assert women[2] == men[2] == doctor[1] and women[1].endswith("na") and men[1].endswith("rek")
+    assert women[1:] == men[1:] and women[2] == doctor[1] and women[1] in pii.GIVEN_FEMININE
+    for given, names in (("Herr Peter Braun", pii.GIVEN_MASCULINE), ("Госпожа Ольга Петрова", pii.GIVEN_FEMININE), ("Dr. Γιώργος Παππάς", pii.GIVEN_MASCULINE)):
+        new = pii.replaced(given, KEY)[0].split()[1]
+        assert new in names and new != given.split()[1] and unicodedata.name(new[0]).split()[0] == unicodedata.name(given.split()[1][0]).split()[0]
+    # a name of no list keeps its ending, which tells gender
+    assert pii.replaced("Mrs Ruzena Novakova", KEY)[0].endswith("a") and pii.replaced("Dr Ruzena", KEY)[0] == pii.replaced("Mrs Ruzena", KEY)[0].replace("Mrs", "Dr")
     a, upper, b = (s for k, _, s in found if k == "email")
     assert a == upper.lower() and a.split("@")[1] == b.split("@")[1] and a != b
 
@@ -136,6 +145,62 @@ def test_names_agree_with_and_without_title(text):
     assert first == second
 
 
+def back(text):
+    return pii.replaced(text, KEY, -1)[0]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        TEXT,
+        "Mrs Anna Schmidt met Herr Weber. Anna Schmidt said so; Weber left, and Schmidt's car with Anna.",
+        "Yesterday John Miller, Mary-Ann O'Neil and James T. Kirk spoke to Miller's lawyer, Ольга Петрова.",
+        "4111111111111111 and 4111111111111112, DE89 3704 0044 0532 0130 00 and DE88 3704 0044 0532 0130 00",
+        'client_secret="0a1b2c3d4e5f" token: abcdef99 api_key=xyzxyz, d41d8cd98f00b204e9800998ecf8427e',
+        "call 5551234567 or tel. 0301234567, +4915112345678 and 415-555-2671",
+        "DR SCHMIDT; Dr SCHMIDT and Mr MILLER",
+    ],
+)
+def test_round_trip(text):
+    new, found = pii.replaced(text, KEY)
+    assert found and new != text and back(new) == text
+
+
+def test_round_trip_of_documents(spark):
+    """Of every document of the small table: with the key, the surrogates can be turned back into what was there."""
+    changed = same = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        new, found = pii.replaced(r.text, KEY)
+        changed += bool(found)
+        same += bool(found) and back(new).lower() == r.text.lower()
+    assert changed > 50 and same == changed
+
+
+def test_every_surrogate_is_another(spark):
+    """Names against all words of three letters over few of them, and numbers over a whole block: no two share one."""
+    words = ["".join(x).capitalize() for x in itertools.product("aeinrst", repeat=4)] + sorted(pii._GIVEN)
+    new = [pii.name_word(pii.Key(KEY), w) for w in words]
+    assert len(set(new)) == len(set(words)) and not any(a == b for a, b in zip(words, new))
+    cards = [f"411111111111{k:04d}" for k in range(3000)]
+    new = [pii.card(pii.Key(KEY), [c]) for c in cards]
+    assert len(set(new)) == len(cards) and all(pii.luhn(a) == pii.luhn(b) and a != b for a, b in zip(cards, new))
+
+
+def test_no_surrogate_is_a_word_of_the_document():
+    plain = pii.name_word(pii.Key(KEY), "Schmidt")
+    new, found = pii.replaced(f"Dr Schmidt lives near {plain}.", KEY)
+    assert plain in new and found[0][2] != f"Dr {plain}" and "Schmidt" not in new
+
+
+def test_key_of_the_session(spark):
+    assert pii.key_of(spark) == pii.QUERY_KEY
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.key_of(spark) == b"another"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_detectors_left_out_have_no_match():
     for text in [TEXT, *TEXT.split(), "ACCE\u017f\u017f_\u212aEY: swordfish", "API_KEY=swordfish", "AP\u0130_KEY=swordfish", "auth: swordfish", "John Miller"]:
         found = {k for k in pii.DETECTORS if pii._pattern((k,)).search(text)}
