@@ -29,7 +29,7 @@ def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts hold surrogates; n_chars is that of the new text."""
-    out = pii.surrogates(docs, pii.QUERY_KEY)
+    out = pii.surrogates(docs, pii.key_of(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
