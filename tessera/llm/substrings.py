@@ -31,7 +31,7 @@ WINDOW = 50
 #: Words to an anchor: a prefix ends with one; the longer ones are for groups that are too large.
 ANCHORS = (8, 16, 32)
 #: Most suffixes of a group that are sorted in one task.
-MAX_GROUP = 20_000
+MAX_GROUP = 5_000
 #: Suffixes to a run: a word said ten thousand times over is one anchor all along.
 MAX_RUN = 2048
 #: Positions of a long document that are searched for anchors at a time.
@@ -40,6 +40,8 @@ BLOCK = 1 << 18
 BATCH_WORDS = 400_000
 #: Digests of runs that a task remembers to have sent.
 MAX_SENT = 500_000
+#: Rows that a task holds before it passes them on.
+MAX_ROWS = 20_000
 #: Rows of a content that many documents share are joined in so many parts.
 SALTS = 8
 
@@ -290,6 +292,9 @@ def _anchored(anchor: int):
                 for key, low, high in zip(keys.tolist(), lows.tolist(), highs.tolist(), strict=True):
                     part = words[int(ends[low - 1]) + 1 if low else 0 : ends[high + WINDOW - 2]]
                     out.append((key, whole, least, start + low, high - low, _digest(part), part))
+                if len(out) > MAX_ROWS:
+                    yield _batch(list(zip(*out, strict=True)), _PARTS)
+                    out = []
             if out:
                 yield _batch(list(zip(*out, strict=True)), _PARTS)
 
@@ -303,6 +308,9 @@ def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for whole, least, start, words in zip(*(b.column(c).to_pylist() for c in ("whole", "least", "start", "words")), strict=True):
             ends = [-1, *_ends(words).tolist()]
             out += [(words[ends[k] + 1 : ends[k + WINDOW]], whole, least, start + k) for k in range(len(ends) - WINDOW)]
+            if len(out) > MAX_ROWS:
+                yield _batch(list(zip(*out, strict=True)), _WINDOWS)
+                out = []
         if out:
             yield _batch(list(zip(*out, strict=True)), _WINDOWS)
 

@@ -25,7 +25,7 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("max_group", [20_000, 60, 1])
+@pytest.mark.parametrize("max_group", [5_000, 60, 1])
 def test_against_brute_force(odd_docs, max_group):
     """With tiny groups prefixes are lengthened, up to whole windows."""
     got = substrings.deduplicated(odd_docs, max_group).drop("kept_text").collect()
@@ -74,7 +74,7 @@ def test_suffix_array():
     assert sorted(map(sorted, (set(order[a:b].tolist()) for a, b in zip(low, high)))) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
-@pytest.mark.parametrize("max_group", [20_000, 200])
+@pytest.mark.parametrize("max_group", [5_000, 200])
 def test_large_groups(spark, prose, max_group):
     """Many copies, near copies, and one passage in many documents; also texts of few words and a word said over and over."""
     whole, passage = prose(150, 20), prose(70, 21)
