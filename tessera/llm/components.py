@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, spread_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return spread_join(both.where("b > a"), least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each smaller neighbour of a node, and the node, are linked to the least of them. edges: a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), "m")
-    linked = edges.join(least, F.col("a") == F.col("_a"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    linked = spread_join(edges, least, ["a"], ["b"])
     rest = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.union(least.select(F.col("_a").alias("a"), F.col("m").alias("b"))).distinct()
+    return rest.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -1,9 +1,8 @@
 """Best-fit packing by sums of squares.
 
 A piece goes where the sum, over all residual gaps, of the squared counts of open sequences with that gap becomes
-smallest (Csirik et al.). Pieces of a length are alike, so the algorithm runs on how many pieces each length has: a table
-of at most CAPACITY rows, whatever the corpus. It yields a plan of intervals, (length, first and last rank, first
-sequence, offset); each piece looks its own rank up in it, in parallel.
+smallest (Csirik et al.). Only lengths matter to it: pieces are cut and counted first, and then placed one by one, in
+blocks that each fit a task.
 """
 
 from __future__ import annotations
@@ -12,22 +11,22 @@ import os
 import re
 import zlib
 from array import array
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, ranked
+from tessera.llm.common import materialize
 
 #: Fixed values of the contract.
 CAPACITY, END = 2048, 0
 SPECIAL = "<|endoftext|>"
 #: Words whose ids a worker keeps; beyond it, it starts again.
 MEMORY = 1_500_000
-#: A length's pieces are placed in at most about so many rounds, or one by one if they are fewer.
-ROUNDS = 64
+#: Pieces that are packed together, in one task.
+BLOCK = 200_000
 
 _tools: dict = {}
 
@@ -117,79 +116,76 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> dict[int, list[tuple[int, int, int]]]:
-    """Of each length, the intervals of ranks in order: (first rank, first sequence, offset); consecutive ranks are in
-    consecutive sequences.
-
-    Longest pieces first. As many pieces as make a round of the length are placed at once where the first of them has
-    the smallest sum of squares; a perfect fit wins, and a new sequence is opened only where no open one has room, for
-    sequences are to be few.
-    """
-    gaps = np.zeros(capacity + 1, np.int64)  # open sequences by residual gap
-    where: list[deque] = [deque() for _ in range(capacity + 1)]  # (first sequence, how many)
-    opened, out = 0, {}
-    for length in sorted(counts, reverse=True):
-        left, rank, found = counts[length], 0, []
-        batch = max(1, left // rounds)
-        while left:
-            n = min(batch, left)
-            open_ = np.flatnonzero(gaps[length:]) + length
-            if gaps[length]:
-                gap = length
-            elif len(open_):
-                # of the change in the sum of squares, what depends on the gap: 2 N(gap - length) - 2 N(gap)
-                change = gaps[open_ - length] - gaps[open_]
-                gap = int(open_[np.argmin(change)])
+def placed(lengths: np.ndarray, capacity: int, free: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sequence and offset of each piece, and how many sequences there are. Longest pieces first, one by one, each where
+    the sum over residual gaps of the squared counts of open sequences becomes smallest. free: a new sequence is always
+    one of the places; else only where no open one has room."""
+    counts = np.zeros(2 * capacity + 1, np.int64)  # open sequences by gap; none beyond capacity
+    held: list[list[int]] = [[] for _ in range(capacity + 1)]
+    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    opened, none = 0, np.iinfo(np.int64).max
+    order = np.argsort(-lengths, kind="stable")
+    edges = np.flatnonzero(np.diff(lengths[order])) + 1
+    for own in np.split(order, edges) if len(order) else ():
+        length = int(lengths[own[0]])
+        # the change of the sum for each gap: of the gap itself, and of what is left of it unless that is nothing
+        at = np.arange(length, capacity + 1)
+        change = np.full(2 * capacity + 1, none)
+        change[at] = np.where(counts[at] > 0, 2 * (counts[at - length] - counts[at]) + 2, none)
+        change[length] = 1 - 2 * counts[length] if counts[length] else none
+        fitting, left_of_new = change[length : capacity + 1], capacity - length
+        for k in own.tolist():
+            gap = length + int(fitting.argmin())
+            best = change[gap]
+            if best == none or (free and left_of_new and 2 * counts[left_of_new] + 1 < best):
+                number, gap, touched = opened, capacity, []
+                opened += 1
             else:
-                gap = capacity
-                gaps[gap] += n
-                where[gap].append((opened, n))
-                opened += n
-            n = min(n, int(gaps[gap]))
-            gaps[gap] -= n
-            if gap > length:
-                gaps[gap - length] += n
-            left -= n
-            while n:
-                first, many = where[gap].popleft()
-                took = min(n, many)
-                if took < many:
-                    where[gap].appendleft((first + took, many - took))
-                if gap > length:
-                    where[gap - length].append((first, took))
-                found.append((rank, first, capacity - gap))
-                rank += took
-                n -= took
-        out[length] = found
-    return out
-
-
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+                number, touched = held[gap].pop(), [gap]
+                counts[gap] -= 1
+            left = gap - length
+            if left:
+                held[left].append(number)
+                counts[left] += 1
+                touched.append(left)
+            sequence[k], offset[k] = number, capacity - gap
+            for t in touched:
+                if t > length:
+                    change[t] = 2 * (counts[t - length] - counts[t]) + 2 if counts[t] else none
+                elif t == length:
+                    change[t] = 1 - 2 * counts[t] if counts[t] else none
+                if counts[t + length]:
+                    change[t + length] = 2 * (counts[t] - counts[t + length]) + 2
+    return sequence, offset, opened
+
+
+def best_placed(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """As sequences are to be few, the smaller of both packings."""
+    return min((placed(lengths, capacity, free) for free in (True, False)), key=lambda x: x[2])
+
+
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row.
 
+    Pieces are dealt evenly into blocks of about ``block``, each packed in a task of its own, so that every decision is
+    made for one piece, whatever the size of the corpus; a block leaves a sequence or two unfilled.
     A null text counts as empty: one piece, the closing id alone. Repeated rows are packed each. Rows with a null doc_id
-    are packed like others. Other columns are ignored. An empty table gives no rows.
+    are packed like others. A text of any length is cut whole. Other columns are ignored. An empty table gives no rows.
     """
     cut = materialize(pieces(docs, tokenizer, capacity))
-    counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
-    intervals = plan(counts, capacity)
-    sent = docs.sparkSession.sparkContext.broadcast({n: tuple(np.array(x, np.int64) for x in zip(*found, strict=True)) for n, found in intervals.items()})
-    placed = ranked(cut, "length", ["doc_id", "piece", "ids_crc32"], "rank", sum(counts.values()), keys=capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for n in np.unique(length):
-                own = np.flatnonzero(length == n)
-                first, sequences, offsets = sent.value[int(n)]
-                k = np.searchsorted(first, rank[own], "right") - 1
-                sequence[own] = sequences[k] + rank[own] - first[k]
-                offset[own] = offsets[k]
-            columns = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return placed.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        sequence, offset, _ = best_placed(whole.column("length").to_numpy(), capacity)
+        numbers = (whole.column("block").to_numpy().astype(np.int64) << 32) + sequence
+        whole = whole.drop_columns("block").append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(offset))
+        yield from whole.to_batches(max_chunksize=10_000)
+
+    dealt = cut.repartition(max(1, -(-cut.count() // block))).withColumn("block", F.spark_partition_id())
+    return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

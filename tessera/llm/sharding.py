@@ -43,12 +43,13 @@ def sharded(docs: DataFrame, shards: int = 8, rows: int | None = None) -> DataFr
     """Every row with its size, its text's CRC-32, its shard, its slot in that shard, and its shard if there were one more.
 
     Rows of an equal doc_id, repeated ones included, share a shard and have slots of their own. A null text counts as
-    empty; rows with a null doc_id share a shard. Other columns are ignored. An empty table gives no rows.
+    empty; rows with a null doc_id share a shard. A text of any length counts whole. Other columns are ignored. An empty
+    table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
     dealt = base.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1))
-    placed = ranked(dealt, "shard", ["doc_id", "text_crc32", "size"], "slot", docs.count() if rows is None else rows, keys=shards)
+    placed = ranked(dealt, "shard", "slot", docs.count() if rows is None else rows, keys=shards)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import fresh, materialize, spread_join
 from tessera.llm.components import components
 
 #: Fixed values of the contract.
@@ -301,38 +301,41 @@ def links(distinct: DataFrame, max_node: int = MAX_NODE, blocks: int | None = No
 
 
 def _labelled(prints: DataFrame, max_node: int) -> DataFrame:
-    """(_fp, root, least, component_id) of each distinct fp of prints, least being its own smallest doc_id."""
+    """(fp, root, least, component_id) of each distinct fp of prints, least being its own smallest doc_id."""
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(least.select("fp"), max_node))
     rooted = least.join(label, least.fp == label.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select(F.col("fp").alias("_fp"), "root", "least", "component_id")
+    return spread_join(rooted, named, ["root"], ["fp"])
 
 
 def grouped(docs: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, for every row.
 
-    A null or empty text has fingerprint zero, linked like any other. Rows of an equal doc_id keep a row each; a null
-    doc_id is never the smallest unless its component has no other. Other columns are ignored. An empty table gives no rows.
+    A null or empty text has fingerprint zero, linked like any other; a text of any length is read whole. Rows of an
+    equal doc_id keep a row each; a null doc_id is never the smallest unless its component has no other. Other columns
+    are ignored. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs))
-    named = _labelled(prints, max_node).drop("root", "least")
-    out = prints.join(named, F.col("fp") == F.col("_fp"))
+    named = _labelled(prints, max_node).select("fp", "component_id")
+    out = spread_join(prints, named, ["fp"], ["doc_id"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
     """docs, all columns, with one row of each component: one of the smallest doc_id. Of several such rows, that of the
     smallest fingerprint and text stays; a component with null ids only keeps one row likewise. Components are told apart
-    by their roots, as several may have one id."""
+    by their roots, as several may have one id. Rows equal in id and text are one document. An empty table stays empty."""
     prints = materialize(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "own"))
-    named = _labelled(prints, max_node)
     # a component's row is looked for only among the rows of its smallest doc_id
-    chosen = named.where(F.col("least").eqNullSafe(F.col("component_id")))
-    first = prints.join(chosen, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = materialize(first.groupBy("root").agg(F.min(F.struct("fp", "own", "component_id")).alias("f")).select(F.col("f.component_id").alias("__id"), F.col("f.own").alias("__own")))
-    kept = docs.withColumn("__key", F.xxhash64("text", F.length("text"))).join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__own")), "left_semi").drop("__key")
-    # rows that are equal in id and text are one document; they are looked for only if there are any
+    chosen = _labelled(prints, max_node).where(F.col("least").eqNullSafe(F.col("component_id"))).select("fp", "root", "component_id")
+    first = spread_join(prints, chosen, ["fp"], ["doc_id", "own"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = materialize(first.groupBy("root").agg(F.min(F.struct("fp", "own", "component_id")).alias("f")).select("f.component_id", "f.own"))
+    key, id_, own = (fresh(n, *docs.columns) for n in ("key", "id", "own"))
+    one = one.select(F.col("component_id").alias(id_), F.col("own").alias(own))
+    keyed = docs.withColumn(key, F.xxhash64("text", F.length("text")))
+    kept = keyed.join(one, keyed.doc_id.eqNullSafe(one[id_]) & (keyed[key] == one[own]), "left_semi").drop(key)
+    # rows that are equal in id and text are looked for only if there are any
     if kept.select("doc_id").count() > one.count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, spread_join
 
 #: Fixed value of the contract: words to a window.
 WINDOW = 50
@@ -42,8 +42,6 @@ BATCH_WORDS = 400_000
 MAX_SENT = 500_000
 #: Rows that a task holds before it passes them on.
 MAX_ROWS = 20_000
-#: Rows of a content that many documents share are joined in so many parts.
-SALTS = 8
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
@@ -315,12 +313,6 @@ def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _batch(list(zip(*out, strict=True)), _WINDOWS)
 
 
-def _salted(one: DataFrame, many: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """many joined with one, which has a row for each key; the rows of a key are dealt out over SALTS tasks."""
-    spread = one.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))).hint("shuffle_merge")
-    return many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(spread, [key, "_salt"]).drop("_salt")
-
-
 def lengthened(runs: DataFrame, max_group: int) -> DataFrame:
     """The spans of runs (rows of _RUNS) of groups that are too large for one task."""
     contents = materialize(runs.groupBy(F.col("content").alias("whole")).agg(F.min("doc").alias("least"), F.first("words", ignorenulls=True).alias("words")))
@@ -339,14 +331,14 @@ def lengthened(runs: DataFrame, max_group: int) -> DataFrame:
         # prefixes of WINDOW words are nodes themselves: their least documents are found before they are dealt out
         windows = materialize(rest.mapInArrow(_whole_windows, _ddl(_WINDOWS)))
         owners = windows.groupBy("words").agg(F.min("least").alias("owner"))
-        found = _salted(owners, windows, "words", ["whole", "k"]).where("owner < least")
+        found = spread_join(windows, owners, ["words"], ["whole", "k"]).where("owner < least")
         owned = owned.union(found.select("whole", F.col("k").alias("low"), (F.col("k") + 1).alias("high")))
     owned = owned.groupBy("whole").agg(F.collect_set(F.struct("low", "high")).alias("owned"))
     told = contents.select("whole", "least").join(owned, "whole", "left").withColumnRenamed("whole", "content")
     each = runs.select("doc", "own", "start", "n", "content")
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high")))
     spans = F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("owned"))
-    out = _salted(told, each, "content", ["doc", "own", "start"]).select("doc", "own", "start", F.explode(spans).alias("s"))
+    out = spread_join(each, told, ["content"], ["doc", "own", "start"]).select("doc", "own", "start", F.explode(spans).alias("s"))
     return out.select("doc", "own", (F.col("start") + F.col("s.low")).cast("int").alias("low"), (F.col("start") + F.col("s.high")).cast("int").alias("high"))
 
 

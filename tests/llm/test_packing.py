@@ -46,21 +46,59 @@ def test_packed(odd_docs, tokenizer):
     assert len(bins) <= -(-sum(r.length for r in rows) // 2048) + 1
 
 
-@pytest.mark.parametrize("scale", [1, 50])
-def test_plan_is_near_the_bound(scale):
+def brute(lengths, capacity, free):
+    """Each piece where the sum of squares, counted anew, is smallest; ties to an open sequence, the smaller gap first."""
+    gaps, where = [], []
+    square = lambda x: sum(n * n for g, n in Counter(x).items() if g)
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        options = []
+        for g in sorted({g for g in gaps if g >= lengths[k]}):
+            after = list(gaps)
+            after[after.index(g)] -= lengths[k]
+            options.append((square(after), 0, g))
+        if free or not options:
+            options.append((square([*gaps, capacity - lengths[k]]), 1, capacity))
+        _, new, g = min(options)
+        if new:
+            gaps.append(capacity - lengths[k])
+        else:
+            gaps[gaps.index(g)] -= lengths[k]
+        where.append((k, capacity - g))
+    return Counter(gaps), dict(where)
+
+
+@pytest.mark.parametrize("free", [True, False])
+def test_every_decision(free):
+    r = np.random.default_rng(5)
+    for n in (0, 1, 7, 60, 150):
+        lengths = r.integers(1, 41, n)
+        sequence, offset, opened = packing.placed(lengths, 40, free)
+        used = Counter()
+        for s, length in zip(sequence, lengths, strict=True):
+            used[s] += int(length)
+        gaps, offsets = brute(lengths.tolist(), 40, free)
+        assert Counter(40 - x for x in used.values()) == gaps and opened == len(used)
+        assert offset.tolist() == [offsets[k] for k in range(n)]
+
+
+def test_few_sequences():
     r = np.random.default_rng(3)
-    counts = {int(k): v * scale for k, v in Counter(np.minimum(2048, r.lognormal(6, 1, 5000)).astype(int) + 1).items() if k <= 2048}
-    plan = packing.plan(counts)
-    used = {}
-    for length, found in plan.items():
-        ranks = [x[0] for x in found] + [counts[length]]
-        assert ranks[0] == 0 and ranks == sorted(ranks)
-        for (rank, first, offset), after in zip(found, ranks[1:], strict=True):
-            for s in range(first, first + after - rank):
-                assert used.get(s, 0) == offset
-                used[s] = offset + length
-    assert max(used.values()) <= 2048
-    assert len(used) <= 1.01 * sum(k * v for k, v in counts.items()) / 2048 + 1
+    lengths = np.minimum(2047, r.lognormal(6, 1, 30_000)).astype(int) + 1
+    _, _, opened = packing.best_placed(lengths, 2048)
+    assert opened <= 1.002 * lengths.sum() / 2048 + 1
+    assert packing.best_placed(np.full(500, 2048), 2048)[2] == 500
+
+
+def test_blocks(spark, tokenizer, prose):
+    """Packed in several blocks; rows that are all alike are dealt evenly too."""
+    docs = spark.createDataFrame([(k // 300, prose(40, k // 300)) for k in range(900)], "doc_id long, text string").repartition(3)
+    rows = packing.packed(docs, tokenizer, block=200).collect()
+    assert len(rows) == 900 and max(Counter(r.sequence_id >> 32 for r in rows).values()) <= 200
+    ends = defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 2048 and len(ends) <= sum(ends.values()) / 2048 + 10
 
 
 def test_empty(no_docs, tokenizer):
