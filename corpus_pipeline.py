@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, packing, pii, quality, simhash
-from tessera.llm.common import materialize
+from tessera.llm.common import mark, materialize, release
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        began = mark()
         out = stage(spark, docs, sf_dir)
-        docs = materialize(out) if k < len(STAGES) - 1 else out
-    return docs
+        if k == len(STAGES) - 1:
+            return out
+        docs = materialize(out)
+        release(began, mark() - 1)  # what the stage wrote on its way
