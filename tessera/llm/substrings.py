@@ -279,17 +279,17 @@ def _grouped(schema: pa.Schema, owner: str, identity: list[str], out_schema: pa.
 
 
 def _anchored(anchor: int):
-    """Rows of whole, least, start and words, as rows of _PARTS by anchors of this length."""
+    """Contents (whole, least, words) as rows of _PARTS by anchors of this length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for whole, least, start, words in zip(*(b.column(c).to_pylist() for c in ("whole", "least", "start", "words")), strict=True):
+            for whole, least, words in zip(*(b.column(c).to_pylist() for c in ("whole", "least", "words")), strict=True):
                 ends = _ends(words)
                 keys, lows, highs = _runs_of(words, ends, anchor)
                 for key, low, high in zip(keys.tolist(), lows.tolist(), highs.tolist(), strict=True):
                     part = words[int(ends[low - 1]) + 1 if low else 0 : ends[high + WINDOW - 2]]
-                    out.append((key, whole, least, start + low, high - low, _digest(part), part))
+                    out.append((key, whole, least, low, high - low, _digest(part), part))
                 if len(out) > MAX_ROWS:
                     yield _batch(list(zip(*out, strict=True)), _PARTS)
                     out = []
@@ -300,12 +300,12 @@ def _anchored(anchor: int):
 
 
 def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each suffix by itself, with the longest prefix: all its WINDOW words."""
+    """Each suffix of contents (whole, least, words) by itself, with the longest prefix: all its WINDOW words."""
     for b in batches:
         out = []
-        for whole, least, start, words in zip(*(b.column(c).to_pylist() for c in ("whole", "least", "start", "words")), strict=True):
+        for whole, least, words in zip(*(b.column(c).to_pylist() for c in ("whole", "least", "words")), strict=True):
             ends = [-1, *_ends(words).tolist()]
-            out += [(words[ends[k] + 1 : ends[k + WINDOW]], whole, least, start + k) for k in range(len(ends) - WINDOW)]
+            out += [(words[ends[k] + 1 : ends[k + WINDOW]], whole, least, k) for k in range(len(ends) - WINDOW)]
             if len(out) > MAX_ROWS:
                 yield _batch(list(zip(*out, strict=True)), _WINDOWS)
                 out = []
@@ -313,33 +313,33 @@ def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _batch(list(zip(*out, strict=True)), _WINDOWS)
 
 
-def lengthened(runs: DataFrame, max_group: int) -> DataFrame:
-    """The spans of runs (rows of _RUNS) of groups that are too large for one task."""
-    contents = materialize(runs.groupBy(F.col("content").alias("whole")).agg(F.min("doc").alias("least"), F.first("words", ignorenulls=True).alias("words")))
-    rest, owned = contents.select("whole", "least", F.lit(0).alias("start"), "words"), None
-    for anchor in ANCHORS[1:]:
-        parts = materialize(rest.mapInArrow(_anchored(anchor), _ddl(_PARTS)))
+def lengthened(rows: DataFrame, identity: list[str], owner: str, max_group: int, level: int = 1) -> DataFrame:
+    """Of runs (identity, owner, start, n, content, words) of groups that are too large for one task: (identity, low,
+    high), the spans of their suffixes that a smaller document than their owner has. Runs of equal words are one content,
+    and the prefixes of the distinct contents are lengthened."""
+    contents = materialize(rows.groupBy(F.col("content").alias("whole")).agg(F.min(owner).alias("least"), F.first("words", ignorenulls=True).alias("words")))
+    if level < len(ANCHORS):
+        parts = materialize(contents.mapInArrow(_anchored(ANCHORS[level]), _ddl(_PARTS)))
         sizes = parts.groupBy("key").agg(F.sum("n").alias("size"), F.min("whole").alias("_a"), F.max("whole").alias("_b"))
         # a prefix of one content only repeats nowhere else
-        dealt = materialize(parts.join(sizes.where("_a < _b").select("key", "size").hint("shuffle_merge"), "key"))
-        found = dealt.where(F.col("size") <= max_group).drop("size").repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_PARTS, "least", ["whole"], _OWNED), _ddl(_OWNED))
-        owned = found if owned is None else owned.union(found)
-        rest = dealt.where(F.col("size") > max_group).select("whole", "least", "start", "words")
-        if not rest.limit(1).count():
-            break
+        dealt = materialize(parts.join(sizes.where("_a < _b").select("key", "size"), "key"))
+        usual, large = dealt.where(F.col("size") <= max_group).drop("size"), dealt.where(F.col("size") > max_group)
+        owned = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_PARTS, "least", ["whole"], _OWNED), _ddl(_OWNED))
+        if large.limit(1).count():
+            owned = owned.union(lengthened(large, ["whole"], "least", max_group, level + 1))
     else:
         # prefixes of WINDOW words are nodes themselves: their least documents are found before they are dealt out
-        windows = materialize(rest.mapInArrow(_whole_windows, _ddl(_WINDOWS)))
+        windows = materialize(contents.mapInArrow(_whole_windows, _ddl(_WINDOWS)))
         owners = windows.groupBy("words").agg(F.min("least").alias("owner"))
         found = spread_join(windows, owners, ["words"], ["whole", "k"]).where("owner < least")
-        owned = owned.union(found.select("whole", F.col("k").alias("low"), (F.col("k") + 1).alias("high")))
+        owned = found.select("whole", F.col("k").alias("low"), (F.col("k") + 1).alias("high"))
     owned = owned.groupBy("whole").agg(F.collect_set(F.struct("low", "high")).alias("owned"))
-    told = contents.select("whole", "least").join(owned, "whole", "left").withColumnRenamed("whole", "content")
-    each = runs.select("doc", "own", "start", "n", "content")
-    whole = F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high")))
-    spans = F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("owned"))
-    out = spread_join(each, told, ["content"], ["doc", "own", "start"]).select("doc", "own", "start", F.explode(spans).alias("s"))
-    return out.select("doc", "own", (F.col("start") + F.col("s.low")).cast("int").alias("low"), (F.col("start") + F.col("s.high")).cast("int").alias("high"))
+    told = contents.select("whole", "least").join(owned, "whole", "left").select(F.col("whole").alias("content"), F.col("least").alias("_least"), "owned")
+    every = F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high")))
+    spans = F.when(F.col(owner) > F.col("_least"), every).otherwise(F.col("owned"))
+    each = rows.select(*identity, *{owner} - {*identity}, "start", "n", "content")
+    out = spread_join(each, told, ["content"], [*identity, "start"]).select(*identity, "start", F.explode(spans).alias("s"))
+    return out.select(*identity, *[(F.col("start") + F.col(f"s.{x}")).cast("int").alias(x) for x in ("low", "high")])
 
 
 # -- documents ------------------------------------------------------------------------------------------------------
@@ -366,7 +366,7 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     runs = materialize(holders.mapInArrow(_runs, _ddl(_RUNS)))
     usual, large = runs.where("NOT large"), runs.where("large")
     spans = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(_RUNS, "doc", ["doc", "own"], _SPANS), _ddl(_SPANS))
-    return spans.union(lengthened(large, max_group)) if large.limit(1).count() else spans
+    return spans.union(lengthened(large, ["doc", "own"], "doc", max_group)) if large.limit(1).count() else spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
