@@ -313,6 +313,21 @@ def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _batch(list(zip(*out, strict=True)), _WINDOWS)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of content, _least and owned, with spans that meet or overlap made one."""
+    for b in batches:
+        out = []
+        for owned in b.column("owned").to_pylist():
+            spans: list[dict] = []
+            for s in sorted(owned or (), key=lambda s: s["low"]):
+                if spans and s["low"] <= spans[-1]["high"]:
+                    spans[-1]["high"] = max(spans[-1]["high"], s["high"])
+                else:
+                    spans.append(dict(s))
+            out.append(spans)
+        yield pa.RecordBatch.from_arrays([b.column("content"), b.column("_least"), pa.array(out, b.schema.field("owned").type)], names=["content", "_least", "owned"])
+
+
 def lengthened(rows: DataFrame, identity: list[str], owner: str, max_group: int, level: int = 1) -> DataFrame:
     """Of runs (identity, owner, start, n, content, words) of groups that are too large for one task: (identity, low,
     high), the spans of their suffixes that a smaller document than their owner has. Runs of equal words are one content,
@@ -335,6 +350,7 @@ def lengthened(rows: DataFrame, identity: list[str], owner: str, max_group: int,
         owned = found.select("whole", F.col("k").alias("low"), (F.col("k") + 1).alias("high"))
     owned = owned.groupBy("whole").agg(F.collect_set(F.struct("low", "high")).alias("owned"))
     told = contents.select("whole", "least").join(owned, "whole", "left").select(F.col("whole").alias("content"), F.col("least").alias("_least"), "owned")
+    told = told.mapInArrow(_merged, told.schema)
     every = F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high")))
     spans = F.when(F.col(owner) > F.col("_least"), every).otherwise(F.col("owned"))
     each = rows.select(*identity, *{owner} - {*identity}, "start", "n", "content")
