@@ -2,14 +2,18 @@
 
 Each rule votes good, votes bad or abstains on a document. Expectation-maximisation over the histogram of vote
 patterns (at most 3 to the number of rules, whatever the corpus) estimates how accurate each rule is on good and on bad
-documents, and a document is kept if its posterior probability of being good is at least a threshold.
+documents, and on each kind of bad ones, and a document is kept if its posterior probability of being good is at least a
+threshold.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +45,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with the base counts and what the rules look at, under names that start with __q_."""
+    """docs, which has a column text and none whose name starts with __q_, with the base counts and what the rules look at."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     words = words_of(F.col("text"))
@@ -73,8 +77,8 @@ def _share(part: str, whole: str) -> Callable[[], Column]:
 
 
 RULES = (
-    Rule("symbols", _share("__q_symbols", "__q_words.n_words"), 0.05, 0.2),
-    Rule("symbol_share", _share("__q_symbols", "__q_words.word_chars"), 0.01, 0.03),
+    # one rule: symbols per word and per character are one piece of evidence
+    Rule("symbols", lambda: F.greatest(5 * _share("__q_symbols", "__q_words.n_words")(), 33 * _share("__q_symbols", "__q_words.word_chars")()), 0.33, 1.0),
     Rule("upper_case", _share("__q_upper", "__q_words.word_chars"), 0.1, 0.3),
     Rule("shouting", _share("__q_shouts", "__q_words.n_words"), 0.05, 0.2),
     Rule("repeated_words", _share("__q_words.n_repeat_words", "__q_words.n_words"), 0.05, 0.2),
@@ -88,43 +92,77 @@ def vote(rule: Rule) -> Column:
     return F.when(value >= rule.bad, -1).when(value <= rule.good, 1).otherwise(0)
 
 
+#: Documents that each rate is estimated from besides those seen: so few that they do not draw estimates along.
+LITTLE = 0.01
+
+
 @dataclass(frozen=True)
 class Model:
-    """prior: of a good document; right: for each rule, how often it votes good on good documents, and bad on bad ones."""
-
-    prior: float
-    right: tuple[tuple[float, float], ...]
+    """shares: of good documents, and of bad ones of each kind; right: for each rule, how often its votes are good on good
+    documents; alarm: for each rule, on how many good documents it votes bad; bad: for each kind and rule, how often its
+    votes are bad on documents of that kind, and for the kind's own rule, on how many of them it votes bad."""
+
+    shares: tuple[float, ...]
+    right: tuple[float, ...]
+    alarm: tuple[float, ...]
+    bad: tuple[tuple[float, ...], ...]
+
+    def kinds(self, votes: list[Column]) -> list[Column]:
+        """The odds of each kind of bad document against a good one, given the votes."""
+        out = []
+        for kind, (share, rates) in enumerate(zip(self.shares[1:], self.bad, strict=True)):
+            odds = F.lit(math.log(share / self.shares[0]))
+            for i, (v, good, alarm, bad) in enumerate(zip(votes, self.right, self.alarm, rates, strict=True)):
+                if i == kind:  # a kind is known by its own rule, which does not abstain on it
+                    odds = odds + F.when(v < 0, math.log(bad / alarm)).otherwise(math.log((1 - bad) / (1 - alarm)))
+                else:
+                    odds = odds + F.when(v > 0, math.log((1 - bad) / good)).when(v < 0, math.log(bad / (1 - good))).otherwise(0.0)
+            out.append(F.exp(odds))
+        return out
 
     def posterior(self, votes: list[Column]) -> Column:
-        odds = F.lit(math.log(self.prior / (1 - self.prior)))
-        for v, (good, bad) in zip(votes, self.right, strict=True):
-            odds = odds + F.when(v > 0, math.log(good / (1 - bad))).when(v < 0, math.log((1 - good) / bad)).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+        """The probability of being good."""
+        return 1 / reduce(add, self.kinds(votes), F.lit(1.0))
 
 
-def fit(patterns: DataFrame, n_rules: int, rounds: int = 25, tolerance: float = 1e-5) -> Model:
-    """patterns: __v0, __v1, ... and n, the documents with these votes. Starts from: any bad vote makes a document suspect."""
+def fit(patterns: DataFrame, n_rules: int, rounds: int = 100, tolerance: float = 1e-3) -> Model:
+    """patterns: __v0, __v1, ... and n, the documents with these votes.
+
+    Bad documents are of kinds, one for each rule: what fails one rule need not fail another, and votes are independent
+    within a kind only. At the start, documents with bad votes are held to be of these rules' kinds, nine times in ten.
+    Ends when no estimate moves by more than the tolerance, and warns if it has not by the last round."""
     votes = [F.col(f"__v{i}") for i in range(n_rules)]
-    anyone = votes[0] < 0
-    for v in votes[1:]:
-        anyone = anyone | (v < 0)
-    q, model = F.when(anyone, 0.1).otherwise(0.95), None
+    against = reduce(add, [F.when(v < 0, 1).otherwise(0) for v in votes])
+    suspect = [F.when(against > 0, F.when(v < 0, 0.9 / against).otherwise(0.0)).otherwise(0.05 / n_rules) for v in votes]
+    shares, model, moved = [F.when(against > 0, 0.1).otherwise(0.95), *suspect], None, 1.0
+    rate = lambda k, of, low, high: min(high, max(low, round((k + LITTLE) / (of + 2 * LITTLE), 9)))
     for _ in range(rounds):
-        held = patterns.withColumn("q", q)
-        n, g, b = F.col("n"), F.col("n") * F.col("q"), F.col("n") * (1 - F.col("q"))
-        sums = [F.sum(n), F.sum(g)]
-        for v in votes:
-            sums += [F.sum(F.when(v > 0, g)), F.sum(F.when(v != 0, g)), F.sum(F.when(v < 0, b)), F.sum(F.when(v != 0, b))]
+        n = F.col("n")
+        held = patterns.withColumns({f"q{c}": n * share for c, share in enumerate(shares)})
+        sums = [F.sum(n)]
+        for c in range(n_rules + 1):
+            q = F.col(f"q{c}")
+            sums += [F.sum(q), *(F.sum(F.when(v < 0, q)) for v in votes), *(F.sum(F.when(v != 0, q)) for v in votes)]
         row = [x or 0.0 for x in held.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
         if not row[0]:
-            return Model(0.5, ((0.9, 0.9),) * n_rules)
-        rate = lambda k, of, low, high: min(high, max(low, round((k + 1) / (of + 2), 9)))
-        # a rule is never held to be worse than chance on good documents, nor any to be infallible
-        new = Model(rate(row[1], row[0], 0.01, 0.99), tuple((rate(row[i], row[i + 1], 0.5, 0.999), rate(row[i + 2], row[i + 3], 0.001, 0.999)) for i in range(2, len(row), 4)))
-        moved = 1.0 if model is None else max(abs(new.prior - model.prior), *(abs(x - y) for p, r in zip(new.right, model.right, strict=True) for x, y in zip(p, r, strict=True)))
-        model, q = new, new.posterior(votes)
+            return Model((0.5, *[0.5 / n_rules] * n_rules), (0.9,) * n_rules, (0.1,) * n_rules, ((0.9,) * n_rules,) * n_rules)
+        step = 2 * n_rules + 1
+        of = lambda c: row[1 + c * step : 1 + (c + 1) * step]  # noqa: B023, E731
+        parts = [max(of(c)[0], 1e-6 * row[0]) for c in range(n_rules + 1)]
+        told = [[(of(c)[1 + i], of(c)[1 + n_rules + i]) for i in range(n_rules)] for c in range(n_rules + 1)]
+        # a rule is mostly right on good documents, and on those of its own kind
+        right = tuple(1 - rate(bad, votes_, 0.001, 0.2) for bad, votes_ in told[0])
+        alarm = tuple(rate(bad, parts[0], 0.0005, 0.2) for bad, _ in told[0])
+        bad = tuple(tuple(rate(b, parts[c + 1], 0.9, 0.999) if i == c else rate(b, v, 0.001, 0.999) for i, (b, v) in enumerate(told[c + 1])) for c in range(n_rules))
+        new = Model(tuple(round(x / sum(parts), 9) for x in parts), right, alarm, bad)
+        flat = lambda m: [*m.shares, *m.right]  # noqa: E731  what kinds without documents are like doesn't matter
+        moved = 1.0 if model is None else max(abs(x - y) for x, y in zip(flat(new), flat(model), strict=True))
+        model = new
         if moved < tolerance:
-            break
+            return model
+        good = model.posterior(votes)
+        shares = [good, *(odds * good for odds in model.kinds(votes))]
+    warnings.warn(f"estimates still move by {moved:.2g} after {rounds} rounds", stacklevel=2)
     return model
 
 
@@ -132,24 +170,24 @@ def judged(docs: DataFrame, threshold: float = 0.5, keep_text: bool = True) -> D
     """docs, all columns as they came, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     quality (the posterior) and kept, where docs has no such column of its own (else the operator's stands).
 
-    A null or empty text has no words and fails the base. Repeated rows are judged alike and each is returned. An empty
-    table gives no rows. The counts are written once to the shared folder: they feed both the estimate and the verdicts.
+    A null or empty text has no words and fails the base; a text of any length counts whole. Repeated rows are judged
+    alike and each is returned. An empty table gives no rows. The counts are written once to the shared folder: they feed both the estimate and the verdicts.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
-    own = [c for c in docs.columns if c not in added and not c.startswith("__")]
-    kept = [c for c in own if keep_text or c != "text"]
-    base = features(docs.select(*own))
+    own = [c for c in docs.columns if c not in added and (keep_text or c != "text")]
+    # what the table has besides is held together, so that no name of it can clash with one of these
+    base = features(docs.select(F.struct(*own).alias("row"), "text"))
     voted = base.withColumns({f"__v{i}": vote(r).cast("tinyint") for i, r in enumerate(RULES)})
-    stored = materialize(
-        voted.select(*kept, "__q_words.*", "__q_lines.n_dup_lines", F.col("__q_symbols").alias("n_symbols"), *[f"__v{i}" for i in range(len(RULES))])
-    )
+    stored = materialize(voted.select("row", "__q_words.*", "__q_lines.n_dup_lines", F.col("__q_symbols").alias("n_symbols"), *[f"__v{i}" for i in range(len(RULES))]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     # what fails the base is decided; the model is of the rest
     names = [f"__v{i}" for i in range(len(RULES))]
-    patterns = materialize(stored.where(~failed).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    counted = stored.where(~failed).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    patterns = docs.sparkSession.createDataFrame(counted.orderBy(*names).collect(), counted.schema).coalesce(1)  # 3 ** rules rows at most
     model = fit(patterns, len(RULES))
     posterior = F.round(model.posterior([F.col(c) for c in names]), 6)
-    return stored.withColumns({"base_failed": failed, "quality": posterior}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).select(*kept, *added)
+    judged_ = stored.withColumns({"base_failed": failed, "quality": posterior}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    return judged_.select("row.*", *added)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,14 @@ def test_columns_and_empty(odd_docs, no_docs):
 def test_model_prefers_the_majority_of_accurate_rules(spark):
     rows = [(1, 1, 0, 900.0), (-1, -1, 0, 80.0), (1, -1, 1, 10.0), (1, 1, -1, 10.0)]
     model = quality.fit(spark.createDataFrame(rows, "__v0 int, __v1 int, __v2 int, n double"), 3)
-    assert 0.8 < model.prior < 0.95 and all(g >= 0.5 for g, _ in model.right)
+    assert 0.8 < model.shares[0] < 0.95 and sum(model.shares) == pytest.approx(1) and all(g >= 0.8 for g in model.right)
+
+
+def test_unsettled_estimates_are_told(spark):
+    patterns = spark.createDataFrame([(1, 1, 90.0), (-1, -1, 8.0), (1, -1, 3.0)], "__v0 int, __v1 int, n double")
+    with pytest.warns(UserWarning, match="still move"):
+        quality.fit(patterns, 2, rounds=1)
+    assert quality.fit(patterns.limit(0), 2).shares[0] == 0.5
 
 
 @pytest.mark.parametrize("name", [r.name for r in quality.RULES])
