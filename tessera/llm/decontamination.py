@@ -33,8 +33,8 @@ def shingles(words: Column, size: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(none))
 
 
-def counted_shingles(size: int) -> Column:
-    return let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), shingles(w, size).alias("keys")))
+def counted_shingles(text: Column, size: int) -> Column:
+    return let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), shingles(w, size).alias("keys")))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -57,11 +57,14 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A null or empty text has no words and is not hit; an item without words has no window, and one without an id hits
     words but is no item to name. Documents of an equal doc_id
-    are judged each by its own text, repeated rows alike and each returned. An empty benchmark hits nothing.
+    are judged each by its own text, repeated rows alike and each returned; a text of any length is read whole. An empty
+    benchmark hits nothing.
     """
     added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_hit"]
     own = [c for c in docs.columns if c not in added]
-    keyed = docs.select(*own).withColumn("__text", F.xxhash64("text", F.length("text")))
+    # what the table has besides is held together, so that no name of it can clash with one of these
+    keyed = docs.select(F.struct(*own).alias("row"), "doc_id", F.xxhash64("text", F.length("text")).alias("__text"))
+    text = F.col("row.text")
 
     windows = materialize(windows_of(items))
     sizes = [r[0] for r in windows.select(F.least("length", F.lit(SHINGLE)).alias("s")).distinct().collect()]  # of 1, 2, 3
@@ -80,7 +83,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = small(necessary.select("size", "key").distinct())
     found = None
     for s in sizes:
-        cut = keyed.select("doc_id", "__text", counted_shingles(s).alias("__cut"))
+        cut = keyed.select("doc_id", "__text", counted_shingles(text, s).alias("__cut"))
         one = cut.select("doc_id", "__text", F.col("__cut.n").alias("n"), F.posexplode("__cut.keys").alias("pos", "key")).withColumn("size", F.lit(s))
         found = one if found is None else found.unionByName(one)
     found = materialize(found.join(wanted, ["size", "key"]))
@@ -101,7 +104,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     same_doc = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.__text").eqNullSafe(F.col("c.__text"))
     joined = keyed.alias("d").join(per_doc.alias("c"), same_doc, "left").select("d.*", "c.__candidates")
     exact = let(
-        words_of(F.col("text")),
+        words_of(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.when(F.col("__candidates").isNotNull(), F.array_sort(F.filter("__candidates", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ") == c["window"]))).alias("hits"),
@@ -119,7 +122,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     ids = F.array_sort(F.transform(F.coalesce(ids, F.array().cast("array<bigint>")), lambda x: x.cast("string")))
     out = checked.withColumns({"n_hit": covered, "__ids": ids})
     return out.select(
-        *own,
+        "row.*",
         "n_words",
         "n_hit",
         F.size("__ids").cast("long").alias("n_items"),

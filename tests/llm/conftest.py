@@ -2,11 +2,11 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fp string, n_words string, own string, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fp string, n_words string, own string, key string, __x string, __text string, __v0 string, row string, _salt string"
 
 
 def row(doc_id, text, n_chars=0):
-    return (doc_id, text, "en", "src0", n_chars, None, "a", "b", "c", "d")
+    return (doc_id, text, "en", "src0", n_chars, None, "a", "b", "c", "d", "x", "t", "v", "r", "s")
 
 
 @pytest.fixture(scope="session")

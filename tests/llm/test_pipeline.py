@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_simhash import brute_fingerprint, groups_of
@@ -44,3 +46,27 @@ def test_a_passage_in_a_long_document(spark, tmp_path, prose):
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline._decontamination(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2, 4]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_odd_input(spark, odd_docs, no_docs, tmp_path, prose, stage):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, and tables without rows."""
+    run = dict(corpus_pipeline.STAGES)[stage]
+    spark.createDataFrame([(1, prose(30, 2)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = run(spark, odd_docs, str(tmp_path))
+    rows, before = out.collect(), odd_docs.collect()
+    if stage == "best_fit_packing":
+        assert {r.doc_id for r in rows} == {r.doc_id for r in before} and len(rows) >= len(before)
+    else:
+        assert out.columns == odd_docs.columns and 0 < len(rows) <= len(before)
+        extra = [c for c in out.columns if c not in ("text", "n_chars")]
+        assert {tuple(r[c] for c in extra) for r in rows} <= {tuple(r[c] for c in extra) for r in before}
+    assert run(spark, no_docs, str(tmp_path)).count() == 0
+    if stage == "quality_rules":
+        assert all(r.text and len(r.text.split()) >= 10 for r in rows)
+    if stage == "simhash_near_dedup":
+        assert len(rows) == len({r.doc_id for r in rows}) and sum(not (r.text or "").split() for r in rows) == 1
+    if stage == "decontamination":
+        assert not any(prose(30, 2) in (r.text or "") for r in rows) and any(r.text is None for r in rows)
+    if stage == "pii_surrogates":
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in before)
