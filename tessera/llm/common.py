@@ -87,9 +87,10 @@ def fresh(name: str, *taken: str) -> str:
 
 
 def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """many joined with one, which has a row for each key at most; rows of a key are dealt out over SALTS tasks by ``by``."""
+    """many joined with one, which has a row for each key at most; rows of a key are dealt out over SALTS tasks by ``by``.
+    Both sides are shuffled: what is known of the size of a compressed table says little of that in memory."""
     salted = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    spread = one.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    spread = one.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))).hint("merge")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
