@@ -9,14 +9,16 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, semantic_document
+from tessera.operators.blocks import best_of_batch
 from tessera.operators.keyword import active, check_page
 
-#: Query vectors are counted and broadcast in blocks of about so many.
-MAX_BROADCAST_ROWS = 10_000
+#: Query vectors are counted and sent in blocks of about so many.
+MAX_QUERIES = 2_000
 
 
 class DimensionError(ValueError):
@@ -78,25 +80,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = MAX_QUERIES) -> DataFrame:
     """Of vectors (id, embedding), the k nearest to each of queries (query_id, vector): query_id, id, score, rank.
 
-    The stated queries, counted, meet every vector, in blocks by a hash of query_id, so that all rows of one are in one
-    block; each task keeps its own best k before the rest is shuffled (the window's limit is pushed below the exchange)."""
-    blocks = -(-queries.count() // MAX_BROADCAST_ROWS)
-    if blocks < 2:
-        return _block_top_k(vectors, queries, k)
+    The stated queries, counted, meet every vector in blocks by a hash of query_id: a block is a matrix of unit vectors
+    that each batch of vectors is multiplied by, and only the batch's k best go on. A vector of zeros, of another dimension
+    or null has a null score, which is last."""
+    blocks = max(1, -(-queries.count() // block))
     own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    out = _block_top_k(vectors, queries.where(own == 0), k)
-    for b in range(1, blocks):
-        out = out.union(_block_top_k(vectors, queries.where(own == b), k))
-    return out
+    ids = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, score double"
+    out = None
+    for b in range(blocks):
+        rows = queries.where(own == b).select("query_id", "vector").collect()  # a bounded block
+        if rows:
+            found = vectors.select("id", "embedding").mapInArrow(_nearest([r[0] for r in rows], [r[1] for r in rows], k), ids)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = vectors.join(queries, F.lit(False)).select("query_id", "id", F.lit(None).cast("double").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _unit(vectors: list, dimension: int) -> np.ndarray:
+    """Rows of length one; not a number where there is none."""
+    if isinstance(vectors, list):
+        vectors = np.array([v if v is not None and len(v) == dimension else [0.0] * dimension for v in vectors], float)
+    whole = vectors.reshape(-1, dimension)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return whole / np.linalg.norm(whole, axis=1, keepdims=True)
+
+
+def _nearest(names: list, vectors: list, k: int):
+    dimension = next((len(v) for v in vectors if v is not None), 1)
+    matrix = _unit(vectors, dimension).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column("embedding")
+            flat = held.flatten().to_numpy(zero_copy_only=False)
+            even = held.null_count == 0 and len(flat) == len(b) * dimension and not np.isnan(flat).any() and (held.value_lengths().to_numpy() == dimension).all()
+            rows = flat.reshape(-1, dimension).astype(float) if even else held.to_pylist()
+            yield best_of_batch(_unit(rows, dimension) @ matrix, b.column("id"), names, k)
+
+    return run
 
 
 def semantic_search(resources: DataFrame, embeddings: DataFrame, vector: list[float], model: tuple[str, str, int], resource_type: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.operators.keyword import Index
+from tessera.plans import stored
 
 #: Event types as sources of catalog rows.
 EVENT_SOURCES = {"click": "tag:classification", "view": "query:data science", "signup": "tag:nlp", "purchase": "query:forecasting", "error": "tag:regression"}
@@ -17,14 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, if its files give fewer: one row group is one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("_toxic")).distinct()
     title = F.substring_index("text", "\n", 1)
     return docs.join(toxic, docs.doc_id == toxic._toxic, "left").select(
@@ -55,10 +51,15 @@ POSTS_SQL = r"""posts AS (
 QUERIES_SQL = r"""q AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)"""
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of resources, made anew only if their tables have changed."""
+    return stored.once(spark, ("index", sf_dir), [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"], lambda path: Index.of(resources(spark, sf_dir)).stored(path), lambda path: Index.read(spark, path))
+
+
 def query_words(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[str]]]:
-    """The first words of each benchmark item, which serve as a set of queries: a request, stated on the driver."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.slice(tokens(F.col("text")), 1, 2).alias("w"))
-    return [(r.item_id, list(r.w)) for r in rows.collect()]
+    """All words of each benchmark item, which serve as a set of queries: a request, stated on the driver."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("w"))
+    return [(r.item_id, list(r.w)) for r in rows.collect() if r.w]
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,78 +35,108 @@ def oracle_sql() -> dict[str, str]:
 # -- keyword search -------------------------------------------------------------------------------------------------
 
 _KW = f"WITH {A.RESOURCES_SQL}, {A.POSTS_SQL}, {A.QUERIES_SQL}"
-_ONE = "SELECT query_id, id, sum(weight) AS s FROM q JOIN posts ON lexeme = w[1] WHERE status = 'active' GROUP BY query_id, id"
+_ANY = "SELECT query_id, id, max(s) AS s FROM (SELECT query_id, lexeme, id, sum(weight) AS s FROM (SELECT query_id, unnest(list_distinct(w)) AS lexeme FROM q) JOIN posts USING (lexeme) WHERE status = 'active' GROUP BY ALL) GROUP BY query_id, id"
 _RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, id)"
+_PAIRS = "pairs AS (SELECT query_id, k, w[2 * k - 1] AS a, w[2 * k] AS b FROM (SELECT query_id, w, unnest(range(1, len(w) // 2 + 1)) AS k FROM q))"
 
 
-def _hits(spark, sf_dir, form, resource_type=None) -> DataFrame:
-    wanted = [(i, form(w)) for i, w in A.query_words(spark, sf_dir) if len(w) > 1]
-    terms = keyword.query_terms(spark, wanted)
-    found = keyword.matches(keyword.active(A.resources(spark, sf_dir), resource_type), terms)
-    return found.withColumn("score", F.round("score", 6))
+def _words(spark, sf_dir, distinct=True) -> DataFrame:
+    """query_id, lexeme and at, the first place of each word of each query; distinct or not."""
+    rows = [(i, x, at) for i, w in A.query_words(spark, sf_dir) for at, x in enumerate(w) if not distinct or w.index(x) == at]
+    return spark.createDataFrame(rows, "query_id long, lexeme string, at int")
 
 
-@query(f"{_KW}, h AS ({_ONE}) SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT *, {_RANKED} AS rank FROM h) WHERE rank <= 10")
+def _any(spark, sf_dir, k, resource_type=None) -> DataFrame:
+    """The k best resources for any of the words of each query."""
+    return keyword.best_of_any(A.indexed(spark, sf_dir), _words(spark, sf_dir), k, resource_type)
+
+
+def _hits(spark, sf_dir, form, rank="weights") -> DataFrame:
+    terms = keyword.query_terms(spark, [(i, form(w)) for i, w in A.query_words(spark, sf_dir)])
+    return keyword.matches(A.indexed(spark, sf_dir), terms, rank).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+def _by_pairs(of):
+    """Alternatives of two words each, of all words of a query in order."""
+    return lambda w: " or ".join(of(a, b) for a, b in zip(w[::2], w[1::2], strict=False))
+
+
+@query(f"{_KW}, h AS ({_ANY}) SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT *, {_RANKED} AS rank FROM h) WHERE rank <= 10")
 def kw_search(spark, sf_dir):
-    """The ten best resources for each one-word query."""
-    return keyword.top_k(_hits(spark, sf_dir, lambda w: w[0]), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    """The ten best resources for any of the words of each query."""
+    return _any(spark, sf_dir, 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""{_KW}, h AS (SELECT query_id, id, lexeme, weight FROM (SELECT query_id, unnest(list_distinct(w[1:2])) AS lexeme, len(list_distinct(w[1:2])) AS n, w FROM q) JOIN posts USING (lexeme) WHERE status = 'active')
-SELECT query_id, id, round(sum(h.weight * k), 6) AS score FROM h JOIN (SELECT query_id AS qid, w[1] = w[2] AS same, len(list_distinct(w[1:2])) AS n FROM q) x ON qid = query_id CROSS JOIN (SELECT 1) o(one), LATERAL (SELECT CASE WHEN same THEN 2 ELSE 1 END AS k) GROUP BY query_id, id, n HAVING count(DISTINCT lexeme) = n""")
+@query(f"""{_KW}, t AS (SELECT query_id, lexeme, count(*) AS k FROM (SELECT query_id, unnest(w) AS lexeme FROM q) GROUP BY ALL), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY query_id),
+h AS (SELECT query_id, id, lexeme, k, sum(weight) AS s FROM t JOIN posts USING (lexeme) WHERE status = 'active' GROUP BY ALL)
+SELECT query_id, id, round(sum(s * k), 6) AS score FROM h JOIN n USING (query_id) GROUP BY query_id, id, n HAVING count(*) = n""")
 def kw_search_and(spark, sf_dir):
-    """Every resource that has both words of a query."""
-    return _hits(spark, sf_dir, " ".join).select("query_id", "id", "score")
+    """Every resource that has all the words of a query."""
+    return _hits(spark, sf_dir, lambda w: " ".join(f'"{x}"' for x in w))
 
 
-@query(f"""{_KW}, h AS (SELECT query_id, k, word, id, sum(weight) AS s FROM (SELECT query_id, unnest(w[1:2]) AS word, unnest([1, 2]) AS k FROM q) JOIN posts ON lexeme = word WHERE status = 'active' GROUP BY query_id, k, word, id)
-SELECT query_id, id, round(max(s), 6) AS score, string_agg(word, '|' ORDER BY k) AS matched_queries FROM h GROUP BY query_id, id""")
+@query(f"""{_KW}, h AS (SELECT * FROM (SELECT *, {_RANKED} AS rank FROM ({_ANY})) WHERE rank <= 20), t AS (SELECT query_id, lexeme, min(spot) AS spot FROM (SELECT query_id, unnest(w) AS lexeme, unnest(range(len(w))) AS spot FROM q) GROUP BY ALL)
+SELECT query_id, h.id, round(s, 6) AS score, rank, string_agg(lexeme, '|' ORDER BY spot) AS matched_queries FROM h JOIN t USING (query_id) WHERE EXISTS (SELECT 1 FROM posts p WHERE p.id = h.id AND p.lexeme = t.lexeme) GROUP BY query_id, h.id, s, rank""")
 def kw_multi_query(spark, sf_dir):
-    """Two queries each: the better score, and which of them matched in the order given."""
-    words = [(i, w) for i, w in A.query_words(spark, sf_dir) if len(w) > 1]
-    pairs = [(2 * i + k, w[k], i, k) for i, w in words for k in (0, 1)]
-    terms = keyword.query_terms(spark, [(p[0], p[1]) for p in pairs])
-    names = spark.createDataFrame(pairs, "sub long, query string, owner long, k int")
-    found = keyword.matches(keyword.active(A.resources(spark, sf_dir)), terms).join(F.broadcast(names), F.col("query_id") == F.col("sub"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "query"))), lambda x: x["query"]), "|")
-    return found.groupBy(F.col("owner").alias("query_id"), "id").agg(F.round(F.max("score"), 6).alias("score"), listed.alias("matched_queries"))
-
-
-@query(f"""{_KW} SELECT query_id, a.id, CAST(count(*) AS BIGINT) AS n, round(sum(a.weight + b.weight), 6) AS score FROM q JOIN posts a ON a.lexeme = w[1] JOIN posts b ON b.lexeme = w[2] AND b.id = a.id AND b.pos = a.pos + 1
-WHERE a.status = 'active' GROUP BY query_id, a.id""")
+    """Each word a query of its own: the twenty best resources by their best word, and all the words that each matched."""
+    found = keyword.words_matched(A.indexed(spark, sf_dir), _any(spark, sf_dir, 20), _words(spark, sf_dir))
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), F.array_join("matched_queries", "|").alias("matched_queries"))
+
+
+@query(f"""{_KW}, {_PAIRS}, h AS (SELECT query_id, k, x.id, sum(x.weight + y.weight) AS s FROM pairs JOIN posts x ON x.lexeme = a JOIN posts y ON y.lexeme = b AND y.id = x.id AND y.pos = x.pos + 1 WHERE x.status = 'active' GROUP BY query_id, k, x.id)
+SELECT query_id, id, round(max(s), 6) AS score FROM h GROUP BY query_id, id""")
 def kw_phrase(spark, sf_dir):
-    """Where both words stand next to one another."""
-    wanted = [(i, f'"{w[0]} {w[1]}"') for i, w in A.query_words(spark, sf_dir) if len(w) > 1]
-    posts = keyword.postings(keyword.active(A.resources(spark, sf_dir)))
-    found = keyword.occurrences(posts, keyword.query_terms(spark, wanted))
-    return found.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score"))
+    """Where two words of a query stand next to one another, all pairs being alternatives."""
+    return _hits(spark, sf_dir, _by_pairs(lambda a, b: f'"{a} {b}"'))
 
 
-@query(f"{_KW}, h AS ({_ONE}) SELECT query_id, id, round(s, 6) AS score FROM h JOIN q USING (query_id) WHERE w[1] <> w[2] AND NOT EXISTS (SELECT 1 FROM posts p WHERE p.id = h.id AND p.lexeme = w[2])")
+@query(f"""{_KW}, t AS (SELECT query_id, len(w) AS n, unnest(w) AS lexeme, unnest(range(len(w))) AS k FROM q), h AS (SELECT query_id, id, pos - k AS start, n, sum(weight) AS s FROM t JOIN posts USING (lexeme) WHERE status = 'active' GROUP BY ALL HAVING count(*) = n)
+SELECT query_id, id, round(sum(s), 6) AS score FROM h GROUP BY query_id, id""")
+def kw_exact(spark, sf_dir):
+    """Where a query stands whole, word by word."""
+    return _hits(spark, sf_dir, lambda w: '"' + " ".join(w) + '"')
+
+
+@query(f"""{_KW}, {_PAIRS}, h AS (SELECT query_id, k, id, b, sum(weight) AS s FROM pairs JOIN posts ON lexeme = a WHERE status = 'active' AND a <> b GROUP BY ALL), c AS (SELECT DISTINCT id, lexeme FROM posts)
+SELECT query_id, id, round(max(s), 6) AS score FROM h ANTI JOIN c ON c.id = h.id AND c.lexeme = h.b GROUP BY query_id, id""")
 def kw_negation(spark, sf_dir):
-    """With the first word and without the second."""
-    return _hits(spark, sf_dir, lambda w: f"{w[0]} -{w[1]}").select("query_id", "id", "score")
+    """With one word and without the next, all pairs being alternatives."""
+    return _hits(spark, sf_dir, _by_pairs(lambda a, b: f'"{a}" -"{b}"'))
+
+
+@query(f"""{_KW}, {_PAIRS}, o AS (SELECT query_id, k, id, pos, weight, lexeme, lag(lexeme) OVER x AS before, lag(pos) OVER x AS spot, lag(weight) OVER x AS w FROM pairs JOIN posts ON lexeme = a OR lexeme = b WHERE status = 'active' AND a <> b WINDOW x AS (PARTITION BY query_id, k, id ORDER BY pos)),
+h AS (SELECT query_id, k, id, sum(2.0 / (1.0 / w + 1.0 / weight) / (pos - spot)) AS s FROM o WHERE before <> lexeme GROUP BY ALL) SELECT query_id, id, round(max(s), 6) AS score FROM h GROUP BY query_id, id""")
+def kw_cover_density(spark, sf_dir):
+    """Two words each, by cover density: each stretch between neighbours counts its weights, less the more lies between."""
+    apart = lambda w: [x for a, b in zip(w[::2], w[1::2], strict=False) if a != b for x in (a, b)]
+    return _hits(spark, sf_dir, lambda w: _by_pairs(lambda a, b: f'"{a}" "{b}"')(apart(w)), "cover")
 
 
-@query(f"""{_KW}, h AS (SELECT query_id, id, sum(weight) AS s FROM q JOIN posts ON lexeme = w[1] WHERE status = 'active' AND resource_type = 'dataset' GROUP BY query_id, id)
+@query(f"""{_KW}, h AS (SELECT query_id, id, max(s) AS s FROM (SELECT query_id, lexeme, id, sum(weight) AS s FROM (SELECT query_id, unnest(list_distinct(w)) AS lexeme FROM q) JOIN posts USING (lexeme) WHERE status = 'active' AND resource_type = 'dataset' GROUP BY ALL) GROUP BY query_id, id)
 SELECT query_id, id, round(s, 6) AS score, place FROM (SELECT *, {_RANKED} AS place FROM h) WHERE place > 5 AND place <= 15""")
 def kw_type_filter_page(spark, sf_dir):
     """The second page of datasets for each query."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    placed = _hits(spark, sf_dir, lambda w: w[0], "dataset").withColumn("place", F.row_number().over(order).cast("long"))
-    return placed.where("place > 5 AND place <= 15").select("query_id", "id", "score", "place")
+    return _any(spark, sf_dir, 15, "dataset").where("rank > 5").select("query_id", "id", "score", F.col("rank").cast("long").alias("place"))
+
+
+@query(f"""WITH {A.RESOURCES_SQL}, {A.POSTS_SQL}, changed AS (SELECT id, lexeme, sum(weight) AS s FROM posts WHERE id % 7 > 0 GROUP BY ALL) SELECT lexeme, count(*) AS documents, round(sum(s), 4) AS weight FROM changed GROUP BY lexeme""")
+def index_update(spark, sf_dir):
+    """The words of the index after a refresh: a seventh of the resources is gone, another has changed and is read anew."""
+    r = A.resources(spark, sf_dir)
+    stale = keyword.Index.of(r.withColumn("title", F.when(F.col("id") % 7 == 1, "old title").otherwise(F.col("title"))))
+    now = stale.updated(r.where("id % 7 = 1"), r.where("id % 7 = 0").select("id"))
+    return now.posts.groupBy("lexeme").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("score"), 4).alias("weight"))
 
 
-@query(f"""WITH {A.RESOURCES_SQL}, {A.POSTS_SQL}, {A.QUERIES_SQL}, tf AS (SELECT id, lexeme, count(*) AS tf FROM posts GROUP BY ALL), n AS (SELECT count(*) AS n FROM resources),
+@query(f"""WITH {A.RESOURCES_SQL}, {A.POSTS_SQL}, {A.QUERIES_SQL}, tf AS (SELECT id, lexeme, count(*) AS tf FROM posts GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM tf),
 idf AS (SELECT lexeme, ln((1.0 + n) / (1.0 + count(*))) + 1.0 AS idf FROM tf, n GROUP BY lexeme, n), norms AS (SELECT id, sqrt(sum(tf * tf)) AS norm FROM tf GROUP BY id),
-t AS (SELECT query_id, lexeme, count(*) AS n FROM (SELECT query_id, unnest(w[1:2]) AS lexeme FROM q) GROUP BY ALL),
+t AS (SELECT query_id, lexeme, count(*) AS n FROM (SELECT query_id, unnest(w) AS lexeme FROM q) GROUP BY ALL),
 s AS (SELECT query_id, id, round(sum(tf * t.n * idf * idf) / any_value(norm), 6) AS score FROM tf JOIN idf USING (lexeme) JOIN t USING (lexeme) JOIN norms USING (id) GROUP BY query_id, id)
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
 def tfidf_top5(spark, sf_dir):
     """The five nearest resources by TF-IDF."""
-    words = [(i, x) for i, w in A.query_words(spark, sf_dir) for x in w]
-    terms = spark.createDataFrame(words, "query_id long, lexeme string").groupBy("query_id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
-    return keyword.tf_idf(A.resources(spark, sf_dir), terms).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    terms = _words(spark, sf_dir, distinct=False).groupBy("query_id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
+    return keyword.tf_idf(A.indexed(spark, sf_dir), terms).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # -- vectors and fusion ---------------------------------------------------------------------------------------------
@@ -140,7 +170,7 @@ def ann_lsh(spark, sf_dir):
     return vectors.approximate_top_k(v.select("id", "embedding"), wanted, 10, 64).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_HYBRID = f"""{_KW}, k AS (SELECT query_id, id, rank AS keyword_rank FROM (SELECT *, {_RANKED} AS rank FROM ({_ONE})) WHERE rank <= 20),
+_HYBRID = f"""{_KW}, k AS (SELECT query_id, id, rank AS keyword_rank FROM (SELECT *, {_RANKED} AS rank FROM ({_ANY})) WHERE rank <= 20),
 v AS (SELECT vec_id, embedding FROM embeddings JOIN resources ON id = vec_id WHERE status = 'active'),
 s AS (SELECT query_id, id, rank AS semantic_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT item_id AS query_id, v.vec_id AS id, {_SIM} AS s FROM v, benchmark JOIN embeddings x ON x.vec_id = item_id)) WHERE rank <= 20),
 f AS (SELECT query_id, id, keyword_rank, semantic_rank, coalesce(1.0::DOUBLE / (60.0::DOUBLE + keyword_rank), 0.0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + semantic_rank), 0.0) AS h FROM k FULL JOIN s USING (query_id, id)),
@@ -148,7 +178,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, least(
 
 
 def _fused(spark, sf_dir):
-    kw = keyword.top_k(_hits(spark, sf_dir, lambda w: w[0]), 20).withColumnRenamed("score", "keyword_score")
+    kw = _any(spark, sf_dir, 20).withColumnRenamed("score", "keyword_score")
     v = A.vectors(spark, sf_dir)
     asked = A.table(spark, sf_dir, "benchmark").select("item_id").join(v, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
     live = v.join(keyword.active(A.resources(spark, sf_dir)).select("id"), "id")
@@ -172,10 +202,10 @@ def hybrid_rrf_page(spark, sf_dir):
     return _page(fusion.fused_page(_fused(spark, sf_dir), 5, 10))
 
 
-@query(f"{_KW}, k AS (SELECT query_id // 2 AS query_id, id, rank, s FROM (SELECT *, {_RANKED} AS rank FROM ({_ONE})) WHERE rank <= 20) SELECT query_id, id, min(rank) AS rank, round(arg_min(s, rank), 6) AS score FROM (SELECT query_id, id, rank, max(s) AS s FROM k GROUP BY ALL) GROUP BY query_id, id")
+@query(f"{_KW}, k AS (SELECT query_id // 2 AS query_id, id, rank, s FROM (SELECT *, {_RANKED} AS rank FROM ({_ANY})) WHERE rank <= 20) SELECT query_id, id, min(rank) AS rank, round(arg_min(s, rank), 6) AS score FROM (SELECT query_id, id, rank, max(s) AS s FROM k GROUP BY ALL) GROUP BY query_id, id")
 def rrf_dedupe(spark, sf_dir):
     """Lists in which ids repeat: the first rank stands. Of two lists of a query that agree in rank, the better score."""
-    kw = keyword.top_k(_hits(spark, sf_dir, lambda w: w[0]), 20).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    kw = _any(spark, sf_dir, 20).withColumn("query_id", F.floor(F.col("query_id") / 2))
     best = kw.groupBy("query_id", "id", "rank").agg(F.max("score").alias("score"))
     return fusion.first_ranks(best, "score").select("query_id", "id", F.col("rank").cast("long").alias("rank"), "score")
 

@@ -54,7 +54,7 @@ def resources(spark):
 
 def found(resources, query, rank="weights"):
     terms = keyword.query_terms(resources.sparkSession, [(0, query)])
-    return {r.id: round(r.score, 6) for r in keyword.matches(keyword.active(resources), terms, rank).collect()}
+    return {r.id: round(r.score, 6) for r in keyword.matches(keyword.Index.of(resources), terms, rank).collect()}
 
 
 def test_weights(resources):
