@@ -6,6 +6,7 @@ arrivals. Passes are (source, sort); what a loop over pages decides one by one i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -174,19 +175,35 @@ def page_facts(rows: DataFrame, states: DataFrame, watermarks: DataFrame) -> Dat
 
 
 def stop_pages(facts: DataFrame, mode: str, page_limit: int = PAGE_LIMIT, page_size: int = PAGE_SIZE) -> DataFrame:
-    """The first page of each pass that stops it, why, with which status, and the watermark that it commits.
+    """The first page that ends each pass: the last page that counts, why, with which status, the watermark that it
+    commits, and whether it is worth another try.
 
-    In this order: an empty page, a short page, two stale pages in a row (incremental), the page limit (bootstrap)."""
+    In this order: a page that could not be had or has not its tag (failed, page_valid, where facts have them), which
+    counts for nothing and leaves the watermark as it was; an empty page, a short page, two stale pages in a row
+    (incremental), the page limit (bootstrap)."""
     sorts_of(mode)
     passes = Window.partitionBy("source", "sort").orderBy("page")
     upto = passes.rowsBetween(Window.unboundedPreceding, 0)
+    failed = F.col("failed") if "failed" in facts.columns else F.lit(False)
+    wrong = ~F.col("page_valid") if "page_valid" in facts.columns else F.lit(False)
     twice = F.col("stale") & F.coalesce(F.lag("stale").over(passes), F.lit(False)) if mode == "incremental" else F.lit(False)
     limited = F.col("page") >= page_limit if mode == "bootstrap" else F.lit(False)
-    reason = F.when(F.col("raw_count") == 0, "empty_page").when(F.col("raw_count") < page_size, "short_page").when(F.col("_twice"), "two_stale_pages").when(limited, "configured_page_limit")
+    reason = F.when(failed, "transient_error").when(wrong, "tag_exact_validation_failed")
+    reason = reason.when(F.col("raw_count") == 0, "empty_page").when(F.col("raw_count") < page_size, "short_page").when(F.col("_twice"), "two_stale_pages").when(limited, "configured_page_limit")
     seen = facts.withColumns({"_twice": twice, "observed": F.greatest(F.max("newest").over(upto), F.col("prior"))}).withColumn("stop_reason", reason)
-    first = seen.where("stop_reason IS NOT NULL").groupBy("source", "sort").agg(F.min_by(F.struct("page", "stop_reason", "observed"), "page").alias("f"))
-    status = F.when(F.col("f.stop_reason") == "configured_page_limit", "partial").otherwise("complete")
-    return first.select("source", "sort", F.col("f.page").alias("last_page"), F.col("f.stop_reason").alias("stop_reason"), status.alias("status"), F.col("f.observed").alias("watermark"))
+    first = seen.where("stop_reason IS NOT NULL").groupBy("source", "sort").agg(F.min_by(F.struct("page", "stop_reason", "observed", "prior"), "page").alias("f"))
+    why = F.col("f.stop_reason")
+    status = F.when(why == "transient_error", "retryable_failure").when(why == "tag_exact_validation_failed", "invalid_source").when(why == "configured_page_limit", "partial").otherwise("complete")
+    without = why.isin("transient_error", "tag_exact_validation_failed")
+    return first.select(
+        "source",
+        "sort",
+        F.when(without, F.col("f.page") - 1).otherwise(F.col("f.page")).alias("last_page"),
+        why.alias("stop_reason"),
+        status.alias("status"),
+        F.when(without, F.col("f.prior")).otherwise(F.col("f.observed")).alias("watermark"),
+        (why == "transient_error").alias("retryable"),
+    )
 
 
 def latest_watermarks(checkpoints: DataFrame) -> DataFrame:
@@ -243,25 +260,45 @@ def with_details(found: DataFrame, details: DataFrame, states: DataFrame, fields
     return joined.select("ref", "record", final.alias("merged"), "requested", failed.alias("pending"), error.alias("detail_error"))
 
 
-def plan_sync(rows: DataFrame, states: DataFrame, checkpoints: DataFrame, mode: str, fields: list[tuple[str, str]], page_limit: int = PAGE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(candidates, passes) of one run over paged rows (source, sort, page, seq, ref, the record's columns).
+@dataclass(frozen=True)
+class Plan:
+    """rows: those of pages that count, with valid and suppressed; facts: of every page; stops: of passes that ended;
+    candidates: what was accepted."""
+
+    rows: DataFrame
+    facts: DataFrame
+    stops: DataFrame
+    candidates: DataFrame
+
+
+def plan(rows: DataFrame, states: DataFrame, checkpoints: DataFrame, mode: str, fields: list[tuple[str, str]], page_limit: int = PAGE_LIMIT, pages: DataFrame | None = None) -> Plan:
+    """One run over paged rows (source, sort, page, seq, ref, the record's columns). pages (source, sort, page, failed)
+    tells of every page that was asked for, also of those without rows.
 
-    Pages after a pass's stop, and a tag's pages from its first invalid one on, count for nothing; what earlier pages
-    brought is kept."""
+    Pages after a pass's end count for nothing; what earlier pages brought is kept."""
     sorts = sorts_of(mode)
     rows = rows.where(F.col("sort").isin(*sorts))
     suppressed = (F.col("source") == FILTERED_SOURCE) & negative_term(F.col("title"), F.col("subtitle")).isNotNull()
     rows = rows.withColumns({"valid": F.coalesce(valid_record(), F.lit(False)), "suppressed": suppressed})
-    bad = tag_pages(rows).where("NOT page_valid").groupBy("source", "sort").agg(F.min("page").alias("bad_page"))
-    rows = rows.join(bad, ["source", "sort"], "left").where("bad_page IS NULL OR page < bad_page")
     marks = latest_watermarks(checkpoints) if mode == "incremental" else latest_watermarks(checkpoints).limit(0)
-    stops = stop_pages(page_facts(rows, states, marks), mode, page_limit)
-    kept = rows.join(stops.select("source", "sort", "last_page"), ["source", "sort"], "left").where("last_page IS NULL OR page <= last_page")
-    invalid = bad.join(marks, ["source", "sort"], "left").select(
-        "source", "sort", (F.col("bad_page") - 1).alias("last_page"), F.lit("tag_exact_validation_failed").alias("stop_reason"), F.lit("invalid_source").alias("status"), "watermark"
-    )
-    passes = stops.join(bad, ["source", "sort"], "left_anti").unionByName(invalid)
-    return candidates(kept.where("valid AND NOT suppressed"), fields), passes
+    page = ["source", "sort", "page"]
+    facts = page_facts(rows, states, marks).join(tag_pages(rows), page)
+    if pages is None:
+        facts = facts.withColumn("failed", F.lit(False))
+    else:
+        asked = pages.where(F.col("sort").isin(*sorts)).groupBy(*page).agg(F.bool_or("failed").alias("failed"))
+        joined = asked.join(facts.drop("prior"), page, "left").join(marks.withColumnRenamed("watermark", "prior"), ["source", "sort"], "left")
+        counts = [c for c in facts.columns if c.endswith("_count")]
+        facts = joined.fillna(0, counts).withColumns({"stale": F.coalesce("stale", F.lit(False)), "page_valid": F.coalesce("page_valid", F.lit(True))})
+    stops = stop_pages(facts, mode, page_limit)
+    kept = rows.join(stops.select("source", "sort", "last_page"), ["source", "sort"], "left").where("last_page IS NULL OR page <= last_page").drop("last_page")
+    return Plan(kept, facts, stops, candidates(kept.where("valid AND NOT suppressed"), fields))
+
+
+def plan_sync(rows: DataFrame, states: DataFrame, checkpoints: DataFrame, mode: str, fields: list[tuple[str, str]], page_limit: int = PAGE_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(candidates, ended passes) of one run."""
+    planned = plan(rows, states, checkpoints, mode, fields, page_limit)
+    return planned.candidates, planned.stops
 
 
 def retry_delay(attempt: int, retry_after: float | None, base: float = 2.0, floor: float = 180.0, rate_limited: bool = False, jitter: float = 0.0) -> float:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.operators.sync import PAGE_SIZE, retry_delay, select_sources, sorts_of
+from tessera.operators.sync import PAGE_SIZE, SOURCES, retry_delay, select_sources, sorts_of
 
 PAGE_SCHEMA = "source string, sort string, page int, position int, record string, http_status int, latency_ms long, retry_count int, error string"
 
@@ -198,7 +198,9 @@ def _present(record: Column, *names: str) -> Column:
 
 def _number(value: Column, kind: str) -> Column:
     filled = F.nullif(value, F.lit(""))
-    return (filled.cast("double").cast("long") if kind == "long" else filled.cast("double")) if kind != "text" else filled
+    # whole numbers keep all their digits; a fraction is cut off
+    whole = F.when(filled.rlike(r"^\s*[+-]?\d+\s*$"), filled.cast("decimal(38,0)").cast("long")).otherwise(filled.cast("double").cast("long"))
+    return whole if kind == "long" else filled.cast("double")
 
 
 def _labels(record: Column, name: str) -> Column:
@@ -209,17 +211,72 @@ def _labels(record: Column, name: str) -> Column:
     return F.when(F.size(items) > 0, named)
 
 
-def records(pages: DataFrame, base_url: str = "https://catalog.example/datasets/") -> DataFrame:
-    """Rows of pages with a record as canonical rows, in the schema that sync works on."""
+def arrival() -> Column:
+    """The place of a row in the order in which passes are run: by source, then sort, page and position."""
+    source = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
+    sort = F.array_position(F.array(*[F.lit(s) for s in sorts_of("bootstrap")]), F.col("sort"))
+    return F.struct(source.alias("source"), sort.alias("sort"), "page", "position")
+
+
+def asked_pages(pages: DataFrame) -> DataFrame:
+    """A row for each page that was asked for, with or without records: whether it failed, and what the answer was like."""
+    return pages.groupBy("source", "sort", "page").agg(
+        F.bool_or(F.col("error").isNotNull()).alias("failed"),
+        F.count("record").alias("raw_count"),
+        F.max("http_status").alias("http_status"),
+        F.max("latency_ms").alias("latency_ms"),
+        F.max("retry_count").alias("retry_count"),
+        F.first("error", ignorenulls=True).alias("error"),
+    )
+
+
+def details(refs: DataFrame, options: dict) -> DataFrame:
+    """ref, record (JSON) and error of each ref's detail, asked for in parallel: over HTTP (url), or from a folder
+    (path), where details/<ref with / as __>.json has it."""
+
+    def one(client: Client | None, ref: str) -> tuple[str | None, str | None]:
+        try:
+            if client is not None:
+                return json.dumps(client.detail(ref)[0]), None
+            with open(os.path.join(options["path"], "details", ref.replace("/", "__") + ".json"), encoding="utf-8") as f:
+                found = json.load(f)
+            if not isinstance(found, dict):
+                raise ValueError("a detail must be an object")
+            return json.dumps(found), None
+        except Exception as e:  # noqa: BLE001  a detail that cannot be had is told of, and asked for again next time
+            return None, f"{type(e).__name__}: {e}"[:1000]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        client = Client(options["url"], Config.from_env(), token=options.get("token")) if "url" in options else None
+        for b in batches:
+            got = [one(client, r) for r in b.column("ref").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("ref"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["ref", "record", "error"])
+
+    return refs.select("ref").mapInArrow(run, "ref string, record string, error string")
+
+
+def detail_records(found: DataFrame, fields: list[tuple[str, str]], base_url: str = "https://catalog.example/datasets/") -> DataFrame:
+    """details() as ref, detail (a struct of the fields, null if there is none) and error."""
+    pages = found.select(F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("sort"), F.lit(0).alias("page"), F.lit(0).alias("position"), "record", F.col("ref").alias("asked"), "error")
+    parsed = records(pages, base_url, "asked").select(F.col("asked").alias("ref"), F.struct(*[F.col(name).cast(kind).alias(name) for name, kind in fields]).alias("detail"))
+    return found.select("ref", "error").join(parsed, "ref", "left")
+
+
+def records(pages: DataFrame, base_url: str = "https://catalog.example/datasets/", *more: str) -> DataFrame:
+    """Rows of pages with a record as canonical rows, in the schema that sync works on, with more of their columns. What
+    became of pages without one, asked_pages() tells."""
     r = F.col("record")
     ref = F.coalesce(_text(r, "ref"), _text(r, "id"), F.lit(""))
     license_ = F.coalesce(_text(r, "licenseName"), F.try_element_at(_labels(r, "licenses"), F.lit(1)))
     id_ = F.get_json_object(r, "$.id")
     return pages.where("record IS NOT NULL").select(
+        *more,
         "source",
         "sort",
         "page",
-        F.struct("source", "sort", "page", "position").alias("seq"),
+        arrival().alias("seq"),
         ref.alias("ref"),
         F.when(id_.rlike(r"^-?\d+$"), id_.cast("long")).alias("catalog_id"),
         F.coalesce(F.get_json_object(r, "$.title"), F.lit("")).alias("title"),

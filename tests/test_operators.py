@@ -253,9 +253,8 @@ def test_bad_modes(call):
         call()
 
 
-def test_top_k_of_more_queries_than_a_block(spark, monkeypatch):
+def test_top_k_of_more_queries_than_a_block(spark):
     v = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(20)], "id long, embedding array<float>")
     q = v.where("id < 7").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     expected = sorted(map(tuple, vectors.semantic_top_k(v, q, 3).collect()))
-    monkeypatch.setattr(vectors, "MAX_BROADCAST_ROWS", 2)
-    assert len(expected) == 21 and sorted(map(tuple, vectors.semantic_top_k(v, q, 3).collect())) == expected
+    assert len(expected) == 21 and sorted(map(tuple, vectors.semantic_top_k(v, q, 3, block=2).collect())) == expected
