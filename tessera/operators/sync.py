@@ -6,6 +6,7 @@ arrivals. Passes are (source, sort); what a loop over pages decides one by one i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -271,15 +272,15 @@ class Plan:
     candidates: DataFrame
 
 
-def plan(rows: DataFrame, states: DataFrame, checkpoints: DataFrame, mode: str, fields: list[tuple[str, str]], page_limit: int = PAGE_LIMIT, pages: DataFrame | None = None) -> Plan:
+def plan(rows: DataFrame, states: DataFrame, checkpoints: DataFrame, mode: str, fields: list[tuple[str, str]], page_limit: int = PAGE_LIMIT, pages: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Plan:
     """One run over paged rows (source, sort, page, seq, ref, the record's columns). pages (source, sort, page, failed)
-    tells of every page that was asked for, also of those without rows.
+    tells of every page that was asked for, also of those without rows. keep may write what is used more than once.
 
     Pages after a pass's end count for nothing; what earlier pages brought is kept."""
     sorts = sorts_of(mode)
     rows = rows.where(F.col("sort").isin(*sorts))
     suppressed = (F.col("source") == FILTERED_SOURCE) & negative_term(F.col("title"), F.col("subtitle")).isNotNull()
-    rows = rows.withColumns({"valid": F.coalesce(valid_record(), F.lit(False)), "suppressed": suppressed})
+    rows = keep(rows.withColumns({"valid": F.coalesce(valid_record(), F.lit(False)), "suppressed": suppressed}))
     marks = latest_watermarks(checkpoints) if mode == "incremental" else latest_watermarks(checkpoints).limit(0)
     page = ["source", "sort", "page"]
     facts = page_facts(rows, states, marks).join(tag_pages(rows), page)
@@ -290,9 +291,10 @@ def plan(rows: DataFrame, states: DataFrame, checkpoints: DataFrame, mode: str,
         joined = asked.join(facts.drop("prior"), page, "left").join(marks.withColumnRenamed("watermark", "prior"), ["source", "sort"], "left")
         counts = [c for c in facts.columns if c.endswith("_count")]
         facts = joined.fillna(0, counts).withColumns({"stale": F.coalesce("stale", F.lit(False)), "page_valid": F.coalesce("page_valid", F.lit(True))})
-    stops = stop_pages(facts, mode, page_limit)
+    facts = keep(facts)
+    stops = keep(stop_pages(facts, mode, page_limit))
     kept = rows.join(stops.select("source", "sort", "last_page"), ["source", "sort"], "left").where("last_page IS NULL OR page <= last_page").drop("last_page")
-    return Plan(kept, facts, stops, candidates(kept.where("valid AND NOT suppressed"), fields))
+    return Plan(kept, facts, stops, keep(candidates(kept.where("valid AND NOT suppressed"), fields)))
 
 
 def plan_sync(rows: DataFrame, states: DataFrame, checkpoints: DataFrame, mode: str, fields: list[tuple[str, str]], page_limit: int = PAGE_LIMIT) -> tuple[DataFrame, DataFrame]:

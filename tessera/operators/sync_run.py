@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import sync
+from tessera.plans import stored
 
 SOURCE = "catalog"
 CHECKPOINT = "run_id string, mode string, source string, sort string, last_successful_page int, watermark timestamp_ntz, status string, stop_reason string, retryable boolean, started_at timestamp, updated_at timestamp"
@@ -44,14 +45,21 @@ def fields_of(rows: DataFrame) -> list[tuple[str, str]]:
 
 
 def planned(rows: DataFrame, pages: DataFrame, states: DataFrame, checkpoints: DataFrame, mode: str, page_limit: int = sync.PAGE_LIMIT) -> sync.Plan:
-    return sync.plan(rows, states, checkpoints, mode, fields_of(rows), page_limit, pages)
+    return sync.plan(rows, states, checkpoints, mode, fields_of(rows), page_limit, pages, kept)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: a run uses each of its tables several times."""
+    path = stored.folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run(plan: sync.Plan, pages: DataFrame, states: DataFrame, details: DataFrame, existing: DataFrame, mode: str, run_id: str) -> Run:
     """details: ref, detail (a record) and error of requested refs; existing: ref and record of stored resources."""
     fields = [(f.name, f.dataType.simpleString()) for f in plan.candidates.schema["record"].dataType.fields]
     found = sync.with_details(plan.candidates.select("ref", "record"), details, states, fields, existing)
-    ready = found.join(plan.candidates.select("ref", "hit_sources"), "ref")
+    ready = kept(found.join(plan.candidates.select("ref", "hit_sources"), "ref"))
     return Run(mode, run_id, plan, ready, checkpoints_of(plan, mode, run_id), events_of(plan, pages, ready))
 
 
