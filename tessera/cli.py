@@ -1,16 +1,20 @@
-"""Command line: search, evaluation, profiles and statistics over Parquet tables."""
+"""Command line: sync, search, evaluation, benchmarks, profiles and statistics over Parquet tables."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.english import english, query_words
-from tessera.operators import evaluation, fusion, inspection, keyword, profile, stats, vectors
+from tessera.operators import acquisition, evaluation, evaluation_run, fusion, inspection, keyword, profile, stats, sync, sync_run, vectors
+from tessera.sources import catalog
 
 
 ANALYZERS = (english, query_words)
@@ -41,6 +45,32 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--rrf-k", type=int, default=fusion.RRF_K)
             c.add_argument("--keyword-top-k", type=int, default=20)
             c.add_argument("--semantic-top-k", type=int, default=20)
+            c.add_argument("--include-timing", action="store_true")
+    c = add("sync")
+    c.add_argument("mode", choices=sync.MODES)
+    c.add_argument("--source")
+    c.add_argument("--state", required=True)
+    c.add_argument("--dry-run", action="store_true")
+    c.add_argument("--events", help="a folder for the run's events as JSON lines; standard output unless given")
+    c = add("smoke")
+    c.add_argument("--source", default=sync.SOURCES[0])
+    c = add("hybrid-evaluate")
+    for name in ("--queries", "--resources", "--embeddings", "--output"):
+        c.add_argument(name, required=True)
+    c.add_argument("--dimension", type=int, default=64)
+    c.add_argument("--rrf-k", type=int, default=fusion.RRF_K)
+    c = add("acquisition-benchmark")
+    which = c.add_mutually_exclusive_group(required=True)
+    which.add_argument("--ref", dest="refs", action="append")
+    which.add_argument("--source")
+    c.add_argument("--sample-size", type=int, default=40)
+    c.add_argument("--method", dest="methods", action="append")
+    c.add_argument("--workers", type=int, default=4)
+    c.add_argument("--output")
+    for name in ("sync", "smoke", "acquisition-benchmark"):
+        where = sub.choices[name].add_mutually_exclusive_group(required=True)
+        where.add_argument("--pages", help="a folder of pages")
+        where.add_argument("--url", help="the service")
     c = add("backfill")
     for name in ("--resources", "--embeddings", "--output"):
         c.add_argument(name, required=True)
@@ -53,6 +83,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--resources", "--files", "--output"):
         c.add_argument(name, required=True)
     c.add_argument("--platform", default="Catalog")
+    c.add_argument("--inspection-json", help="a folder for the inspections as JSON")
     return p
 
 
@@ -61,6 +92,48 @@ def _show(df: DataFrame) -> None:
         print(json.dumps(json.loads(row)))
 
 
+def write_json(value: object, path: str | None) -> None:
+    """To a file, or to standard output: indented, with letters as they are and a line feed at the end."""
+    text = json.dumps(value, indent=2, ensure_ascii=False, default=str) + "\n"
+    if path is None:
+        sys.stdout.write(text)
+    else:
+        Path(path).write_text(text, encoding="utf-8")
+
+
+def read_json(path: str):
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def where_from(a: argparse.Namespace) -> dict:
+    return {"path": a.pages} if a.pages else {"url": a.url, **({"token": t} if (t := os.environ.get("CATALOG_TOKEN")) else {})}
+
+
+def pages_of(spark: SparkSession, a: argparse.Namespace, mode: str, **more) -> DataFrame:
+    spark.dataSource.register(catalog.CatalogPages)
+    options = where_from(a) | ({"source": a.source} if a.source else {}) | {"mode": mode} | more
+    return spark.read.format("catalog_pages").options(**options).load()
+
+
+def sync_command(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """One run; its tables are snapshots below the state folder."""
+    # asked for once: what a page said then is what the whole run goes by
+    pages = sync_run.kept(pages_of(spark, a, a.mode))
+    store = sync_run.Store(spark, a.state)
+    rows, asked, states = catalog.records(pages), catalog.asked_pages(pages), store.read("states")
+    plan = sync_run.planned(rows, asked, states, store.read("checkpoints"), a.mode, catalog.Config.from_env().bootstrap_page_limit)
+    fields = sync_run.fields_of(rows)
+    found = sync_run.kept(catalog.details(sync_run.requested_refs(plan, states), where_from(a)))
+    done = sync_run.run(plan, asked, states, catalog.detail_records(found, fields), sync_run.stored_records(store.read("resources"), fields), a.mode, str(uuid.uuid4()))
+    if not a.dry_run:
+        store.write(done, F.current_timestamp())
+    if a.events:
+        done.events.write.mode("append").json(a.events)
+    else:
+        _show(done.events)
+    return done.totals().first().asDict() | {"run_id": done.run_id, "dry_run": a.dry_run}
+
+
 def hybrid(resources: DataFrame, embeddings: DataFrame, queries: list[str], vector: list[float], model: tuple, a: argparse.Namespace) -> DataFrame:
     fusion.check_fusion(a.rrf_k, a.keyword_top_k, a.semantic_top_k)
     kw = keyword.keyword_search(resources, queries, a.resource_type, a.keyword_top_k, 0, "cover", ANALYZERS)
@@ -84,6 +157,34 @@ def main(argv: list[str] | None = None) -> int:
                 _show(vectors.semantic_search(read(a.resources), read(a.embeddings), vector, model, a.resource_type, a.limit, a.offset))
             else:
                 _show(hybrid(read(a.resources), read(a.embeddings), a.queries, vector, model, a))
+            if a.command == "search-hybrid" and a.include_timing:
+                timings: dict[str, float] = {}
+                query = [{"query_id": "q", "lexical_queries": a.queries, "semantic_query": a.semantic_query}]
+                index = keyword.Index.of(keyword.active(read(a.resources), a.resource_type), ANALYZERS[0])
+                kw = evaluation_run.timed(evaluation_run.keyword_side(index, query, a.keyword_top_k, a.resource_type, ANALYZERS[1]), timings, "keyword_ms")
+                sem = evaluation_run.timed(evaluation_run.semantic_side(read(a.resources), read(a.embeddings), backend, query, a.semantic_top_k, a.resource_type), timings, "semantic_ms")
+                evaluation_run.timed(fusion.fused_page(fusion.reciprocal_rank_fusion(kw, sem, a.rrf_k), a.limit, a.offset), timings, "fusion_ms")
+                print(json.dumps({"timing": timings | {"total_ms": round(sum(timings.values()), 3)}}))
+        elif a.command == "sync":
+            if a.source:
+                sync.select_sources(a.source)
+            print(json.dumps(sync_command(spark, a)))
+        elif a.command == "smoke":
+            page = pages_of(spark, a, "incremental", pagelimit="1")
+            print(json.dumps({"source": a.source} | catalog.records(page).agg(F.count(F.lit(1)).alias("count"), F.count_if(sync.valid_record()).alias("valid")).first().asDict()))
+        elif a.command == "hybrid-evaluate":
+            backend = vectors.HashingBackend(a.dimension)
+            old = read_json(a.output)["rows"] if os.path.exists(a.output) else []
+            keys = "query_id string, method string, resource_id string, relevance_label string, notes string"
+            previous = spark.createDataFrame([tuple(r.get(k.split()[0]) for k in keys.split(", ")) for r in old], keys)
+            done = evaluation_run.run_evaluation(read_json(a.queries), read(a.resources), read(a.embeddings), backend, ANALYZERS, rrf_k=a.rrf_k, previous=previous)
+            write_json(done.report(), a.output)
+        elif a.command == "acquisition-benchmark":
+            refs = a.refs or acquisition.discovered(catalog.records(pages_of(spark, argparse.Namespace(**vars(a) | {"source": acquisition.checked_source(a.source)}), "incremental")), a.sample_size)
+            rows = acquisition.samples(spark, refs, a.methods or list(acquisition.METHODS), where_from(a), a.workers).collect()
+            found = stats.method_stats(spark.createDataFrame(rows))
+            best = stats.recommended(found).first()
+            write_json({"methods": [r.asDict() for r in found.collect()], "samples": [r.asDict() for r in rows], "recommended": best and best.method}, a.output)
         elif a.command == "backfill":
             vectors.backfill(read(a.resources), read(a.embeddings), vectors.HashingBackend(a.dimension), a.rebuild, a.batch_size).write.parquet(a.output)
         elif a.command == "evaluate":
@@ -94,7 +195,17 @@ def main(argv: list[str] | None = None) -> int:
             _show(found)
             _show(stats.recommended(found))
         else:
-            profile.profiles(read(a.resources), inspection.inspected(read(a.files)), a.platform).write.parquet(a.output)
+            found = inspection.inspected(read(a.files))
+            made = profile.profiles(read(a.resources), found, a.platform)
+            if a.inspection_json:
+                profile.sidecar(found).write.mode("overwrite").json(a.inspection_json)
+            if a.output.endswith(".md"):
+                one = made.limit(2).collect()
+                if len(one) != 1:
+                    raise ValueError("a Markdown file holds one resource; give a folder for more or less")
+                Path(a.output).write_text(one[0].markdown, encoding="utf-8")
+            else:
+                made.write.parquet(a.output)
     except ValueError as e:
         sys.exit(str(e))
     return 0

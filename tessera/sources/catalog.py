@@ -231,8 +231,8 @@ def asked_pages(pages: DataFrame) -> DataFrame:
 
 
 def details(refs: DataFrame, options: dict) -> DataFrame:
-    """ref, record (JSON) and error of each ref's detail, asked for in parallel: over HTTP (url), or from a folder
-    (path), where details/<ref with / as __>.json has it."""
+    """ref, record (JSON), error and latency_ms of each ref's detail, asked for in parallel: over HTTP (url), or from a
+    folder (path), where details/<ref with / as __>.json has it."""
 
     def one(client: Client | None, ref: str) -> tuple[str | None, str | None]:
         try:
@@ -251,10 +251,17 @@ def details(refs: DataFrame, options: dict) -> DataFrame:
 
         client = Client(options["url"], Config.from_env(), token=options.get("token")) if "url" in options else None
         for b in batches:
-            got = [one(client, r) for r in b.column("ref").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("ref"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["ref", "record", "error"])
-
-    return refs.select("ref").mapInArrow(run, "ref string, record string, error string")
+            records, errors, times = [], [], []
+            for ref in b.column("ref").to_pylist():
+                began = time.monotonic()
+                record, error = one(client, ref)
+                records.append(record)
+                errors.append(error)
+                times.append(int(1000 * (time.monotonic() - began)))
+            columns = [b.column("ref"), pa.array(records, pa.string()), pa.array(errors, pa.string()), pa.array(times, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["ref", "record", "error", "latency_ms"])
+
+    return refs.select("ref").mapInArrow(run, "ref string, record string, error string, latency_ms long")
 
 
 def detail_records(found: DataFrame, fields: list[tuple[str, str]], base_url: str = "https://catalog.example/datasets/") -> DataFrame:
