@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, fusion, inspection, keyword, profile, stats, sync, vectors
+from tessera.operators import evaluation, fusion, inspection, keyword, profile, stats, sync, sync_run, vectors
 from tessera.plans import adapters as A
 
 _QUERIES: dict = {}
@@ -280,17 +280,17 @@ _MERGED = "coalesce(nullif({o}.title, ''), {b}.title), coalesce(nullif({o}.subti
 _FLAT = "record.title AS title, record.subtitle AS subtitle, record.author AS author, CAST(record.last_updated AS STRING) AS last_updated, record.current_version_number AS current_version_number"
 
 
-def _sql_fold() -> str:
+def _sql_fold(accepted: str = "accepted AS (SELECT * FROM valid)", more: str = "", select: str = "ref, title, subtitle, author, CAST(last_updated AS VARCHAR) AS last_updated, current_version_number") -> str:
     names = ["title", "subtitle", "author", "last_updated", "current_version_number"]
     older = "coalesce(o.last_updated < f.last_updated, false)"
     pick = []
     for n in names:
         left, right = (f"nullif(f.{n}, '')", f"nullif(o.{n}, '')") if n in names[:3] else (f"f.{n}", f"o.{n}")
         pick.append(f"CASE WHEN {older} THEN coalesce({left}, o.{n}) ELSE coalesce({right}, f.{n}) END AS {n}")
-    return f"""WITH RECURSIVE {A.ROWS_SQL},
-o AS (SELECT ref, {', '.join(names)}, row_number() OVER (PARTITION BY ref ORDER BY value, event_id) AS i FROM valid),
+    return f"""WITH RECURSIVE {A.ROWS_SQL}, {accepted},
+o AS (SELECT ref, {', '.join(names)}, row_number() OVER (PARTITION BY ref ORDER BY value, event_id) AS i FROM accepted),
 f AS (SELECT ref, {', '.join(names)}, i FROM o WHERE i = 1 UNION ALL SELECT o.ref, {', '.join(pick)}, o.i FROM f JOIN o ON o.ref = f.ref AND o.i = f.i + 1)
-SELECT ref, title, subtitle, author, CAST(last_updated AS VARCHAR) AS last_updated, current_version_number FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY i DESC) AS r FROM f) WHERE r = 1"""
+SELECT {select} FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY i DESC) AS r FROM f) {more} WHERE r = 1"""
 
 
 @query(_sql_fold())
@@ -426,13 +426,60 @@ def discover_refs(spark, sf_dir):
     return rows.groupBy("ref").agg(F.min("seq.event_id").alias("first")).orderBy("first").limit(40)
 
 
-@query()
+_ENDS = """facts AS (SELECT source, page, count(*) AS raw_count, max(CASE WHEN title <> '' AND NOT is_private THEN last_updated END) AS newest,
+  coalesce(bool_or(CASE WHEN starts_with(source, 'tag:') AND title <> '' AND NOT is_private THEN event_id % 3 = 0 END), true) AS page_valid FROM rows GROUP BY source, page),
+seen AS (SELECT *, max(newest) OVER (PARTITION BY source ORDER BY page) AS observed, CASE WHEN NOT page_valid THEN 'tag_exact_validation_failed' WHEN raw_count < 20 THEN 'short_page' END AS stop_reason FROM facts),
+ends AS (SELECT source, page, stop_reason, observed FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page) AS k FROM seen WHERE stop_reason IS NOT NULL) WHERE k = 1),
+stops AS (SELECT source, CASE WHEN stop_reason = 'short_page' THEN page ELSE page - 1 END AS last_page, stop_reason, CASE WHEN stop_reason = 'short_page' THEN 'complete' ELSE 'invalid_source' END AS status, CASE WHEN stop_reason = 'short_page' THEN observed END AS watermark FROM ends)"""
+_ACCEPTED = f"{_ENDS}, accepted AS (SELECT valid.* FROM valid LEFT JOIN stops USING (source) WHERE (last_page IS NULL OR page <= last_page) AND NOT (source = 'query:data science' AND contains(title, 'Cheat')))"
+
+
+def _planned(spark, sf_dir):
+    none = spark.createDataFrame([], "source string, sort string, status string, watermark timestamp_ntz")
+    return sync.plan(A.catalog_rows(spark, sf_dir), _states(spark, sf_dir), none, "incremental", _FIELDS)
+
+
+@query(f"WITH {A.ROWS_SQL}, {_ENDS} SELECT source, last_page, stop_reason, status, CAST(watermark AS VARCHAR) AS watermark FROM stops")
+def sync_passes(spark, sf_dir):
+    """How each pass of a whole run ends."""
+    out = _planned(spark, sf_dir).stops
+    return out.select("source", "last_page", "stop_reason", "status", F.col("watermark").cast("string").alias("watermark"))
+
+
+@query(_sql_fold(_ACCEPTED, "JOIN (SELECT ref, string_agg(DISTINCT source, '|' ORDER BY source) AS hit_sources FROM accepted GROUP BY ref) USING (ref)", "ref, title, current_version_number AS version, hit_sources"))
 def plan_sync_candidates(spark, sf_dir):
     """What a whole incremental run would write: the merged record of each candidate, and where it was found."""
-    rows = A.catalog_rows(spark, sf_dir)
-    none = spark.createDataFrame([], "source string, sort string, status string, watermark timestamp_ntz")
-    found, _ = sync.plan_sync(rows, _states(spark, sf_dir), none, "incremental", _FIELDS)
-    return found.selectExpr("ref", "record.title AS title", "record.current_version_number AS version", "array_join(hit_sources, '|') AS hit_sources")
+    return _planned(spark, sf_dir).candidates.selectExpr("ref", "record.title AS title", "record.current_version_number AS version", "array_join(hit_sources, '|') AS hit_sources")
+
+
+@query(f"""WITH {A.ROWS_SQL}, {_ACCEPTED}, firsts AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY value, event_id) = 1 AS first FROM accepted)
+SELECT source, page, CAST(count_if(first) AS BIGINT) AS new_count, CAST(count_if(NOT first) AS BIGINT) AS duplicate_count FROM firsts GROUP BY source, page""")
+def sync_page_counts(spark, sf_dir):
+    """How many rows of each page bring a ref for the first time in the run."""
+    return sync_run.page_counts(_planned(spark, sf_dir)).drop("sort")
+
+
+_THREE = {"title": True, "subtitle": True, "current_version_number": False}
+_OVER = lambda old, new, n, text: f"coalesce(nullif({new}.{n}, ''), {old}.{n})" if text else f"coalesce({new}.{n}, {old}.{n})"
+
+
+@query(f"""WITH {A.ROWS_SQL}, {_STATES}, m AS (SELECT b.event_id, b.ref, s.ref IS NULL OR pending OR b.last_updated IS DISTINCT FROM s.last_updated OR b.current_version_number IS DISTINCT FROM version AS requested,
+{", ".join(f"CASE WHEN e.event_id IS NULL THEN b.{n} ELSE {_OVER('e', 'b', n, t)} END AS {n}, d.{n} AS d_{n}" for n, t in _THREE.items())} FROM rows b LEFT JOIN rows e ON e.event_id = b.event_id + 1 AND b.event_id % 4 > 0 JOIN rows d ON d.event_id = b.event_id + 2 LEFT JOIN states s ON s.ref = b.ref)
+SELECT event_id, requested, requested AND event_id % 17 = 0 AS pending, CASE WHEN requested AND event_id % 17 = 0 THEN 'E: lost' END AS detail_error,
+{", ".join(f"CASE WHEN requested AND event_id % 17 > 0 THEN {_OVER('m', 'm', n, t).replace('m.' + n, 'm.d_' + n, 1)} ELSE {n} END AS {n}" for n, t in _THREE.items())} FROM m""")
+def detail_merge(spark, sf_dir):
+    """What is stored, overridden by the list row, and that by the detail where it was asked for and could be had."""
+    rows = A.catalog_rows(spark, sf_dir).withColumn("event_id", F.col("seq.event_id"))
+    fields = [f for f in _FIELDS if f[0] in _THREE or f[0] == "last_updated"]
+    record = F.struct(*[F.col(n) for n, _ in fields])
+    blank = F.struct(*[F.lit(None).cast(k).alias(n) if n == "last_updated" else F.col(n) for n, k in fields])
+    # each row is a ref of its own here; its state is that of the user
+    found = rows.select(F.col("event_id").alias("ref"), "ref", record.alias("record")).toDF("ref", "user", "record")
+    states = found.select("ref", "user").join(_states(spark, sf_dir).withColumnRenamed("ref", "user"), "user").drop("user")
+    existing = rows.select((F.col("event_id") - 1).alias("ref"), blank.alias("record")).where("ref % 4 > 0")
+    details = rows.select((F.col("event_id") - 2).alias("ref"), blank.alias("detail")).withColumn("error", F.when(F.col("ref") % 17 == 0, "E: lost"))
+    out = sync.with_details(found.join(details.select("ref"), "ref", "left_semi").drop("user"), details, states, fields, existing)
+    return out.select(F.col("ref").alias("event_id"), "requested", "pending", "detail_error", *[F.col(f"merged.{n}").alias(n) for n in _THREE])
 
 
 # -- statistics and evaluation --------------------------------------------------------------------------------------
