@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, spread_join
 
 #: Up to so many bytes of rules go to the executors as one array; beyond it the rules are joined.
 MAX_DIGEST_BYTES = 256 << 20
@@ -36,6 +36,8 @@ class Digest:
         self.n = len(kept)
         #: The lengths that rules' paths have; no other prefix of a path can be in the array.
         self.lengths = sorted({len(rule) - rule.find("/") if "/" in rule else 0 for rule, _ in kept})
+        #: The most labels that a rule's host has; no longer suffix of a host can be in the array.
+        self.labels = max((rule.split("/", 1)[0].count(".") + 1 for rule, _ in kept), default=0)
         keys = np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64)
         ends = np.cumsum([0, *map(len, raw)], dtype=np.int64)
         verdicts = np.array([v == "block" for _, v in kept], np.uint8)
@@ -59,13 +61,13 @@ def opened(digest: Digest) -> tuple:
     return _open[digest.id]
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and every domain above it."""
-    out = [host]
-    at = host.find(".")
-    while at >= 0:
+def suffixes(host: str, labels: int) -> list[str]:
+    """The host and every domain above it, those of so many labels at most."""
+    out, at = [], len(host)
+    while labels > 0 and at >= 0:
+        at = host.rfind(".", 0, at)
         out.append(host[at + 1 :])
-        at = host.find(".", at + 1)
+        labels -= 1
     return out
 
 
@@ -75,7 +77,7 @@ def probe(digest: Digest, hosts: list[str], paths: list[str]) -> tuple[list[str
     texts, owner = [], []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
         heads = [path[:n] for n in digest.lengths if n <= len(path)]
-        for domain in suffixes(host):
+        for domain in suffixes(host, digest.labels):
             for head in heads:
                 texts.append((domain + head).encode())
                 owner.append((i, len(domain)))
@@ -98,7 +100,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow
     """page_id, host, path, the rule that decides (null if none fits) and the verdict (default where none fits).
 
     rules: (verdict, host + path) pairs; a later pair of the same rule replaces an earlier one. A null URL or one
-    without :// has an empty host and path, which no rule fits. Repeated rows are judged alike; other columns are ignored.
+    without :// has an empty host and path, which no rule fits; one of any length is read whole. Repeated rows are judged
+    alike; other columns are ignored. An empty table gives no rows. Lists beyond max_bytes are joined, with equal results.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if sum(len(r.encode()) + 17 for _, r in rules) > max_bytes:
@@ -126,7 +129,7 @@ def judged_by_join(parts: DataFrame, rules: DataFrame, default: str = "allow") -
     last = rules.groupBy("rule").agg(F.max_by("verdict", "position").alias("verdict"))
     fits = tried.withColumn("rule", F.concat("domain", "head")).join(last, "rule")
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("domain"))).alias("b"))
-    out = parts.join(best, ["host", "path"], "left")
+    out = spread_join(parts, best, ["host", "path"], ["page_id"], "left")
     return out.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
