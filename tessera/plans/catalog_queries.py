@@ -230,7 +230,7 @@ def sem_backfill_pending(spark, sf_dir):
     return vectors.pending(r, stored).select("id", "content_hash")
 
 
-@query()
+@query(f"WITH {A.RESOURCES_SQL} SELECT id AS resource_id, sha256({_DOC}) AS content_hash, 64 AS dimension, 'hashing' AS model_name FROM resources WHERE status = 'active' AND resource_type = 'dataset'")
 def sem_backfill(spark, sf_dir):
     """The table of embeddings after a backfill of active datasets."""
     r = A.resources(spark, sf_dir)
@@ -570,10 +570,13 @@ def status_fold(spark, sf_dir):
     status = F.when(i % 4 == 0, "failed").when(i % 4 == 1, "skipped").otherwise("completed")
     reason = F.when(i % 4 == 0, "inspection_error").when(i % 4 == 1, F.when(i % 3 == 0, "timeout").otherwise("no_schema"))
     s = A.table(spark, sf_dir, "pages").where("page_id % 7 > 1").select(F.floor(i / 5).alias("file"), status.alias("status"), reason.alias("reason"))
-    order = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in inspection.REASONS]), F.col("reason")), F.lit(9))
-    every, some, bad = F.bool_and(F.col("status") == "completed"), F.bool_or(F.col("status") == "completed"), F.bool_or(F.col("status") == "failed")
-    g = s.groupBy("file").agg(every.alias("e"), some.alias("s"), bad.alias("b"), F.min_by("reason", F.when(F.col("reason").isNotNull(), order)).alias("r"))
-    return g.select("file", F.when(F.col("e"), "completed").when(F.col("s"), "partial").when(F.col("b"), "failed").otherwise("skipped").alias("status"), F.when(~F.col("e"), F.col("r")).alias("reason"))
+    parts = s.groupBy("file").agg(F.collect_list(F.struct("status", "reason")).alias("parts"))
+    told = F.pandas_udf(_folded, "status string, reason string")(F.col("parts"))
+    return parts.select("file", told.alias("t")).select("file", "t.status", "t.reason")
+
+
+def _folded(lists: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([inspection.folded(list(parts)) for parts in lists], columns=["status", "reason"])
 
 
 @query()
@@ -595,7 +598,8 @@ def _demoted(texts: pd.Series) -> pd.Series:
     return texts.map(profile.demoted)
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, list_transform(string_split('# Title' || chr(10) || rtrim(text, chr(10)), chr(10)), lambda x: CASE WHEN regexp_matches(x, '^#{1,6}\s') THEN
+repeat('#', CAST(least(6, length(regexp_extract(x, '^#+')) + 2) AS INTEGER)) || substr(x, length(regexp_extract(x, '^#+')) + 1) ELSE x END) AS lines FROM documents) SELECT doc_id, array_to_string(lines, chr(10)) AS markdown FROM l""")
 def heading_demote(spark, sf_dir):
     """Documents with their headings moved down."""
     demote = F.pandas_udf(_demoted, "string")
