@@ -7,7 +7,8 @@ least-hashed of the shingles of ANCHORS[0] words in its first WINDOW words. Suff
 WINDOW deep, so those of one anchor make a group of subtrees of their own; neighbouring suffixes mostly have one anchor
 and are sent together as a run of words. A group of more than MAX_GROUP suffixes is too large for a task, and its
 prefixes are lengthened: its suffixes are anchored anew by longer shingles, until every group fits or the prefix is all
-WINDOW words long and is itself the node. Before that, runs of equal words are made one, so that copies count once.
+WINDOW words long and is itself the node. Before that, runs of equal words are made one, so that copies count once; and
+of the last prefixes, each part of a group sends one row, however many of its suffixes have it.
 
 Each group is sorted into a suffix array with the lengths of common prefixes of its neighbours. The array's ranges whose
 neighbours share WINDOW words are the deep internal nodes: the smallest document below one owns its passage, and the
@@ -106,7 +107,7 @@ _RUNS = pa.schema([("key", pa.int64()), ("large", pa.bool_()), ("doc", pa.int64(
 _SPANS = pa.schema([("doc", pa.int64()), ("own", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
 _PARTS = pa.schema([("key", pa.int64()), ("whole", pa.binary()), ("least", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("content", pa.binary()), ("words", pa.binary())])
 _OWNED = pa.schema([("whole", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
-_WINDOWS = pa.schema([("words", pa.binary()), ("whole", pa.binary()), ("least", pa.int64()), ("k", pa.int32())])
+_WINDOWS = pa.schema([("key", pa.int64()), ("words", pa.binary()), ("least", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -299,18 +300,59 @@ def _anchored(anchor: int):
     return run
 
 
-def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each suffix of contents (whole, least, words) by itself, with the longest prefix: all its WINDOW words."""
-    for b in batches:
+def _windows_of(words: bytes) -> list[bytes]:
+    """The suffixes of a content with the longest prefix: all their WINDOW words."""
+    ends = [-1, *_ends(words).tolist()]
+    return [words[ends[k] + 1 : ends[k + WINDOW]] for k in range(len(ends) - WINDOW)]
+
+
+def _part_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents (key, least, words), sorted by key, as the distinct windows of each key and their least documents."""
+    for rows in _in_groups(batches, ["key", "least", "words"]):
+        nodes: dict[tuple[int, bytes], int] = {}
+        for key, least, words in rows:
+            for w in _windows_of(words):
+                nodes[key, w] = min(least, nodes.get((key, w), least))
+        found = [(key, w, least) for (key, w), least in nodes.items()]
+        for k in range(0, len(found), MAX_ROWS):
+            yield _batch(list(zip(*found[k : k + MAX_ROWS], strict=True)), _WINDOWS)
+
+
+def _part_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents (key, whole, least, words), sorted by key, with windows (whole is null) that smaller documents than all of
+    their key have, as the spans of the contents' windows that a smaller document than their own least one has."""
+    for rows in _in_groups(batches, ["key", "whole", "least", "words"]):
+        owners: dict[tuple[int, bytes], int] = {}
+        contents = []
+        for key, whole, least, words in rows:
+            windows = [words] if whole is None else _windows_of(words)
+            for w in windows:
+                owners[key, w] = min(least, owners.get((key, w), least))
+            if whole is not None:
+                contents.append((key, whole, least, windows))
         out = []
-        for whole, least, words in zip(*(b.column(c).to_pylist() for c in ("whole", "least", "words")), strict=True):
-            ends = [-1, *_ends(words).tolist()]
-            out += [(words[ends[k] + 1 : ends[k + WINDOW]], whole, least, k) for k in range(len(ends) - WINDOW)]
-            if len(out) > MAX_ROWS:
-                yield _batch(list(zip(*out, strict=True)), _WINDOWS)
-                out = []
+        for key, whole, least, windows in contents:
+            marked = np.array([False, *(owners[key, w] < least for w in windows), False])
+            edges = np.flatnonzero(marked[1:] != marked[:-1]).tolist()
+            out += [(whole, low, high) for low, high in zip(edges[::2], edges[1::2], strict=True)]
         if out:
-            yield _batch(list(zip(*out, strict=True)), _WINDOWS)
+            yield _batch(list(zip(*out, strict=True)), _OWNED)
+
+
+def _by_windows(contents: DataFrame, max_group: int) -> DataFrame:
+    """Of contents (key, whole, least, n, words): (whole, low, high), the spans of their windows that a smaller document
+    than their least one has. The contents of a key are dealt out over parts of about max_group windows; a part sends
+    each of its windows once, and is told which of them a document has that is smaller than all of the part's."""
+    sizes = contents.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.sum("n") / max_group).alias("_parts"))
+    part = F.xxhash64("key", F.pmod(F.xxhash64("whole"), F.col("_parts")))
+    parts = materialize(contents.join(sizes, F.col("key") == F.col("_key")).select(part.alias("key"), "whole", "least", "words"))
+    dealt = parts.select("key", "least", "words").repartition("key").sortWithinPartitions("key")
+    windows = materialize(dealt.mapInArrow(_part_windows, _ddl(_WINDOWS)))
+    # prefixes of WINDOW words are nodes themselves: their least documents are found before they are dealt out
+    owners = windows.groupBy("words").agg(F.min("least").alias("owner"))
+    found = spread_join(windows, owners, ["words"], ["key"]).where("owner < least")
+    told = found.select("key", F.lit(None).cast("binary").alias("whole"), F.col("owner").alias("least"), "words")
+    return parts.union(told).repartition("key").sortWithinPartitions("key").mapInArrow(_part_spans, _ddl(_OWNED))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +374,10 @@ def lengthened(rows: DataFrame, identity: list[str], owner: str, max_group: int,
     """Of runs (identity, owner, start, n, content, words) of groups that are too large for one task: (identity, low,
     high), the spans of their suffixes that a smaller document than their owner has. Runs of equal words are one content,
     and the prefixes of the distinct contents are lengthened."""
-    contents = materialize(rows.groupBy(F.col("content").alias("whole")).agg(F.min(owner).alias("least"), F.first("words", ignorenulls=True).alias("words")))
+    one = [F.min(owner).alias("least"), F.min("key").alias("key"), F.min("n").alias("n"), F.first("words", ignorenulls=True).alias("words")]
+    contents = materialize(rows.groupBy(F.col("content").alias("whole")).agg(*one))
     if level < len(ANCHORS):
-        parts = materialize(contents.mapInArrow(_anchored(ANCHORS[level]), _ddl(_PARTS)))
+        parts = materialize(contents.select("whole", "least", "words").mapInArrow(_anchored(ANCHORS[level]), _ddl(_PARTS)))
         sizes = parts.groupBy("key").agg(F.sum("n").alias("size"), F.min("whole").alias("_a"), F.max("whole").alias("_b"))
         # a prefix of one content only repeats nowhere else
         dealt = materialize(parts.join(sizes.where("_a < _b").select("key", "size"), "key"))
@@ -343,11 +386,7 @@ def lengthened(rows: DataFrame, identity: list[str], owner: str, max_group: int,
         if large.limit(1).count():
             owned = owned.union(lengthened(large, ["whole"], "least", max_group, level + 1))
     else:
-        # prefixes of WINDOW words are nodes themselves: their least documents are found before they are dealt out
-        windows = materialize(contents.mapInArrow(_whole_windows, _ddl(_WINDOWS)))
-        owners = windows.groupBy("words").agg(F.min("least").alias("owner"))
-        found = spread_join(windows, owners, ["words"], ["whole", "k"]).where("owner < least")
-        owned = found.select("whole", F.col("k").alias("low"), (F.col("k") + 1).alias("high"))
+        owned = _by_windows(contents, max_group)
     owned = owned.groupBy("whole").agg(F.collect_set(F.struct("low", "high")).alias("owned"))
     told = contents.select("whole", "least").join(owned, "whole", "left").select(F.col("whole").alias("content"), F.col("least").alias("_least"), "owned")
     told = told.mapInArrow(_merged, told.schema)

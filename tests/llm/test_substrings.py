@@ -93,3 +93,21 @@ def test_equal_rows(spark, prose, max_group):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert substrings.repeated_spans(docs, max_group).count() <= 20 * len(rows)
     assert {tuple(r)[:3] for r in substrings.deduplicated(docs, max_group).drop("kept_text").collect()} == {(1, 60, 0), (2, 69, 60)}
+
+
+def test_windows_of_large_groups_meet_by_part(spark, prose, monkeypatch):
+    """A passage of many documents is joined once for each part of its group, not once for each document."""
+    made, join = [], substrings.spread_join
+
+    def counted(many, one, keys, by):
+        out = join(many, one, keys, by)
+        if keys == ["words"]:
+            made.append(out.where("owner < least").count())
+        return out
+
+    monkeypatch.setattr(substrings, "spread_join", counted)
+    rows = [(k, f"first{k} {prose(60, 50)} last{k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.deduplicated(docs, 300).drop("kept_text").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    assert made and 0 < sum(made) < len(rows)
