@@ -166,13 +166,17 @@ def frequencies(files: DataFrame, templates: tuple[tuple[str, str], ...]) -> tup
 
 
 def scanned(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """files (doc_id, path, text) as doc_id, path, license, score, origin (own, inherited or none) and inherited_from.
+    """files (doc_id, text and, where files have one, path) as doc_id, path, license, score, origin (own, inherited or
+    none) and inherited_from. Without a column path there is nothing to inherit along, and no stage for it.
 
     A file's own licence comes before that of its nearest ancestor directory with a licence file; of several such files
     in a directory, that with the best score and then the least path and doc_id. A null or empty text has no own licence,
     a null path no ancestors; a text of any length is read whole. score is the best cosine, 0 where none reaches THRESHOLD.
     Repeated rows are judged alike and each returned. Other columns are ignored. An empty table gives no rows.
     """
+    has_path = "path" in files.columns
+    if not has_path:
+        files = files.withColumn("path", F.lit(None).cast("string"))
     counts, texts = frequencies(files, templates)
     sent = files.sparkSession.sparkContext.broadcast(Scanner(templates, counts, texts))
 
@@ -183,7 +187,11 @@ def scanned(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
             columns = [pa.array(names, pa.string()), pa.array([round(s, 6) for s in scores], pa.float64()), pa.array(shares, pa.float64())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("path"), *columns], ["doc_id", "path", "own", "score", "share"])
 
-    own = materialize(files.select("doc_id", "path", "text").mapInArrow(run, "doc_id long, path string, own string, score double, share double"))
+    own = files.select("doc_id", "path", "text").mapInArrow(run, "doc_id long, path string, own string, score double, share double")
+    if not has_path:
+        origin = F.when(F.col("own").isNotNull(), "own").otherwise("none").alias("origin")
+        return own.select("doc_id", "path", F.col("own").alias("license"), "score", origin, F.lit(None).cast("string").alias("inherited_from"))
+    own = materialize(own)
     folder = F.coalesce(F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1), F.lit(""))
     own = own.withColumn("folder", F.when(F.col("path").isNotNull(), folder))
     is_file = F.col("own").isNotNull() & ((F.col("share") >= FILE_SHARE) | F.col("path").rlike(FILE_NAME))
@@ -209,6 +217,6 @@ def scanned(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path, so none inherits; each has what its own text says."""
+    """Documents inherit along their paths where the table has them; else each has what its own text says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scanned(docs.select("doc_id", F.lit(None).cast("string").alias("path"), "text"))
+    return scanned(docs.select("doc_id", *[F.col(c).cast("string").alias(c) for c in docs.columns if c == "path"], "text"))

@@ -4,6 +4,7 @@ import textwrap
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import licenses
 
@@ -55,6 +56,19 @@ def test_scanned(spark):
     assert licenses.scanned(spark.createDataFrame(FILES, SCHEMA)).count() == len(FILES)
 
 
+def test_query_inherits_along_paths(spark, tmp_path):
+    """The query's inheritance has an effect where documents have paths, and is left out where they have none."""
+    files = spark.createDataFrame(FILES, SCHEMA)
+    columns = ["doc_id", "path", "license", "score", "origin", "inherited_from"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    files.write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert rows(licenses.op10(spark, f"{tmp_path}/a")) == rows(licenses.scanned(files))
+    files.drop("path").write.parquet(f"{tmp_path}/b/documents.parquet")
+    got = licenses.op10(spark, f"{tmp_path}/b")
+    assert got.columns == columns and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got) == rows(licenses.scanned(files.withColumn("path", F.lit(None).cast("string"))))
+
+
 def test_without_broadcast(spark, monkeypatch):
     files = spark.createDataFrame(FILES, SCHEMA)
     before = sorted(map(str, licenses.scanned(files).collect()))
