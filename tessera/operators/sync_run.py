@@ -19,6 +19,8 @@ CHECKPOINT = "run_id string, mode string, source string, sort string, last_succe
 STATE = "ref string, last_updated timestamp_ntz, current_version_number long, detail_pending boolean, detail_error string"
 RESOURCE = f"id string, source string, source_id string, resource_type string, status string, indexed_at timestamp, last_synced_at timestamp, {sync.RECORD}"
 CHECKPOINT_KEY = ["run_id", "mode", "source", "sort"]
+#: Events of one page, or of one candidate, in the order in which they happen.
+EVENTS = ("source_suppressed", "page_processed", "pass_stopped", "page_failed", "tag_validation_failed", "detail_succeeded", "detail_failed", "candidate_ready", "run_complete")
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,8 @@ def page_counts(plan: sync.Plan) -> DataFrame:
 
 
 def events_of(plan: sync.Plan, pages: DataFrame, ready: DataFrame) -> DataFrame:
-    """What happened, an event to a row."""
+    """What happened, an event to a row, in an order that is the same each time: the passes page by page, then the
+    candidates by ref, then the whole run."""
     none = F.lit(None).cast("string")
 
     def of(df: DataFrame, event: str, *told: str, ref: Column = none) -> DataFrame:
@@ -130,7 +133,9 @@ def events_of(plan: sync.Plan, pages: DataFrame, ready: DataFrame) -> DataFrame:
     out = of(totals, "run_complete", "candidates", "detail_requested", "detail_failed")
     for p in parts:
         out = out.unionByName(p)
-    return out
+    stage = F.when(F.col("event") == "run_complete", 2).when(F.col("source").isNull(), 1).otherwise(0)
+    step = F.array_position(F.array(*[F.lit(e) for e in EVENTS]), F.col("event"))
+    return out.orderBy(stage, "source", "sort", "page", F.col("ref").asc_nulls_last(), step, F.to_json("told"))
 
 
 # -- tables ---------------------------------------------------------------------------------------------------------

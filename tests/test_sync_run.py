@@ -75,6 +75,16 @@ def test_run(spark, tmp_path):
     assert {r.run_id for r in sync_run.latest_checkpoints(store.read("checkpoints")).collect()} == {"r2"}
 
 
+def test_events_come_in_order(spark, tmp_path):
+    """Whatever the joins deal out: the passes page by page, then the candidates, then the run."""
+    put(tmp_path, "tag:nlp", [[item(f"o/r{k:02}") for k in range(20)], [item(f"o/r{k:02}") for k in range(20, 40)], [item("o/r40")]])
+    told, _ = once(spark, pages_of(spark, tmp_path, "tag:nlp"), sync_run.Store(spark, f"{tmp_path}/store"), str(tmp_path))
+    refs = [f"o/r{k:02}" for k in range(41)]
+    passes = [("page_processed", 1, None), ("page_processed", 2, None), ("page_processed", 3, None), ("pass_stopped", 3, None)]
+    candidates = [(e, None, r) for r in refs for e in ("detail_failed", "candidate_ready")]
+    assert [(e[0], e[2], e[3]) for e in told] == [*passes, *candidates, ("run_complete", None, None)]
+
+
 def test_failed_and_empty_pages(spark, tmp_path):
     full = [item(f"o/r{k}") for k in range(20)]
     put(tmp_path, "tag:nlp", [full, []])
