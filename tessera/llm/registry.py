@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, html_text, licenses, packing, pii, quality, sharding, simhash, substrings, url_filter
+from tessera.llm import decontamination, html_text, licenses, packing, periodic, pii, quality, sharding, simhash, substrings, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_sharding": sharding.op8,
         "op9_decontamination": decontamination.op9,
         "op10_licenses": licenses.op10,
+        "op11_periodic": periodic.op11,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict:
         "op2_substrings": substrings.OP2_SQL,
         "op7_url_filter": url_filter.OP7_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
+        "op11_periodic": periodic.OP11_SQL,
     }
