@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, html_text, licenses, negatives, packing, periodic, pii, quality, sharding, simhash, substrings, url_filter
+from tessera.llm import decontamination, html_text, licenses, negatives, packing, periodic, pii, prefix_join, quality, sharding, simhash, substrings, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontamination": decontamination.op9,
         "op10_licenses": licenses.op10,
         "op11_periodic": periodic.op11,
+        "op12_ngram_join": prefix_join.op12,
         "op13_negatives": negatives.op13,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict:
         "op7_url_filter": url_filter.OP7_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
         "op11_periodic": periodic.OP11_SQL,
+        "op12_ngram_join": prefix_join.OP12_SQL,
         "op13_negatives": negatives.OP13_SQL,
     }
