@@ -1,7 +1,12 @@
-"""Catalog pages as a Spark data source: one input partition for each pass (source and sort), pages read within it.
+"""Catalog pages as a Spark data source, for batches and for streams.
 
-Offline, pages are JSON files in a folder: <folder>/<kind>_<value>_<sort>/<page>.json, each a list of records. Online, a
-transport does the same over HTTP. What a page could not give is told in its row, and ends its pass only.
+Offline, pages are JSON files in a folder of any file system that Arrow reads: <folder>/<kind>_<value>_<sort>/<page>.json,
+each a list of records. Online, a transport does the same over HTTP. What a page could not give is told in its row, and
+ends its pass only.
+
+All pages of a read, of whatever pass, are asked for by one client in one task: the delay between requests, and a server's
+wish to be left alone, then hold for the whole run and not for each task. A batch reads each pass up to a page that is not
+full. A stream asks for a page of a pass only when the page before has been judged (streaming/pages_stream.py).
 """
 
 from __future__ import annotations
@@ -18,10 +23,13 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from pathlib import Path
 
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tessera.operators.sync import PAGE_SIZE, SOURCES, retry_delay, select_sources, sorts_of
 
@@ -130,44 +138,114 @@ def folder_name(source: str, sort: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", source.lower()) + f"_{sort}"
 
 
+class Pages:
+    """Rows of pages, by a client or from a folder; one of them serves a task, so that its pace is that of all requests."""
+
+    def __init__(self, options: dict):
+        self.client = Client(options["url"], Config.from_env(), token=options.get("token")) if "url" in options else None
+        if self.client is None:
+            self.files, self.home = FileSystem.from_uri(located(options["path"]))
+
+    def rows(self, source: str, sort: str, page: int) -> tuple[list[tuple], bool]:
+        """The rows of a page in PAGE_SCHEMA, one at least, and whether another page may follow."""
+        try:
+            items, answer, retries = self.client.page(source, sort, page) if self.client else self._stored(source, sort, page)
+        except TransientError as e:
+            return [(source, sort, page, None, None, e.http_status, None, e.retry_count, str(e)[:1000])], False
+        told = [(source, sort, page, k, json.dumps(item), answer.status, answer.latency_ms, retries, None) for k, item in enumerate(items)]
+        return told or [(source, sort, page, None, None, answer.status, answer.latency_ms, retries, None)], len(items) >= PAGE_SIZE
+
+    def _stored(self, source: str, sort: str, page: int) -> tuple[list, Response, int]:
+        """A page beyond the last file of its pass is empty; one that is missing before it cannot be had."""
+        folder = f"{self.home}/{folder_name(source, sort)}"
+        try:
+            with self.files.open_input_stream(f"{folder}/{page}.json") as f:
+                return json.loads(f.read()), Response([], 200, 0), 0
+        except FileNotFoundError:
+            found = self.files.get_file_info(FileSelector(folder, allow_not_found=True))
+            if any(f.base_name.endswith(".json") and int(f.base_name[:-5]) > page for f in found):
+                raise TransientError(f"page {page} is missing in {folder}") from None
+            return [], Response([], 200, 0), 0
+
+
+def located(path: str) -> str:
+    """A path as a URI; one without a scheme is on the local file system."""
+    return path if re.match(r"[a-z][a-z0-9+.-]*:", path) else Path(path).absolute().as_uri()
+
+
 @dataclass
-class Pass(InputPartition):
-    source: str
-    sort: str
+class Asked(InputPartition):
+    """(source, sort, first page, last page) of each pass; a batch has no last page."""
+
+    passes: list[tuple[str, str, int, int | None]]
+
+
+def passes_of(options: dict) -> list[tuple[str, str]]:
+    return [(s, sort) for s in select_sources(options.get("source")) for sort in sorts_of(options.get("mode", "incremental"))]
+
+
+def read_pages(options: dict, asked: Asked) -> Iterator[tuple]:
+    pages = Pages(options)
+    for source, sort, first, last in asked.passes:
+        page, more = first, True
+        while more and (last is None or page <= last):
+            rows, more = pages.rows(source, sort, page)
+            yield from rows
+            page += 1
 
 
 class PagesReader(DataSourceReader):
+    """Every page of each pass up to one that is not full, or up to the option pagelimit."""
+
     def __init__(self, options: dict):
         self.options = dict(options)
 
-    def partitions(self) -> list[Pass]:
-        key = self.options.get("source")
-        return [Pass(s, sort) for s in select_sources(key) for sort in sorts_of(self.options.get("mode", "incremental"))]
+    def partitions(self) -> list[Asked]:
+        limit = self.options.get("pagelimit")
+        return [Asked([(source, sort, 1, int(limit) if limit else None) for source, sort in passes_of(self.options)])]
 
-    def read(self, partition: Pass) -> Iterator[tuple]:
-        limit = int(self.options.get("pagelimit", 10_000))
-        for page in range(1, limit + 1):
-            try:
-                items, answer, retries = self._page(partition, page)
-            except TransientError as e:
-                yield partition.source, partition.sort, page, None, None, e.http_status, None, e.retry_count, str(e)[:1000]
-                return
-            if not items:
-                yield partition.source, partition.sort, page, None, None, answer.status, answer.latency_ms, retries, None
-                return
-            for k, item in enumerate(items):
-                yield partition.source, partition.sort, page, k, json.dumps(item), answer.status, answer.latency_ms, retries, None
-            if len(items) < PAGE_SIZE:
-                return
-
-    def _page(self, partition: Pass, page: int) -> tuple[list, Response, int]:
-        if "url" in self.options:
-            return Client(self.options["url"], Config.from_env(), token=self.options.get("token")).page(partition.source, partition.sort, page)
-        path = os.path.join(self.options["path"], folder_name(partition.source, partition.sort), f"{page}.json")
-        if not os.path.exists(path):
-            return [], Response([], 200, 0), 0
-        with open(path, encoding="utf-8") as f:
-            return json.load(f), Response([], 200, 0), 0
+    def read(self, partition: Asked) -> Iterator[tuple]:
+        return read_pages(self.options, partition)
+
+
+class PagesStreamReader(DataSourceStreamReader):
+    """An offset is the number of pages that each pass has been asked for. The next one has one page more of each pass that
+    goes on, by what the option judged, a folder, tells of the pages so far."""
+
+    def __init__(self, options: dict):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {f"{source}|{sort}": 0 for source, sort in passes_of(self.options)}
+
+    def latestOffset(self) -> dict:
+        judged = judged_pages(self.options["judged"])
+        ends = {}
+        for key in self.initialOffset():
+            page, ended = judged.get(key, (0, False))
+            ends[key] = page if ended else page + 1
+        return ends
+
+    def partitions(self, start: dict, end: dict) -> list[Asked]:
+        asked = [(*key.split("|"), start.get(key, 0) + 1, last) for key, last in end.items() if last > start.get(key, 0)]
+        return [Asked(asked)]
+
+    def read(self, partition: Asked) -> Iterator[tuple]:
+        return read_pages(self.options, partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def judged_pages(folder: str) -> dict[str, tuple[int, bool]]:
+    """(last page, whether the pass has ended) by pass, of the last batch that has judged its pages."""
+    files, home = FileSystem.from_uri(located(folder))
+    done = [f.path for f in files.get_file_info(FileSelector(home, allow_not_found=True)) if f.base_name.startswith("batch=")]
+    for path in sorted(done, key=lambda p: int(p.rsplit("=", 1)[1]), reverse=True):
+        if files.get_file_info(f"{path}/_SUCCESS").type != FileType.NotFound:
+            t = pq.read_table(path, filesystem=files, partitioning=None).to_pylist()
+            return {f"{r['source']}|{r['sort']}": (r["page"], r["ended"]) for r in t}
+    return {}
 
 
 class CatalogPages(DataSource):
@@ -183,6 +261,9 @@ class CatalogPages(DataSource):
     def reader(self, schema) -> PagesReader:
         return PagesReader(self.options)
 
+    def streamReader(self, schema) -> PagesStreamReader:
+        return PagesStreamReader(self.options)
+
 
 # -- records --------------------------------------------------------------------------------------------------------
 
@@ -231,15 +312,15 @@ def asked_pages(pages: DataFrame) -> DataFrame:
 
 
 def details(refs: DataFrame, options: dict) -> DataFrame:
-    """ref, record (JSON), error and latency_ms of each ref's detail, asked for in parallel: over HTTP (url), or from a
-    folder (path), where details/<ref with / as __>.json has it."""
+    """ref, record (JSON), error and latency_ms of each ref's detail: over HTTP (url), or from a folder (path), where
+    details/<ref with / as __>.json has it. Tasks ask in parallel; spread the refs over one for one pace of all requests."""
 
-    def one(client: Client | None, ref: str) -> tuple[str | None, str | None]:
+    def one(pages: Pages, ref: str) -> tuple[str | None, str | None]:
         try:
-            if client is not None:
-                return json.dumps(client.detail(ref)[0]), None
-            with open(os.path.join(options["path"], "details", ref.replace("/", "__") + ".json"), encoding="utf-8") as f:
-                found = json.load(f)
+            if pages.client is not None:
+                return json.dumps(pages.client.detail(ref)[0]), None
+            with pages.files.open_input_stream(f"{pages.home}/details/{ref.replace('/', '__')}.json") as f:
+                found = json.loads(f.read())
             if not isinstance(found, dict):
                 raise ValueError("a detail must be an object")
             return json.dumps(found), None
@@ -249,12 +330,12 @@ def details(refs: DataFrame, options: dict) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        client = Client(options["url"], Config.from_env(), token=options.get("token")) if "url" in options else None
+        pages = Pages(options)
         for b in batches:
             records, errors, times = [], [], []
             for ref in b.column("ref").to_pylist():
                 began = time.monotonic()
-                record, error = one(client, ref)
+                record, error = one(pages, ref)
                 records.append(record)
                 errors.append(error)
                 times.append(int(1000 * (time.monotonic() - began)))
@@ -274,11 +355,16 @@ def detail_records(found: DataFrame, fields: list[tuple[str, str]], base_url: st
 def records(pages: DataFrame, base_url: str = "https://catalog.example/datasets/", *more: str) -> DataFrame:
     """Rows of pages with a record as canonical rows, in the schema that sync works on, with more of their columns. What
     became of pages without one, asked_pages() tells."""
+    return canonical(pages.where("record IS NOT NULL"), base_url, *more)
+
+
+def canonical(pages: DataFrame, base_url: str = "https://catalog.example/datasets/", *more: str) -> DataFrame:
+    """Like records(), with rows that have no record, which are empty and valid by no rule."""
     r = F.col("record")
     ref = F.coalesce(_text(r, "ref"), _text(r, "id"), F.lit(""))
     license_ = F.coalesce(_text(r, "licenseName"), F.try_element_at(_labels(r, "licenses"), F.lit(1)))
     id_ = F.get_json_object(r, "$.id")
-    return pages.where("record IS NOT NULL").select(
+    return pages.select(
         *more,
         "source",
         "sort",
