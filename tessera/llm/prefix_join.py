@@ -1,8 +1,8 @@
 """Near-duplicates by n-gram Jaccard similarity, by a prefix-tree join.
 
 Every document is the set of its distinct n-grams. Two sets that are similar enough share all but a few n-grams of each, so
-a set with more n-grams than that few which no other set holds has no partner. This is told first by a quarter of the
-n-grams (those of the least hashes), and for the sets that remain by all of theirs: of both only the counts are shuffled.
+a set with more n-grams than that few which no other set holds has no partner. This is told first by a part of the
+n-grams (those of the least hashes), and for the sets that remain, whose texts are read again, by all of theirs.
 
 The n-grams of the sets that still remain are ordered by rarity, the same way for all. Partners then meet at an n-gram
 among the first few of both. The sets of such an n-gram are a unit of work; n-grams with the same sets are one unit. A unit's
@@ -30,12 +30,15 @@ from tessera.llm.simhash import _roots
 
 #: Words of an n-gram, and the least similarity in hundredths (fixed values of the contract).
 GRAM, SIMILAR = 3, 90
-#: n-grams of a task's tree, of the sets that are traversed before colours are looked at again, and of one part of a unit.
-BATCH, PROBES = 2_000_000, 256
-#: Rows of ids that are broadcast at most (16 bytes each).
-MAX_BROADCAST = 2_000_000
-
-_PRINT = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("low", pa.binary()), ("rest", pa.binary())])
+#: n-grams of a task's tree and of one part of a unit; sets that go down the tree before colours are looked at again; pairs
+#: of a set and a node, or n-grams of the ends of paths, that are held at once.
+BATCH, PROBES, HELD = 1_000_000, 256, 200_000
+#: n-grams of hashes below this are looked at first: three sixteenths, enough to hold more lone ones than a set may lack.
+LOW = 3 << 60
+#: Rows of ids that are broadcast at most (16 bytes each), and n-grams whose counts are.
+MAX_BROADCAST, MAX_HOT = 2_000_000, 100_000
+
+_PRINT = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
 _GRAMS = pa.schema([("set_id", pa.int64()), ("n", pa.int32()), ("gram", pa.int64())])
 _ORDERED = pa.schema([("set_id", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
@@ -65,36 +68,36 @@ def grams_of(text: str | None, gram: int = GRAM) -> np.ndarray:
     return np.unique(np.array([digest(whole[a:b]) for a, b in zip(first, last, strict=True)], np.uint64))
 
 
-def _prints(gram: int):
+def _prints(gram: int, below: int | None = None):
+    """Documents as the key, size and n-grams of their sets; only those below a hash, if one is given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, low, rest = [], [], [], []
+            ids, sizes, grams = [], [], []
             for t in b.column("text"):
                 x = grams_of(t.as_py(), gram)
-                cut = int(np.searchsorted(x, np.uint64(1 << 62)))
                 ids.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
                 sizes.append(len(x))
-                low.append(x[:cut].tobytes())
-                rest.append(x[cut:].tobytes())
-            made = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(low, pa.binary()), pa.array(rest, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), *made], schema=_PRINT)
+                grams.append((x if below is None else x[: int(np.searchsorted(x, np.uint64(below)))]).tobytes())
+            made = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(grams, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], schema=_PRINT)
 
     return run
 
 
-def _exploded(names: list[str]):
-    """Rows (set_id, n, the named binaries) as (set_id, n, gram)."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (set_id, n, grams) as (set_id, n, gram)."""
+    for b in batches:
+        for at in range(0, len(b), 512):
+            part = b.slice(at, 512)
+            grams = [np.frombuffer(x, np.int64) for x in part.column("grams").to_pylist()]
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            told = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("set_id", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*told, np.concatenate(grams))], schema=_GRAMS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.slice(at, 512)
-                grams = [np.frombuffer(b"".join(x), np.int64) for x in zip(*(part.column(c).to_pylist() for c in names), strict=True)]
-                sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-                told = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("set_id", "n")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*told, np.concatenate(grams))], schema=_GRAMS)
 
-    return run
+def exploded(sets: DataFrame) -> DataFrame:
+    return sets.select("set_id", "n", "grams").mapInArrow(_exploded, _ddl(_GRAMS))
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +115,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         held.append(b)
         last = b.column("set_id")[-1]
-        if b.column("set_id")[0] != last or held[0].column("set_id")[0] != last:
+        if held[0].column("set_id")[0] != last:
             t = pa.Table.from_batches(held)
             ids = t.column("set_id").to_numpy()
             whole = int(np.flatnonzero(ids != ids[-1])[-1]) + 1
@@ -199,9 +202,14 @@ def linked(sets: list[np.ndarray], unit: np.ndarray, n: np.ndarray, colour: np.n
     for low in range(0, len(sets), PROBES):
         root, change = recoloured()
         probe = np.arange(low, min(low + PROBES, len(sets)))
-        node, overlap = tree.root[probe], np.zeros(len(probe), np.int64)
-        while len(probe):
+        waiting = [(tree.root[probe], probe, np.zeros(len(probe), np.int64))]
+        while waiting:
+            node, probe, overlap = waiting.pop()
             many = tree.many[node]
+            if len(node) > 1 and many.sum() > HELD:  # bounded memory: the rest waits
+                half = len(node) // 2
+                waiting += [(node[half:], probe[half:], overlap[half:]), (node[:half], probe[:half], overlap[:half])]
+                continue
             at = np.repeat(tree.first[node] - np.cumsum(many) + many, many) + np.arange(many.sum())
             node, probe, overlap = tree.children[at], np.repeat(probe, many), np.repeat(overlap, many)
             after = np.maximum(tree.low[node], probe + 1)  # sets after the probe only
@@ -217,10 +225,10 @@ def linked(sets: list[np.ndarray], unit: np.ndarray, n: np.ndarray, colour: np.n
             end = tree.end[node]
             whole = np.flatnonzero((end > probe) & enough(overlap, probe, end))
             found.append((probe[whole], end[whole]))
-            if len(node) < 2_000:  # few pairs: the rest of a path that is one set's is counted at once
-                single = np.flatnonzero(tree.high[node] - tree.low[node] == 1)
-                x, y = probe[single], tree.low[node[single]]
-                left = m[y] - tree.depth[node[single]]
+            single = np.flatnonzero(tree.high[node] - tree.low[node] == 1)
+            x, y = probe[single], tree.low[node[single]]
+            left = m[y] - tree.depth[node[single]]
+            if left.sum() <= HELD:  # the rest of paths that are one set's is counted at once
                 inside = np.repeat(start[y] + tree.depth[node[single]] - np.cumsum(left) + left, left) + np.arange(left.sum())
                 pair = np.repeat(np.arange(len(single)), left)
                 total = overlap[single] + np.bincount(pair[held(x[pair], flat[inside])[0]], minlength=len(single))
@@ -228,6 +236,8 @@ def linked(sets: list[np.ndarray], unit: np.ndarray, n: np.ndarray, colour: np.n
                 found.append((x[whole], y[whole]))
                 rest = tree.high[node] - tree.low[node] > 1
                 node, probe, overlap = node[rest], probe[rest], overlap[rest]
+            if len(node):
+                waiting.append((node, probe, overlap))
     return found
 
 
@@ -278,13 +288,37 @@ def _links(members: DataFrame, ordered: DataFrame, similar: int, batch: int) ->
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_joined(similar), "a bigint, b bigint")
 
 
-def _survivors(prints: DataFrame, gram_slack) -> DataFrame:
-    """uid, set_id, n and least (smallest doc_id) of a row of each set that may have a partner by its low n-grams."""
-    sets = prints.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("uid").alias("uid"))
-    low = prints.select("set_id", "n", "low").mapInArrow(_exploded(["low"]), _ddl(_GRAMS))
-    lone = low.groupBy("gram").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last")).where("set_id = last")
+def _survivors(prints: DataFrame, may_lack) -> DataFrame:
+    """set_id, n, least (smallest doc_id) and rows (how many rows have both) of each set, and whether it is partnered: it
+    may have a partner, by its low n-grams."""
+    of_doc = prints.where("n > 0").groupBy("set_id", "doc_id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    own = F.struct(F.col("doc_id").isNull(), "doc_id")
+    sets = of_doc.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min_by("rows", own).alias("rows"))
+    lone = exploded(prints).groupBy("gram").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("last")).where("set_id = last")
     many = lone.groupBy(F.col("set_id").alias("_set")).agg(F.count(F.lit(1)).alias("lone"))
-    return sets.join(many, F.col("set_id") == F.col("_set"), "left").withColumn("partnered", F.coalesce("lone", F.lit(0)) <= gram_slack(F.col("n"))).drop("_set", "lone")
+    return sets.join(many, F.col("set_id") == F.col("_set"), "left").withColumn("partnered", F.coalesce("lone", F.lit(0)) <= may_lack(F.col("n"))).drop("_set", "lone")
+
+
+def _again(keyed: DataFrame, sets: DataFrame, gram: int) -> DataFrame:
+    """set_id, n and all n-grams of the sets that are partnered, from a document of each."""
+    wanted = sets.where("partnered").select(F.col("set_id").alias("_set"), F.col("least").alias("_least"), "rows")
+    sized = wanted.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).first()
+    wanted = wanted.drop("rows")
+    wanted = F.broadcast(wanted) if sized["n"] <= MAX_BROADCAST else wanted.hint("merge")
+    found = keyed.mapInArrow(_prints(gram), _ddl(_PRINT))
+    one = found.join(wanted, (F.col("set_id") == F.col("_set")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi").select("set_id", "n", "grams")
+    return materialize(one.dropDuplicates(["set_id"]) if (sized["most"] or 0) > 1 else one, "none")  # repeated rows
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """set_id, n, gram and count of the n-grams that more than one of the sets has. Very frequent ones, of which there are
+    few, are not shuffled by themselves."""
+    grams = exploded(sets)
+    counts = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("count")).where("count > 1"))
+    most = max(10_000, (counts.agg(F.sum("count")).first()[0] or 0) // MAX_HOT)
+    hot = F.broadcast(counts.where(F.col("count") > most))
+    usual = grams.join(hot, "gram", "left_anti").join(counts.where(F.col("count") <= most).hint("merge"), "gram")
+    return usual.unionByName(grams.join(hot, "gram")).select("set_id", "n", "count", "gram")
 
 
 def grouped(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, batch: int = BATCH) -> DataFrame:
@@ -296,21 +330,16 @@ def grouped(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, batch: in
     doc_id is never the smallest unless its component has no other. Other columns are ignored. An empty table gives no rows.
     """
     may_lack = lambda n: n - F.ceil(F.lit(similar) * n / F.lit(100.0)).cast("int")
-    keyed = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("uid"), "text")
-    prints = materialize(keyed.mapInArrow(_prints(gram), _ddl(_PRINT)), "none")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text")
+    prints = materialize(keyed.mapInArrow(_prints(gram, LOW), _ddl(_PRINT)), "none")
     sets = materialize(_survivors(prints, may_lack))
-    partnered = sets.where("partnered").select("uid")
-    partnered = F.broadcast(partnered) if partnered.count() <= MAX_BROADCAST else partnered.hint("merge")
-    grams = materialize(prints.join(partnered, "uid", "left_semi").select("set_id", "n", "low", "rest").mapInArrow(_exploded(["low", "rest"]), _ddl(_GRAMS)))
-
     # n-grams of one set are left out; a set with too few others has no partner
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("count")).where("count > 1")
-    shared = spread_join(grams, counts, ["gram"], ["set_id"]).repartition("set_id").sortWithinPartitions("set_id", "count", "gram")
-    ordered = materialize(shared.select("set_id", "n", "count", "gram").mapInArrow(_assembled, _ddl(_ORDERED)).where(F.col("n") - F.col("m") <= may_lack(F.col("n"))), "none")
+    shared = _shared(_again(keyed, sets, gram)).repartition("set_id").sortWithinPartitions("set_id", "count", "gram")
+    ordered = materialize(shared.mapInArrow(_assembled, _ddl(_ORDERED)).where(F.col("n") - F.col("m") <= may_lack(F.col("n"))), "none")
 
     front = F.expr("m - n").cast("int") + may_lack(F.col("n")) + 1
-    heads = ordered.select("set_id", F.col("m").alias("n"), F.substring("grams", F.lit(1), 8 * front).alias("head"))
-    postings = materialize(heads.mapInArrow(_exploded(["head"]), _ddl(_GRAMS)).withColumnsRenamed({"gram": "unit", "n": "m"}))
+    heads = ordered.select("set_id", F.col("m").alias("n"), F.substring("grams", F.lit(1), 8 * front).alias("grams"))
+    postings = materialize(exploded(heads).withColumnsRenamed({"gram": "unit", "n": "m"}))
     mixed = [F.bit_xor(F.xxhash64("set_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     units = postings.groupBy("unit").agg(F.count(F.lit(1)).alias("k"), *mixed).where("k > 1").groupBy("k", "x1", "x2").agg(F.min("unit").alias("unit")).select("unit")
     members = materialize(postings.join(units.hint("merge"), "unit"))
@@ -327,7 +356,7 @@ def grouped(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, batch: in
     labelled = sets.join(label.hint("merge"), F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = spread_join(labelled.select("set_id", "root"), named, ["root"], ["set_id"]).select("set_id", "component_id")
-    out = spread_join(prints.select("doc_id", "uid", "set_id", "n"), of_set, ["set_id"], ["uid"], "left")
+    out = spread_join(prints.select("doc_id", "set_id", "n"), of_set, ["set_id"], ["doc_id"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -63,9 +63,10 @@ def test_against_brute_force(spark, prose, seed, similar, batch):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, similar)
 
 
-@pytest.mark.parametrize(("seed", "probes"), [(1, 256), (2, 3), (3, 1)])
-def test_tree_finds_all_links(monkeypatch, seed, probes):
+@pytest.mark.parametrize(("seed", "probes", "held"), [(1, 256, 200_000), (2, 3, 10), (3, 1, 1), (4, 100, 300)])
+def test_tree_finds_all_links(monkeypatch, seed, probes, held):
     monkeypatch.setattr(prefix_join, "PROBES", probes)
+    monkeypatch.setattr(prefix_join, "HELD", held)
     r = random.Random(seed)
     groups = [r.sample(range(200), 40) for _ in range(8)]
     sets = {(u, tuple(sorted({x if r.random() < 0.95 else r.randrange(200) for x in r.choice(groups)}))) for u in range(3) for _ in range(60)}
