@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.english import english, query_words
 from tessera.operators import acquisition, evaluation, evaluation_run, fusion, inspection, keyword, profile, stats, sync, sync_run, vectors
 from tessera.sources import catalog
+from tessera.streaming import pages_stream
 
 
 ANALYZERS = (english, query_words)
@@ -117,13 +118,16 @@ def pages_of(spark: SparkSession, a: argparse.Namespace, mode: str, **more) -> D
 
 def sync_command(spark: SparkSession, a: argparse.Namespace) -> dict:
     """One run; its tables are snapshots below the state folder."""
-    # asked for once: what a page said then is what the whole run goes by
-    pages = sync_run.kept(pages_of(spark, a, a.mode))
     store = sync_run.Store(spark, a.state)
-    rows, asked, states = catalog.records(pages), catalog.asked_pages(pages), store.read("states")
-    plan = sync_run.planned(rows, asked, states, store.read("checkpoints"), a.mode, catalog.Config.from_env().bootstrap_page_limit)
+    states, checkpoints, limit = store.read("states"), store.read("checkpoints"), catalog.Config.from_env().bootstrap_page_limit
+    # asked for once, up to each pass's end: what a page said then is what the whole run goes by
+    pages = pages_stream.paged(spark, where_from(a) | ({"source": a.source} if a.source else {}), a.mode, states, checkpoints, page_limit=limit)
+    rows, asked = catalog.records(pages), catalog.asked_pages(pages)
+    plan = sync_run.planned(rows, asked, states, checkpoints, a.mode, limit)
     fields = sync_run.fields_of(rows)
-    found = sync_run.kept(catalog.details(sync_run.requested_refs(plan, states), where_from(a)))
+    refs = sync_run.requested_refs(plan, states)
+    # requests to a server keep one pace
+    found = sync_run.kept(catalog.details(refs.repartition(1) if a.url else refs, where_from(a)))
     done = sync_run.run(plan, asked, states, catalog.detail_records(found, fields), sync_run.stored_records(store.read("resources"), fields), a.mode, str(uuid.uuid4()))
     if not a.dry_run:
         store.write(done, F.current_timestamp())
@@ -134,12 +138,16 @@ def sync_command(spark: SparkSession, a: argparse.Namespace) -> dict:
     return done.totals().first().asDict() | {"run_id": done.run_id, "dry_run": a.dry_run}
 
 
-def hybrid(resources: DataFrame, embeddings: DataFrame, queries: list[str], vector: list[float], model: tuple, a: argparse.Namespace) -> DataFrame:
+def hybrid(resources: DataFrame, embeddings: DataFrame, queries: list[str], vector: list[float], model: tuple, a: argparse.Namespace, timings: dict | None = None) -> DataFrame:
+    """One page of both searches, fused; with timings, each stage is run by itself and timed."""
+    staged = (lambda df, _: df) if timings is None else (lambda df, name: evaluation_run.timed(df, timings, name))
     fusion.check_fusion(a.rrf_k, a.keyword_top_k, a.semantic_top_k)
     kw = keyword.keyword_search(resources, queries, a.resource_type, a.keyword_top_k, 0, "cover", ANALYZERS)
     sem = vectors.semantic_search(resources, embeddings, vector, model, a.resource_type, a.semantic_top_k)
     ranked = lambda df, score: keyword.top_k(df.withColumn("query_id", F.lit(0)).select("query_id", "id", score), 100, score)
-    return fusion.fused_page(fusion.reciprocal_rank_fusion(ranked(kw, "keyword_score"), ranked(sem, "semantic_score"), a.rrf_k), a.limit, a.offset).orderBy("place").drop("query_id")
+    kw, sem = staged(ranked(kw, "keyword_score"), "keyword_ms"), staged(ranked(sem, "semantic_score"), "semantic_ms")
+    page = fusion.fused_page(fusion.reciprocal_rank_fusion(kw, sem, a.rrf_k), a.limit, a.offset)
+    return staged(page, "fusion_ms").orderBy("place").drop("query_id")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -156,15 +164,10 @@ def main(argv: list[str] | None = None) -> int:
             if a.command == "search-semantic":
                 _show(vectors.semantic_search(read(a.resources), read(a.embeddings), vector, model, a.resource_type, a.limit, a.offset))
             else:
-                _show(hybrid(read(a.resources), read(a.embeddings), a.queries, vector, model, a))
-            if a.command == "search-hybrid" and a.include_timing:
-                timings: dict[str, float] = {}
-                query = [{"query_id": "q", "lexical_queries": a.queries, "semantic_query": a.semantic_query}]
-                index = keyword.Index.of(keyword.active(read(a.resources), a.resource_type), ANALYZERS[0])
-                kw = evaluation_run.timed(evaluation_run.keyword_side(index, query, a.keyword_top_k, a.resource_type, ANALYZERS[1]), timings, "keyword_ms")
-                sem = evaluation_run.timed(evaluation_run.semantic_side(read(a.resources), read(a.embeddings), backend, query, a.semantic_top_k, a.resource_type), timings, "semantic_ms")
-                evaluation_run.timed(fusion.fused_page(fusion.reciprocal_rank_fusion(kw, sem, a.rrf_k), a.limit, a.offset), timings, "fusion_ms")
-                print(json.dumps({"timing": timings | {"total_ms": round(sum(timings.values()), 3)}}))
+                timings: dict[str, float] | None = {} if a.include_timing else None
+                _show(hybrid(read(a.resources), read(a.embeddings), a.queries, vector, model, a, timings))
+                if timings is not None:
+                    print(json.dumps({"timing": timings | {"total_ms": round(sum(timings.values()), 3)}}))
         elif a.command == "sync":
             if a.source:
                 sync.select_sources(a.source)
@@ -186,7 +189,9 @@ def main(argv: list[str] | None = None) -> int:
             best = stats.recommended(found).first()
             write_json({"methods": [r.asDict() for r in found.collect()], "samples": [r.asDict() for r in rows], "recommended": best and best.method}, a.output)
         elif a.command == "backfill":
-            vectors.backfill(read(a.resources), read(a.embeddings), vectors.HashingBackend(a.dimension), a.rebuild, a.batch_size).write.parquet(a.output)
+            done = vectors.run_backfill(read(a.resources), read(a.embeddings), vectors.HashingBackend(a.dimension), a.rebuild, a.batch_size)
+            done.table.write.parquet(a.output)
+            print(json.dumps(done.stats().first().asDict()))
         elif a.command == "evaluate":
             _show(evaluation.method_metrics(read(a.rows)))
             _show(evaluation.overlaps(read(a.rows)))

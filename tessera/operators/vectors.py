@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import content_hash, semantic_document
 from tessera.operators.blocks import best_of_batch
 from tessera.operators.keyword import active, check_page
+from tessera.plans import stored
 
 #: Query vectors are counted and sent in blocks of about so many.
 MAX_QUERIES = 2_000
@@ -157,8 +160,16 @@ def pending(resources: DataFrame, embeddings: DataFrame) -> DataFrame:
     return candidates.join(stored, "id", "left").where(~F.col("stored_hash").eqNullSafe(F.col("content_hash"))).drop("stored_hash")
 
 
+def embedded_rows(found: DataFrame, backend: EmbeddingBackend, now: Column | None = None) -> DataFrame:
+    """Rows of embed() as rows of the table of embeddings."""
+    model = [F.lit(backend.name).alias("model_name"), F.lit(backend.revision).alias("model_revision"), F.lit(backend.dimension).alias("embedding_dimension")]
+    when = F.current_timestamp() if now is None else now
+    return found.select(F.col("id").alias("resource_id"), "content_hash", "embedding", *model, when.alias("embedded_at"))
+
+
 def embed(documents: DataFrame, backend: EmbeddingBackend, batch_size: int = 32) -> DataFrame:
-    """documents (id, document, content_hash) with embedding, in batches of a fixed size."""
+    """documents (id, document, content_hash) with embedding and embed_ms, a document's share of its batch's time, in
+    batches of a fixed size, by id within each task."""
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
 
@@ -166,33 +177,52 @@ def embed(documents: DataFrame, backend: EmbeddingBackend, batch_size: int = 32)
         for rows in batches:
             for low in range(0, len(rows), batch_size):
                 part = rows.iloc[low : low + batch_size]
+                began = time.perf_counter()
                 vectors = backend.embed(part["document"].tolist())
+                share = 1000 * (time.perf_counter() - began) / len(part)
                 if len(vectors) != len(part):
                     raise ValueError("the model gave another number of vectors than documents")
-                yield part.assign(embedding=[check_vector(v, backend.dimension) for v in vectors])
+                yield part.assign(embedding=[check_vector(v, backend.dimension) for v in vectors], embed_ms=share)
 
     id_type = dict(documents.dtypes)["id"]
-    return documents.select("id", "document", "content_hash").mapInPandas(run, f"id {id_type}, document string, content_hash string, embedding array<float>")
+    ordered = documents.select("id", "document", "content_hash").sortWithinPartitions("id")
+    return ordered.mapInPandas(run, f"id {id_type}, document string, content_hash string, embedding array<float>, embed_ms double")
 
 
-def backfill(resources: DataFrame, embeddings: DataFrame, backend: EmbeddingBackend, rebuild: bool = False, batch_size: int = 32) -> DataFrame:
-    """The new table of embeddings: changed documents embedded anew, others kept, and those of resources that are gone dropped."""
-    model = (backend.name, backend.revision, backend.dimension)
+@dataclass(frozen=True)
+class Backfill:
+    """table: the new table of embeddings; changed: what was embedded; total: how many active datasets there are."""
+
+    table: DataFrame
+    changed: DataFrame
+    total: DataFrame
+
+    def stats(self) -> DataFrame:
+        """One row: total, embedded, skipped, and the average milliseconds of an embedded document (0 if there is none)."""
+        done = self.changed.agg(F.count(F.lit(1)).alias("embedded"), F.coalesce(F.round(F.avg("embed_ms"), 3), F.lit(0.0)).alias("average_ms"))
+        return self.total.crossJoin(done).select("total", "embedded", (F.col("total") - F.col("embedded")).alias("skipped"), "average_ms")  # one row each
+
+
+def run_backfill(resources: DataFrame, embeddings: DataFrame, backend: EmbeddingBackend, rebuild: bool = False, batch_size: int = 32, now: Column | None = None) -> Backfill:
+    """Changed documents are embedded, once, and written to the shared folder; the others' rows stay as they are, and those
+    of resources that are gone are left out."""
     if rebuild:
         embeddings = embeddings.limit(0)
     else:
-        ensure_model(embeddings, model)
-    new = embed(pending(resources, embeddings), backend, batch_size).select(
-        F.col("id").alias("resource_id"), "content_hash", "embedding", F.lit(model[0]).alias("model_name"), F.lit(model[1]).alias("model_revision"), F.lit(model[2]).alias("embedding_dimension")
-    )
-    kept = embeddings.join(new.select("resource_id"), "resource_id", "left_anti").join(resources.select(F.col("id").alias("resource_id")), "resource_id", "left_semi")
-    return kept.select(*new.columns).unionByName(new)
-
-
-def backfill_stats(resources: DataFrame, changed: DataFrame) -> DataFrame:
-    total = active(resources, "dataset").agg(F.count(F.lit(1)).alias("total"))
-    done = changed.agg(F.count(F.lit(1)).alias("embedded"))
-    return total.crossJoin(done).withColumn("skipped", F.col("total") - F.col("embedded"))  # one row each
+        ensure_model(embeddings, (backend.name, backend.revision, backend.dimension))
+    found = embed(pending(resources, embeddings), backend, batch_size).drop("document")
+    path = stored.folder(resources.sparkSession)
+    found.write.parquet(path)
+    found = resources.sparkSession.read.schema(found.schema).parquet(path)
+    new = embedded_rows(found, backend, now)
+    if "embedded_at" not in embeddings.columns:
+        embeddings = embeddings.withColumn("embedded_at", F.lit(None).cast("timestamp"))
+    stay = embeddings.join(new.select("resource_id"), "resource_id", "left_anti").join(resources.select(F.col("id").alias("resource_id")), "resource_id", "left_semi")
+    return Backfill(stay.select(*new.columns).unionByName(new), found, active(resources, "dataset").agg(F.count(F.lit(1)).alias("total")))
+
+
+def backfill(resources: DataFrame, embeddings: DataFrame, backend: EmbeddingBackend, rebuild: bool = False, batch_size: int = 32) -> DataFrame:
+    return run_backfill(resources, embeddings, backend, rebuild, batch_size).table
 
 
 def signatures(vectors: DataFrame, dimension: int, bits: int = 4, tables: int = 24, seed: int = 7, column: str = "embedding") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 from tessera.operators.keyword import Index
 from tessera.plans import stored
+from tessera.sources import catalog
 
 #: Event types as sources of catalog rows.
 EVENT_SOURCES = {"click": "tag:classification", "view": "query:data science", "signup": "tag:nlp", "purchase": "query:forecasting", "error": "tag:regression"}
@@ -105,6 +110,46 @@ ROWS_SQL = r"""rows AS (
 valid AS (SELECT * FROM rows WHERE title <> '' AND NOT is_private)"""
 
 
+#: The page from which on earlier runs know a source's rows, by event type.
+KNOWN_FROM = "length(event_type) - 1"
+LISTED_SQL = f"""listed AS (SELECT CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_SOURCES.items())} END AS source, event_id, ts, event_id // {PAGE_SPAN} + 1 AS page, event_id % 11 > 0 AND event_id % 19 > 0 AS valid, {KNOWN_FROM} AS known_from FROM events)"""
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of list pages: a record each, its ref being its own."""
+    e = table(spark, sf_dir, "events")
+    source = F.create_map(*[F.lit(x) for kv in EVENT_SOURCES.items() for x in kv])[F.col("event_type")]
+    record = F.to_json(
+        F.struct(
+            F.concat(F.lit("e/"), F.col("event_id")).alias("ref"),
+            F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("event_type")).alias("title"),
+            F.array(F.substring_index(source, ":", -1)).alias("tags"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("lastUpdated"),
+            F.lit(1).alias("currentVersionNumber"),
+            (F.col("event_id") % 19 == 0).alias("isPrivate"),
+        )
+    )
+    return e.select(source.alias("source"), (F.floor(F.col("event_id") / PAGE_SPAN) + 1).cast("int").alias("page"), F.col("event_id").alias("position"), record.alias("record"), "ts", F.expr(KNOWN_FROM).alias("known_from"))
+
+
+def put_pages(rows: DataFrame, folder: str) -> None:
+    """Rows (source, page, position, record) as files of list pages, written by the tasks."""
+    where = catalog.located(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, home = FileSystem.from_uri(where)
+        for b in batches:
+            for source, page, records in zip(*(b.column(c).to_pylist() for c in ("source", "page", "records")), strict=True):
+                path = f"{home}/{catalog.folder_name(source, 'updated')}"
+                files.create_dir(path, recursive=True)
+                with files.open_output_stream(f"{path}/{page}.json") as f:  # a task that runs again writes the same
+                    f.write(f"[{','.join(r['record'] for r in records)}]".encode())
+            yield b.select(["page"])
+
+    one = rows.groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("position", "record"))).alias("records"))
+    one.mapInArrow(write, "page int").write.format("noop").mode("overwrite").save()
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as samples of acquisition methods."""
     e = table(spark, sf_dir, "events")

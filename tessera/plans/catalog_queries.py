@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import evaluation, fusion, inspection, keyword, profile, stats, sync, sync_run, vectors
 from tessera.plans import adapters as A
+from tessera.plans import stored
+from tessera.streaming import pages_stream
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -230,13 +232,17 @@ def sem_backfill_pending(spark, sf_dir):
     return vectors.pending(r, stored).select("id", "content_hash")
 
 
-@query(f"WITH {A.RESOURCES_SQL} SELECT id AS resource_id, sha256({_DOC}) AS content_hash, 64 AS dimension, 'hashing' AS model_name FROM resources WHERE status = 'active' AND resource_type = 'dataset'")
+@query(f"""WITH {A.RESOURCES_SQL}, r AS (SELECT id, status = 'active' AND resource_type = 'dataset' AS own, id % 3 > 0 AS stored, id % 2 = 0 AS current, sha256({_DOC}) AS h FROM resources)
+SELECT id AS resource_id, CASE WHEN own OR current THEN h ELSE 'stale' END AS content_hash, 64 AS dimension, 'hashing' AS model_name, stored AND (current OR NOT own) AS kept FROM r WHERE own OR stored""")
 def sem_backfill(spark, sf_dir):
-    """The table of embeddings after a backfill of active datasets."""
+    """The table of embeddings after a backfill of active datasets: a third was never embedded, half of the rest has
+    changed, and what is stored of other resources stays."""
     r = A.resources(spark, sf_dir)
-    empty = spark.createDataFrame([], "resource_id long, content_hash string, embedding array<float>, model_name string, model_revision string, embedding_dimension int")
-    out = vectors.backfill(r, empty, vectors.HashingBackend(64))
-    return out.select("resource_id", "content_hash", F.size("embedding").alias("dimension"), "model_name")
+    doc = T.semantic_document(F.col("title"), F.col("subtitle"), F.col("tags"), F.col("description"))
+    model = [F.lit("hashing").alias("model_name"), F.lit("1").alias("model_revision"), F.lit(64).alias("embedding_dimension")]
+    before = r.where("id % 3 > 0").select(F.col("id").alias("resource_id"), F.when(F.col("id") % 2 == 0, T.content_hash(doc)).otherwise("stale").alias("content_hash"), F.array_repeat(F.lit(0.0).cast("float"), 64).alias("embedding"), *model)
+    out = vectors.backfill(r, before, vectors.HashingBackend(64))
+    return out.select("resource_id", "content_hash", F.size("embedding").alias("dimension"), "model_name", F.col("embedded_at").isNull().alias("kept"))
 
 
 @query("SELECT DISTINCT 'm' || CAST(label % 3 AS VARCHAR) AS model_name, '1' AS model_revision, 64 AS embedding_dimension FROM embeddings WHERE label % 3 <> 0")
@@ -446,6 +452,23 @@ def sync_passes(spark, sf_dir):
     return out.select("source", "last_page", "stop_reason", "status", F.col("watermark").cast("string").alias("watermark"))
 
 
+@query(f"""WITH {A.LISTED_SQL}, marks AS (SELECT source, max(ts) AS watermark FROM listed GROUP BY source),
+facts AS (SELECT source, page, count(*) AS n, max(CASE WHEN valid THEN ts END) AS newest, bool_and(page >= known_from) AND count_if(valid) > 0 AS stale FROM listed GROUP BY source, page),
+seen AS (SELECT *, stale AND coalesce(lag(stale) OVER w, false) AS twice, max(newest) OVER (PARTITION BY source ORDER BY page ROWS UNBOUNDED PRECEDING) AS observed FROM facts WINDOW w AS (PARTITION BY source ORDER BY page)),
+ends AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page) AS k FROM (SELECT *, CASE WHEN n < 20 THEN 'short_page' WHEN twice THEN 'two_stale_pages' END AS stop_reason FROM seen) WHERE stop_reason IS NOT NULL)
+SELECT source, CAST(page AS INTEGER) AS last_page, CAST(page AS BIGINT) AS pages_asked, stop_reason, 'complete' AS status, strftime(greatest(observed, watermark), '%Y-%m-%d %H:%M:%S') AS watermark FROM ends JOIN marks USING (source) WHERE k = 1""")
+def paged_passes(spark, sf_dir):
+    """How each pass ends whose pages are asked for one by one, and how many were asked for."""
+    rows = sync_run.kept(A.listed(spark, sf_dir))
+    folder = stored.folder(spark)
+    A.put_pages(rows, folder)
+    known = rows.where("page >= known_from").select(F.get_json_object("record", "$.ref").alias("ref"), F.col("ts").alias("last_updated"), F.lit(1).cast("long").alias("current_version_number"), F.lit(False).alias("detail_pending"))
+    marks = rows.groupBy("source").agg(F.max("ts").alias("watermark")).select("source", F.lit("updated").alias("sort"), F.lit("complete").alias("status"), "watermark")
+    pages = pages_stream.paged(spark, {"path": folder, "source": ",".join(A.EVENT_SOURCES.values())}, "incremental", known, marks)
+    asked = pages.groupBy("source").agg(F.count_distinct("page").alias("pages_asked"))
+    return pages_stream.stops(pages).join(asked, "source").select("source", "last_page", "pages_asked", "stop_reason", "status", F.date_format("watermark", "yyyy-MM-dd HH:mm:ss").alias("watermark"))
+
+
 @query(_sql_fold(_ACCEPTED, "JOIN (SELECT ref, string_agg(DISTINCT source, '|' ORDER BY source) AS hit_sources FROM accepted GROUP BY ref) USING (ref)", "ref, title, current_version_number AS version, hit_sources"))
 def plan_sync_candidates(spark, sf_dir):
     """What a whole incremental run would write: the merged record of each candidate, and where it was found."""

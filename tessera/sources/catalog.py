@@ -181,7 +181,9 @@ class Asked(InputPartition):
 
 
 def passes_of(options: dict) -> list[tuple[str, str]]:
-    return [(s, sort) for s in select_sources(options.get("source")) for sort in sorts_of(options.get("mode", "incremental"))]
+    """Each source that the option names (several with commas between; all, if none) with each sort of the mode."""
+    named = options["source"].split(",") if options.get("source") else [None]
+    return [(s, sort) for key in named for s in select_sources(key) for sort in sorts_of(options.get("mode", "incremental"))]
 
 
 def read_pages(options: dict, asked: Asked) -> Iterator[tuple]:

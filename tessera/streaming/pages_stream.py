@@ -115,14 +115,13 @@ def paged(spark: SparkSession, options: dict, mode: str, states: DataFrame, chec
     """The pages of one run, asked for until every pass has ended: PAGE_SCHEMA with last_page, stop_reason, status,
     watermark, retryable (on the rows of a page that ends its pass, else null) and stale.
 
-    options say where pages are (path, or url and token) and which source (all, if none). checkpoints are those of
+    options say where pages are (path, or url and token) and which sources (all, if none). checkpoints are those of
     earlier runs, whose watermarks an incremental run goes by. work is the run's folder: with that of a run that broke off,
     the run goes on after the last page that was judged."""
-    sorts = sync.sorts_of(mode)
     work = (work or stored.folder(spark)).rstrip("/")
     spark.dataSource.register(catalog.CatalogPages)
     pages = spark.readStream.format("catalog_pages").options(**options, mode=mode, judged=f"{work}/judged").load()
-    passes = [(source, sort) for source in sync.select_sources(options.get("source")) for sort in sorts]
+    passes = catalog.passes_of(options | {"mode": mode})
     marks = sync.latest_watermarks(checkpoints).select("source", "sort", _micros("watermark").alias("prior")) if mode == "incremental" else None
     begin = spark.createDataFrame(passes, "source string, sort string")
     begin = begin.withColumn("prior", F.lit(None).cast("bigint")) if marks is None else begin.join(marks, ["source", "sort"], "left")

