@@ -147,12 +147,6 @@ def updated_states(states: DataFrame, ready: DataFrame) -> DataFrame:
     return states.join(new.select("ref"), "ref", "left_anti").select(*new.columns).unionByName(new)
 
 
-def updated_resources(resources: DataFrame, ready: DataFrame, now: Column) -> DataFrame:
-    data = [f.name for f in ready.schema["merged"].dataType.fields]
-    updates = ready.select(F.lit(SOURCE).alias("source"), F.col("ref").alias("source_id"), *[F.col(f"merged.{c}").alias(c) for c in data])
-    return sync.upsert_resources(resources, updates, now)
-
-
 def updated_checkpoints(checkpoints: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Those of new keys are added; of known ones all is written over but when they began."""
     c, n = checkpoints.alias("c"), new.withColumn("_hit", F.lit(True)).alias("n")
@@ -183,24 +177,33 @@ def version_states(states: DataFrame, refs: list[str] | DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables of a sync in a folder, as snapshots: resources, states, checkpoints."""
+    """The tables of a sync in a folder: resources, states, checkpoints. A run rewrites the buckets of its own keys only,
+    and the last versions stay readable."""
 
-    SCHEMAS = {"resources": RESOURCE, "states": STATE, "checkpoints": CHECKPOINT}
+    NAMES = ("resources", "states", "checkpoints")
 
-    def __init__(self, spark: SparkSession, path: str):
-        from tessera.streaming.sync_stream import Snapshots
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        from tessera.sources.catalog_tables import catalog_table
 
-        self.tables = {name: Snapshots(spark, f"{path.rstrip('/')}/{name}", schema) for name, schema in self.SCHEMAS.items()}
+        self.tables = {name: catalog_table(spark, path, name) for name in self.NAMES}
+        self.keep = keep
 
     def read(self, name: str) -> DataFrame:
         return self.tables[name].read()
 
+    def dataset(self, source_id: str) -> dict:
+        """The active data set of a source id; LookupError if there is none."""
+        row = self.tables["resources"].get(SOURCE, source_id)
+        if row["status"] != "active" or row["resource_type"] != "dataset":
+            raise LookupError(f"{source_id} is no active dataset")
+        return row
+
     def write(self, done: Run, now: Column) -> None:
-        """Data first, and then what vouches for it."""
-        new = {
-            "resources": updated_resources(self.read("resources"), done.ready, now),
-            "states": updated_states(self.read("states"), done.ready),
-            "checkpoints": updated_checkpoints(self.read("checkpoints"), done.checkpoints, now),
-        }
-        for name, table in new.items():
-            self.tables[name].write(table.select(*self.read(name).columns), self.tables[name].latest() + 1)
+        """Data first, and then what vouches for it. What breaks a constraint fails the write of its table."""
+        data = [f.name for f in done.ready.schema["merged"].dataType.fields]
+        found = done.ready.select(F.lit(SOURCE).alias("source"), F.col("ref").alias("source_id"), *[F.col(f"merged.{c}").alias(c) for c in data])
+        self.tables["resources"].upsert(found, lambda old, new: sync.upsert_resources(old, new, now), tag=done.run_id)
+        self.tables["states"].upsert(done.ready, updated_states, tag=done.run_id)
+        self.tables["checkpoints"].upsert(done.checkpoints, lambda old, new: updated_checkpoints(old, new, now), tag=done.run_id)
+        for table in self.tables.values():
+            table.expire(self.keep)

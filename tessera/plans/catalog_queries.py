@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import evaluation, fusion, inspection, keyword, profile, stats, sync, sync_run, vectors
 from tessera.plans import adapters as A
 from tessera.plans import stored
+from tessera.sources import bucketed
 from tessera.streaming import pages_stream
 
 _QUERIES: dict = {}
@@ -415,14 +416,51 @@ def checkpoint_upsert(spark, sf_dir):
 SELECT coalesce(t.source_id, u.source_id) AS source_id, CASE WHEN u.doc_id IS NULL THEN t.title ELSE u.title END AS title, CASE WHEN u.doc_id IS NULL THEN 'deleted' ELSE 'active' END AS status, t.doc_id IS NOT NULL AS kept_id, 'dataset' AS resource_type,
 CASE WHEN t.doc_id IS NULL THEN 'now' ELSE 'then' END AS indexed_at, CASE WHEN u.doc_id IS NULL THEN 'then' ELSE 'now' END AS last_synced_at FROM t FULL JOIN u ON t.source_id = u.source_id""")
 def resource_upsert(spark, sf_dir):
-    """Resources after an update: overwritten, added, or left alone."""
+    """Resources after an update of a bucketed table: overwritten, added, or left alone."""
     d = A.table(spark, sf_dir, "documents")
     key = F.col("doc_id").cast("string").alias("source_id")
     then, now = F.lit("then"), F.lit("now")
     target = d.where("doc_id % 2 = 0").select(F.concat(F.lit("id"), F.col("doc_id")).alias("id"), F.lit("cat").alias("source"), key, F.lit("dataset").alias("resource_type"), F.col("source").alias("title"), F.lit("deleted").alias("status"), then.alias("indexed_at"), then.alias("last_synced_at"))
     updates = d.where("doc_id % 3 = 0").select(F.lit("cat").alias("source"), key, F.col("lang").alias("title"))
-    out = sync.upsert_resources(target, updates, now)
-    return out.select("source_id", "title", "status", F.col("id").startswith("id").alias("kept_id"), "resource_type", "indexed_at", "last_synced_at")
+    schema = ", ".join(f"{name} {kind}" for name, kind in target.dtypes)
+    table = bucketed.BucketTable(spark, stored.folder(spark), schema, ["source", "source_id"], {"status_known": "status IN ('active', 'unavailable', 'deleted')"}, ("id", "title"))
+    table.replace(target)
+    table.upsert(updates, lambda old, new: sync.upsert_resources(old, new, now))
+    return table.read().select("source_id", "title", "status", F.col("id").startswith("id").alias("kept_id"), "resource_type", "indexed_at", "last_synced_at")
+
+
+@query("""WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id - 1 ELSE doc_id END AS key, lang AS resource_type, text IS NOT NULL AND split_part(text, chr(10), 1) <> '' AS titled, doc_id % 5 < 4 AS known FROM documents),
+b AS (SELECT key, unnest(list_filter([CASE WHEN NOT known THEN 'status_known' END, CASE WHEN NOT titled THEN 'title_not_null' END, CASE WHEN resource_type NOT IN ('en', 'fr') THEN 'resource_type_known' END, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY doc_id) > 1 THEN 'id_unique' END], lambda x: x IS NOT NULL)) AS name FROM r)
+SELECT name AS broken, count(*) AS rows, CAST(sum(key) AS BIGINT) AS keys FROM b GROUP BY name""")
+def constraint_violations(spark, sf_dir):
+    """Rows that a write sets aside, by the constraint that they break."""
+    d = A.table(spark, sf_dir, "documents")
+    key = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    title = F.nullif(F.substring_index("text", "\n", 1), F.lit(""))
+    rows = d.select(key.alias("id"), F.col("lang").alias("resource_type"), title.alias("title"), F.when(F.col("doc_id") % 5 < 4, "active").otherwise("gone").alias("status"))
+    known = {"resource_type_known": "resource_type IN ('en', 'fr')", "status_known": "status IN ('active', 'deleted')"}
+    table = bucketed.BucketTable(spark, stored.folder(spark), "id long, resource_type string, title string, status string", ["id"], known, ("title",))
+    table.replace(rows, rejects=True)
+    broken = table.rejects().select("id", F.explode("_broken").alias("broken"))
+    return broken.groupBy("broken").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("keys"))
+
+
+@query("""WITH d AS (SELECT user_id % 500 AS k, event_id % 4 AS step, event_id, value FROM events), last AS (SELECT step AS version, k, max_by(value, event_id) AS v FROM d GROUP BY ALL),
+v AS (SELECT version FROM range(4) t(version)), held AS (SELECT v.version, l.k, max_by(l.v, l.version) AS v FROM v JOIN last AS l ON l.version <= v.version GROUP BY ALL)
+SELECT CAST(version AS INTEGER) AS version, count(*) AS rows, CAST(round(sum(v), 2) AS DOUBLE) AS total FROM held WHERE version >= 2 GROUP BY version""")
+def table_versions(spark, sf_dir):
+    """What each version of a table holds that is updated four times, once the older ones have expired."""
+    e = A.table(spark, sf_dir, "events").select((F.col("user_id") % 500).alias("k"), (F.col("event_id") % 4).alias("step"), "event_id", "value")
+    table = bucketed.BucketTable(spark, stored.folder(spark), "k long, v double", ["k"], required=("v",))
+    for step in range(4):
+        new = e.where(F.col("step") == step).groupBy("k").agg(F.max_by("value", "event_id").alias("v"))
+        table.upsert(new, lambda old, new: old.join(new.select("k"), "k", "left_anti").unionByName(new), tag=str(step))
+    table.expire(keep=2)
+    out = None
+    for version in table.versions():
+        one = table.read(version).agg(F.lit(version).cast("int").alias("version"), F.count(F.lit(1)).alias("rows"), F.round(F.sum("v"), 2).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH {A.ROWS_SQL}, f AS (SELECT ref, min(event_id) AS first FROM valid WHERE source = 'tag:nlp' GROUP BY ref) SELECT ref, first FROM f ORDER BY first LIMIT 40")

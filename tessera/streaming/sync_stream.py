@@ -1,5 +1,5 @@
-"""The sync of catalog rows as a stream: each micro-batch is folded into the stored records, data first and then the
-checkpoint, so that a batch that is run again changes nothing."""
+"""The sync of catalog rows as a stream: each micro-batch is folded into the stored records of its own buckets, in a new
+version of the table that is named by the batch, so that a batch that is run again changes nothing."""
 
 from __future__ import annotations
 
@@ -7,46 +7,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import sync
+from tessera.sources.bucketed import BucketTable
 
 
-class Snapshots:
-    """A table as numbered snapshots in a folder; the number that a batch wrote is its commit."""
+def records_table(spark: SparkSession, path: str, fields: list[tuple[str, str]], buckets: int = 64) -> BucketTable:
+    """ref and record, a struct of the fields."""
+    return BucketTable(spark, path, f"ref string, record struct<{','.join(f'{n}:{kind}' for n, kind in fields)}>", ["ref"], required=("ref", "record"), buckets=buckets)
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _folder(self):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
-
-    def latest(self) -> int:
-        fs, where = self._folder()
-        if not fs.exists(where):
-            return -1
-        names = [f.getPath().getName() for f in fs.listStatus(where)]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(where.suffix(f"/{n}/_SUCCESS"))]
-        return max(done, default=-1)
-
-    def read(self) -> DataFrame:
-        k = self.latest()
-        return self.spark.createDataFrame([], self.schema) if k < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/v={k}")
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-
-
-def sync_stream(rows: DataFrame, target: Snapshots, checkpoint: str, fields: list[tuple[str, str]], once: bool = True):
-    """A query that folds accepted rows of a stream into target (ref, record); late rows are never dropped, the merge
-    decides. rows have ref, seq and the fields."""
+def sync_stream(rows: DataFrame, target: BucketTable, checkpoint: str, fields: list[tuple[str, str]], once: bool = True, keep: int = 3):
+    """A query that folds accepted rows of a stream into target (records_table); late rows are never dropped, the merge
+    decides. rows have ref, seq and the fields. The last versions of target stay readable."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        if number <= target.latest():
-            return  # done before a restart
-        stored = target.read().select("ref", F.lit(0).alias("_k"), F.lit(None).cast(batch.schema["seq"].dataType).alias("seq"), *[F.col(f"record.{n}").alias(n) for n, _ in fields])
-        fresh = batch.where(sync.valid_record()).select("ref", F.lit(1).alias("_k"), "seq", *[n for n, _ in fields])
-        ordered = stored.unionByName(fresh).withColumn("_order", F.struct("_k", "seq"))
-        target.write(sync.fold(ordered, "ref", "_order", fields).select("ref", "record"), number)
+        done = target.manifest().tag
+        if done is not None and number <= int(done):
+            return  # before a restart
+
+        def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+            stored = old.select("ref", F.lit(0).alias("_k"), F.lit(None).cast(batch.schema["seq"].dataType).alias("seq"), *[F.col(f"record.{n}").alias(n) for n, _ in fields])
+            ordered = stored.unionByName(new).withColumn("_order", F.struct("_k", "seq"))
+            return sync.fold(ordered, "ref", "_order", fields).select("ref", "record")
+
+        fresh = batch.where(sync.valid_record()).select("ref", F.lit(1).alias("_k"), "seq", *[n for n, _ in fields]).persist()
+        try:
+            target.upsert(fresh, merged, tag=str(number))
+        finally:
+            fresh.unpersist()
+        target.expire(keep)
 
     writer = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

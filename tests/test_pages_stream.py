@@ -94,7 +94,7 @@ def test_incremental_ends_at_two_stale_pages(spark, quick):
 
 def test_passes_end_by_themselves_and_as_over_the_whole_table(spark, quick):
     """Each source ends in its own way; the state agrees with the windows over the asked pages."""
-    sources = sync.select_sources(None)[::3]
+    sources = sync.select_sources(None)[:6]
     how = {s: k % 5 for k, s in enumerate(sources)}
 
     def page_of(source, sort, page):

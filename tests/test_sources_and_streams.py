@@ -7,7 +7,7 @@ import pytest
 
 from tessera import cli
 from tessera.sources import catalog
-from tessera.streaming.sync_stream import Snapshots, sync_stream
+from tessera.streaming.sync_stream import records_table, sync_stream
 
 
 def test_pages(spark, tmp_path):
@@ -78,16 +78,17 @@ def test_stream_folds_late_rows(spark, tmp_path):
     def put(name, rows):
         spark.createDataFrame(rows, ROW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
-    target = Snapshots(spark, str(tmp_path / "out"), "ref string, record struct<title:string,url:string,last_updated:bigint>")
+    target = records_table(spark, str(tmp_path / "out"), FIELDS)
     for rows in ([("a", 1, "old", "u", 5, False), ("b", 2, "B", "u", 1, False)], [("a", 3, "late", "u2", 4, False), ("c", 4, "", "u", 1, False)], [("a", 5, "new", "u", 6, False)]):
         put("x", rows)
         stream = spark.readStream.schema(ROW).parquet(str(tmp_path / "in"))
         sync_stream(stream, target, str(tmp_path / "state"), FIELDS).awaitTermination()
     got = {r.ref: tuple(r.record) for r in target.read().collect()}
     assert got == {"a": ("new", "u", 6), "b": ("B", "u", 1)}
-    again = target.latest()
+    again = target.versions()
+    assert len(again) == 3
     sync_stream(spark.readStream.schema(ROW).parquet(str(tmp_path / "in")), target, str(tmp_path / "state"), FIELDS).awaitTermination()
-    assert target.latest() == again
+    assert target.versions() == again
 
 
 def test_cli(spark, tmp_path, capsys):

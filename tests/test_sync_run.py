@@ -64,6 +64,10 @@ def test_run(spark, tmp_path):
     assert states["o/r19"].detail_pending and states["o/r19"].detail_error.startswith("FileNotFoundError") and not states["o/r0"].detail_pending
     (mark,) = store.read("checkpoints").collect()
     assert (mark.status, mark.stop_reason, mark.last_successful_page, mark.watermark) == ("complete", "short_page", 2, datetime(2024, 1, 9))
+    assert store.dataset("o/r0")["title"] == "newer"
+    for gone in ("o/none", ""):
+        with pytest.raises(LookupError):
+            store.dataset(gone)
     # the next run asks again for what is pending only, and changes no row
     told, totals = once(spark, pages, store, str(tmp_path), run_id="r2", now="2024-06-01")
     assert totals == (20, 20, 1, 1) and store.read("resources").count() == 20 and store.read("checkpoints").count() == 2
