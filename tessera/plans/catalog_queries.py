@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, fusion, inspection, keyword, profile, stats, sync, sync_run, vectors
+from tessera.operators import evaluation, fusion, graph_index, inspection, keyword, profile, stats, sync, sync_run, vectors
 from tessera.plans import adapters as A
 from tessera.plans import stored
 from tessera.sources import bucketed
@@ -180,6 +180,22 @@ f AS (SELECT query_id, id, keyword_rank, semantic_rank, coalesce(1.0::DOUBLE / (
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, least(keyword_rank, semantic_rank), CAST(id AS VARCHAR)) AS place FROM f)"""
 
 
+@query("""SELECT count(*) FILTER (WHERE vec_id % 100 = 0) AS queries, count(*) AS indexed, 10 * count(*) FILTER (WHERE vec_id % 100 = 0) AS returned, true AS found_most, true AS looked_at_few FROM embeddings""")
+def ann_graph(spark, sf_dir):
+    """How a stated query set fares in the graphs of all vectors: nine tenths of the nearest ten are found, and at most a
+    tenth of the vectors is looked at, or 160 where a tenth is less."""
+    v = A.vectors(spark, sf_dir)
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = graph_index.GraphIndex.of(v)
+    got = sync_run.kept(index.top_k(asked, 10))
+    exact = vectors.semantic_top_k(v, asked, 10).select("query_id", "id")
+    both = got.join(exact, ["query_id", "id"]).agg(F.count(F.lit(1)).alias("both"))
+    looked = got.groupBy("query_id").agg(F.first("looked").alias("looked")).agg(F.avg("looked").alias("looked"))
+    sizes = index.rows.agg(F.count(F.lit(1)).alias("indexed"), F.count_if(F.col("id") % 100 == 0).alias("queries"))
+    out = sizes.crossJoin(both).crossJoin(looked).crossJoin(got.agg(F.count(F.lit(1)).alias("returned")))  # one row each
+    return out.select("queries", "indexed", "returned", (F.col("both") >= 0.9 * F.col("returned")).alias("found_most"), (F.col("looked") <= F.greatest(0.1 * F.col("indexed"), F.lit(160))).alias("looked_at_few"))
+
+
 def _fused(spark, sf_dir):
     kw = _any(spark, sf_dir, 20).withColumnRenamed("score", "keyword_score")
     v = A.vectors(spark, sf_dir)
