@@ -61,10 +61,9 @@ def indexed(spark: SparkSession, sf_dir: str) -> Index:
     return stored.once(spark, ("index", sf_dir), [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"], lambda path: Index.of(resources(spark, sf_dir)).stored(path), lambda path: Index.read(spark, path))
 
 
-def query_words(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[str]]]:
-    """All words of each benchmark item, which serve as a set of queries: a request, stated on the driver."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("w"))
-    return [(r.item_id, list(r.w)) for r in rows.collect() if r.w]
+def query_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and query, all words of each benchmark item, which serve as a set of queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("query")).where("size(query) > 0")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

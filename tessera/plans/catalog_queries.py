@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, fusion, graph_index, inspection, keyword, profile, stats, sync, sync_run, vectors
+from tessera.operators import evaluation, fusion, graph_index, inspection, keyword, profile, segments, stats, sync, sync_run, vectors
 from tessera.plans import adapters as A
 from tessera.plans import stored
 from tessera.sources import bucketed
@@ -45,8 +45,8 @@ _PAIRS = "pairs AS (SELECT query_id, k, w[2 * k - 1] AS a, w[2 * k] AS b FROM (S
 
 def _words(spark, sf_dir, distinct=True) -> DataFrame:
     """query_id, lexeme and at, the first place of each word of each query; distinct or not."""
-    rows = [(i, x, at) for i, w in A.query_words(spark, sf_dir) for at, x in enumerate(w) if not distinct or w.index(x) == at]
-    return spark.createDataFrame(rows, "query_id long, lexeme string, at int")
+    every = A.query_words(spark, sf_dir).select("query_id", F.posexplode("query").alias("at", "lexeme")).select("query_id", "lexeme", "at")
+    return every.groupBy("query_id", "lexeme").agg(F.min("at").alias("at")) if distinct else every
 
 
 def _any(spark, sf_dir, k, resource_type=None) -> DataFrame:
@@ -55,7 +55,7 @@ def _any(spark, sf_dir, k, resource_type=None) -> DataFrame:
 
 
 def _hits(spark, sf_dir, form, rank="weights") -> DataFrame:
-    terms = keyword.query_terms(spark, [(i, form(w)) for i, w in A.query_words(spark, sf_dir)])
+    terms = keyword.table_terms(A.query_words(spark, sf_dir), lambda w: form(list(w)))
     return keyword.matches(A.indexed(spark, sf_dir), terms, rank).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -70,6 +70,29 @@ def kw_search(spark, sf_dir):
     return _any(spark, sf_dir, 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH {A.RESOURCES_SQL}, old AS (SELECT id FROM resources WHERE id % 5 > 0), new AS (SELECT id, title FROM resources WHERE id % 11 > 0)
+SELECT coalesce(old.id, new.id) AS id, CASE WHEN old.id IS NULL THEN 'inserted' WHEN new.id IS NULL THEN 'gone' ELSE 'updated' END AS change FROM old FULL JOIN new ON old.id = new.id
+WHERE old.id IS NULL OR new.id IS NULL OR (new.id % 7 = 1 AND new.title IS DISTINCT FROM 'old title')""")
+def change_feed(spark, sf_dir):
+    """What has become of resources between two snapshots."""
+    return segments.change_feed(segments.snapshot(_before(A.resources(spark, sf_dir))), segments.snapshot(A.resources(spark, sf_dir).where("id % 11 > 0")))
+
+
+def _before(r: DataFrame) -> DataFrame:
+    return r.where("id % 5 > 0").withColumn("title", F.when(F.col("id") % 7 == 1, "old title").otherwise(F.col("title")))
+
+
+@query(f"{_KW}, h AS ({_ANY}) SELECT query_id, id, round(s, 6) AS score, rank FROM (SELECT *, {_RANKED} AS rank FROM h) WHERE rank <= 10")
+def kw_search_blocks(spark, sf_dir):
+    """The ten best resources for any of the words of each query, from segments that a change feed has refreshed: a fifth of
+    the resources is new, and of the rest a seventh has another title. Blocks that hold none of the ten are not read."""
+    r = A.resources(spark, sf_dir)
+    before = _before(r)
+    feed = sync_run.kept(segments.change_feed(segments.snapshot(before), segments.snapshot(r)))
+    index = segments.SegmentIndex.of(before).refreshed(feed, r)
+    return index.best_of_any(_words(spark, sf_dir), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""{_KW}, t AS (SELECT query_id, lexeme, count(*) AS k FROM (SELECT query_id, unnest(w) AS lexeme FROM q) GROUP BY ALL), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY query_id),
 h AS (SELECT query_id, id, lexeme, k, sum(weight) AS s FROM t JOIN posts USING (lexeme) WHERE status = 'active' GROUP BY ALL)
 SELECT query_id, id, round(sum(s * k), 6) AS score FROM h JOIN n USING (query_id) GROUP BY query_id, id, n HAVING count(*) = n""")
