@@ -1,9 +1,10 @@
 """Quality rules as weak supervision, in DataFrame operations only.
 
-Each rule votes good, votes bad or abstains on a document. Expectation-maximisation over the histogram of vote
-patterns (at most 3 to the number of rules, whatever the corpus) estimates how accurate each rule is on good and on bad
-documents, and on each kind of bad ones, and a document is kept if its posterior probability of being good is at least a
-threshold.
+Each rule votes good, votes bad or abstains on a document. Rules overlap: several look at one fault in different ways, so
+that votes can contradict one another. Expectation-maximisation over the histogram of vote patterns (at most 3 to the number
+of rules, whatever the corpus) estimates how often each rule votes which way on good and on bad documents, and a document is
+kept if its posterior probability of being good is at least a threshold. A rule that is often right counts for much, one that
+says the same of both classes for nothing, and an abstention for as much as it tells the classes apart.
 """
 
 from __future__ import annotations
@@ -58,6 +59,9 @@ def features(docs: DataFrame) -> DataFrame:
             "__q_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
             "__q_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
             "__q_shouts": F.regexp_count(text, F.lit("!")).cast("long"),
+            "__q_signs": F.regexp_count(text, F.lit(r"[^\p{L}\s]")).cast("long"),
+            "__q_wordless": F.regexp_count(text, F.lit(r"(?<!\S)[^\p{L}\s]+(?!\S)")).cast("long"),
+            "__q_stops": F.regexp_count(text, F.lit(r"[.!?](?=\s|$)")).cast("long"),
         }
     )
 
@@ -77,13 +81,16 @@ def _share(part: str, whole: str) -> Callable[[], Column]:
 
 
 RULES = (
-    # one rule: symbols per word and per character are one piece of evidence
-    Rule("symbols", lambda: F.greatest(5 * _share("__q_symbols", "__q_words.n_words")(), 33 * _share("__q_symbols", "__q_words.word_chars")()), 0.33, 1.0),
+    Rule("symbols_per_word", _share("__q_symbols", "__q_words.n_words"), 0.066, 0.2),
+    Rule("symbols_per_character", _share("__q_symbols", "__q_words.word_chars"), 0.01, 0.03),
+    Rule("signs", _share("__q_signs", "__q_words.word_chars"), 0.1, 0.25),
+    Rule("wordless", _share("__q_wordless", "__q_words.n_words"), 0.05, 0.2),
+    Rule("word_length", lambda: F.abs(F.col("__q_words.word_chars") / F.greatest(F.col("__q_words.n_words"), F.lit(1)) - 5.5), 1.25, 2.0),
+    Rule("sentences", lambda: 0.04 - _share("__q_stops", "__q_words.n_words")(), 0.0, 0.025),
     Rule("upper_case", _share("__q_upper", "__q_words.word_chars"), 0.1, 0.3),
     Rule("shouting", _share("__q_shouts", "__q_words.n_words"), 0.05, 0.2),
     Rule("repeated_words", _share("__q_words.n_repeat_words", "__q_words.n_words"), 0.05, 0.2),
     Rule("repeated_lines", _share("__q_lines.n_dup_lines", "__q_lines.n_lines"), 0.1, 0.4),
-    Rule("word_length", lambda: F.abs(F.col("__q_words.word_chars") / F.greatest(F.col("__q_words.n_words"), F.lit(1)) - 5.5), 2.5, 5.0),
 )
 
 
@@ -92,77 +99,61 @@ def vote(rule: Rule) -> Column:
     return F.when(value >= rule.bad, -1).when(value <= rule.good, 1).otherwise(0)
 
 
-#: Documents that each rate is estimated from besides those seen: so few that they do not draw estimates along.
-LITTLE = 0.01
+#: Documents of each class that estimates begin from besides those seen, and how their votes (bad, abstained, good) are
+#: spread: so few that they only say which class is which, and that nothing is impossible.
+LITTLE = 2.0
+PRIOR = {"good": (0.1, 0.3, 0.6), "bad": (0.4, 0.3, 0.3)}
 
 
 @dataclass(frozen=True)
 class Model:
-    """shares: of good documents, and of bad ones of each kind; right: for each rule, how often its votes are good on good
-    documents; alarm: for each rule, on how many good documents it votes bad; bad: for each kind and rule, how often its
-    votes are bad on documents of that kind, and for the kind's own rule, on how many of them it votes bad."""
-
-    shares: tuple[float, ...]
-    right: tuple[float, ...]
-    alarm: tuple[float, ...]
-    bad: tuple[tuple[float, ...], ...]
-
-    def kinds(self, votes: list[Column]) -> list[Column]:
-        """The odds of each kind of bad document against a good one, given the votes."""
-        out = []
-        for kind, (share, rates) in enumerate(zip(self.shares[1:], self.bad, strict=True)):
-            odds = F.lit(math.log(share / self.shares[0]))
-            for i, (v, good, alarm, bad) in enumerate(zip(votes, self.right, self.alarm, rates, strict=True)):
-                if i == kind:  # a kind is known by its own rule, which does not abstain on it
-                    odds = odds + F.when(v < 0, math.log(bad / alarm)).otherwise(math.log((1 - bad) / (1 - alarm)))
-                else:
-                    odds = odds + F.when(v > 0, math.log((1 - bad) / good)).when(v < 0, math.log(bad / (1 - good))).otherwise(0.0)
-            out.append(F.exp(odds))
-        return out
+    """share: of good documents; good and bad: for each rule, how often it votes (bad, abstains, good) on documents of the
+    class; rounds: how many it took."""
+
+    share: float
+    good: tuple[tuple[float, float, float], ...]
+    bad: tuple[tuple[float, float, float], ...]
+    rounds: int = 0
+
+    def weights(self) -> list[list[float]]:
+        """The evidence of each rule's votes (bad, abstained, good) for a good document, as log odds."""
+        return [[math.log(g / b) for g, b in zip(good, bad, strict=True)] for good, bad in zip(self.good, self.bad, strict=True)]
 
     def posterior(self, votes: list[Column]) -> Column:
         """The probability of being good."""
-        return 1 / reduce(add, self.kinds(votes), F.lit(1.0))
-
-
-def fit(patterns: DataFrame, n_rules: int, rounds: int = 100, tolerance: float = 1e-3) -> Model:
-    """patterns: __v0, __v1, ... and n, the documents with these votes.
-
-    Bad documents are of kinds, one for each rule: what fails one rule need not fail another, and votes are independent
-    within a kind only. At the start, documents with bad votes are held to be of these rules' kinds, nine times in ten.
-    Ends when no estimate moves by more than the tolerance, and warns if it has not by the last round."""
-    votes = [F.col(f"__v{i}") for i in range(n_rules)]
-    against = reduce(add, [F.when(v < 0, 1).otherwise(0) for v in votes])
-    suspect = [F.when(against > 0, F.when(v < 0, 0.9 / against).otherwise(0.0)).otherwise(0.05 / n_rules) for v in votes]
-    shares, model, moved = [F.when(against > 0, 0.1).otherwise(0.95), *suspect], None, 1.0
-    rate = lambda k, of, low, high: min(high, max(low, round((k + LITTLE) / (of + 2 * LITTLE), 9)))
-    for _ in range(rounds):
-        n = F.col("n")
-        held = patterns.withColumns({f"q{c}": n * share for c, share in enumerate(shares)})
-        sums = [F.sum(n)]
-        for c in range(n_rules + 1):
-            q = F.col(f"q{c}")
-            sums += [F.sum(q), *(F.sum(F.when(v < 0, q)) for v in votes), *(F.sum(F.when(v != 0, q)) for v in votes)]
-        row = [x or 0.0 for x in held.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-        if not row[0]:
-            return Model((0.5, *[0.5 / n_rules] * n_rules), (0.9,) * n_rules, (0.1,) * n_rules, ((0.9,) * n_rules,) * n_rules)
-        step = 2 * n_rules + 1
-        of = lambda c: row[1 + c * step : 1 + (c + 1) * step]  # noqa: B023, E731
-        parts = [max(of(c)[0], 1e-6 * row[0]) for c in range(n_rules + 1)]
-        told = [[(of(c)[1 + i], of(c)[1 + n_rules + i]) for i in range(n_rules)] for c in range(n_rules + 1)]
-        # a rule is mostly right on good documents, and on those of its own kind
-        right = tuple(1 - rate(bad, votes_, 0.001, 0.2) for bad, votes_ in told[0])
-        alarm = tuple(rate(bad, parts[0], 0.0005, 0.2) for bad, _ in told[0])
-        bad = tuple(tuple(rate(b, parts[c + 1], 0.9, 0.999) if i == c else rate(b, v, 0.001, 0.999) for i, (b, v) in enumerate(told[c + 1])) for c in range(n_rules))
-        new = Model(tuple(round(x / sum(parts), 9) for x in parts), right, alarm, bad)
-        flat = lambda m: [*m.shares, *m.right]  # noqa: E731  what kinds without documents are like doesn't matter
-        moved = 1.0 if model is None else max(abs(x - y) for x, y in zip(flat(new), flat(model), strict=True))
-        model = new
-        if moved < tolerance:
+        each = [F.when(v < 0, w[0]).when(v > 0, w[2]).otherwise(w[1]) for v, w in zip(votes, self.weights(), strict=True)]
+        return 1 / (1 + F.exp(-reduce(add, each, F.lit(math.log(self.share / (1 - self.share))))))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], float]], n_rules: int, rounds: int = 500, tolerance: float = 1e-7) -> Model:
+    """patterns: votes (-1, 0 or 1 of each rule) and how many documents have them: distinct, so 3 ** n_rules at most.
+
+    At the start a document is good by the share of its votes that say so. Votes are held to be independent within a class.
+    Rates are estimated freely: only a little prior keeps them off zero. Ends when no document's probability moves by more
+    than the tolerance, and warns if one still does after the last round."""
+    ways = [[v + 1 for v in votes] for votes, _ in patterns]
+    counts = [n for _, n in patterns]
+    probability = [(w.count(2) + 0.5) / (w.count(2) + w.count(0) + 1.0) for w in ways]
+    total, model, moved = sum(counts), None, 1.0
+    for k in range(1, rounds + 1):
+        rates = {}
+        for name in ("good", "bad"):
+            seen = [[LITTLE * p for p in PRIOR[name]] for _ in range(n_rules)]
+            for w, n, p in zip(ways, counts, probability, strict=True):
+                part = n * (p if name == "good" else 1 - p)
+                for own, way in zip(seen, w, strict=True):
+                    own[way] += part
+            rates[name] = tuple(tuple(x / sum(own) for x in own) for own in seen)
+        share = (sum(n * p for n, p in zip(counts, probability, strict=True)) + 1) / (total + 2)
+        model = Model(share, rates["good"], rates["bad"], k)
+        weights, base = model.weights(), math.log(share / (1 - share))
+        odds = [base + sum(own[way] for own, way in zip(weights, w, strict=True)) for w in ways]
+        new = [1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) for x in odds]
+        moved = max((abs(a - b) for a, b in zip(new, probability, strict=True)), default=0.0)
+        probability = new
+        if moved <= tolerance:
             return model
-        good = model.posterior(votes)
-        shares = [good, *(odds * good for odds in model.kinds(votes))]
-    warnings.warn(f"estimates still move by {moved:.2g} after {rounds} rounds", stacklevel=2)
+    warnings.warn(f"probabilities still move by {moved:.2g} after {rounds} rounds", stacklevel=2)
     return model
 
 
@@ -183,8 +174,8 @@ def judged(docs: DataFrame, threshold: float = 0.5, keep_text: bool = True) -> D
     # what fails the base is decided; the model is of the rest
     names = [f"__v{i}" for i in range(len(RULES))]
     counted = stored.where(~failed).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    patterns = docs.sparkSession.createDataFrame(counted.orderBy(*names).collect(), counted.schema).coalesce(1)  # 3 ** rules rows at most
-    model = fit(patterns, len(RULES))
+    # one job; a row for each pattern of votes, so 3 ** rules rows at most
+    model = fit([(tuple(r[c] for c in names), r["n"]) for r in counted.orderBy(*names).collect()], len(RULES))
     posterior = F.round(model.posterior([F.col(c) for c in names]), 6)
     judged_ = stored.withColumns({"base_failed": failed, "quality": posterior}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
     return judged_.select("row.*", *added)
