@@ -7,15 +7,17 @@ and none is its own; this holds across a corpus of any size without a table of w
 key can turn it back. A given name of the lists becomes another of its gender and script; any other word of a name keeps
 its length, its pattern of vowels and consonants, and its ending, which tells gender where the title doesn't.
 
-Within each document, what was found is checked for collisions: a name's surrogate that the document has as a word of its
-own, or that stands for another name already, gives way to the next in the permutation's orbit. ``collisions`` checks a
-corpus's replacements.
+The map is one for the whole corpus and never gives way within a document. Where a document has the surrogate of one of its
+names as a word of its own, that word is taken for a name too and gets its own surrogate, so that after the change the
+surrogate stands for one name only there. ``collisions`` checks a corpus's replacements.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 import unicodedata
+import warnings
 from collections.abc import Callable, Iterator
 from functools import cache, lru_cache
 from hashlib import blake2b
@@ -183,8 +185,9 @@ def email(key: Key, m) -> str:
         local = _accented(key, small)
     else:
         local = _same_case(local, _permuted(key, "local", small, [DIGITS if c in DIGITS else LOWER if c in LOWER else None for c in small]))
-    labels = domain.lower().split(".")
-    stay = 2 if re.search(r"(^|\.)example\.(com|net|org)$", domain.lower()) and len(labels) > 2 else 1
+    low = domain.lower() if len(domain.lower()) == len(domain) else domain
+    labels = low.split(".")
+    stay = 2 if re.search(r"(^|\.)example\.(com|net|org)$", low) and len(labels) > 2 else 1
     head = ".".join(labels[:-stay])
     head = _permuted(key, "domain", head, [DIGITS if c in DIGITS else LOWER if c in LOWER else None for c in head])
     return f"{local}@{_same_case(domain, '.'.join([head, *labels[-stay:]]))}"
@@ -277,14 +280,42 @@ def _like(text: str) -> Callable[[str], bool]:
 
 
 def hexadecimal(key: Key, m) -> str:
-    small = m[0].lower()
-    return _same_case(m[0], _permuted(key, "secret", small, _classes(small), _mixed_hex))
+    """Digits in one case are one number; in mixed case each letter keeps its case, and each digit stays one."""
+    text, small = m[0], m[0].lower()
+    if text not in (small, text.upper()):
+        return _permuted(key, "mixed", text, [next(a for a in (DIGITS, "abcdef", "ABCDEF") if c in a) for c in text])
+    return _same_case_all(text, _permuted(key, "secret", small, _classes(small), _mixed_hex))
+
+
+def _same_case_all(old: str, new: str) -> str:
+    return new.upper() if old == old.upper() else new
 
 
 def _mixed_hex(text: str) -> bool:
     return _is_hex(text) and re.search("[a-f]", text) is not None
 
 
+def token(key: Key, m) -> str:
+    """What tells the kind of token stays, and so do its dots, dashes and lengths."""
+    return m["fixed"] + _permuted(key, f"token{m['fixed']}", m["free"], _each(m["free"]))
+
+
+def private_key(key: Key, m) -> str:
+    """The lines around the key stay, and its line breaks and padding."""
+    return m["begin"] + _permuted(key, "private", m["body"], _each(m["body"])) + m["end"]
+
+
+def mac(key: Key, m) -> str:
+    small = m[0].lower()
+    if m[0] not in (small, m[0].upper()):
+        return _permuted(key, "mixed mac", m[0], [next((a for a in (DIGITS, "abcdef", "ABCDEF") if c in a), None) for c in m[0]])
+    return _same_case_all(m[0], _permuted(key, "mac", small, [HEX if c in HEX else None for c in small]))
+
+
+def _each(text: str) -> list[str | None]:
+    return [next((a for a in (DIGITS, LOWER, UPPER) if c in a), None) for c in text]
+
+
 def name(key: Key, m) -> str:
     """The title stays."""
     return m["before"] + "".join(new for _, new in _named(key, m["name"]))
@@ -325,16 +356,21 @@ _IPV6 = rf"(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{6}}{_IPV4}|(?!(?:[0-9a-f
 _SECRET_WORD = r"(?:password|passwd|pwd|secret(?!ar|i[ov]|e|ly)|token(?!i[sz]|ed)|api[_-]?key|access[_-]?key|auth(?!or(?!i[sz]ation)|ent(?!icat)))[\w-]*+"
 #: What is found, in order: of two that begin at one place, the earlier.
 DETECTORS: dict[str, tuple[str, Callable]] = {
-    "email": (r"(?<![\w.+-])\w[\w.%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", email),
+    "private_key": (r"(?P<begin>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?P<body>[A-Za-z0-9+/=\s]+)(?P<end>-----END [A-Z ]{0,20}PRIVATE KEY-----)", private_key),
+    "web_token": (r"(?<![\w-])(?P<fixed>eyJ)(?P<free>[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?![\w-])", token),
+    "api_token": (r"(?<![\w-])(?P<fixed>(?:sk|pk|rk|gh[opsu]|github_pat|glpat|xox[abprs])[-_])(?P<free>(?=[\w-]*\d)[\w-]{16,})(?![\w-])", token),
+    "url_password": (r"(?P<fixed>(?<![\w+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]+:)(?P<free>[^\s@/]+)(?=@)", token),
+    "email": (r"(?<![\w.+-])\w[\w.%+-]*@(?:[^\W_](?:[^\W_]|-(?=[^\W_]|-))*\.)+[A-Za-z]{2,}", email),
     "secret": (rf"(?i:(?P<lead>{_SECRET_WORD}[\"']?\s*[=:]\s*(?:(?:bearer|basic)\s+)?[\"']?)(?P<secret>[^\s\"',;]{{6,}}))", secret),
     "cloud_key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![A-Za-z0-9])", cloud_key),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     "hexadecimal": (r"(?<![A-Za-z0-9])(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,}(?![A-Za-z0-9])", hexadecimal),
     "ipv6": (rf"(?<![\w:]){_IPV6}(?![\w:]|\.\d)", ipv6),
     "ipv4": (rf"(?<!\d)(?<!\d\.){_IPV4}(?!\d|\.\d)", ipv4),
+    "mac": (r"(?<![\w:-])[0-9a-fA-F]{2}(?:(?P<dash>[:-])[0-9a-fA-F]{2})(?:(?P=dash)[0-9a-fA-F]{2}){4}(?![\w:-])", mac),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
     "card": (r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
-    "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?i:phone|tel|telephone|mobile|cell|fax|call|text|whatsapp)(?:[ ](?i:no|number|me|us|at|on|is))*[.:]?[ ]?\d{7,15})(?![\w])", phone),
+    "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<!\d[ ./,-])(?:\d{3} \d{3} \d{4}|0[1-9]\d{1,3}[ /]\d{5,8})(?![ ./,-]?\d)|(?i:phone|tel|telephone|mobile|cell|fax|call|text|whatsapp)(?:[ ](?i:no|number|me|us|at|on|is))*[.:]?[ ]?\d{7,15})(?![\w])", phone),
     "name": (rf"(?P<before>(?<!\w)(?P<title>{'|'.join(TITLES)})\.?\s+)(?P<name>\p{{Lu}}[\p{{L}}'’]+(?:[ -]\p{{Lu}}[\p{{L}}'’]+){{0,2}})", name),
     "person": (rf"(?P<person>(?<![\w'’-])(?P<given>(?=\p{{Lu}})\L<given>)(?:[ -]\p{{Lu}}[\p{{L}}'’]+|[ ]\p{{Lu}}\.(?=[ ]\p{{Lu}}\p{{Ll}})){{1,3}}(?!\w))", person),
 }
@@ -354,6 +390,10 @@ def _possible(text: str) -> tuple[str, ...]:
     digit = _DIGIT.search(text) is not None
     holds = {
         "email": "@" in text,
+        "private_key": "PRIVATE KEY" in text,
+        "web_token": "eyJ" in text,
+        "api_token": digit and any(t in text for t in ("sk", "pk", "rk", "gh", "glpat", "xox")),
+        "url_password": "://" in text and "@" in text,
         "secret": ("=" in text or ":" in text) and any(w in low for w in ("passw", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "auth")),
         "cloud_key": "AKIA" in text or "ASIA" in text,
         "ipv6": "::" in text or text.count(":") > 5,
@@ -388,14 +428,18 @@ def replaced(text: str, key: bytes, step: int = 1) -> tuple[str, list[tuple[str,
         found.append((kind, m[0], new))
         at = m.end()
     pieces.append(text[at:])
-    again = [w for w in known if len(w) > 1 and not w.endswith(".")]
+    again = {w.casefold(): w for w in known if len(w) > 1 and not w.endswith(".")}
     if again:
-        # the same words elsewhere, alone and without a title: "Weber left"
-        pattern = regex.compile(r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(regex.escape, sorted(again, key=len, reverse=True))) + r")(?![\p{L}\p{N}_])")
+        # the same words elsewhere, alone, without a title and in any case: "Weber left", "WEBER"
+        pattern = regex.compile(r"(?<![\p{L}\p{N}_])(?:" + "|".join(map(regex.escape, sorted(again, key=len, reverse=True))) + r")(?![\p{L}\p{N}_])", regex.IGNORECASE)
 
         def mention(m) -> str:
-            found.append(("mention", m[0], known[m[0]]))
-            return known[m[0]]
+            w = again.get(m[0].casefold())
+            if w is None:
+                return m[0]
+            new = known.get(m[0]) or _in_case_of(m[0], known[w])
+            found.append(("mention", m[0], new))
+            return new
 
         pieces[::2] = [pattern.sub(mention, p) for p in pieces[::2]]
     return "".join(pieces), found
@@ -405,25 +449,27 @@ NAMES = ("name", "person")
 
 
 def _words_of_names(key: Key, text: str, matches: list) -> dict[str, str]:
-    """The words of the document's names with their surrogates, checked for collisions: none is a word that the document
-    has besides its names, or stands for two of them. What would collide gives way to the next in its orbit."""
+    """The words of the document's names with their surrogates. A word that the document has besides, and that is the
+    surrogate of one of them, is one of them too: it would stand for two else."""
     named = (parts.get("name") or parts.get("person") for parts in (m.groupdict() for m in matches))
-    words = list(dict.fromkeys(w for text_ in named for w in _BETWEEN.split(text_)[::2] if w))
-    if not words:
-        return {}
-    own = set(_WORD.findall(text)).difference(*([w, *_WORD.findall(w)] for w in words))
-    taken: dict[str, str] = {}
-    out = {}
-    for w in words:
-        new = first = name_word(key, w)
-        while len(w) > 2 and (new in own or taken.get(new, w) != w):
-            new = name_word(key, new)
-            if new == first:
-                break  # the whole orbit is in use
-        taken[new], out[w] = w, new
+    out = {w: name_word(key, w) for text_ in named for w in _BETWEEN.split(text_)[::2] if w}
+    if not out:
+        return out
+    own, forth = set(_WORD.findall(text)), Key(key.value)
+    todo = [*out]
+    while todo:
+        follows = name_word(forth, todo.pop())  # which way this is turned, a surrogate follows its name
+        if follows in own and follows not in out and len(follows) > 1:
+            out[follows] = name_word(key, follows)
+            todo.append(follows)
     return out
 
 
+def _in_case_of(word: str, new: str) -> str:
+    """new in capitals or small letters, as word is."""
+    return new.upper() if word.isupper() else new.lower() if word.islower() else new[:1].upper() + new[1:].lower() if word.istitle() else new
+
+
 def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """docs, all columns as they came, with surrogates in text, and n_entities (which replaces a column of docs by this
     name). A null text stays null and an empty one empty. Repeated rows are changed alike. An empty table gives no rows."""
@@ -459,23 +505,31 @@ def entities(docs: DataFrame, key: bytes) -> DataFrame:
 
 def collisions(found: DataFrame) -> DataFrame:
     """Of entities(): kinds and surrogates that stand for several entities, or entities with several surrogates; none
-    if distinctness and coreference hold. A mention has the surrogate of the name that it repeats in its document, with that
-    one's gender, so it may have several. Entities that differ only in how they are divided or in case are one."""
+    if distinctness and coreference hold. Entities that differ only in how they are divided or in case are one."""
     divided = F.col("kind").isin("phone", "card", "iban")
     plain = lambda c: F.lower(F.when(divided, F.regexp_replace(c, r"[\s().-]", "")).otherwise(F.col(c)))
     pairs = found.select("kind", plain("entity").alias("entity"), plain("surrogate").alias("surrogate")).distinct()
     shared = pairs.groupBy("kind", "surrogate").count().where("count > 1").select("kind", F.col("surrogate").alias("of"), F.lit("surrogate").alias("what"))
-    split = pairs.where("kind <> 'mention'").groupBy("kind", "entity").count().where("count > 1").select("kind", F.col("entity").alias("of"), F.lit("entity").alias("what"))
+    split = pairs.groupBy("kind", "entity").count().where("count > 1").select("kind", F.col("entity").alias("of"), F.lit("entity").alias("what"))
     return shared.union(split)
 
 
-#: The key of tests and of sessions that have none of their own in KEY_SETTING, which a deployment fills from its store of secrets.
-QUERY_KEY = b"tessera surrogates"
+#: The setting of the key, which a deployment fills from its store of secrets. No key is in this code.
 KEY_SETTING = "spark.tessera.surrogates.key"
 
+_drawn: dict[str, bytes] = {}
+
 
 def key_of(spark: SparkSession) -> bytes:
-    return (spark.conf.get(KEY_SETTING, None) or "").encode() or QUERY_KEY
+    """The session's key. Where none is set, each application draws one that it tells nobody: its surrogates agree with one
+    another, but not with those of other runs, and nobody can turn them back."""
+    held = spark.conf.get(KEY_SETTING, None)
+    if held:
+        return held.encode()
+    app = spark.sparkContext.applicationId
+    if app not in _drawn:
+        warnings.warn(f"{KEY_SETTING} is not set: surrogates of this run can't be turned back", stacklevel=2)
+    return _drawn.setdefault(app, secrets.token_bytes(32))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
