@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, fusion, graph_index, inspection, keyword, profile, segments, stats, sync, sync_run, vectors
+from tessera.operators import evaluation, fitted, fusion, graph_index, inspection, keyword, profile, segments, stats, sync, sync_run, vectors
 from tessera.plans import adapters as A
 from tessera.plans import stored
 from tessera.sources import bucketed
@@ -285,6 +285,25 @@ def sem_backfill(spark, sf_dir):
     return out.select("resource_id", "content_hash", F.size("embedding").alias("dimension"), "model_name", F.col("embedded_at").isNull().alias("kept"))
 
 
+@query(f"""WITH {A.RESOURCES_SQL}, r AS (SELECT id FROM resources WHERE status = 'active' AND resource_type = 'dataset') SELECT count(*) AS embedded, 32 AS dimension, count(*) AS of_length_one, true AS pinned, true AS own_first FROM r""")
+def sem_fitted(spark, sf_dir):
+    """A model fitted to the documents of all resources, and the embeddings that it gives: their dimension and length, that
+    another fit's are refused, and that most of a stated set of documents are the nearest to themselves."""
+    r = A.resources(spark, sf_dir)
+    doc = T.semantic_document(F.col("title"), F.col("subtitle"), F.col("tags"), F.col("description"))
+    documents = sync_run.kept(r.select(doc.alias("document")))
+    model = fitted.fit(documents, 32, rounds=2, keep=sync_run.kept)
+    other = fitted.fit(documents, 32, words=500, rounds=1, keep=sync_run.kept)
+    empty = spark.createDataFrame([], "resource_id long, content_hash string, embedding array<float>, model_name string, model_revision string, embedding_dimension int")
+    table = sync_run.kept(vectors.backfill(r, empty, model))
+    length = F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding")))
+    asked = table.where("resource_id % 100 = 0").select(F.col("resource_id").alias("query_id"), F.col("embedding").alias("vector"))
+    first = vectors.semantic_top_k(table.select(F.col("resource_id").alias("id"), "embedding"), asked, 1).agg(F.coalesce(F.avg((F.round("score", 5) == 1).cast("int")), F.lit(1.0)).alias("own"))
+    pinned = vectors.other_models(table, (other.name, other.revision, other.dimension)).agg((F.count(F.lit(1)) == 1).alias("pinned"))
+    told = table.agg(F.count(F.lit(1)).alias("embedded"), F.max("embedding_dimension").alias("dimension"), F.count_if(F.abs(length - 1) < 1e-5).alias("of_length_one"))
+    return told.crossJoin(pinned).crossJoin(first.select((F.col("own") >= 0.9).alias("own_first")))  # one row each
+
+
 @query("SELECT DISTINCT 'm' || CAST(label % 3 AS VARCHAR) AS model_name, '1' AS model_revision, 64 AS embedding_dimension FROM embeddings WHERE label % 3 <> 0")
 def model_guard(spark, sf_dir):
     """Stored models other than the expected one."""
