@@ -1,19 +1,22 @@
-"""An English analyzer for keyword search: stop words are dropped, others are stemmed (the published Porter2 algorithm).
+"""An English analyzer for keyword search: tokens of several classes, of which words and hyphenated words are stemmed (the
+published Porter2 algorithm), stop words are dropped, and numbers, addresses and hosts stay as they are.
 
-Stop words leave their place, as an empty word, so that phrases keep their distances.
+Stop words leave their place, as an empty word, so that phrases keep their distances. Tokens are found by Column expressions;
+stems are taken of the distinct words of a corpus, and joined back.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
-
-from tessera.functions.text import tokens
+from pyspark.sql.types import StringType
 
 #: Words that carry no meaning of their own.
 STOP_WORDS = frozenset(
@@ -123,16 +126,97 @@ def lexeme(word: str) -> str:
     return "" if word in STOP_WORDS else stem(word)
 
 
-def query_words(text: str) -> list[str]:
-    """The analyzer of queries, for parse_query()."""
-    return [lexeme(w) for w in re.findall(r"[^\W_]+", text.lower())]
+# -- classes of tokens ----------------------------------------------------------------------------------------------
+
+#: What is one token, in the order in which it is looked for: addresses, hosts with what follows them, hyphenated words, words
+#: that begin with digits, numbers with their sign, words.
+TOKEN = (
+    r"[\p{L}\p{N}][\p{L}\p{N}._+-]*@(?:[\p{L}\p{N}-]+\.)+[a-z]{2,}"
+    r"|(?:[\p{L}\p{N}-]+\.)+[a-z]{2,}(?:/[^\s<>\"']*)?"
+    r"|\p{L}[\p{L}\p{N}]*(?:-[\p{L}\p{N}]+)+"
+    r"|\p{N}+\p{L}[\p{L}\p{N}]*"
+    r"|[-+]?\p{N}+(?:\.\p{N}+)*"
+    r"|[\p{L}\p{N}]+"
+)
+#: Classes by what a token looks like, the first that fits.
+CLASSES = (
+    ("email", r"^[^/]*@"),
+    ("url", r"^[^/]*\.[^/]*/"),
+    ("path", r"^/"),
+    ("host", r"^(?:[\p{L}\p{N}-]+\.)+[a-z]{2,}$"),
+    ("hyphenated", r"^\p{L}+(?:-\p{L}+)+$"),
+    ("hyphenated_number", r"^\p{L}[\p{L}\p{N}]*(?:-[\p{L}\p{N}]+)+$"),
+    ("word", r"^\p{L}+$"),
+    ("integer", r"^[-+]?\p{N}+$"),
+    ("decimal", r"^[-+]?\p{N}+\.\p{N}+$"),
+    ("version", r"^[-+]?\p{N}+(?:\.\p{N}+){2,}$"),
+    ("word_number", r""),
+)
+#: Those that stop words and stems are for; other tokens stay as they are.
+STEMMED = ("word", "hyphenated")
+
+
+def token_class(token: Column) -> Column:
+    return F.coalesce(*[F.when(token.rlike(pattern), name) for name, pattern in CLASSES])
+
+
+def class_tokens(text: Column) -> Column:
+    """The tokens of a text in order. A hyphenated word is one, and then each of its parts; an address with a path is one, and
+    then its host and its path."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+    def parts(t: Column) -> Column:
+        address = t.contains("@")
+        path = t.contains("/")
+        whole = F.array(t)
+        return (
+            F.when(~address & path, F.array(t, F.substring_index(t, "/", 1), F.concat(F.lit("/"), F.substring(t, F.instr(t, "/") + 1, F.length(t)))))
+            .when(~address & t.rlike(r"^\p{L}[\p{L}\p{N}]*-") & ~t.contains("."), F.concat(whole, F.split(t, "-")))
+            .otherwise(whole)
+        )
+
+    return F.flatten(F.transform(found, parts))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _lexemes(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: [lexeme(w) for w in ws], na_action="ignore")
+@F.pandas_udf(StringType())
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(lexeme, na_action="ignore")
 
 
-def english(text: Column) -> Column:
-    """The analyzer of documents, for postings() and matches()."""
-    return _lexemes(tokens(text))
+def dictionary(words: DataFrame) -> DataFrame:
+    """word and lexeme of distinct words (word): stems are taken of each once, however often a corpus has it. The lexeme of
+    a stop word is empty."""
+    kind = token_class(F.col("word"))
+    return words.select("word", F.when(kind.isin(*STEMMED), _stems("word")).otherwise(F.col("word")).alias("lexeme"))
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """tokens of a text, and what the distinct ones become."""
+
+    tokens: Callable[[Column], Column]
+    dictionary: Callable[[DataFrame], DataFrame]
+
+    def __call__(self, text: Column) -> Column:
+        return self.tokens(text)
+
+
+#: The analyzer of documents, for postings() and matches().
+english = Analyzer(class_tokens, dictionary)
+
+_TOKEN = regex.compile(TOKEN)
+_CLASSES = [(name, regex.compile(pattern)) for name, pattern in CLASSES]
+
+
+def query_words(text: str) -> list[str]:
+    """The analyzer of queries, for parse_query(): as documents are analyzed, a stop word being empty."""
+    words: list[str] = []
+    for t in _TOKEN.findall(text.lower()):
+        words.append(t)
+        if "@" not in t and "/" in t:
+            host, _, path = t.partition("/")
+            words += [host, f"/{path}"]
+        elif "@" not in t and "." not in t and regex.match(r"\p{L}[\p{L}\p{N}]*-", t):
+            words += t.split("-")
+    kinds = [next(name for name, pattern in _CLASSES if pattern.search(w)) for w in words]
+    return [lexeme(w) if kind in STEMMED else w for w, kind in zip(words, kinds, strict=True)]

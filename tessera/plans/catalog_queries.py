@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import english
 from tessera.functions import text as T
 from tessera.operators import evaluation, fitted, fusion, graph_index, inspection, keyword, profile, segments, stats, sync, sync_run, vectors
 from tessera.plans import adapters as A
@@ -138,6 +139,20 @@ def kw_cover_density(spark, sf_dir):
     return _hits(spark, sf_dir, lambda w: _by_pairs(lambda a, b: f'"{a}" "{b}"')(apart(w)), "cover")
 
 
+_TOKEN_SQL = english.TOKEN.replace("'", "''")
+_CLASS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in english.CLASSES) + " END"
+
+
+@query(f"""WITH f AS (SELECT unnest(regexp_extract_all(lower(text), '{_TOKEN_SQL}')) AS t FROM documents), p AS (SELECT unnest(CASE WHEN NOT contains(t, '@') AND contains(t, '/') THEN [t, split_part(t, '/', 1), substr(t, strpos(t, '/'))]
+WHEN NOT contains(t, '@') AND NOT contains(t, '.') AND regexp_matches(t, '^\p{{L}}[\p{{L}}\p{{N}}]*-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END) AS t FROM f)
+SELECT {_CLASS_SQL} AS class, count(*) AS tokens, count(DISTINCT t) AS distinct_tokens FROM p GROUP BY class""")
+def token_classes(spark, sf_dir):
+    """How many tokens of each class the documents have for the English analyzer, and how many distinct ones."""
+    words = A.table(spark, sf_dir, "documents").select(F.explode(english.class_tokens(F.col("text"))).alias("word"))
+    each = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(english.token_class(F.col("word")).alias("class")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct_tokens"))
+
+
 @query(f"""{_KW}, h AS (SELECT query_id, id, max(s) AS s FROM (SELECT query_id, lexeme, id, sum(weight) AS s FROM (SELECT query_id, unnest(list_distinct(w)) AS lexeme FROM q) JOIN posts USING (lexeme) WHERE status = 'active' AND resource_type = 'dataset' GROUP BY ALL) GROUP BY query_id, id)
 SELECT query_id, id, round(s, 6) AS score, place FROM (SELECT *, {_RANKED} AS place FROM h) WHERE place > 5 AND place <= 15""")
 def kw_type_filter_page(spark, sf_dir):
