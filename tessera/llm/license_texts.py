@@ -1,4 +1,5 @@
-"""Names, notices and whole texts of licences, as their authors publish them."""
+"""Names and notices of licences, whole texts of the short ones, and how the files of the long ones begin, as
+their authors publish them."""
 
 from __future__ import annotations
 
@@ -65,6 +66,9 @@ _GNU_REST = (
 )
 _GNU_FILE = "GNU {kind} Version {version} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
 
+#: The same with the address that files of older versions have.
+_GNU_OLD = "GNU {kind} Version {version} Copyright (C) Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+
 
 def _gnu(name: str, kind: str, version: str, this: str = "This program") -> tuple[tuple[str, str], ...]:
     """The notice with and without its disclaimer."""
@@ -92,17 +96,11 @@ NOTICES: tuple[tuple[str, str], ...] = (
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
     *_gnu("GPL-2.0", "General Public License", "2"),
     *_gnu("GPL-3.0", "General Public License", "3"),
     *_gnu("LGPL-2.1", "Lesser General Public License", "2.1", "This library"),
     *_gnu("LGPL-3.0", "Lesser General Public License", "3"),
     *_gnu("AGPL-3.0", "Affero General Public License", "3"),
-    ("GPL-2.0", _GNU_FILE.format(kind="GENERAL PUBLIC LICENSE", version="2, June 1991")),
-    ("GPL-3.0", _GNU_FILE.format(kind="GENERAL PUBLIC LICENSE", version="3, 29 June 2007")),
-    ("LGPL-2.1", _GNU_FILE.format(kind="LESSER GENERAL PUBLIC LICENSE", version="2.1, February 1999")),
-    ("LGPL-3.0", _GNU_FILE.format(kind="LESSER GENERAL PUBLIC LICENSE", version="3, 29 June 2007")),
-    ("AGPL-3.0", _GNU_FILE.format(kind="AFFERO GENERAL PUBLIC LICENSE", version="3, 19 November 2007")),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -134,6 +132,32 @@ NOTICES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: How licence files begin: the licence is that of the directory, however long the rest of the file is.
+HEADS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    ("GPL-1.0", _GNU_OLD.format(kind="GENERAL PUBLIC LICENSE", version="1, February 1989")),
+    ("GPL-2.0", _GNU_FILE.format(kind="GENERAL PUBLIC LICENSE", version="2, June 1991")),
+    ("GPL-2.0", _GNU_OLD.format(kind="GENERAL PUBLIC LICENSE", version="2, June 1991")),
+    ("GPL-3.0", _GNU_FILE.format(kind="GENERAL PUBLIC LICENSE", version="3, 29 June 2007")),
+    ("LGPL-2.0", _GNU_OLD.format(kind="LIBRARY GENERAL PUBLIC LICENSE", version="2, June 1991")),
+    ("LGPL-2.1", _GNU_FILE.format(kind="LESSER GENERAL PUBLIC LICENSE", version="2.1, February 1999")),
+    ("LGPL-2.1", _GNU_OLD.format(kind="LESSER GENERAL PUBLIC LICENSE", version="2.1, February 1999")),
+    ("LGPL-3.0", _GNU_FILE.format(kind="LESSER GENERAL PUBLIC LICENSE", version="3, 29 June 2007")),
+    ("AGPL-3.0", _GNU_FILE.format(kind="AFFERO GENERAL PUBLIC LICENSE", version="3, 19 November 2007")),
+    ("GFDL-1.2", _GNU_FILE.format(kind="Free Documentation License", version="1.2, November 2002")),
+    ("GFDL-1.2", _GNU_OLD.format(kind="Free Documentation License", version="1.2, November 2002")),
+    ("GFDL-1.3", _GNU_FILE.format(kind="Free Documentation License", version="1.3, 3 November 2008")),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1 --------------- 1. Definitions. 1.0.1. \"Commercial Use\" means distribution or otherwise making the Covered Code available to a third party."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")."),
+    (
+        "CC0-1.0",
+        "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP.",
+    ),
+    ("Artistic-1.0", 'The "Artistic License" Preamble The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package.'),
+)
+
+
 def templates() -> tuple[tuple[str, str], ...]:
     """(identifier, text) of every template: phrases of all names, identifiers in SPDX form, and notices."""
     names = list(NAMES)
@@ -141,4 +165,4 @@ def templates() -> tuple[tuple[str, str], ...]:
         names += [(f"CC-{kind}-{v}", (f"CC {kind} {v}", f"a Creative Commons {long} {v} {'International' if v == '4.0' else 'Unported'} License")) for v in CC_VERSIONS]
     said = [(i, phrase.format(full)) for i, fulls in names for full in fulls for phrase in PHRASES]
     spdx = [(i, f"SPDX-License-Identifier: {i}") for i, _ in names]
-    return (*said, *spdx, *NOTICES)
+    return (*said, *spdx, *NOTICES, *HEADS)

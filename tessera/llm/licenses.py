@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
-from tessera.llm.license_texts import templates
+from tessera.llm.license_texts import HEADS, templates
 
 TEMPLATES = templates()
 #: A window is a template's if their cosine is this or more.
@@ -30,8 +30,12 @@ FILE_SHARE = 0.5
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 #: Up to so many directories are broadcast, once counted; beyond, both sides are shuffled.
 MAX_BROADCAST_ROWS = 200_000
+#: A file that begins with a template of how licence files begin, within so many terms, is one too.
+HEAD_TERMS = 40
 #: Words that tell licences of a family apart: a window has those of its template and no others.
 DECIDING = frozenset("lesser library affero sa nc nd sharealike noncommercial noderivatives endorse lgpl agpl gpl".split())
+#: Words that name a licence: a window has those of its template.
+NAMING = frozenset("apache mit bsd mozilla eclipse isc zlib boost gnu creative commons zero unlicense artistic documentation".split())
 #: Words that turn a short phrase into its opposite, in it or up to REACH terms before it.
 NEGATIONS = frozenset("not never no nor neither cannot isn wasn aren without instead unlike".split())
 SHORT, REACH = 24, 3
@@ -49,9 +53,10 @@ def terms(text: str) -> list[str]:
 class Template:
     """A template's terms as a sparse vector. prefix: its rarest terms; a window without any stays below the threshold."""
 
-    __slots__ = ("name", "size", "weights", "norm", "prefix", "numbers", "deciding", "negations", "short")
+    __slots__ = ("name", "size", "weights", "norm", "prefix", "numbers", "deciding", "naming", "negations", "short", "head")
 
-    def __init__(self, name: str, found: list[str], idf: dict[str, float]):
+    def __init__(self, name: str, found: list[str], idf: dict[str, float], head: bool = False):
+        self.head = head
         counts = Counter(found)
         self.name, self.size = name, len(found)
         self.weights = {t: _tf(n) * idf[t] for t, n in counts.items()}
@@ -65,13 +70,14 @@ class Template:
             left -= w * w
         self.numbers = {t for t in counts if t.isdigit()}
         self.deciding = DECIDING.intersection(counts)
+        self.naming = NAMING.intersection(counts)
         self.negations = sum(counts[t] for t in NEGATIONS)
         self.short = self.size <= SHORT
 
     def admits(self, found: list[str], low: int, high: int) -> bool:
         """What decides apart from the cosine."""
         window = set(found[low:high])
-        if not self.numbers <= window or DECIDING.intersection(window) != self.deciding:
+        if not self.numbers <= window or not self.naming <= window or DECIDING.intersection(window) != self.deciding:
             return False
         return not self.short or sum(t in NEGATIONS for t in found[max(0, low - REACH) : high]) <= self.negations
 
@@ -89,7 +95,8 @@ class Scanner:
         idf = {t: math.log((1 + texts) / (1 + n)) + 1 for t, n in frequencies.items()}
         split = [(name, terms(text)) for name, text in given]
         self.idf = {t: idf.get(t, self.unseen) for _, found in split for t in found} | idf
-        self.templates = [Template(name, found, self.idf) for name, found in split]
+        heads = {(name, text) for name, text in HEADS}
+        self.templates = [Template(name, found, self.idf, pair in heads) for pair, (name, found) in zip(given, split, strict=True)]
         self.prefix: dict[str, list[int]] = {}
         for k, template in enumerate(self.templates):
             for t in template.prefix:
@@ -117,7 +124,8 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[str | None, float, float]:
         """The licence of the best window, its cosine, and the share of terms in windows of licences. The cosine is 0
-        where no window reaches the threshold."""
+        where no window reaches the threshold. How a licence file begins comes before all that it says further on (of other
+        licences, or how to apply it), and such a file is all licence."""
         low = text.lower()
         # most texts hold no prefix term; their terms are not kept
         if self.prefix.keys().isdisjoint(_TERM.findall(low)):
@@ -127,7 +135,7 @@ class Scanner:
         for at, t in enumerate(found):
             for k in self.prefix.get(t, ()):
                 places.setdefault(k, []).append(at)
-        best: tuple[bool, float, int] | None = None
+        best: tuple[bool, bool, float, int] | None = None
         held = bytearray(len(found))
         for k, spots in sorted(places.items()):
             template = self.templates[k]
@@ -142,11 +150,11 @@ class Scanner:
             for score, at in self.windows(found, template, starts):
                 if score >= THRESHOLD and template.admits(found, at, at + size):
                     held[at : at + size] = b"\1" * size
-                    rank = (template.name != LAST, round(score, 9), -k)
+                    rank = (template.head and at < HEAD_TERMS, template.name != LAST, round(score, 9), -k)
                     best = rank if best is None or rank > best else best
         if best is None:
             return None, 0.0, 0.0
-        return self.templates[-best[2]].name, best[1], sum(held) / len(found)
+        return self.templates[-best[3]].name, best[2], 1.0 if best[0] else sum(held) / len(found)
 
 
 def frequencies(files: DataFrame, templates: tuple[tuple[str, str], ...]) -> tuple[dict[str, int], int]:

@@ -170,3 +170,28 @@ def test_clean_texts(scanner, text):
 
 def test_empty(spark):
     assert licenses.scanned(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def files_of(folder):
+    from pathlib import Path
+
+    return sorted(f for f in Path(folder).glob("*") if not f.is_symlink())
+
+
+@pytest.mark.skipif(not files_of("/usr/share/common-licenses"), reason="no copies of licences here")
+def test_whole_licence_files(spark):
+    """Every file is named right or not at all, and those that are named count for their directory."""
+    right = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0", "BSD": "BSD-3-Clause", "Artistic": "Artistic-1.0"}
+    files = [row(k, f"{f.name}/licenses/text.txt", f.read_text()) for k, f in enumerate(files_of("/usr/share/common-licenses"))]
+    files += [row(100 + r[0], r[1].replace("licenses/text.txt", "licenses/src/x.py"), "plain words") for r in files]
+    found = {r.path: (r.license, r.origin) for r in licenses.scanned(spark.createDataFrame(files, SCHEMA)).collect()}
+    own = {p.split("/")[0]: name for p, (name, origin) in found.items() if p.endswith(".txt")}
+    assert {f: n for f, n in own.items() if n is not None and n != right.get(f, f)} == {}
+    assert {"Apache-2.0", "CC0-1.0", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0"} & own.keys() <= {f for f, n in own.items() if n}
+    assert all(found[f"{f}/licenses/src/x.py"] == (n, "inherited") for f, n in own.items() if n)
+
+
+def test_a_window_names_its_licence():
+    scanner = licenses.Scanner(licenses.TEMPLATES, {}, 1)
+    assert scanner.scan("is used under the terms of the license, the License")[0] is None
+    assert scanner.scan("Distributed under the terms of the MIT license")[0] == "MIT"
