@@ -143,7 +143,7 @@ _TOKEN_SQL = english.TOKEN.replace("'", "''")
 _CLASS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{name}'" for name, pattern in english.CLASSES) + " END"
 
 
-@query(f"""WITH f AS (SELECT unnest(regexp_extract_all(lower(text), '{_TOKEN_SQL}')) AS t FROM documents), p AS (SELECT unnest(CASE WHEN NOT contains(t, '@') AND contains(t, '/') THEN [t, split_part(t, '/', 1), substr(t, strpos(t, '/'))]
+@query(rf"""WITH f AS (SELECT unnest(regexp_extract_all(lower(text), '{_TOKEN_SQL}')) AS t FROM documents), p AS (SELECT unnest(CASE WHEN NOT contains(t, '@') AND contains(t, '/') THEN [t, split_part(t, '/', 1), substr(t, strpos(t, '/'))]
 WHEN NOT contains(t, '@') AND NOT contains(t, '.') AND regexp_matches(t, '^\p{{L}}[\p{{L}}\p{{N}}]*-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END) AS t FROM f)
 SELECT {_CLASS_SQL} AS class, count(*) AS tokens, count(DISTINCT t) AS distinct_tokens FROM p GROUP BY class""")
 def token_classes(spark, sf_dir):
