@@ -368,8 +368,8 @@ OP12_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 items AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda k: array_to_string(list_slice(w, k, k + 2), ' ')) END) AS s FROM d),
 sized AS (SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id),
-overlaps AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM items AS a JOIN items AS b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM overlaps JOIN sized AS p ON p.doc_id = x JOIN sized AS q ON q.doc_id = y WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM items AS a JOIN items AS b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM met JOIN sized AS p ON p.doc_id = x JOIN sized AS q ON q.doc_id = y WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT reach.node, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.seen)
 SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(seen) AS component_id FROM d LEFT JOIN sized USING (doc_id) JOIN reach ON reach.node = d.doc_id GROUP BY d.doc_id
