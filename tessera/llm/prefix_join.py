@@ -30,9 +30,9 @@ from tessera.llm.simhash import _roots
 
 #: Words of an n-gram, and the least similarity in hundredths (fixed values of the contract).
 GRAM, SIMILAR = 3, 90
-#: n-grams of a task's tree and of one part of a unit; sets that go down the tree before colours are looked at again; pairs
-#: of a set and a node, or n-grams of the ends of paths, that are held at once.
-BATCH, PROBES, HELD = 1_000_000, 256, 200_000
+#: n-grams of one part of a unit, and of the units that share a tree; sets that go down the tree before colours are looked at
+#: again; pairs of a set and a node, or n-grams of the ends of paths, that are held at once.
+PART, BATCH, PROBES, HELD = 1_000_000, 250_000, 256, 100_000
 #: n-grams of hashes below this are looked at first: three sixteenths, enough to hold more lone ones than a set may lack.
 LOW = 3 << 60
 #: Rows of ids that are broadcast at most (16 bytes each), and n-grams whose counts are.
@@ -275,10 +275,10 @@ def _joined(similar: int):
     return run
 
 
-def _links(members: DataFrame, ordered: DataFrame, similar: int, batch: int) -> DataFrame:
-    """Links within the units of members (unit, set_id, root, m). A unit with more n-grams than batch is dealt out, and
+def _links(members: DataFrame, ordered: DataFrame, similar: int, part: int) -> DataFrame:
+    """Links within the units of members (unit, set_id, root, m). A unit with more n-grams than part is dealt out, and
     its parts meet in pairs."""
-    sizes = members.groupBy(F.col("unit").alias("_unit")).agg(F.count(F.lit(1)).alias("k"), F.ceil(F.sum(F.col("m").cast("long")) / batch).cast("int").alias("parts"))
+    sizes = members.groupBy(F.col("unit").alias("_unit")).agg(F.count(F.lit(1)).alias("k"), F.ceil(F.sum(F.col("m").cast("long")) / part).cast("int").alias("parts"))
     sized = members.join(sizes.where("k > 1"), F.col("unit") == F.col("_unit"))
     own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
@@ -321,7 +321,7 @@ def _shared(sets: DataFrame) -> DataFrame:
     return usual.unionByName(grams.join(hot, "gram")).select("set_id", "n", "count", "gram")
 
 
-def grouped(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, batch: int = BATCH) -> DataFrame:
+def grouped(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, part: int = PART) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable over links) of every row.
 
     Documents link if 100 * intersection >= similar * union of their sets of n-grams. n-grams and whole sets are told
@@ -345,12 +345,12 @@ def grouped(docs: DataFrame, gram: int = GRAM, similar: int = SIMILAR, batch: in
     members = materialize(postings.join(units.hint("merge"), "unit"))
     at = F.row_number().over(Window.partitionBy("set_id").orderBy("unit"))
     few = members.withColumn("at", at).where("at <= 2").drop("at").withColumn("root", F.col("set_id"))
-    first = materialize(_links(few, ordered, similar, batch).distinct())
+    first = materialize(_links(few, ordered, similar, part).distinct())
     label = components(first)
     rooted = materialize(members.join(label.hint("merge"), F.col("set_id") == F.col("node"), "left").select("unit", "set_id", "m", F.coalesce("root", "set_id").alias("root")))
     open_ = rooted.groupBy(F.col("unit").alias("_open")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("_open")
     rest = rooted.join(open_.hint("merge"), F.col("unit") == F.col("_open")).drop("_open")
-    links = first.union(_links(rest, ordered, similar, batch).distinct())
+    links = first.union(_links(rest, ordered, similar, part).distinct())
 
     label = components(links)
     labelled = sets.join(label.hint("merge"), F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))

@@ -54,12 +54,12 @@ def corpus(prose, seed, n=240):
     return [(k + 1, t) for k, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "similar", "batch"), [(1, 90, 2_000_000), (2, 90, 300), (3, 60, 3_000), (4, 100, 1)])
-def test_against_brute_force(spark, prose, seed, similar, batch):
-    """With small batches units are dealt out and their parts meet in pairs."""
+@pytest.mark.parametrize(("seed", "similar", "part"), [(1, 90, 2_000_000), (2, 90, 300), (3, 60, 3_000), (4, 100, 1)])
+def test_against_brute_force(spark, prose, seed, similar, part):
+    """With small parts units are dealt out and their parts meet in pairs."""
     rows = corpus(prose, seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = prefix_join.grouped(docs, similar=similar, batch=batch).collect()
+    got = prefix_join.grouped(docs, similar=similar, part=part).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, similar)
 
 
