@@ -1,30 +1,53 @@
-"""The k best of many queries in each Arrow batch, from a matrix of scores."""
+"""The k best of many queries in a task, from matrices of scores."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def best_of_batch(scores: np.ndarray, ids: pa.Array, names: list, k: int, told: np.ndarray | None = None) -> pa.RecordBatch:
-    """query_id, id and score of the k best rows of each column, ties by id; a score that is no number is null and last.
-    told: which scores count at all."""
+#: Scores that are looked at at once.
+CELLS = 4_000_000
+
+
+def slices(b: pa.RecordBatch, wide: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that make matrices of up to CELLS cells, wide in a row."""
+    step = max(1, CELLS // max(1, wide))
+    return (b.slice(low, step) for low in range(0, len(b), step))
+
+
+def best_of_task(found: Iterable[tuple[np.ndarray, pa.Array, np.ndarray | None]], names: list, k: int) -> Iterator[pa.RecordBatch]:
+    """query_id, id and score of the k best rows of each column over all of a task's matrices (scores, ids, told), ties by
+    id; a score that is no number is null and last. told: which scores count at all. Only the best so far are held."""
+    held = None
+    for scores, ids, told in found:
+        new = _best(*_able(scores, ids, told, k), k)
+        held = new if held is None else _best(np.concatenate([held[0], new[0]]), pa.concat_arrays([held[1], new[1]]), np.concatenate([held[2], new[2]]), k)
+    if held is not None:
+        column, ids, score = held
+        yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(column)), ids, pa.array(score, mask=np.isnan(score))], ["query_id", "id", "score"])
+
+
+def _able(scores: np.ndarray, ids: pa.Array, told: np.ndarray | None, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Columns, ids and scores of those that can be among the best k."""
     known = np.where(np.isnan(scores), -np.inf, scores)
     if told is not None:
-        known = np.where(told, known, np.nan)
-    n = len(known)
-    if n > k:
+        known[~told] = np.nan
+    if len(known) > k:
         # the k-th best of each column bounds those that can be among its best
         bound = -np.partition(np.where(np.isnan(known), np.inf, -known), k - 1, axis=0)[k - 1]
         row, column = np.nonzero(known >= bound)
     else:
         row, column = np.nonzero(~np.isnan(known))
-    place = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
-    order = np.lexsort([place[row], -known[row, column], column])
-    row, column = row[order], column[order]
-    first = np.searchsorted(column, column, "left")
-    keep = np.arange(len(column)) - first < k
-    row, column = row[keep], column[keep]
-    score = scores[row, column]
-    return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(column)), ids.take(pa.array(row)), pa.array(score, mask=np.isnan(score))], ["query_id", "id", "score"])
+    return column, ids.take(pa.array(row)), scores[row, column]
+
+
+def _best(column: np.ndarray, ids: pa.Array, score: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    place = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+    order = np.lexsort([place, np.where(np.isnan(score), np.inf, -score), column])
+    own = column[order]
+    order = order[np.arange(len(own)) - np.searchsorted(own, own, "left") < k]
+    return column[order], ids.take(pa.array(order)), score[order]

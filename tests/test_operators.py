@@ -1,12 +1,15 @@
 """Worked cases of single operators."""
 
+import time
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, fusion, keyword, stats, sync, sync_run, vectors
+from tessera.operators import blocks, evaluation, fusion, keyword, stats, sync, sync_run, vectors
 
 
 def one(spark, column):
@@ -286,3 +289,89 @@ def test_top_k_of_more_queries_than_a_block(spark):
     q = v.where("id < 7").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     expected = sorted(map(tuple, vectors.semantic_top_k(v, q, 3).collect()))
     assert len(expected) == 21 and sorted(map(tuple, vectors.semantic_top_k(v, q, 3, block=2).collect())) == expected
+
+
+def test_cover_of_long_documents(spark):
+    """Time in proportion to the words: by the square, this took minutes."""
+    long = spark.createDataFrame([(1, "", None, "solar x power " * 20_000, None, "dataset", "active")], SCHEMA)
+    began = time.perf_counter()
+    assert found(long, "solar power", "cover") == {1: round(20_000 * 0.2 / 2 + 19_999 * 0.2, 6)}
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("query", ["solar power", '"solar power"', '"solar power of the"', "solar -power"])
+def test_no_pair_is_shuffled(resources, query):
+    """Matching deals postings out by document, and neither joins candidates to words nor gathers pairs by query."""
+    terms = keyword.query_terms(resources.sparkSession, [(0, query)])
+    plan = keyword.matches(keyword.Index.of(resources), terms)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "HashAggregate" not in plan and "clause" not in plan
+
+
+def test_postings_stay_in_their_task(spark):
+    """Nothing is shuffled to invert documents, and no stored index is sorted as a whole; tasks may cut batches anywhere."""
+    docs = spark.createDataFrame([(k, "a b", "", f"w{k % 7} b b " * (k % 5), ["c"], "dataset", "active") for k in range(60)], SCHEMA)
+    assert "Exchange" not in keyword.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    got = {(r.id, r.lexeme): (r.places, r.score) for r in keyword.postings(docs).collect()}
+    assert len(got) == 60 * 3 + 48 and got[1, "b"][0] == [1, 4, 5] and abs(got[1, "b"][1] - 1.4) < 1e-9 and got[1, "w1"][0] == [3]
+    before = keyword.WORDS_AT_ONCE
+    keyword.WORDS_AT_ONCE = 10
+    try:
+        batches = docs.selectExpr("id", "status", "resource_type", "split(title, ' ') AS title", "array('') AS subtitle", "tags", "split(description, ' ') AS description").toArrow().to_batches()
+        small = {(r["id"], r["lexeme"]): (r["places"], r["score"]) for b in keyword._inverted(iter(batches)) for r in b.to_pylist()}
+    finally:
+        keyword.WORDS_AT_ONCE = before
+    assert {k: len(v[0]) for k, v in small.items()} == {k: len(v[0]) for k, v in got.items()}
+
+
+def test_few_postings_are_shuffled_for_words_matched(spark, resources):
+    index = keyword.Index.of(resources)
+    words = spark.createDataFrame([(0, 0, "wind"), (0, 1, "solar")], "query_id long, at int, lexeme string")
+    out = keyword.words_matched(index, keyword.best_of_any(index, words, 2), words)
+    assert {r.id: r.matched_queries for r in out.collect()} == {1: ["wind", "solar"], 2: ["wind", "solar"]}
+    assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_bounded_size(spark, monkeypatch):
+    """A task's best are the same however small the parts are that it looks at at once, and a task tells k at most."""
+    r = np.random.default_rng(2)
+    ids = pa.array(r.permutation(500))
+    scores = np.round(r.normal(size=(500, 9)), 1)
+    scores[r.random(scores.shape) < 0.1] = np.nan
+    told = r.random(scores.shape) < 0.5
+    whole = pa.RecordBatch.from_arrays([ids, pa.array(np.arange(500))], ["id", "row"])
+    got = {}
+    for cells in (9, 90, 10_000):
+        monkeypatch.setattr(blocks, "CELLS", cells)
+        parts = [(scores[b["row"].to_numpy()], b["id"], told[b["row"].to_numpy()]) for b in blocks.slices(whole, 9)]
+        assert max(x[0].size for x in parts) <= cells
+        [out] = blocks.best_of_task(iter(parts), list("abcdefghi"), 7)
+        got[cells] = out.to_pylist()
+    rank = lambda q: sorted((i for i in range(500) if told[i, q]), key=lambda i: (np.inf if np.isnan(scores[i, q]) else -scores[i, q], ids[i].as_py()))[:7]
+    assert [(x["query_id"], x["id"]) for x in got[9]] == [("abcdefghi"[q], ids[i].as_py()) for q in range(9) for i in rank(q)]
+    assert str(got[9]) == str(got[90]) == str(got[10_000])
+
+
+def test_approximate_pairs_are_not_shuffled(spark):
+    """Buckets as they are joined give the same rows; the plan joins nothing."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 8))
+    v = spark.createDataFrame(list(enumerate(x.tolist())), "id long, embedding array<double>")
+    q = v.where("id % 50 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    out = vectors.approximate_top_k(v, q, 5, 8, bits=6, tables=4)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    planes = np.random.default_rng(7).normal(size=(24, 8))
+    own = ((x @ planes.T > 0).reshape(300, 4, 6) * (1 << np.arange(6))).sum(axis=2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    expected = set()
+    for k in range(0, 300, 50):
+        near = [i for i in range(300) if (own[i] == own[k]).any()]
+        expected |= {(k, i) for i in sorted(near, key=lambda i: -unit[i] @ unit[k])[:5]}
+    assert {(r.query_id, r.id) for r in out.collect()} == expected
+
+
+def test_python_normalises_what_is_not_ascii_alone(spark):
+    """Python is sent null for ASCII texts."""
+    rows = spark.createDataFrame([("plain",), ("ﬁ",), (None,)], "t string")
+    plan = rows.select(T.nfkc(F.col("t")).alias("x"))
+    assert [r.x for r in plan.collect()] == ["plain", "fi", None]
+    assert "_nfkc(CASE WHEN" in plan._jdf.queryExecution().analyzed().toString()
