@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 
-#: Words of the vocabulary, dimensions, more directions than are kept, rounds, and words of a block. Parameters of fit().
-WORDS, DIMENSION, MORE, ROUNDS, BLOCK = 20_000, 64, 16, 4, 2_000
+#: Words of the vocabulary, dimensions, more directions than are kept, and rounds. Parameters of fit().
+WORDS, DIMENSION, MORE, ROUNDS = 20_000, 64, 16, 4
+#: A share is told in blocks of so many bytes: a batch of Arrow has up to 10,000 of them, however many tasks there are.
+BLOCK_BYTES = 16_000
 #: Entries of the matrix that a task multiplies at once.
 CELLS = 200_000
 
@@ -113,8 +115,9 @@ def _product(idf: np.ndarray, q: np.ndarray):
                 np.add.at(total, place, y[owner] * w[:, None])
                 squares += float((w * w).sum())
                 low = high
-        for at in range(0, len(q), BLOCK):
-            yield _share(at, total[at : at + BLOCK], squares if at == 0 else 0.0)
+        step = max(1, BLOCK_BYTES // (8 * q.shape[1]))
+        for at in range(0, len(q), step):
+            yield _share(at, total[at : at + step], squares if at == 0 else 0.0)
 
     return run
 
@@ -127,14 +130,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shares, sorted by their place, added."""
     at, total, squares = None, None, 0.0
     for b in batches:
-        for r in b.to_pylist():
-            own = np.frombuffer(r["block"])
-            if r["at"] == at:
-                total, squares = total + own, squares + r["squares"]
+        for of, block, more in zip(b.column("at"), b.column("block"), b.column("squares"), strict=True):
+            own = np.frombuffer(block.as_buffer())
+            if of.as_py() == at:
+                total, squares = total + own, squares + more.as_py()
                 continue
             if at is not None:
                 yield _share(at, total, squares)
-            at, total, squares = r["at"], own, r["squares"]
+            at, total, squares = of.as_py(), own.copy(), more.as_py()
     if at is not None:
         yield _share(at, total, squares)
 

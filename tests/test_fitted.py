@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,17 @@ def test_models_are_pinned(spark, tmp_path):
         vectors.ensure_model(rows, (other.name, other.revision, other.dimension))
     with pytest.raises(ValueError):
         fitted.fit(spark.createDataFrame([("one",), (None,)], "document string"))
+
+
+def test_shares_are_told_in_small_blocks():
+    """What a task is sent of all shares at once is bounded, however many tasks there are: 10,000 rows of a batch."""
+    q = np.random.default_rng(1).normal(size=(20_000, 48))
+    cells = pa.array([[{"place": 3, "n": 2}, {"place": 19_999, "n": 1}]])
+    told = list(fitted._product(np.ones(len(q)), q)(iter([pa.RecordBatch.from_arrays([cells], ["cells"])])))
+    assert max(len(b.column("block")[0].as_py()) for b in told) <= fitted.BLOCK_BYTES
+    twice = sorted([*told, *told], key=lambda b: b.column("at")[0].as_py())
+    summed = list(fitted._summed(iter(twice)))
+    assert len(summed) == len(told) and sum(b.column("squares")[0].as_py() for b in summed) == pytest.approx(2)
+    w = np.log1p([2, 1]) / np.linalg.norm(np.log1p([2, 1]))
+    z = np.concatenate([np.frombuffer(b.column("block")[0].as_py()) for b in summed]).reshape(q.shape)
+    assert np.allclose(z[[3, 19_999]], 2 * np.outer(w, w @ q[[3, 19_999]])) and np.count_nonzero(z) == 96
