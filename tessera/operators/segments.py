@@ -84,6 +84,8 @@ class SegmentIndex:
         their counts; no word is one task's."""
         path = f"{self.home}/segment={number}-{stored.folder(self.spark).rsplit('-', 1)[1]}"
         rows = rows.select("lexeme", "resource_type", "id", F.col("score").cast("double").alias("score"))
+        rows.write.parquet(f"{path}/rows")  # ranges are made of a sample and then of all: documents are analyzed once
+        rows = self.spark.read.schema(rows.schema).parquet(f"{path}/rows")
         dealt = rows.repartitionByRange("lexeme", "resource_type", "id").sortWithinPartitions("lexeme", "resource_type", "id")
         place = Window.partitionBy("_part", "lexeme", "resource_type").orderBy("id")
         numbered = dealt.withColumn("_part", F.spark_partition_id())

@@ -98,3 +98,19 @@ def test_empty(spark):
     full = made(spark, 30)
     index = index.refreshed(segments.change_feed(segments.snapshot(docs), segments.snapshot(full)), full)
     assert told(index.best_of_any(asked(spark), 3)) == plain(full, asked(spark), 3)
+
+
+def test_documents_are_analyzed_once(spark):
+    """Sorting a segment reads its rows twice, but not the documents."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    rows = [(k, f"a w{k}", "", "b", ["c"], "dataset", "active") for k in range(40)]
+    docs = spark.createDataFrame(rows, "id long, title string, subtitle string, description string, tags array<string>, resource_type string, status string")
+    index = segments.SegmentIndex.of(docs, analyze=lambda text: F.split(told(text), " "))
+    assert len(index.segments) == 1
+    assert seen.value == 4 * 40
