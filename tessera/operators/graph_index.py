@@ -21,9 +21,15 @@ from tessera.plans import stored
 
 #: Vectors of a shard, chosen neighbours of a vector (twice as many with those that chose it), candidates for them, and
 #: queries that are searched for at once or are one task's.
-PER_SHARD, DEGREE, CANDIDATES, AT_ONCE, PER_TASK = 50_000, 12, 32, 256, 100_000
-#: A beam is one to so many vectors of a shard, which looks at less than a tenth of them, and this at most.
-VECTORS_A_PLACE, LONGEST_BEAM = 200, 64
+PER_SHARD, DEGREE, CANDIDATES, AT_ONCE, PER_TASK = 60_000, 12, 32, 256, 100_000
+#: A place of a beam looks at about so many vectors; with the pivots, beams look at this share of a shard. A beam that does
+#: not grow with its shard loses recall.
+LOOKED_A_PLACE, SHARE = 13, 0.085
+
+
+def beam_of(vectors: int) -> int:
+    """The places of a beam in a shard of so many vectors."""
+    return int((SHARE * vectors - math.sqrt(vectors)) / LOOKED_A_PLACE)
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -126,7 +132,7 @@ class GraphIndex:
     def top_k(self, queries: DataFrame, k: int, beam: int | None = None) -> DataFrame:
         """query_id, id, score, rank and looked (how many vectors were looked at) of the k nearest that the beams find of each
         of queries (query_id, vector). Queries without a direction, or of another dimension, find nothing."""
-        beam = max(k, beam or min(LONGEST_BEAM, self.rows.count() // (self.shards * VECTORS_A_PLACE)))
+        beam = max(k, beam or beam_of(self.rows.count() // self.shards))
         finite = F.forall("vector", lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False))) & F.exists("vector", lambda c: c != 0)
         asked = queries.where(F.coalesce(finite, F.lit(False)))
         parts = max(1, math.ceil(asked.count() / PER_TASK))

@@ -1,6 +1,7 @@
 """Graphs of vectors against exact search."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.operators import graph_index as G
@@ -46,6 +47,16 @@ def test_recall(spark, per_shard, tmp_path):
     assert len(looked) == 100 and np.mean([*looked.values()]) < (0.12 if per_shard > 4000 else 0.35) * 4000
 
 
+def test_recall_holds_as_vectors_grow(spark):
+    """Vectors without clusters, as many as a graph that is too large for its beam: recall of one shard was below 0.8."""
+    x = np.random.default_rng(5).normal(size=(24_000, 48)).astype(np.float32)
+    v = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    asked = v.where("id % 400 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    got = G.GraphIndex.of(v).top_k(asked, 10).collect()
+    exact = {(r.query_id, r.id) for r in vectors.semantic_top_k(v, asked, 10).collect()}
+    assert len({(r.query_id, r.id) for r in got} & exact) >= 0.95 * len(exact)
+
+
 def test_many_queries_share_a_shard(spark, monkeypatch):
     monkeypatch.setattr(G, "PER_TASK", 30)
     v, _ = made(spark, 300)
