@@ -48,7 +48,7 @@ def test_recall(spark, per_shard, tmp_path):
 
 
 def test_recall_holds_as_vectors_grow(spark):
-    """Vectors without clusters, as many as a graph that is too large for its beam: recall of one shard was below 0.8."""
+    """Vectors without clusters, more than a beam of a fixed length serves."""
     x = np.random.default_rng(5).normal(size=(24_000, 48)).astype(np.float32)
     v = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
     asked = v.where("id % 400 = 0").selectExpr("id AS query_id", "embedding AS vector")

@@ -292,7 +292,7 @@ def test_top_k_of_more_queries_than_a_block(spark):
 
 
 def test_cover_of_long_documents(spark):
-    """Time in proportion to the words: by the square, this took minutes."""
+    """Time in proportion to the words, and not to their square."""
     long = spark.createDataFrame([(1, "", None, "solar x power " * 20_000, None, "dataset", "active")], SCHEMA)
     began = time.perf_counter()
     assert found(long, "solar power", "cover") == {1: round(20_000 * 0.2 / 2 + 19_999 * 0.2, 6)}
