@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import sync, sync_run
+from tessera.plans import adapters
 from tessera.sources import catalog
 from tessera.streaming import pages_stream
 from tests.test_sync_run import item, put
@@ -148,3 +149,35 @@ def test_missing_pages(spark, tmp_path):
     (tmp_path / catalog.folder_name("tag:nlp", "updated") / "1.json").unlink()
     end = pages_stream.stops(pages_stream.paged(spark, {"path": str(tmp_path), "source": "tag:nlp"}, "incremental", states, marks)).first()
     assert (end.last_page, end.stop_reason, end.retryable) == (0, "transient_error", True)
+
+
+def test_pages_are_put_row_by_row(spark, tmp_path, monkeypatch):
+    """What a task is sent at once is a batch of rows, not of whole pages; pages that go over several batches are whole."""
+    real = type(spark.range(1)).mapInArrow
+
+    def spied(df, write, schema):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    with open(f"{tmp_path}/batches", "a") as f:
+                        f.write(f"{b.nbytes}\n")
+                    yield b
+
+            return write(seen())
+
+        return real(df, run, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", spied)
+    record = F.to_json(F.struct(F.col("id").alias("ref"), F.lit("é" * 50).alias("title")))
+    page = (F.col("id") % 37 + 1).cast("int")
+    rows = spark.range(37 * 45).select(F.when(F.col("id") % 2 == 0, "tag:nlp").otherwise("query:data science").alias("source"), page.alias("page"), (-F.col("id")).alias("position"), record.alias("record"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        adapters.put_pages(rows, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(int(n) for n in (tmp_path / "batches").read_text().split()) < 10 * 200
+    expected = {}
+    for r in rows.orderBy("position").collect():
+        expected.setdefault((catalog.folder_name(r.source, "updated"), f"{r.page}.json"), []).append(json.loads(r.record))
+    assert {(f.parent.name, f.name): json.loads(f.read_text()) for f in tmp_path.glob("*/*.json")} == expected
