@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +29,12 @@ from tessera.plans import stored
 
 #: Documents of a block; segments of one size that are merged, and by how much sizes differ from tier to tier.
 BLOCK, TIER, FACTOR = 64, 4, 8
+#: Postings of a task that makes blocks, on average.
+PER_PART = 500_000
 
-_HEADER = "segment int, lexeme string, resource_type string, block int, n int, best_score double, best_id {id}"
-_POSTS = "segment int, lexeme string, resource_type string, block int, postings array<struct<id: {id}, score: double>>"
+_HEADER = "segment int, lexeme string, resource_type string, block bigint, n int, best_score double, best_id {id}"
+_POSTS = "segment int, lexeme string, resource_type string, block bigint, postings array<struct<id: {id}, score: double>>"
+_BLOCKS = f"{_HEADER}, postings array<struct<id: {{id}}, score: double>>"
 
 
 @dataclass(frozen=True)
@@ -57,7 +63,7 @@ class SegmentIndex:
 
     @property
     def postings(self) -> DataFrame:
-        return self._read("postings", _POSTS)
+        return self._read("blocks", _POSTS)
 
     @property
     def void(self) -> DataFrame:
@@ -80,26 +86,18 @@ class SegmentIndex:
     # -- writing
 
     def _written(self, number: int, rows: DataFrame, documents: int) -> Segment:
-        """rows (lexeme, resource_type, id, score) as a segment. A word's rows are dealt to ranges of about a block's size by
-        their counts; no word is one task's."""
+        """rows (lexeme, resource_type, id, score) as a segment. They are counted and dealt to ranges of about PER_PART; a
+        task is sent a range in order and holds a batch of it and the last block that is not full."""
         path = f"{self.home}/segment={number}-{stored.folder(self.spark).rsplit('-', 1)[1]}"
         rows = rows.select("lexeme", "resource_type", "id", F.col("score").cast("double").alias("score"))
-        rows.write.parquet(f"{path}/rows")  # ranges are made of a sample and then of all: documents are analyzed once
+        rows.write.parquet(f"{path}/rows")  # ranges are made of a count, a sample and then of all: documents are analyzed once
         rows = self.spark.read.schema(rows.schema).parquet(f"{path}/rows")
-        dealt = rows.repartitionByRange("lexeme", "resource_type", "id").sortWithinPartitions("lexeme", "resource_type", "id")
-        place = Window.partitionBy("_part", "lexeme", "resource_type").orderBy("id")
-        numbered = dealt.withColumn("_part", F.spark_partition_id())
-        numbered.write.parquet(f"{path}/sorted")  # the parts stay as they are when they are read again
-        again = self.spark.read.schema(numbered.schema).parquet(f"{path}/sorted").withColumn("_at", F.row_number().over(place) - 1)
-        own = F.struct("id", "score")
-        blocks = again.groupBy("_part", "lexeme", "resource_type", F.floor(F.col("_at") / BLOCK).cast("int").alias("_block")).agg(F.array_sort(F.collect_list(own)).alias("postings"), F.max(F.struct("score", (-F.col("_at")).alias("first"), "id")).alias("best"))
-        # ids ascend with their places, so that of the highest scores the smallest id is the first place's
-        told = blocks.select(F.lit(number).alias("segment"), "lexeme", "resource_type", (F.col("_part") * 1_000_000 + F.col("_block")).cast("int").alias("block"), F.size("postings").alias("n"), F.col("best.score").alias("best_score"), F.col("best.id").alias("best_id"), "postings")
-        told = told.sortWithinPartitions("lexeme", "resource_type", "block")
-        told.write.option("parquet.block.size", keyword.ROW_GROUP_BYTES).parquet(f"{path}/blocks")
-        held = self.spark.read.schema(told.schema).parquet(f"{path}/blocks")
-        held.drop("postings").sortWithinPartitions("lexeme").write.parquet(f"{path}/headers")
-        held.select("segment", "lexeme", "resource_type", "block", "postings").write.option("parquet.block.size", keyword.ROW_GROUP_BYTES).parquet(f"{path}/postings")
+        order = ["lexeme", "resource_type", "id"]
+        dealt = rows.repartitionByRange(max(1, -(-rows.count() // PER_PART)), *order).sortWithinPartitions(*order)
+        blocks = dealt.mapInArrow(_blocked(number, BLOCK), _BLOCKS.format(id=self.id_type))
+        blocks.write.option("parquet.block.size", keyword.ROW_GROUP_BYTES).parquet(f"{path}/blocks")
+        held = self.spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
+        held.drop("postings").write.parquet(f"{path}/headers")
         return Segment(number, documents, path)
 
     def _with(self, rows: DataFrame, documents: int, gone: DataFrame | None) -> SegmentIndex:
@@ -191,6 +189,55 @@ class SegmentIndex:
         return keyword.top_k(alive.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
+def _blocked(number: int, size: int):
+    """Rows (lexeme, resource_type, id, score) in this order as the blocks of a segment. A word may go on in the next batch,
+    and in the next task; a block's number tells its task and its place among the word's blocks there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = TaskContext.get().partitionId() << 32
+        rest, before = None, 0  # the last block of the batches so far, and its word's rows before it
+        for b in batches:
+            if not len(b):
+                continue
+            rows = b if rest is None else pa.concat_batches([rest, b])
+            at = _places(rows, before)
+            last = int(np.flatnonzero(at % size == 0)[-1])
+            if last:
+                yield _of_rows(number, above, rows.slice(0, last), at[:last], size)
+            rest, before = rows.slice(last), int(at[last])
+        if rest is not None:
+            yield _of_rows(number, above, rest, _places(rest, before), size)
+
+    return run
+
+
+def _places(rows: pa.RecordBatch, before: int) -> np.ndarray:
+    """The place of each row among those of its word, of which the first word's have so many before them."""
+    new = np.ones(len(rows), bool)
+    new[1:] = False
+    for name in ("lexeme", "resource_type"):
+        code = rows.column(name).dictionary_encode().indices.fill_null(-1).to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    i = np.arange(len(rows))
+    first = np.maximum.accumulate(np.where(new, i, 0))
+    return i - first + np.where(first == 0, before, 0)
+
+
+def _of_rows(number: int, above: int, rows: pa.RecordBatch, at: np.ndarray, size: int) -> pa.RecordBatch:
+    """Whole blocks as rows of _BLOCKS."""
+    first = np.flatnonzero(at % size == 0)
+    n = np.diff(np.append(first, len(rows)))
+    score = rows.column("score").to_numpy(zero_copy_only=False)
+    # ids ascend, so that of the highest scores the smallest id is the first
+    highest = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, first), n))
+    best = highest[np.searchsorted(highest, first)]
+    of, best = pa.array(first), pa.array(best)
+    own = pa.StructArray.from_arrays([rows.column("id"), rows.column("score")], ["id", "score"])
+    postings = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), own)
+    arrays = [pa.array(np.full(len(first), number, np.int32)), rows.column("lexeme").take(of), rows.column("resource_type").take(of), pa.array(above + at[first] // size), pa.array(n.astype(np.int32)), rows.column("score").take(best), rows.column("id").take(best), postings]
+    return pa.RecordBatch.from_arrays(arrays, ["segment", "lexeme", "resource_type", "block", "n", "best_score", "best_id", "postings"])
+
+
 def scored(resources: DataFrame, analyze: Callable[[Column], Column] = tokens) -> DataFrame:
     """lexeme, resource_type, id and score of the active resources."""
     return keyword.postings(keyword.active(resources), analyze).select("lexeme", "resource_type", "id", "score")

@@ -114,3 +114,28 @@ def test_documents_are_analyzed_once(spark):
     index = segments.SegmentIndex.of(docs, analyze=lambda text: F.split(told(text), " "))
     assert len(index.segments) == 1
     assert seen.value == 4 * 40
+
+
+def test_tasks_that_make_blocks_are_as_many_as_postings_need(spark, monkeypatch):
+    """A segment's ranges follow its postings and not a setting; words go on from batch to batch and from task to task."""
+    monkeypatch.setattr(segments, "PER_PART", 250, raising=False)
+    docs, words = made(spark, 600), asked(spark)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        index = segments.SegmentIndex.of(docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    (segment,) = index.segments
+    total = index.live().count()
+    tasks = {r[0] for r in spark.read.parquet(f"{segment.path}/blocks").select(F.input_file_name()).distinct().collect()}
+    assert len(tasks) >= total / 500 > 4
+    assert told(index.best_of_any(words, 5)) == plain(docs, words, 5)
+    # of a word's blocks in a task only the last may have room
+    blocks = spark.read.parquet(f"{segment.path}/blocks").withColumn("_file", F.input_file_name())
+    for own in blocks.groupBy("_file", "lexeme", "resource_type").agg(F.sort_array(F.collect_list(F.struct("block", "n", "best_score", "best_id", "postings"))).alias("b")).collect():
+        assert all(b.n == 8 for b in own.b[:-1])
+        ids = [p.id for b in own.b for p in b.postings]
+        assert ids == sorted(ids) and all(b.n == len(b.postings) for b in own.b)
+        assert all((b.best_score, -b.best_id) == max((p.score, -p.id) for p in b.postings) for b in own.b)
+    assert blocks.groupBy("lexeme", "resource_type", "block").count().where("count > 1").isEmpty()
